@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import mixing, quality, sharding
 from .common import table
 
 
@@ -10,5 +10,13 @@ def op10_quality_rules(spark, sf_dir):
     return quality.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_quality_rules,)}
+def op5_curriculum_mix(spark, sf_dir):
+    return mixing.query(table(spark, sf_dir, "documents"))
+
+
+def op6_minimax_shards(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_curriculum_mix, op6_minimax_shards, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
