@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding
+import public_tokenizers
+
+from . import fingerprints, html, mixing, packing, quality, secrets, sharding
 from .common import table
 
 
+def op9_random_secrets(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark, sf_dir):
     return quality.query(table(spark, sf_dir, "documents"))
 
 
+def op1_line_blocks(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_piecewise_hashes(spark, sf_dir):
+    return fingerprints.neighbours(table(spark, sf_dir, "documents"))
+
+
+def op4_packed_ids(spark, sf_dir):
+    return packing.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def op5_curriculum_mix(spark, sf_dir):
     return mixing.query(table(spark, sf_dir, "documents"))
 
@@ -18,5 +36,5 @@ def op6_minimax_shards(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_curriculum_mix, op6_minimax_shards, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_line_blocks, op3_piecewise_hashes, op4_packed_ids, op5_curriculum_mix, op6_minimax_shards, op9_random_secrets, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
