@@ -9,8 +9,7 @@ most; the chunk that would exceed it runs to the end of the text, so every byte
 
 Likeness of fingerprints needs compatible sizes (equal, or one twice the other): signatures of the
 same size are compared by edit distance, likeness is 1 - distance / the longer length, and the
-better of the pairs counts. Before, runs of more than three equal characters are cut to three, as
-they carry no information. Other sizes have likeness 0. Equal fingerprints have likeness 1.
+better of the pairs counts. Other sizes have likeness 0. Equal fingerprints have likeness 1.
 
 `neighbours` edits each document with the head of the next one in rising doc_id order: rows are
 range-partitioned by doc_id on split points, texts compressed, and the first row of each range also
@@ -107,10 +106,6 @@ def fingerprint(raw: bytes) -> str:
     return f"{size}:{signature(prefix, at(size), n)}:{signature(prefix, at(2 * size), n)}"
 
 
-def squeezed(s: str) -> str:
-    return "".join(c for i, c in enumerate(s) if i < 3 or not (c == s[i - 1] == s[i - 2] == s[i - 3]))
-
-
 def distance(a: str, b: str) -> int:
     """Edit distance by bit-parallel columns (Myers, in Hyyro's form)."""
     if not a or not b:
@@ -136,7 +131,6 @@ def likeness(a: str, b: str) -> float:
     sa, sb, best = int(sa), int(sb), 0.0
     pairs = [(a1, b1), (a2, b2)] if sa == sb else [(a2, b1)] if 2 * sa == sb else [(a1, b2)] if sa == 2 * sb else []
     for x, y in pairs:
-        x, y = squeezed(x), squeezed(y)
         if x and y:
             best = max(best, 1 - distance(x, y) / max(len(x), len(y)))
     return best
