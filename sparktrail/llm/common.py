@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def text_col(name: str = "text") -> Column:
 
 def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most about `most` bytes of text, one row at least; bounds what numpy holds at a time."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
     lo = held = 0
     for i, n in enumerate(sizes.tolist()):
         if i > lo and held + n > most:

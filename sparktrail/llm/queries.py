@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import fingerprints, html, mixing, packing, quality, secrets, sharding
+from . import fingerprints, html, jaccard_join, mixing, packing, quality, secrets, sharding
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op1_line_blocks(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_jaccard_join(spark, sf_dir):
+    return jaccard_join.join(table(spark, sf_dir, "documents"), 3, 90)
+
+
 def op3_piecewise_hashes(spark, sf_dir):
     return fingerprints.neighbours(table(spark, sf_dir, "documents"))
 
@@ -36,5 +40,5 @@ def op6_minimax_shards(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_blocks, op3_piecewise_hashes, op4_packed_ids, op5_curriculum_mix, op6_minimax_shards, op9_random_secrets, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_line_blocks, op2_jaccard_join, op3_piecewise_hashes, op4_packed_ids, op5_curriculum_mix, op6_minimax_shards, op9_random_secrets, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
