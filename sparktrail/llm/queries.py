@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import fingerprints, html, jaccard_join, mixing, packing, quality, secrets, sharding
+from . import fingerprints, html, jaccard_join, mixing, packing, quality, secrets, sharding, unigram
 from .common import table
 
 
+def op7_unigram_pieces(spark, sf_dir):
+    return unigram.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_random_secrets(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op6_minimax_shards(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_blocks, op2_jaccard_join, op3_piecewise_hashes, op4_packed_ids, op5_curriculum_mix, op6_minimax_shards, op9_random_secrets, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_line_blocks, op2_jaccard_join, op3_piecewise_hashes, op4_packed_ids, op5_curriculum_mix, op6_minimax_shards, op7_unigram_pieces, op9_random_secrets, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
