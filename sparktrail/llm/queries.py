@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import fingerprints, html, jaccard_join, mixing, packing, quality, secrets, sharding, unigram
+from . import fingerprints, html, jaccard_join, mixing, packing, quality, secrets, sharding, suffix_dedup, unigram
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op7_unigram_pieces(spark, sf_dir):
     return unigram.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_deep_shallow_dedup(spark, sf_dir):
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_random_secrets(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op6_minimax_shards(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_blocks, op2_jaccard_join, op3_piecewise_hashes, op4_packed_ids, op5_curriculum_mix, op6_minimax_shards, op7_unigram_pieces, op9_random_secrets, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_line_blocks, op2_jaccard_join, op3_piecewise_hashes, op4_packed_ids, op5_curriculum_mix, op6_minimax_shards, op7_unigram_pieces, op8_deep_shallow_dedup, op9_random_secrets, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
