@@ -53,7 +53,7 @@ def _same(a: str, b: str):
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, position and tie, range-sorted by position."""
+    """doc_id, source, size, source_size, target, taken, copies, position and tie, range-sorted by position."""
     work = Workspace(docs.sparkSession, "mixing")
     sized = docs.select("doc_id", "source", F.regexp_count(text_col(), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint").alias("size"), F.xxhash64(F.lit(17), "doc_id").alias("order"), F.xxhash64(text_col()).alias("tie"))
     sized = work.keep(sized.withColumn("part", F.pmod(F.xxhash64(F.lit(5), "order", "tie"), F.lit(BUCKETS)).cast("int")), "sized")
@@ -73,12 +73,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) ->
     upto = F.when(F.col("target") >= most * F.col("source_size"), most * end).otherwise(F.floor(rate * end))
     start = F.when(F.col("target") >= most * F.col("source_size"), most * (end - F.col("size"))).otherwise(F.floor(rate * (end - F.col("size"))))
     df = df.withColumn("taken", F.least(upto - start, most * F.col("size")).cast("bigint"))
+    # whole documents for a training run: all of them floor(rate) times, and the first ones in order once more
+    whole = F.floor(rate)
+    df = df.withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(whole + (end - F.col("size") / 2.0 <= (rate - whole) * F.col("source_size")).cast("int")).cast("int"))
     tilt = F.pmod("rank", F.lit(3)) - 1
     q = F.when(F.col("source_size") > 0, (end - F.col("size") / 2.0) / F.col("source_size")).otherwise(0.0)
     root = F.sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * q)
     t = F.when(tilt == 0, q).otherwise((root - (1 - tilt)) / (2 * tilt))
     df = df.withColumn("position", F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0)).cast("double"))
-    return df.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "tie").orderBy("position", "doc_id", "tie")
+    return df.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "position", "tie").orderBy("position", "doc_id", "tie")
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -86,12 +89,14 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def curriculum(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes any words of, as often as it takes them, in training order; columns as given.
+    """Whole documents, as often as the mix takes them, in training order; columns as given.
 
-    A document of which the mix takes n words comes ceil(n / size) times. Documents of no words stay once."""
+    A source's documents come floor(rate) times each, and those first in its order once more, so that its words are
+    its target to within half a document. Documents of no words stay once."""
     work = Workspace(docs.sparkSession, "mixing-order")
-    plan = work.keep(mix(docs).dropDuplicates(["doc_id", "source", "tie"]), "plan")
-    plan = plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("tie").alias("_x"), F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_n"), "position")
+    # repeated rows are placed alike, as the first of them
+    plan = mix(docs).groupBy("doc_id", "source", "tie").agg(F.max("copies").alias("_n"), F.min("position").alias("position"))
+    plan = work.keep(plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("tie").alias("_x"), "_n", "position"), "plan")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", F.xxhash64(text_col()).alias("_t"))
     rows = rows.join(plan, _same("doc_id", "_d") & _same("source", "_s") & (F.col("_t") == F.col("_x")), "inner").filter("_n > 0")
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
