@@ -1 +1 @@
-""""""
+"""Column functions, and the few that need vectorised Python."""

@@ -1 +1 @@
-""""""
+"""The rule language, and its compilation to Spark columns."""

@@ -1 +1 @@
-""""""
+"""Readers and writers of the tables, diagrams, programs and results."""
