@@ -105,37 +105,60 @@ class Encoder:
     """The tokenizers library behind a bounded memo of words.
 
     This kind of pre-tokenizer drops white space and never joins across it, so a text's ids are those
-    of its words in turn; the library encodes each new word once, many in one call.
-    Texts with characters of which this isn't certain go to the library whole. `memo` is proved only for tokenizers whose
-    normalizer and pre-tokenizer are those checked in `words_apart`."""
+    of its words in turn; the library encodes each new word once, many in one call. Words of plain
+    letters, with a full stop or comma behind at most, are one or two pre-tokens, whatever their case:
+    they go to the library's model without its normalizer and pattern. Texts with characters of which
+    this isn't certain go to the library whole. `words_apart` checks that the tokenizer is of this kind."""
 
-    def __init__(self, path: str, end_id: int | None, most: int = 600_000):
+    def __init__(self, path: str, end_id: int | None, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tail = [] if end_id is None else [end_id]
-        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.memo, self.most, self.mark, self.apart = {}, most, mark[0], self.words_apart() and len(mark) == 1
-
-    def words_apart(self) -> bool:
         known = json.loads(self.tokenizer.to_str())
+        self.memo, self.most, self.apart = {}, most, self.words_apart(known)
+        if self.apart:
+            bare = known | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, known["pre_tokenizer"]["pretokenizers"][1]]}}
+            self.bare = Tokenizer.from_str(json.dumps(bare))
+            self.bare.encode_special_tokens = True
+            self.marks = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+            self.apart = len(self.marks) == 1 and self.bare.encode(MARK, add_special_tokens=False).ids == self.marks
+            self.stops = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes() for c in ".,"}
+
+    @staticmethod
+    def words_apart(known: dict) -> bool:
         steps = [x["type"] for x in (known["normalizer"] or {}).get("normalizers", [])]
         pre = (known["pre_tokenizer"] or {}).get("pretokenizers", [])
         return steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in pre] == ["Split", "ByteLevel"] and pre[0]["behavior"] == "Removed" and "\\s" in pre[0]["pattern"]["Regex"]
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Encodes the words that the memo lacks in one text, parted by a character that no word has."""
+    def many(self, tokenizer, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Words and their ids, encoded as one text, parted by a character that no word has."""
+        for i in range(0, len(words), 500):
+            part = words[i : i + 500]
+            ids = np.array(tokenizer.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = 4 * np.flatnonzero(ids == self.marks[0])
+            raw, starts, ends = ids.tobytes(), [0, *(at + 4).tolist()], [*at.tolist(), 4 * len(ids)]
+            yield from ((w, raw[a:b]) for w, a, b in zip(part, starts, ends, strict=True))
+
+    def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.memo]
-        if len(self.memo) + len(new) > self.most:
+        if len(self.memo) + 2 * len(new) > self.most:
             self.memo.clear()
             new = list(words)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            at = np.flatnonzero(ids == self.mark)
-            raw, starts, ends = ids.tobytes(), [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), 4 * len(ids)]
-            self.memo.update({w: raw[a:b] for w, a, b in zip(part, starts, ends, strict=True)})
+        cores, odd, built = set(), [], []
+        for w in new:
+            if LETTERS.fullmatch(w):
+                core = (w[:-1] if w[-1] in ".," else w).lower()
+                built.append((w, core, w[-1]))
+                cores.add(core)
+            else:
+                odd.append(w)
+        self.memo.update(self.many(self.bare, [c for c in cores if c not in self.memo]))
+        self.memo.update(self.many(self.tokenizer, odd))
+        for w, core, last in built:
+            if w != core:
+                self.memo[w] = self.memo[core] + self.stops[last] if last in ".," else self.memo[core]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         tail = np.array(self.tail, dtype="<u4").tobytes()
@@ -151,13 +174,15 @@ class Encoder:
 
 #: Parts words in one call to the library; texts that hold it go to the library whole.
 MARK = "\x00"
+#: Letters whose lower case is one letter, and composed already; one stop behind.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?")
 #: Python's str.split() parts a text at exactly these; the tokenizer's \\s need not know them all.
 ODD_SPACE = re.compile("[^\\S \t\n\r\x0b\x0c]|[\x00\u0300-\u036f\u1100-\u11ff\u0130]")
 
 
 def plain(text: str) -> bool:
     """No odd white space, nor a character that composes with the one before it across a word's edge."""
-    return not ODD_SPACE.search(text)
+    return not any(c in text for c in "\x00\x1c\x1d\x1e\x1f") if text.isascii() else not ODD_SPACE.search(text)
 
 
 @functools.lru_cache(maxsize=2)
