@@ -82,7 +82,8 @@ def _windowed(df: DataFrame, f: fm.Formula, case: str, order: list[str], atom: s
         reached = goal.isNotNull() & F.coalesce(breach <= goal, F.lit(True))
         return add(g, reached | breach.isNull() if op == "W" else reached)
 
-    return df, build(f)
+    column = build(f)
+    return df, column
 
 
 def verdicts(df: DataFrame, rules: dict[str, str], case: str, order: list[str], atom: str, cases: DataFrame | None = None) -> DataFrame:
