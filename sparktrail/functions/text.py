@@ -66,7 +66,7 @@ def names_all(line: Column, tasks: Column) -> Column:
 
 def fenced(c: Column) -> Column:
     """The first fenced block of a text, or the text."""
-    found = F.regexp_extract(c, r"(?s)```[A-Za-z]*\n(.*?)```", 1)
+    found = F.regexp_extract(c, r"(?s)```[A-Za-z]*\n(.*?)\s*```", 1)
     return F.when(found == "", F.trim(c)).otherwise(F.trim(found))
 
 

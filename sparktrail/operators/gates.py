@@ -20,7 +20,7 @@ def gate(properties: DataFrame, policy: DataFrame, by: list[str] | None = None)
     An unknown tier is an error when the row is read."""
     by = by or []
     known = F.assert_true(tier_order(F.col("tier")) > 0, F.concat(F.lit("unknown tier: "), F.col("tier")))
-    df = properties.withColumn("_ok", known).join(policy.select("tier", "conformance_check"), "tier", "left")
+    df = properties.filter(known.isNull()).join(policy.select("tier", "conformance_check"), "tier", "left")
     blank = F.regexp_replace(F.regexp_replace("formula", r'"[^"]*"|\b(?:start|done|node)\([^()]*\)', "a"), r"<->|->", "#")
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("formula", r"\b(?:start|done)\(([^()]*)\)", '"$1"'), "&&", "&"), r"\|\|", "|")
     df = df.withColumn("normalised", plain)
@@ -34,7 +34,7 @@ def gate(properties: DataFrame, policy: DataFrame, by: list[str] | None = None)
     place = Window.partitionBy(*by, "normalised", F.col("reason").isNull()).orderBy(tier_order(F.col("tier")), "ord")
     first = F.first("tier").over(place)
     twice = F.when(F.row_number().over(place) > 1, F.when(first == F.col("tier"), F.lit("repeated in tier")).otherwise(F.concat(F.lit("repeated from "), first)))
-    return df.withColumn("reason", F.coalesce("reason", twice)).drop("_ok", "conformance_check")
+    return df.withColumn("reason", F.coalesce("reason", twice)).drop("conformance_check")
 
 
 def atom_gate(rules: DataFrame, known: DataFrame) -> DataFrame:

@@ -11,13 +11,13 @@ NODE_TYPES = ["startEvent", "endEvent", "intermediateCatchEvent", "intermediateT
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """graph, xml."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    df = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return df.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[^.]*$", 1).alias("graph"), F.col("value").alias("xml"))
 
 
 def checked(diagrams: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Diagrams that parse, and those that don't with a reason."""
-    ok = F.col("xml").rlike(r"(?s)<(?:\w+:)?definitions\b.*</(?:\w+:)?definitions>\s*$")
+    ok = F.col("xml").rlike(r"(?s)<(?:\w+:)?definitions\b.*</(?:\w+:)?definitions>\s*\z")
     return diagrams.filter(ok), diagrams.filter(~ok).withColumn("reason", F.lit("not a complete definitions document"))
 
 
