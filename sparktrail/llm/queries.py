@@ -49,4 +49,24 @@ def op6_minimax_shards(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_line_blocks, op2_jaccard_join, op3_piecewise_hashes, op4_packed_ids, op5_curriculum_mix, op6_minimax_shards, op7_unigram_pieces, op8_deep_shallow_dedup, op9_random_secrets, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_quality_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+g AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 1)) AS i)),
+h AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+p AS (SELECT r, count(DISTINCT i + k) AS n FROM h, (VALUES (0), (1), (2)) o(k) GROUP BY r),
+l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+ list_transform(string_split(lower(regexp_replace(regexp_replace(t, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g')), chr(10)), lambda x: trim(x, ' ')) AS plain FROM d),
+x AS (SELECT d.r, d.source, d.t, unnest(plain) AS line FROM l JOIN d USING (r)),
+held AS (SELECT source, line, count(DISTINCT t) AS docs FROM x WHERE line <> '' GROUP BY ALL),
+size AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY ALL),
+f AS (SELECT held.source, held.line FROM held JOIN size ON held.source IS NOT DISTINCT FROM size.source WHERE docs > 20 AND docs > 0.05 * n),
+gone AS (SELECT r, sum(length(x.line)) AS n FROM x JOIN f ON x.source IS NOT DISTINCT FROM f.source AND x.line = f.line GROUP BY r),
+b AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+ CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+ CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS removed_chars, CAST(coalesce(list_sum(list_transform(plain, lambda y: length(y))), 0) AS BIGINT) AS line_chars
+ FROM d JOIN w USING (r) JOIN l USING (r) LEFT JOIN p USING (r) LEFT JOIN gone USING (r)),
+c AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT *, NOT base_failed AND removed_chars <= 0.5 * line_chars AS kept FROM c""",
+}
