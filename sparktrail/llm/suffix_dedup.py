@@ -236,19 +236,23 @@ def repeats(docs: DataFrame, work: Workspace) -> DataFrame:
         flags = bitmap.value
         for batch in batches:
             ids, ties = batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist()
+            # of a batch's equal contexts only the earliest travels; the others are repeats for certain (no context, `at` is their end)
+            first: dict[tuple[int, int, bytes], tuple] = {}
+            out: list[tuple] = []
             for lo, raws, (k, place, g, a, z) in _each(batch):
                 at = (g >> np.uint64(64 - bits)).astype(np.int64)
                 hit = np.flatnonzero(flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
-                k, place, a, z = k[hit].tolist(), place[hit], a[hit].tolist(), z[hit].tolist()
-                columns = [
-                    pa.array(g[hit].view(np.int64)),
-                    pa.array([ids[lo + i] for i in k], pa.int64()),
-                    pa.array([ties[lo + i] for i in k], pa.int32()),
-                    pa.array(a, pa.int32()),
-                    pa.array((place - np.array(a, dtype=np.int64)).astype(np.int32) if len(a) else [], pa.int32()),
-                    pa.array([raws[i][x : y + LENGTH] for i, x, y in zip(k, a, z, strict=True)], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["g", "doc", "tie", "a", "at", "context"])
+                for i, p, h, x, y in zip(k[hit].tolist(), place[hit].tolist(), g.view(np.int64)[hit].tolist(), a[hit].tolist(), z[hit].tolist(), strict=True):
+                    d, key = ids[lo + i], (h, p - x, raws[i][x : y + LENGTH])
+                    row = (d is not None, d or 0, ties[lo + i], x)
+                    other = first.setdefault(key, row)
+                    if other is not row:
+                        later = max(row, other)
+                        first[key] = min(row, other)
+                        out.append((h ^ (later[1] * 0x5851F42D4C957F2D + later[3]) & 0x7FFFFFFF, later[1] if later[0] else None, later[2], later[3], later[3] + len(key[2]), None))
+            out += [(h, r[1] if r[0] else None, r[2], r[3], at_, c) for (h, at_, c), r in first.items()]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], t) for n, t in enumerate(kinds)], ["g", "doc", "tie", "a", "at", "context"])
 
     def resolve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, group, now = Batch(), [], None
@@ -260,6 +264,10 @@ def repeats(docs: DataFrame, work: Workspace) -> DataFrame:
         held = 0
         for batch in batches:
             for g, doc, tie, a, at, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if context is None:
+                    waiting.out.append((doc, tie, a, at))
+                    held += 100
+                    continue
                 if g != now:
                     waiting.add(group)
                     held += sum(len(r[4]) for r in group)
