@@ -24,12 +24,12 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, work: Workspace, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, work: Workspace, name: str = "cc", most: int = 60) -> DataFrame:
     """a, b: edges between long ids -> node, root: every node that isn't the least of its component, and that least one."""
-    now, seen = work.keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "cc-0"), None
+    now, seen = work.keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{name}-0"), None
     for k in range(1, most):
-        new = work.keep(_step(_step(now, True), False), f"cc-{k}")
-        work.drop(f"cc-{k - 1}")
+        new = work.keep(_step(_step(now, True), False), f"{name}-{k}")
+        work.drop(f"{name}-{k - 1}")
         now = new
         sign = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if sign == seen or sign[0] == 0:

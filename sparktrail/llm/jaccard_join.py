@@ -5,7 +5,8 @@ are at distance 1 from any pivot, where the triangle inequality separates nothin
 regions are made around shingles: by the prefix bound two linked sets share one of their first
 members in a common order of all shingles (rare ones first). A region is the sets that share such
 a member and whose sizes run without a gap that a link couldn't span; its pivot is its smallest set.
-Regions with the same pivot are one. Each region is joined by itself and exactly:
+Regions with the same pivot are one. Sets that can link with none of their region, as their
+histograms over hash classes (a map that brings no two sets further apart) show, leave it. Each region is joined by itself and exactly:
 
 - A large region is split around its pivot by a distributed pass, in chunks of bounded size: sets
   within eps of the pivot are linked to it and leave; the rest stay, with the triangle window of sets
@@ -15,6 +16,8 @@ Regions with the same pivot are one. Each region is joined by itself and exactly
   |d1 - d2| <= 2 eps are replicated to both, and cells are joined recursively; where cells no longer
   shrink, pairs that share a member rare in the cell (the prefix bound again, in the cell's own
   order), pass the size bound and both triangle bounds and aren't yet connected are compared. A pair that is already connected needs no comparison, as only components are asked for.
+- So each set is first joined in one of its regions; after that only regions that hold sets of
+  different components are joined.
 
 Equal sets are joined by a 128-bit hash first, so a group of copies is one set. Components are found
 by distributed star steps. Shingles that are frequent in some task's rows, HEAVY of them at most, go
@@ -42,7 +45,13 @@ from .shingles import prefix, set_hash, shingle_sets
 #: Frequent shingles kept for the order; seen in so many documents of one task at least.
 HEAVY, OFTEN = 200_000, 8
 #: Sets in a region that one task joins; sets in a chunk of a distributed pass.
-LOCAL, CHUNK = 1024, 256
+LOCAL, CHUNK = 4096, 256
+#: Members of all the sets of a region that one task joins.
+MEMBERS = 2_000_000
+#: Sets of a region whose histograms (about 200 bytes each) a task holds to thin it out.
+HELD = 200_000
+#: Hash classes of the histograms that bound distances from below.
+CLASSES = 64
 
 
 def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,18 +109,27 @@ def sharing(cell: list[int], sets: list[np.ndarray], percent: int, root) -> Iter
     cuts = np.flatnonzero(np.diff(place[kept])) + 1
     seen = set()
     for part in np.split(owner[kept], cuts):
-        members = [cell[k] for k in part.tolist()]
-        for k, i in enumerate(members):
-            for j in members[k + 1 :]:
-                if (i, j) not in seen and root(i) != root(j):
-                    seen.add((i, j))
-                    yield i, j
-
-
-def join_region(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect what the region connects."""
+        by_root: dict[int, list[int]] = {}
+        for k in part.tolist():
+            by_root.setdefault(root(cell[k]), []).append(cell[k])
+        # pairs of one component are never looked at; the largest one comes last, so each of its sets meets the others only
+        groups = sorted(by_root.values(), key=len)
+        for g, here in enumerate(groups[:-1]):
+            for there in groups[g + 1 :]:
+                for i in here:
+                    for j in there:
+                        pair = (i, j) if i < j else (j, i)
+                        if pair not in seen:
+                            seen.add(pair)
+                            if root(i) != root(j):
+                                yield pair
+
+
+def join_region(ids: list[int], sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect what the region connects; `known` names the components that are connected already."""
     eps = 1 - percent / 100 + 1e-9
-    parent = list(range(len(ids)))
+    leads: dict[int, int] = {}
+    parent = [leads.setdefault(c, i) for i, c in enumerate(known)] if known else list(range(len(ids)))
     links = []
 
     def root(i: int) -> int:
@@ -164,23 +182,24 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, s1, s2, first (the prefix)."""
+    """doc_id, n, s1, s2, first (the prefix), hist."""
     heavy = docs.sparkSession.sparkContext.broadcast(frequent(docs, size))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, weights = heavy.value
         for batch in batches:
-            n, signs, firsts = [], [], []
+            n, signs, firsts, hists = [], [], [], []
             for s in shingle_sets(batch.column("text"), size):
                 n.append(len(s))
                 signs.append(set_hash(s))
                 firsts.append(prefix(s, percent, keys, weights).view(np.int64))
+                hists.append(histogram(s).tobytes())
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts) if firsts else [], pa.int64()))
-            columns = [pa.array(n, pa.int32()), pa.array([a for a, _ in signs], pa.int64()), pa.array([b for _, b in signs], pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n", "s1", "s2", "first"])
+            columns = [pa.array(n, pa.int32()), pa.array([a for a, _ in signs], pa.int64()), pa.array([b for _, b in signs], pa.int64()), lists, pa.array(hists, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n", "s1", "s2", "first", "hist"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, first array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, first array<long>, hist binary")
 
 
 def first_regions(sets: DataFrame) -> DataFrame:
@@ -194,15 +213,129 @@ def first_regions(sets: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select("region", F.col("region").alias("x")).distinct())
 
 
+def histogram(s: np.ndarray) -> np.ndarray:
+    """Members by hash class, CLASSES of them. Sums of differences of two such are at most the sets' symmetric difference."""
+    at = np.searchsorted(s, np.arange(1, CLASSES, dtype=np.uint64) * np.uint64((1 << 64) // CLASSES))
+    return np.minimum(np.diff(np.r_[0, at, len(s)]), 65535).astype(np.uint16)
+
+
+def near_pairs(n: np.ndarray, hist: np.ndarray, percent: int, step: int = 512) -> np.ndarray:
+    """Whether each set could link with some other one, by size and by the distance of histograms (a lower bound).
+
+    Sets go by size, so partners are neighbours; a set's search ends with the first one found."""
+    order = np.argsort(n, kind="stable")
+    n, hist, out = n[order], hist[order].astype(np.int32), np.zeros(len(n), dtype=bool)
+    first = np.searchsorted(n, -(-n * percent // 100))
+    last = np.searchsorted(n, n * 100 // percent, side="right")
+    for k in range(len(n)):
+        a = b = k
+        while not out[k] and (a > first[k] or b + 1 < last[k]):
+            for lo, hi in ((max(first[k], a - step), a), (b + 1, min(last[k], b + 1 + step))):
+                if hi > lo and not out[k]:
+                    least = np.minimum(n[k], n[lo:hi])
+                    ok = np.abs(hist[lo:hi] - hist[k]).sum(axis=1) <= least * (100 - percent) // percent
+                    out[lo:hi] |= ok
+                    out[k] = ok.any()
+            a, b = max(first[k], a - step), min(last[k] - 1, b + step)
+    back = np.zeros(len(n), dtype=bool)
+    back[order] = out
+    return back
+
+
+def _by_region(keep, most: int):
+    """Runs `keep` on the rows of one region after the other, from batches sorted by region; a region is held up to `most` rows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[tuple] = []  # of a region that may go on in the next batch
+
+        def made(out: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["region", "x"])
+
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rest and rest[0][0] != row[0]:
+                    out += keep(rest)
+                    rest = []
+                if len(rest) > most:  # known to be large: passes on at once
+                    out.append((row[0], row[1]))
+                    continue
+                rest.append(row)
+            yield made(out)
+        if rest:
+            yield made(keep(rest))
+
+    return run
+
+
+def plausible(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """region, x: without sets that can link with none of their region. Regions of more than HELD sets pass as they are."""
+
+    def keep(rows: list[tuple]) -> list[tuple[int, int]]:
+        if len(rows) > HELD:
+            return [(r[0], r[1]) for r in rows]
+        kept = near_pairs(np.array([r[2] for r in rows], dtype=np.int64), np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint16).reshape(len(rows), -1), percent)
+        return [(r[0], r[1]) for r, k in zip(rows, kept.tolist(), strict=True) if k]
+
+    rows = regions.join(sets.select(F.col("rep").alias("x"), "n", "hist"), "x")
+    return rows.select("region", "x", "n", "hist").repartition("region").sortWithinPartitions("region", "x").mapInArrow(_by_region(keep, HELD), "region long, x long")
+
+
+def fine_histogram(s: np.ndarray) -> np.ndarray:
+    """As `histogram`, with about two members a class, capped at 255 (which brings no two sets further apart either)."""
+    bits = min(max(6, (len(s) // 2).bit_length()), 14)
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> int:
+    """At most the symmetric difference of the sets; classes of the finer histogram are summed to those of the other one."""
+    a, b = a.astype(np.int32), b.astype(np.int32)
+    while len(a) > len(b):
+        a = a.reshape(-1, 2).sum(axis=1)
+    while len(b) > len(a):
+        b = b.reshape(-1, 2).sum(axis=1)
+    if a.max() >= 255 or b.max() >= 255:
+        a, b = np.minimum(a, 255), np.minimum(b, 255)
+    return int(np.abs(a - b).sum())
+
+
+def thinned(regions: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """region, x: as `plausible`, by fine histograms; regions of more than LOCAL sets pass as they are."""
+
+    def fine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(m, dtype=np.uint64) for m in batch.column("members").to_pylist()]
+            columns = [pa.array([len(s) for s in sets], pa.int32()), pa.array([fine_histogram(s).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("x"), *columns], ["x", "n", "fine"])
+
+    def keep(rows: list[tuple]) -> list[tuple[int, int]]:
+        if len(rows) > LOCAL:
+            return [(r[0], r[1]) for r in rows]
+        rows = sorted(rows, key=lambda r: (r[2], r[1]))
+        hist, ok = [np.frombuffer(r[3], dtype=np.uint8) for r in rows], [False] * len(rows)
+        for i, r in enumerate(rows):
+            for j in range(i + 1, len(rows)):
+                if ok[i] and ok[j]:
+                    continue
+                if r[2] * 100 < percent * rows[j][2]:
+                    break
+                if apart(hist[i], hist[j]) <= r[2] * (100 - percent) // percent:
+                    ok[i] = ok[j] = True
+        return [(r[0], r[1]) for r, k in zip(rows, ok, strict=True) if k]
+
+    rows = regions.join(vectors.mapInArrow(fine, "x long, n int, fine binary"), "x").select("region", "x", "n", "fine")
+    return rows.repartition("region").sortWithinPartitions("region", "x").mapInArrow(_by_region(keep, LOCAL), "region long, x long")
+
+
 def _local(regions: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
     """a, b: links of small regions, one task a region."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["x"].to_pylist(), table["members"].to_pylist(), strict=True))
-        links = join_region([x for x, _ in rows], [np.frombuffer(m, dtype=np.uint64) for _, m in rows], percent)
+        rows = sorted(zip(table["x"].to_pylist(), table["root"].to_pylist(), table["members"].to_pylist(), strict=True))
+        links = join_region([r[0] for r in rows], [np.frombuffer(r[2], dtype=np.uint64) for r in rows], percent, [r[1] for r in rows])
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return regions.join(vectors, "x").groupBy("region").applyInArrow(run, "a long, b long")
+    return regions.select("region", "x", "root").join(vectors, "x").groupBy("region").applyInArrow(run, "a long, b long")
 
 
 def _around_pivot(regions: DataFrame, vectors: DataFrame, percent: int, work: Workspace, name: str) -> tuple[DataFrame, DataFrame]:
@@ -234,36 +367,55 @@ def _around_pivot(regions: DataFrame, vectors: DataFrame, percent: int, work: Wo
     return links, work.keep(left, f"{name}-left")
 
 
+def _within(regions: DataFrame, vectors: DataFrame, sizes: DataFrame, percent: int, work: Workspace, name: str) -> DataFrame:
+    """a, b: links that connect what each region connects. sizes: x, n."""
+    found, k = [], 0
+    while True:
+        counts = regions.join(sizes, "x").groupBy("region").agg(F.count("*").alias("c"), F.sum("n").alias("e")).filter("c > 1")
+        counts = work.keep(counts.select("region", (F.col("c").between(2, LOCAL) & (F.col("e") <= MEMBERS)).alias("small")), f"{name}-counts-{k}")
+        small = regions.join(counts.filter("small").select("region"), "region", "left_semi")
+        found.append(work.keep(_local(small, vectors, percent), f"{name}-links-{k}"))
+        if counts.filter("not small").isEmpty():
+            break
+        large = work.keep(regions.join(counts.filter("not small").select("region"), "region", "left_semi"), f"{name}-large-{k}")
+        links, regions = _around_pivot(large.drop("root"), vectors, percent, work, f"{name}-pass-{k}")
+        regions = regions.withColumn("root", F.col("x"))
+        found.append(links)
+        k += 1
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     work = Workspace(docs.sparkSession, "jaccard")
     docs = docs.select("doc_id", "text")
     sign = work.keep(signatures(docs, size, percent), "signatures")
-    sets = sign.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"), F.first("first").alias("first"))
+    sets = sign.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"), F.first("first").alias("first"), F.first("hist").alias("hist"))
     sets = work.keep(sets, "sets")
     regions = work.keep(first_regions(sets.select("rep", "n", "first", F.lit(percent).alias("percent"))), "regions")
-    wanted = work.keep(regions.select(F.col("x").alias("doc_id")).distinct(), "wanted")
-    vectors = sets_of(join_sized(docs, wanted, "doc_id", "left_semi"), size)
-    # of the rows of an id, the one whose set it represents
-    own = join_sized(wanted.withColumnRenamed("doc_id", "rep"), sets.select("rep", "n", "s1", "s2"), "rep", "inner", limit=0)
-    vectors = work.keep(vectors.withColumnRenamed("doc_id", "rep").join(own.hint("merge"), ["rep", "n", "s1", "s2"], "left_semi").dropDuplicates(["rep"]).select(F.col("rep").alias("x"), "members"), "vectors")
-    found, k = [], 0
-    while True:
-        counts = work.keep(regions.groupBy("region").agg(F.count("*").alias("c")), f"counts-{k}")
-        small = regions.join(counts.filter(F.col("c") <= LOCAL).select("region"), "region", "left_semi")
-        found.append(work.keep(_local(small, vectors, percent), f"links-{k}"))
-        if counts.filter(F.col("c") > LOCAL).isEmpty():
-            break
-        large = work.keep(regions.join(counts.filter(F.col("c") > LOCAL).select("region"), "region", "left_semi"), f"large-{k}")
-        links, regions = _around_pivot(large, vectors, percent, work, f"pass-{k}")
-        found.append(links)
-        k += 1
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
-    roots = components(links, work)
+    regions = work.keep(plausible(regions, sets, percent), "plausible")
+    ids = regions.select(F.col("x").alias("rep")).distinct()
+    wanted = work.keep(sets.select("rep", "n", "s1", "s2").join(ids, "rep", "left_semi").withColumnRenamed("rep", "doc_id"), "wanted")
+    # of the rows of an id, those whose set it stands for
+    vectors = sets_of(join_sized(docs, wanted.select("doc_id").distinct(), "doc_id", "left_semi"), size)
+    vectors = join_sized(vectors, wanted, ["doc_id", "n", "s1", "s2"], "left_semi")
+    vectors = work.keep(vectors.select(F.col("doc_id").alias("x"), "members"), "vectors")
+    sizes = wanted.groupBy(F.col("doc_id").alias("x")).agg(F.max("n").alias("n"))
+    regions = work.keep(thinned(regions, vectors, percent), "thinned")
+    # first each set in one of its regions; then only regions whose sets aren't in one component yet
+    once = work.keep(regions.groupBy("x").agg(F.min("region").alias("region")).select("region", "x"), "once")
+    links = _within(work.keep(once.unionByName(once.select("region", F.col("region").alias("x"))).distinct().withColumn("root", F.col("x")), "once-all"), vectors, sizes, percent, work, "once")
+    roots = components(links, work, "first")
+    named = regions.join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+    open_ = named.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("region")
+    rest = work.keep(named.join(open_, "region", "left_semi").select("region", "x", "root"), "rest")
+    links = work.keep(links.unionByName(_within(rest, vectors, sizes, percent, work, "rest")).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "links")
+    roots = components(links, work, "all")
     copies = sets.filter("c > 1").select("n", "s1", "s2", "rep")
-    out = join_sized(sign.drop("first"), work.keep(copies, "copies"), ["n", "s1", "s2"], "left")
+    out = join_sized(sign.drop("first", "hist"), work.keep(copies, "copies"), ["n", "s1", "s2"], "left")
     out = out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("node"))
     out = join_sized(out, roots, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node")).alias("component_id"))
