@@ -113,7 +113,7 @@ class DoubleArray:
 
 
 class Unigram:
-    def __init__(self, vocabulary: Vocabulary, most: int = 600_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 250_000):
         v = self.vocabulary = vocabulary
         if -1 in v.byte_ids:
             raise ValueError("the vocabulary lacks byte pieces")
