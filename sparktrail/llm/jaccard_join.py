@@ -395,8 +395,12 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     sign = work.keep(signatures(docs, size, percent), "signatures")
     sets = sign.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"), F.first("first").alias("first"), F.first("hist").alias("hist"))
     sets = work.keep(sets, "sets")
+    sign = work.keep(sign.drop("first", "hist"), "keys")
+    work.drop("signatures")
     regions = work.keep(first_regions(sets.select("rep", "n", "first", F.lit(percent).alias("percent"))), "regions")
     regions = work.keep(plausible(regions, sets, percent), "plausible")
+    sets = work.keep(sets.drop("first", "hist"), "sets-small")
+    work.drop("sets")
     ids = regions.select(F.col("x").alias("rep")).distinct()
     wanted = work.keep(sets.select("rep", "n", "s1", "s2").join(ids, "rep", "left_semi").withColumnRenamed("rep", "doc_id"), "wanted")
     # of the rows of an id, those whose set it stands for
@@ -415,7 +419,7 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     links = work.keep(links.unionByName(_within(rest, vectors, sizes, percent, work, "rest")).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "links")
     roots = components(links, work, "all")
     copies = sets.filter("c > 1").select("n", "s1", "s2", "rep")
-    out = join_sized(sign.drop("first", "hist"), work.keep(copies, "copies"), ["n", "s1", "s2"], "left")
+    out = join_sized(sign, work.keep(copies, "copies"), ["n", "s1", "s2"], "left")
     out = out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("node"))
     out = join_sized(out, roots, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node")).alias("component_id"))
