@@ -204,7 +204,7 @@ def check(initial: Node, transitions, delta: dict[tuple[int, str | None], int],
             r = delta[q, atom] if label else q
             step = (*run, " & ".join(label)) if label else run
             if (t, r) not in seen or (t, r) == (initial, 0):
-                if len(step) > bound:
+                if cyclic and len(step) > bound:
                     cut = True
                     continue
                 if (t, r) not in seen:

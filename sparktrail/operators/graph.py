@@ -100,19 +100,20 @@ def per_graph(edges: DataFrame, key: str, run: Callable[[pd.DataFrame], list[tup
 
 
 def _pairs(pdf: pd.DataFrame) -> list[tuple]:
-    return list(zip(pdf["src"], pdf["dst"], strict=True))
+    return [(a, b) for a, b in zip(pdf["src"], pdf["dst"], strict=True) if pd.notna(b)]
 
 
 def _moves(pdf: pd.DataFrame) -> list[tuple]:
-    return [(a, tuple(sorted(x)) if x is not None else (), b) for a, x, b in zip(pdf["src"], pdf["label"], pdf["dst"], strict=True)]
+    return [(a, tuple(sorted(x)) if x is not None else (), b) for a, x, b in zip(pdf["src"], pdf["label"], pdf["dst"], strict=True) if pd.notna(b)]
 
 
-def _states(moves: list[tuple]) -> list:
-    return sorted({s for a, _, b in moves for s in (a, b)})
+def _states(pdf: pd.DataFrame) -> list:
+    """All states; a row without dst is a state that needs no move."""
+    return sorted({s for c in ("src", "dst") for s in pdf[c] if pd.notna(s)})
 
 
 def dominators(edges: DataFrame, key: str = "graph", root: str = "root") -> DataFrame:
-    """graph, node, dominators, immediate, frontier. edges: graph, src, dst, root."""
+    """graph, node, dominators, immediate, frontier. edges: graph, src, dst (null for a node without edges), root."""
 
     def run(pdf: pd.DataFrame) -> list[tuple]:
         pairs, r = _pairs(pdf), pdf[root].iloc[0]
@@ -124,11 +125,11 @@ def dominators(edges: DataFrame, key: str = "graph", root: str = "root") -> Data
 
 
 def stuttering(moves: DataFrame, key: str = "sys") -> DataFrame:
-    """sys, state, block, divergent. moves: sys, src, label (array, empty for silent), dst."""
+    """sys, state, block, divergent. moves: sys, src, label (array, empty for silent), dst (null for a state without moves)."""
 
     def run(pdf: pd.DataFrame) -> list[tuple]:
         m = _moves(pdf)
-        block, bad = graphs.refine(_states(m), m), graphs.divergent(_states(m), m)
+        block, bad = graphs.refine(_states(pdf), m), graphs.divergent(_states(pdf), m)
         return [(s, b, s in bad) for s, b in sorted(block.items())]
 
     return per_graph(moves, key, run, f"{key} string, state string, block int, divergent boolean")
@@ -139,7 +140,7 @@ def quotients(moves: DataFrame, key: str = "sys") -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> list[tuple]:
         m = _moves(pdf)
-        return [(a, list(x), b) for a, x, b in graphs.quotient(graphs.refine(_states(m), m), m)]
+        return [(a, list(x), b) for a, x, b in graphs.quotient(graphs.refine(_states(pdf), m), m)]
 
     return per_graph(moves, key, run, f"{key} string, src int, label array<string>, dst int")
 
@@ -149,7 +150,7 @@ def clusters(moves: DataFrame, key: str = "sys", initial: str = "initial") -> Da
 
     def run(pdf: pd.DataFrame) -> list[tuple]:
         m = _moves(pdf)
-        return [(graphs.signature(pdf[initial].iloc[0], _states(m), m), len(_states(m)), len(set(m)))]
+        return [(graphs.signature(pdf[initial].iloc[0], _states(pdf), m), len(_states(pdf)), len(set(m)))]
 
     signed = per_graph(moves, key, run, f"{key} string, signature string, states int, moves int")
     lead = signed.groupBy("signature").agg(F.min_by(key, F.struct("states", "moves", key)).alias("representative"), (F.count("*") == 1).alias("singleton"))
@@ -200,7 +201,7 @@ def lift_report(moves: DataFrame, key: str = "sys", initial: str = "initial") ->
 
     def run(pdf: pd.DataFrame) -> list[tuple]:
         m = _moves(pdf)
-        states, tau = _states(m), sum(not x for _, x, _ in m)
+        states, tau = _states(pdf), sum(not x for _, x, _ in m)
         live = graphs.reach([pdf[initial].iloc[0]], [(a, b) for a, _, b in m])
         return [(len(states), tau, len(m) - tau, len(set(states) - {a for a, _, _ in m}), len(set(states) - live), len(m) - len(states) + 2)]
 

@@ -305,15 +305,18 @@ def divergence(spark, d):
 
 
 def _order_graphs(spark, d):
-    """A small graph a customer: orders in time, with a short cut past every third one."""
+    """A graph a customer with orders: orders in time, with a short cut past every third one.
+
+    A customer with one order gives one row without dst: a node without edges. Node numbers have two digits, or as many as the last one of their graph."""
     by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     o = table(spark, d, "orders").select("o_custkey", "o_orderstatus", F.row_number().over(by).alias("k"))
     last = F.max("k").over(Window.partitionBy("o_custkey"))
-    o = o.withColumn("last", last).filter("last BETWEEN 4 AND 12")
-    hop = F.explode(F.when(F.col("k") % 3 == 0, F.array(F.col("k") + 1, F.col("k") + 2)).otherwise(F.array(F.col("k") + 1))).alias("to")
-    e = o.select(F.col("o_custkey").cast("string").alias("graph"), F.col("k"), "o_orderstatus", "last", hop).filter("to <= last")
-    name = lambda c: F.concat(F.lit("n"), F.lpad(c.cast("string"), 2, "0"))
-    return e.select("graph", name(F.col("k")).alias("src"), name(F.col("to")).alias("dst"), F.lit("n01").alias("root"), F.when(F.col("o_orderstatus") == "P", F.array().cast("array<string>")).otherwise(F.array(F.col("o_orderstatus"))).alias("label"))
+    o = o.withColumn("last", last)
+    hop = F.when(F.col("k") % 3 == 0, F.array(F.col("k") + 1, F.col("k") + 2)).otherwise(F.array(F.col("k") + 1))
+    hop = F.when(F.col("last") == 1, F.array(F.lit(None).cast("int"))).otherwise(F.filter(hop, lambda x: x <= F.col("last")))
+    e = o.select(F.col("o_custkey").cast("string").alias("graph"), F.col("k"), "o_orderstatus", "last", F.explode(hop).alias("to"))
+    name = lambda c: F.concat(F.lit("n"), F.lpad(c.cast("string"), F.greatest(F.lit(2), F.length(F.col("last").cast("string"))), F.lit("0")))
+    return e.select("graph", name(F.col("k")).alias("src"), name(F.col("to")).alias("dst"), name(F.lit(1)).alias("root"), F.when(F.col("o_orderstatus") == "P", F.array().cast("array<string>")).otherwise(F.array(F.col("o_orderstatus"))).alias("label"))
 
 
 @query()
