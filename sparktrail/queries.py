@@ -104,23 +104,23 @@ def destutter(spark, d):
 HEAD = FOLLOW + ", h AS (SELECT * FROM s WHERE pos <= 3), l AS (SELECT user_id, string_agg(e, '>' ORDER BY pos) AS variant FROM h GROUP BY user_id)"
 
 
-def _heads(spark, d):
-    return traces.numbered(events(spark, d).filter("user_id IS NOT NULL"), CASE, ORDER).filter("pos <= 3")
+def _cases(spark, d):
+    return events(spark, d).filter("user_id IS NOT NULL")
 
 
 @query(HEAD + " SELECT variant, CAST(count(*) AS BIGINT) AS n_cases, min(user_id) AS representative FROM l GROUP BY variant")
 def trace_variants(spark, d):
-    return traces.variants(_heads(spark, d), CASE, ["pos"], ATOM).drop("singleton")
+    return traces.variants(_cases(spark, d), CASE, ORDER, ATOM).drop("singleton")
 
 
 @query(HEAD + " SELECT variant, min(user_id) AS representative FROM l GROUP BY variant HAVING count(*) = 1")
 def singleton_variants(spark, d):
-    return traces.variants(_heads(spark, d), CASE, ["pos"], ATOM).filter("singleton").select("variant", "representative")
+    return traces.variants(_cases(spark, d), CASE, ORDER, ATOM).filter("singleton").select("variant", "representative")
 
 
 @query(HEAD + ", a AS (SELECT DISTINCT variant FROM l WHERE user_id % 2 = 0), b AS (SELECT DISTINCT variant FROM l WHERE user_id % 2 = 1), c AS (SELECT (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS n, (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb) SELECT CAST(n AS BIGINT) AS common, CAST(na - n AS BIGINT) AS only_a, CAST(nb - n AS BIGINT) AS only_b, round(2.0 * n / (na + nb), 6) AS f1 FROM c")
 def trace_set_agreement(spark, d):
-    v = traces.sequences(_heads(spark, d), CASE, ["pos"], ATOM).select(CASE, F.array_join("steps", ">").alias("variant"))
+    v = traces.sequences(_cases(spark, d), CASE, ORDER, ATOM).select(CASE, F.array_join("steps", ">").alias("variant"))
     side = v.groupBy("variant").agg(F.bool_or(F.col(CASE) % 2 == 0).alias("a"), F.bool_or(F.col(CASE) % 2 == 1).alias("b"))
     n, a, b = F.count_if(F.col("a") & F.col("b")), F.count_if("a"), F.count_if("b")
     return side.agg(n.cast("bigint").alias("common"), (a - n).cast("bigint").alias("only_a"), (b - n).cast("bigint").alias("only_b"), F.round(2.0 * n / (a + b), 6).alias("f1"))
@@ -370,7 +370,7 @@ def tier_gate_reasons(spark, d):
 
 @query(FOLLOW + ", f AS (SELECT DISTINCT e AS src, nx AS dst FROM s WHERE nx IS NOT NULL AND pos <= 2 AND e <> nx) SELECT min(src) AS src, dst, '!' || dst || ' W ' || min(src) AS formula FROM f GROUP BY dst HAVING count(DISTINCT src) = 1")
 def synth_precedence(spark, d):
-    f = traces.directly_follows(traces.numbered(events(spark, d).filter("user_id IS NOT NULL"), CASE, ORDER).filter("pos <= 3"), CASE, ["pos"], ATOM)
+    f = traces.directly_follows(_cases(spark, d), CASE, ORDER, ATOM)
     return synth.precedence_from_follows(f.filter("src <> dst").select("src", "dst"))
 
 

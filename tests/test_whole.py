@@ -26,3 +26,22 @@ def test_every_customer_has_a_graph(spark, tmp_path):
     verdict = {(int(r.sys), r.rule): (r.verdict, r.unmatched) for r in queries.monitor_product(spark, str(tmp_path)).collect()}
     assert len(verdict) == 2 * len(sizes) and verdict[1, "open_then_filled"] == ("INCONCLUSIVE", "F,O")
     assert all(verdict[g, "open_then_filled"][0] != "INCONCLUSIVE" for g in (4, 5, 6, 7, 8))
+
+
+def log(spark, d, cases):
+    """Events of cases given as lists of atoms; ids and times go up along a case."""
+    rows = [(u, 10 * k, 1000 * u + k, e, 0.0, "{}") for u, steps in cases.items() for k, e in enumerate(steps)]
+    random.Random(0).shuffle(rows)
+    spark.createDataFrame(rows, "user_id long, ts long, event_id long, event_type string, value double, props string").write.parquet(f"{d}/events.parquet")
+
+
+def test_whole_cases(spark, tmp_path):
+    a = ["view", "click", "view"]
+    log(spark, tmp_path, {1: [*a, "error"], 2: [*a, "signup"], 3: [*a, "error"], 4: a, 5: [*a, "click", "purchase", "click"]})
+    got = {r.variant: (r.n_cases, r.representative) for r in queries.trace_variants(spark, str(tmp_path)).collect()}
+    long = "view>click>view"
+    assert got == {f"{long}>error": (2, 1), f"{long}>signup": (1, 2), long: (1, 4), f"{long}>click>purchase>click": (1, 5)}
+    assert {r.variant for r in queries.singleton_variants(spark, str(tmp_path)).collect()} == {v for v, (n, _) in got.items() if n == 1}
+    assert [tuple(r) for r in queries.trace_set_agreement(spark, str(tmp_path)).collect()] == [(0, 2, 2, 0.0)]
+    rules = {r.formula for r in queries.synth_precedence(spark, str(tmp_path)).collect()}
+    assert "!purchase W click" in rules and "!click W view" not in rules
