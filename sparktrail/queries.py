@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.text import cosine, lcs_length, lcs_similarity, plain
+from .functions.text import lcs_bits, plain
 from .operators import gates, graph, match, metrics, synth, traces
 from .plans import temporal
 from .sources.tables import events, table
@@ -129,12 +129,21 @@ def trace_set_agreement(spark, d):
 MUTANT = """SELECT CAST(count(*) AS BIGINT) AS mutants, CAST(count_if(was AND NOT holds) AS BIGINT) AS detected FROM g"""
 
 
-def _detected(steps, mutants):
-    rule = {"r": "G(error -> F(purchase))"}
-    was = temporal.verdicts(steps, rule, CASE, ["pos"], ATOM).withColumnRenamed("r", "was")
-    key = mutants.select(F.struct(CASE, "mutant").alias("key"), "pos", ATOM)
-    now = temporal.verdicts(key, rule, "key", ["pos"], ATOM).select(F.col(f"key.{CASE}").alias(CASE), "r")
-    return now.join(was, CASE).agg(F.count("*").cast("bigint").alias("mutants"), F.count_if(F.col("was") & ~F.col("r")).cast("bigint").alias("detected"))
+def _lasts(spark, d):
+    """Numbered steps of whole cases, with the last (_1) and last but one (_2) position of an error and of a purchase."""
+    case, steps = Window.partitionBy(CASE), traces.numbered(_cases(spark, d), CASE, ORDER)
+    for a in ("error", "purchase"):
+        at = F.when(F.col(ATOM) == a, F.col("pos"))
+        steps = steps.withColumn(f"{a}_1", F.max(at).over(case))
+        steps = steps.withColumn(f"{a}_2", F.max(F.when(F.col("pos") < F.col(f"{a}_1"), at)).over(case))
+    return steps
+
+
+def _detected(mutants, moved):
+    """Counts of mutants, one a row of _lasts; `moved` gives the last position of an atom after the mutation."""
+    holds = lambda e, p: e.isNull() | F.coalesce(p >= e, F.lit(False))
+    was, now = holds(F.col("error_1"), F.col("purchase_1")), holds(moved("error"), moved("purchase"))
+    return mutants.agg(F.count("*").cast("bigint").alias("mutants"), F.count_if(was & ~now).cast("bigint").alias("detected"))
 
 
 TEN = FOLLOW + ", h AS (SELECT * FROM s WHERE pos <= 10), w AS (SELECT user_id, max(pos) FILTER (e='error') AS le, max(pos) FILTER (e='purchase') AS lp FROM h GROUP BY user_id)"
@@ -142,23 +151,26 @@ TEN = FOLLOW + ", h AS (SELECT * FROM s WHERE pos <= 10), w AS (SELECT user_id,
 
 @query(TEN + ", g AS (SELECT m.user_id, m.pos AS mutant, any_value(w.le IS NULL OR coalesce(w.lp >= w.le, false)) AS was, (max(h.pos) FILTER (h.e='error')) IS NULL OR coalesce(max(h.pos) FILTER (h.e='purchase') >= max(h.pos) FILTER (h.e='error'), false) AS holds FROM h m JOIN h ON h.user_id = m.user_id AND h.pos <> m.pos JOIN w ON w.user_id = m.user_id GROUP BY m.user_id, m.pos) " + MUTANT)
 def mutant_drop_step(spark, d):
-    steps = traces.numbered(events(spark, d).filter("user_id IS NOT NULL"), CASE, ORDER).filter("pos <= 10").select(CASE, "pos", ATOM)
-    return _detected(steps, traces.drop_step(steps, CASE, ATOM))
+    """A mutant for each step of each case of two steps or more; the rest of the case keeps its order."""
+    steps = _lasts(spark, d).withColumn("n", F.count("*").over(Window.partitionBy(CASE))).filter("n > 1")
+    return _detected(steps, lambda a: F.when(F.col("pos") == F.col(f"{a}_1"), F.col(f"{a}_2")).otherwise(F.col(f"{a}_1")))
 
 
 @query(TEN + ", m AS (SELECT a.user_id, a.pos FROM h a JOIN h b ON a.user_id = b.user_id AND b.pos = a.pos + 1 AND a.e <> b.e), q AS (SELECT m.user_id, m.pos AS mutant, h.e, CASE WHEN h.pos = m.pos THEN h.pos + 1 WHEN h.pos = m.pos + 1 THEN m.pos ELSE h.pos END AS p FROM m JOIN h ON h.user_id = m.user_id), g AS (SELECT q.user_id, mutant, any_value(w.le IS NULL OR coalesce(w.lp >= w.le, false)) AS was, (max(p) FILTER (e='error')) IS NULL OR coalesce(max(p) FILTER (e='purchase') >= max(p) FILTER (e='error'), false) AS holds FROM q JOIN w ON w.user_id = q.user_id GROUP BY q.user_id, mutant) " + MUTANT)
 def mutant_swap_adjacent(spark, d):
-    steps = traces.numbered(events(spark, d).filter("user_id IS NOT NULL"), CASE, ORDER).filter("pos <= 10").select(CASE, "pos", ATOM)
-    return _detected(steps, traces.swap_adjacent(steps, CASE, ATOM))
+    """A mutant for each two unequal neighbours of each case."""
+    k = F.col("pos")
+    steps = _lasts(spark, d).withColumn("next", F.lead(ATOM).over(Window.partitionBy(CASE).orderBy("pos"))).filter(F.col("next") != F.col(ATOM))
+    return _detected(steps, lambda a: F.when(k == F.col(f"{a}_1"), k + 1).when(k + 1 == F.col(f"{a}_1"), k).otherwise(F.col(f"{a}_1")))
 
 
 @query()
 def lcs_neighbour_similarity(spark, d):
-    """Similarity of each case's first twelve steps to the next case's."""
-    heads = traces.numbered(events(spark, d).filter("user_id IS NOT NULL"), CASE, ORDER).filter("pos <= 12")
-    seq = traces.sequences(heads, CASE, ["pos"], ATOM)
+    """Similarity of each case to the case of the next id, over all their steps."""
+    seq = traces.sequences(_cases(spark, d), CASE, ORDER, ATOM)
     other = seq.select((F.col(CASE) - 1).alias(CASE), F.col("steps").alias("other"))
-    return seq.join(other, CASE).select(CASE, lcs_length(F.col("steps"), F.col("other")).cast("bigint").alias("lcs"), F.round(lcs_similarity(F.col("steps"), F.col("other")), 6).alias("similarity"))
+    both = seq.join(other, CASE).select(CASE, F.greatest(F.size("steps"), F.size("other")).alias("longest"), lcs_bits(F.col("steps"), F.col("other")).alias("lcs"))
+    return both.select(CASE, "lcs", F.round(F.col("lcs") / F.col("longest"), 6).alias("similarity"))
 
 
 @query("WITH s AS (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events WHERE user_id IS NOT NULL) SELECT user_id, CAST(count(*) AS BIGINT) AS changes, round(sum(abs(value - b)), 4) AS moved FROM s WHERE b IS NOT NULL AND b <> value GROUP BY user_id")

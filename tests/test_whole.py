@@ -45,3 +45,34 @@ def test_whole_cases(spark, tmp_path):
     assert [tuple(r) for r in queries.trace_set_agreement(spark, str(tmp_path)).collect()] == [(0, 2, 2, 0.0)]
     rules = {r.formula for r in queries.synth_precedence(spark, str(tmp_path)).collect()}
     assert "!purchase W click" in rules and "!click W view" not in rules
+
+
+def brute_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y and x is not None else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_mutants_and_lcs_of_whole_cases(spark, tmp_path):
+    rng = random.Random(3)
+    atoms = ["view", "click", "error", "purchase", None]
+    cases = {u: [rng.choice(atoms) for _ in range(n)] for u, n in enumerate([1, 2, 3, 5, 9, 10, 11, 15, 30, 70, 90, 90, 4, 6, 8, 12, 13] * 3)}
+    cases[60] = ["view"] * 12 + ["error", "purchase", "view"]
+    cases[61] = ["view"] * 13 + ["error", "view", "purchase"]
+    log(spark, tmp_path, cases)
+
+    def holds(steps):
+        return "error" not in steps or "purchase" in steps[len(steps) - 1 - steps[::-1].index("error") :]
+
+    drop = [(holds(s), holds(s[:k] + s[k + 1 :])) for s in cases.values() if len(s) > 1 for k in range(len(s))]
+    swap = [(holds(s), holds([*s[:k], s[k + 1], s[k], *s[k + 2 :]])) for s in cases.values() for k in range(len(s) - 1) if None not in s[k : k + 2] and s[k] != s[k + 1]]
+    for query, made in ((queries.mutant_drop_step, drop), (queries.mutant_swap_adjacent, swap)):
+        assert [tuple(r) for r in query(spark, str(tmp_path)).collect()] == [(len(made), sum(was and not now for was, now in made))]
+    got = {r.user_id: (r.lcs, r.similarity) for r in queries.lcs_neighbour_similarity(spark, str(tmp_path)).collect()}
+    known = {u: [x for x in s] for u, s in cases.items()}
+    want = {u: brute_lcs(known[u], known[u + 1]) for u in known if u + 1 in known}
+    assert got == {u: (n, round(n / max(len(known[u]), len(known[u + 1])), 6)) for u, n in want.items()}
