@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, plain
+from ..functions.text import plain
+from .graph import settled
 
 
 def spelling(actions: DataFrame, tasks: DataFrame, most: int = 2) -> DataFrame:
@@ -32,10 +37,49 @@ def spelling(actions: DataFrame, tasks: DataFrame, most: int = 2) -> DataFrame:
     return equal.unionByName(near).withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("action", "task", "tier")
 
 
-def by_vector(queries: DataFrame, index: DataFrame, least: float = 0.85) -> DataFrame:
-    """id, match, similarity: the nearest vector of an index that is small enough to be sent to every task (it is a task list)."""
-    pairs = queries.select("id", F.col("vector").alias("_q")).join(F.broadcast(index.select(F.col("id").alias("match"), F.col("vector").alias("_v"))), F.col("id") != F.col("match"))
-    scored = pairs.select("id", "match", cosine(F.col("_q"), F.col("_v")).alias("similarity"))
+def _packed(df: DataFrame, size: int) -> DataFrame:
+    """ids, units, dim: blocks of at most `size` rows as bytes; a vector that is null or has a null in it has dim -1 and no units."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column("vector").to_pylist()
+            dims = [-1 if v is None or None in v else len(v) for v in vectors]
+            ids = batch.column("id").to_pylist()
+            for dim in sorted(set(dims)):
+                rows = [i for i, d in enumerate(dims) if d == dim]
+                for at in range(0, len(rows), size):
+                    part = rows[at : at + size]
+                    units = np.array([vectors[i] for i in part] if dim > 0 else np.zeros((len(part), 0)), dtype=np.float64)
+                    norm = np.sqrt((units * units).sum(axis=1, keepdims=True))
+                    units = np.divide(units, norm, out=np.zeros_like(units), where=norm != 0)
+                    keys = np.array([ids[i] for i in part], dtype=np.int64)
+                    yield pa.RecordBatch.from_pydict({"ids": pa.array([keys.tobytes()], pa.binary()), "units": pa.array([units.tobytes()], pa.binary()), "dim": pa.array([dim], pa.int32())})
+
+    rows = df.filter("id IS NOT NULL").select(F.col("id").cast("bigint").alias("id"), "vector")
+    return rows.repartition(df.sparkSession.sparkContext.defaultParallelism, "id").mapInArrow(run, "ids binary, units binary, dim int")
+
+
+def _nearest(ids: bytes, units: bytes, dim: int, ids_: bytes, units_: bytes, dim_: int) -> list[tuple]:
+    """For each row of the first block its best row of the second one; none if the vectors can't be compared."""
+    if dim != dim_ and min(dim, dim_) >= 0:
+        return []
+    a, b = np.frombuffer(ids, np.int64), np.frombuffer(ids_, np.int64)
+    order = np.argsort(b, kind="stable")
+    scores = np.zeros((len(a), len(b))) if min(dim, dim_) <= 0 else np.round(np.frombuffer(units).reshape(-1, dim) @ np.frombuffer(units_).reshape(-1, dim).T, 12)
+    scores = np.where(a[:, None] == b[None, order], -np.inf, scores[:, order])
+    best = scores.argmax(axis=1)  # the first of equal ones, so the least id
+    return [(int(i), int(b[order[k]]), float(row[k])) for i, k, row in zip(a, best, scores, strict=True) if row[k] != -np.inf]
+
+
+def by_vector(queries: DataFrame, index: DataFrame, least: float = 0.85, size: int = 1024) -> DataFrame:
+    """id, match, similarity: the nearest vector of the whole index by cosine, to 12 places; of equal ones the least id. Ids are whole numbers.
+
+    Every block of queries meets every block of the index, so work grows with the product of both and memory with a block.
+    A vector of zeros or with nulls has similarity 0; vectors of different lengths aren't compared."""
+    q = settled(_packed(queries, size)).toDF("qi", "qu", "qd")
+    v = settled(_packed(index, size)).toDF("vi", "vu", "vd")
+    nearest = F.udf(_nearest, "array<struct<id: bigint, match: bigint, similarity: double>>", useArrow=False)
+    scored = q.crossJoin(v).select(F.explode(nearest("qi", "qu", "qd", "vi", "vu", "vd")).alias("x")).select("x.*")
     best = scored.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("match")).alias("m"))).alias("b"))
     return best.select("id", (-F.col("b.m")).alias("match"), F.col("b.similarity").alias("similarity")).filter(F.col("similarity") >= least)
 

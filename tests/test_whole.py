@@ -3,6 +3,7 @@
 import random
 
 from sparktrail import queries
+from sparktrail.operators import match
 
 
 def orders(spark, d, sizes):
@@ -76,3 +77,23 @@ def test_mutants_and_lcs_of_whole_cases(spark, tmp_path):
     known = {u: [x for x in s] for u, s in cases.items()}
     want = {u: brute_lcs(known[u], known[u + 1]) for u in known if u + 1 in known}
     assert got == {u: (n, round(n / max(len(known[u]), len(known[u + 1])), 6)) for u, n in want.items()}
+
+
+def test_best_match_is_over_all_vectors(spark, tmp_path):
+    rng = random.Random(4)
+    vectors = [(i, [rng.uniform(-1, 1) for _ in range(8)], i % 3) for i in range(200)] + [(200, [0.0] * 8, 0), (201, None, 1), (202, [1.0, None] * 4, 1)]
+    vectors += [(900, vectors[50][1], 2), (901, [2 * x for x in vectors[50][1]], 2)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label long")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+
+    def cosine(a, b):
+        if a is None or b is None or None in a or None in b or not any(a) or not any(b):
+            return 0.0
+        return sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+
+    want = {i: max((round(cosine(a, b), 12), -j) for j, b, _ in vectors if i != j) for i, a, _ in vectors}
+    got = {r.id: r.similarity for r in queries.cosine_best_match(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - s) < 1e-4 for i, (s, _) in want.items())
+    e = df.selectExpr("vec_id AS id", "embedding AS vector")
+    found = {r.id: r.match for r in match.by_vector(e, e, -2.0, size=16).collect()}
+    assert found == {i: -m for i, (_, m) in want.items()} and found[50] == 900 and found[900] == found[901] == 50
