@@ -26,10 +26,10 @@ from .common import SPACE, Workspace, join_sized, text_col
 class Limits:
     min_words: int = 50
     repeat_percent: int = 50
-    #: A line is boilerplate beyond this many distinct documents of its host, whatever the host's size ...
-    min_docs: int = 20
-    #: ... and beyond this share of them.
+    #: A line is boilerplate beyond this share of the distinct documents of its host ...
     share: float = 0.05
+    #: ... and beyond this many of them, so that one pair in a tiny host isn't enough. From 40 documents on the share decides alone.
+    min_docs: int = 2
     #: Share of a document's characters that removed lines may hold.
     depleted: float = 0.5
 
@@ -91,7 +91,7 @@ def frequent_lines(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     lines = keyed.select("host", "t", F.explode(F.array_distinct(F.filter(_lines(text_col()), lambda x: x["n"] > 0)["h"])).alias("h"))
     held = lines.groupBy("host", "h", "t").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("docs"))
     size = keyed.groupBy("host", "t").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("all_docs"))
-    over = held.filter(F.col("docs") > limits.min_docs)  # only these can pass; few are left to join
+    over = held.filter(F.col("docs") > limits.min_docs)  # only these can pass
     return (
         over.join(size.withColumnRenamed("host", "host_"), F.col("host").eqNullSafe(F.col("host_")))
         .filter(F.col("docs") > limits.share * F.col("all_docs"))
