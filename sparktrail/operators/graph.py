@@ -4,6 +4,7 @@ The loops cut lineage with checkpoint() in the folder that spark.checkpoint.dir
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 from collections.abc import Callable
 
@@ -22,12 +23,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def reachable(edges: DataFrame, roots: DataFrame, most: int = 100) -> DataFrame:
-    """root, node, depth: nodes by least number of steps. edges: src, dst. roots: node. One join a level, on new pairs only."""
+def reachable(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """root, node, depth: nodes by least number of steps, of at most `most` if given. edges: src, dst. roots: node. One join a level, on new pairs only, until there are none."""
     edges = settled(edges.select("src", "dst").distinct())
     new = settled(roots.select(F.col("node").alias("root"), "node", F.lit(0).cast("bigint").alias("depth")).distinct())
     seen = new
-    for k in range(1, most + 1):
+    for k in itertools.count(1) if most is None else range(1, most + 1):
         step = new.join(edges, new.node == edges.src).select("root", F.col("dst").alias("node"), F.lit(k).cast("bigint").alias("depth")).distinct()
         new = settled(step.join(seen, ["root", "node"], "left_anti"))
         if new.isEmpty():
@@ -36,14 +37,14 @@ def reachable(edges: DataFrame, roots: DataFrame, most: int = 100) -> DataFrame:
     return seen
 
 
-def closure(edges: DataFrame, most: int = 100) -> DataFrame:
+def closure(edges: DataFrame, most: int | None = None) -> DataFrame:
     """src, dst: pairs joined by one step or more."""
     edges = edges.select("src", "dst").distinct()
     out = reachable(edges, edges.select(F.col("dst").alias("node")), most).select(F.col("root").alias("via"), "node")
     return edges.select("src", F.col("dst").alias("via")).join(out, "via").select("src", F.col("node").alias("dst")).distinct()
 
 
-def strong_components(edges: DataFrame, most: int = 100) -> DataFrame:
+def strong_components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """node, component (least member), size, cyclic. From the closure: for graphs whose closure is of tractable size."""
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
     pairs = settled(closure(edges, most))
@@ -55,7 +56,7 @@ def strong_components(edges: DataFrame, most: int = 100) -> DataFrame:
     return out.join(loops, "node", "left").select("node", "component", "size", F.coalesce("_l", F.lit(False)).alias("cyclic"))
 
 
-def divergence(edges: DataFrame, most: int = 100) -> DataFrame:
+def divergence(edges: DataFrame, most: int | None = None) -> DataFrame:
     """node: those that can go on along silent edges for ever. edges: src, dst (silent ones)."""
     loops = strong_components(edges, most).filter("cyclic").select("node")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -66,11 +67,11 @@ def branch_points(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count("*").cast("bigint").alias("out_degree")).filter("out_degree > 1")
 
 
-def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, longest: int = 20) -> DataFrame:
-    """path: arrays of nodes from a start to an end, none twice, of at most `longest` nodes."""
+def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, longest: int | None = None) -> DataFrame:
+    """path: arrays of nodes from a start to an end, none twice, of at most `longest` nodes if given."""
     now = starts.select(F.array("node").alias("path"))
     found, stop = None, ends.select(F.col("node").alias("_e")).distinct()
-    for _ in range(longest):
+    for _ in itertools.count() if longest is None else range(longest):
         now = settled(now)
         done = now.join(stop, F.element_at("path", -1) == F.col("_e")).select("path")
         found = settled(done if found is None else found.unionByName(done))

@@ -3,7 +3,8 @@
 import random
 
 from sparktrail import queries
-from sparktrail.operators import match
+from sparktrail.functions import graphs
+from sparktrail.operators import graph, match
 
 
 def orders(spark, d, sizes):
@@ -97,3 +98,23 @@ def test_best_match_is_over_all_vectors(spark, tmp_path):
     e = df.selectExpr("vec_id AS id", "embedding AS vector")
     found = {r.id: r.match for r in match.by_vector(e, e, -2.0, size=16).collect()}
     assert found == {i: -m for i, (_, m) in want.items()} and found[50] == 900 and found[900] == found[901] == 50
+
+
+def test_long_paths(spark, tmp_path):
+    steps = [2**k for k in range(21)]
+    spark.createDataFrame([(n,) for n in steps], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    paths = {r.path for r in queries.graph_paths(spark, str(tmp_path)).collect()}
+    halves = [(n, n // k) for n in steps for k in (2, 3) if n >= k]
+    assert ">".join(map(str, reversed(steps))) in paths
+    assert paths == {">".join(map(str, p)) for p in graphs.paths([2**20], {1}, halves, True, 99, 10**6)}
+
+
+def test_deep_chains(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        edges = spark.createDataFrame([(k, k + 1) for k in range(102)], "src long, dst long").coalesce(1)
+        far = graph.reachable(edges, spark.createDataFrame([(0,)], "node long").coalesce(1))
+        assert sorted(r.depth for r in far.collect()) == list(range(103))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
