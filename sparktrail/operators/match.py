@@ -38,7 +38,7 @@ def spelling(actions: DataFrame, tasks: DataFrame, most: int = 2) -> DataFrame:
 
 
 def _packed(df: DataFrame, size: int) -> DataFrame:
-    """ids, units, dim: blocks of at most `size` rows as bytes; a vector that is null or has a null in it has dim -1 and no units."""
+    """ids, block, dim: blocks of at most `size` rows as bytes, by id; a vector that is null or has a null in it has dim -1 and no bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,32 +46,39 @@ def _packed(df: DataFrame, size: int) -> DataFrame:
             dims = [-1 if v is None or None in v else len(v) for v in vectors]
             ids = batch.column("id").to_pylist()
             for dim in sorted(set(dims)):
-                rows = [i for i, d in enumerate(dims) if d == dim]
+                rows = sorted((i for i, d in enumerate(dims) if d == dim), key=ids.__getitem__)
                 for at in range(0, len(rows), size):
                     part = rows[at : at + size]
-                    units = np.array([vectors[i] for i in part] if dim > 0 else np.zeros((len(part), 0)), dtype=np.float64)
-                    norm = np.sqrt((units * units).sum(axis=1, keepdims=True))
-                    units = np.divide(units, norm, out=np.zeros_like(units), where=norm != 0)
+                    wide = np.array([vectors[i] for i in part] if dim > 0 else np.zeros((len(part), 0)), dtype=np.float64)
+                    narrow = wide.astype(np.float32)
+                    block = narrow if (narrow == wide).all() else wide  # half the bytes where nothing is lost
                     keys = np.array([ids[i] for i in part], dtype=np.int64)
-                    yield pa.RecordBatch.from_pydict({"ids": pa.array([keys.tobytes()], pa.binary()), "units": pa.array([units.tobytes()], pa.binary()), "dim": pa.array([dim], pa.int32())})
+                    yield pa.RecordBatch.from_pydict({"ids": pa.array([keys.tobytes()], pa.binary()), "block": pa.array([block.tobytes()], pa.binary()), "dim": pa.array([dim], pa.int32())})
 
     rows = df.filter("id IS NOT NULL").select(F.col("id").cast("bigint").alias("id"), "vector")
-    return rows.repartition(df.sparkSession.sparkContext.defaultParallelism, "id").mapInArrow(run, "ids binary, units binary, dim int")
+    return rows.repartition(df.sparkSession.sparkContext.defaultParallelism, "id").mapInArrow(run, "ids binary, block binary, dim int")
 
 
-def _nearest(ids: bytes, units: bytes, dim: int, ids_: bytes, units_: bytes, dim_: int) -> list[tuple]:
+def _units(block: bytes, n: int, dim: int) -> np.ndarray:
+    x = np.frombuffer(block, np.float32 if len(block) == 4 * n * dim else np.float64).reshape(n, dim).astype(np.float64)
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm != 0)
+
+
+def _nearest(ids: bytes, block: bytes, dim: int, ids_: bytes, block_: bytes, dim_: int) -> list[tuple]:
     """For each row of the first block its best row of the second one; none if the vectors can't be compared."""
     if dim != dim_ and min(dim, dim_) >= 0:
         return []
     a, b = np.frombuffer(ids, np.int64), np.frombuffer(ids_, np.int64)
-    order = np.argsort(b, kind="stable")
-    scores = np.zeros((len(a), len(b))) if min(dim, dim_) <= 0 else np.round(np.frombuffer(units).reshape(-1, dim) @ np.frombuffer(units_).reshape(-1, dim).T, 12)
-    scores = np.where(a[:, None] == b[None, order], -np.inf, scores[:, order])
-    best = scores.argmax(axis=1)  # the first of equal ones, so the least id
-    return [(int(i), int(b[order[k]]), float(row[k])) for i, k, row in zip(a, best, scores, strict=True) if row[k] != -np.inf]
+    scores = np.zeros((len(a), len(b))) if min(dim, dim_) <= 0 else _units(block, len(a), dim) @ _units(block_, len(b), dim).T
+    for i in np.flatnonzero(np.isin(a, b)):
+        scores[i, b == a[i]] = -np.inf
+    most = scores.max(axis=1)
+    best = b[(scores >= most[:, None] - 1e-12).argmax(axis=1)]  # the first of equal ones, so the least id
+    return [x for x in zip(a.tolist(), best.tolist(), np.round(most, 12).tolist(), strict=True) if x[2] != -np.inf]
 
 
-def by_vector(queries: DataFrame, index: DataFrame, least: float = 0.85, size: int = 1024) -> DataFrame:
+def by_vector(queries: DataFrame, index: DataFrame, least: float = 0.85, size: int = 512) -> DataFrame:
     """id, match, similarity: the nearest vector of the whole index by cosine, to 12 places; of equal ones the least id. Ids are whole numbers.
 
     Every block of queries meets every block of the index, so work grows with the product of both and memory with a block.
