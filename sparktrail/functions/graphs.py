@@ -76,8 +76,8 @@ def immediate(dom: dict[Node, set[Node]]) -> dict[Node, Node]:
     return {n: max(d - {n}, key=lambda m: len(dom[m])) for n, d in dom.items() if len(d) > 1}
 
 
-def frontier(root: Node, edges: list[tuple[Node, Node]]) -> dict[Node, set[Node]]:
-    dom = dominators(root, edges)
+def frontier(root: Node, edges: list[tuple[Node, Node]], dom: dict[Node, set[Node]] | None = None) -> dict[Node, set[Node]]:
+    dom = dom or dominators(root, edges)
     out: dict[Node, set[Node]] = {n: set() for n in dom}
     for a, b in edges:
         if a in dom:

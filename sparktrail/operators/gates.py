@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tiers in the order in which a repeated rule keeps its first place.
+#: Tiers, in the order in which a repeated rule keeps its first place.
 TIERS = ["P0", "P1", "P2", "P3", "P4", "synthesized_mutant_killers"]
 VACUOUS = r"^\s*G\s*\(\s*start\(([^()]*)\)\s*->\s*F\s*\(\s*done\(\1\)\s*\)\s*\)\s*$"
 
@@ -17,6 +17,8 @@ def tier_order(tier: Column) -> Column:
 def gate(properties: DataFrame, policy: DataFrame, by: list[str] | None = None) -> DataFrame:
     """properties(tier, ord, formula, ...) with `reason` (null if kept) and `normalised`. policy: tier, conformance_check.
 
+    Repeats are told by the text of the rule as given: start(a) and done(a) are one atom in `normalised`, but not one rule.
+
     An unknown tier is an error when the row is read."""
     by = by or []
     known = F.assert_true(tier_order(F.col("tier")) > 0, F.concat(F.lit("unknown tier: "), F.col("tier")))
@@ -31,7 +33,7 @@ def gate(properties: DataFrame, policy: DataFrame, by: list[str] | None = None)
         .when(blank.rlike(r"<=|>=|==|!=|<|>"), "comparison")
     )
     df = df.withColumn("reason", reason)
-    place = Window.partitionBy(*by, "normalised", F.col("reason").isNull()).orderBy(tier_order(F.col("tier")), "ord")
+    place = Window.partitionBy(*by, "formula", F.col("reason").isNull()).orderBy(tier_order(F.col("tier")), "ord")
     first = F.first("tier").over(place)
     twice = F.when(F.row_number().over(place) > 1, F.when(first == F.col("tier"), F.lit("repeated in tier")).otherwise(F.concat(F.lit("repeated from "), first)))
     return df.withColumn("reason", F.coalesce("reason", twice)).drop("conformance_check")
@@ -39,9 +41,10 @@ def gate(properties: DataFrame, policy: DataFrame, by: list[str] | None = None)
 
 def atom_gate(rules: DataFrame, known: DataFrame) -> DataFrame:
     """rules(rule, atoms) with `unmatched` and verdict INCONCLUSIVE if an atom is unknown. known: atom."""
-    every = known.agg(F.collect_set("atom").alias("_known"))
-    out = rules.crossJoin(F.broadcast(every)).withColumn("unmatched", F.array_sort(F.array_except("atoms", "_known")))
-    return out.withColumn("verdict", F.when(F.size("unmatched") > 0, "INCONCLUSIVE")).drop("_known")
+    need = rules.select("rule", F.explode(F.array_distinct("atoms")).alias("atom")).distinct()
+    gaps = need.join(known.select("atom").distinct(), "atom", "left_anti").groupBy("rule").agg(F.array_sort(F.collect_set("atom")).alias("unmatched"))
+    out = rules.join(gaps, "rule", "left").withColumn("unmatched", F.coalesce("unmatched", F.array().cast("array<string>")))
+    return out.withColumn("verdict", F.when(F.size("unmatched") > 0, "INCONCLUSIVE"))
 
 
 def overall(verdicts: DataFrame, by: list[str]) -> DataFrame:

@@ -4,22 +4,25 @@ The loops cut lineage with checkpoint() in the folder that spark.checkpoint.dir
 
 from __future__ import annotations
 
+import bisect
 import itertools
-import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import graphs
+from ..sources.tables import shared_dir
 
 
 def settled(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder."""
-    spark: SparkSession = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='shared-')}")
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -88,38 +91,67 @@ def mandatory(paths: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).filter("_c = _t").select("node")
 
 
-def per_graph(edges: DataFrame, key: str, run: Callable[[pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
-    """One task a graph; rows of a graph must fit there. `run` gets its edges and gives rows without the key."""
+def per_graph(edges: DataFrame, key: str, run: Callable[[dict[str, list]], list[tuple]], schema: str) -> DataFrame:
+    """Many graphs a task, one after the other, from rows sorted by graph; rows of a graph must fit in a task.
+
+    `run` gets the columns of one graph and gives rows without the key. Batches are read and written whole, so a graph costs no frame of its own."""
     names = [c.strip().split()[0] for c in schema.split(",")]
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(run(pdf), columns=names[1:])
-        out.insert(0, names[0], pdf[key].iloc[0])
-        return out
+    def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        out: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            rows, out[:] = list(out), []
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
+
+        def close() -> None:
+            out.extend((held[key][0], *r) for r in run(held))
 
-    return edges.groupBy(key).applyInPandas(one, schema)
+        for batch in batches:
+            columns = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+            keys, lo = columns[key], 0
+            while lo < len(keys):
+                hi = bisect.bisect_right(keys, keys[lo], lo)
+                part = {n: c[lo:hi] for n, c in columns.items()}
+                if held and held[key][0] == keys[lo]:
+                    held = {n: held[n] + part[n] for n in held}
+                else:
+                    if held:
+                        close()
+                    held = part
+                lo = hi
+            if len(out) > 10_000:
+                yield made()
+        if held:
+            close()
+        yield made()
 
+    kinds = [f.type for f in to_arrow_schema(StructType.fromDDL(schema))]
+    rows = edges.filter(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key)
+    return rows.mapInArrow(results, schema)
 
-def _pairs(pdf: pd.DataFrame) -> list[tuple]:
-    return [(a, b) for a, b in zip(pdf["src"], pdf["dst"], strict=True) if pd.notna(b)]
 
+def _pairs(g: dict[str, list]) -> list[tuple]:
+    return [(a, b) for a, b in zip(g["src"], g["dst"], strict=True) if b is not None]
 
-def _moves(pdf: pd.DataFrame) -> list[tuple]:
-    return [(a, tuple(sorted(x)) if x is not None else (), b) for a, x, b in zip(pdf["src"], pdf["label"], pdf["dst"], strict=True) if pd.notna(b)]
 
+def _moves(g: dict[str, list]) -> list[tuple]:
+    return [(a, tuple(sorted(x)) if x is not None else (), b) for a, x, b in zip(g["src"], g["label"], g["dst"], strict=True) if b is not None]
 
-def _states(pdf: pd.DataFrame) -> list:
+
+def _states(g: dict[str, list]) -> list:
     """All states; a row without dst is a state that needs no move."""
-    return sorted({s for c in ("src", "dst") for s in pdf[c] if pd.notna(s)})
+    return sorted({s for c in ("src", "dst") for s in g[c] if s is not None})
 
 
 def dominators(edges: DataFrame, key: str = "graph", root: str = "root") -> DataFrame:
     """graph, node, dominators, immediate, frontier. edges: graph, src, dst (null for a node without edges), root."""
 
-    def run(pdf: pd.DataFrame) -> list[tuple]:
-        pairs, r = _pairs(pdf), pdf[root].iloc[0]
+    def run(g: dict[str, list]) -> list[tuple]:
+        pairs, r = _pairs(g), g[root][0]
         dom = graphs.dominators(r, pairs)
-        up, front = graphs.immediate(dom), graphs.frontier(r, pairs)
+        up, front = graphs.immediate(dom), graphs.frontier(r, pairs, dom)
         return [(n, sorted(d), up.get(n), sorted(front[n])) for n, d in sorted(dom.items())]
 
     return per_graph(edges, key, run, f"{key} string, node string, dominators array<string>, immediate string, frontier array<string>")
@@ -128,30 +160,39 @@ def dominators(edges: DataFrame, key: str = "graph", root: str = "root") -> Data
 def stuttering(moves: DataFrame, key: str = "sys") -> DataFrame:
     """sys, state, block, divergent. moves: sys, src, label (array, empty for silent), dst (null for a state without moves)."""
 
-    def run(pdf: pd.DataFrame) -> list[tuple]:
-        m = _moves(pdf)
-        block, bad = graphs.refine(_states(pdf), m), graphs.divergent(_states(pdf), m)
+    def run(g: dict[str, list]) -> list[tuple]:
+        m = _moves(g)
+        block, bad = graphs.refine(_states(g), m), graphs.divergent(_states(g), m)
         return [(s, b, s in bad) for s, b in sorted(block.items())]
 
     return per_graph(moves, key, run, f"{key} string, state string, block int, divergent boolean")
 
 
-def quotients(moves: DataFrame, key: str = "sys") -> DataFrame:
-    """sys, src, label, dst of the blocks."""
+def named_blocks(blocks: DataFrame, key: str = "sys") -> DataFrame:
+    """The same blocks, named by their least state: names that don't depend on how they were found."""
+    least = blocks.groupBy(key, "block").agg(F.min("state").alias("_least"))
+    return blocks.join(least, [key, "block"]).select(key, "state", F.col("_least").alias("block"), "divergent")
+
+
+def quotients(moves: DataFrame, key: str = "sys", named: bool = False) -> DataFrame:
+    """sys, src, label, dst of the blocks, numbered, or named by their least state."""
 
-    def run(pdf: pd.DataFrame) -> list[tuple]:
-        m = _moves(pdf)
-        return [(a, list(x), b) for a, x, b in graphs.quotient(graphs.refine(_states(pdf), m), m)]
+    def run(g: dict[str, list]) -> list[tuple]:
+        m = _moves(g)
+        block = graphs.refine(_states(g), m)
+        names = {b: s if named else str(b) for s, b in sorted(block.items(), reverse=True)}
+        return [(names[a], list(x), names[b]) for a, x, b in graphs.quotient(block, m)]
 
-    return per_graph(moves, key, run, f"{key} string, src int, label array<string>, dst int")
+    out = per_graph(moves, key, run, f"{key} string, src string, label array<string>, dst string")
+    return out if named else out.withColumns({c: F.col(c).cast("int") for c in ("src", "dst")})
 
 
 def clusters(moves: DataFrame, key: str = "sys", initial: str = "initial") -> DataFrame:
     """sys, signature, representative, singleton: systems by the signature of their quotient; fewest states, then moves, then name stand for them."""
 
-    def run(pdf: pd.DataFrame) -> list[tuple]:
-        m = _moves(pdf)
-        return [(graphs.signature(pdf[initial].iloc[0], _states(pdf), m), len(_states(pdf)), len(set(m)))]
+    def run(g: dict[str, list]) -> list[tuple]:
+        m = _moves(g)
+        return [(graphs.signature(g[initial][0], _states(g), m), len(_states(g)), len(set(m)))]
 
     signed = per_graph(moves, key, run, f"{key} string, signature string, states int, moves int")
     lead = signed.groupBy("signature").agg(F.min_by(key, F.struct("states", "moves", key)).alias("representative"), (F.count("*") == 1).alias("singleton"))
@@ -168,15 +209,15 @@ def conformance(moves: DataFrame, rules: dict[str, str], key: str = "sys", initi
         delta, accepting = fm.automaton(f, [*fm.atoms(f), None])
         tables[n] = ({(s, x): t for s, x, t in delta}, accepting, set(fm.atoms(f)))
 
-    def run(pdf: pd.DataFrame) -> list[tuple]:
-        m = _moves(pdf)
+    def run(g: dict[str, list]) -> list[tuple]:
+        m = _moves(g)
         own = {a for _, label, _ in m for a in label}
         out = []
         for n, (delta, accepting, names) in tables.items():
             if names - own:
                 out.append((n, "INCONCLUSIVE", [], sorted(names - own), False))
             else:
-                verdict, line, cyclic = graphs.check(pdf[initial].iloc[0], m, delta, accepting, names, bound)
+                verdict, line, cyclic = graphs.check(g[initial][0], m, delta, accepting, names, bound)
                 out.append((n, verdict, line, [], cyclic))
         return out
 
@@ -189,9 +230,9 @@ def contracted(edges: DataFrame, bookkeeping: str = "^(pass|import|block)$", key
 
     plain = re.compile(bookkeeping)
 
-    def run(pdf: pd.DataFrame) -> list[tuple]:
-        kinds = dict(zip(pdf["src"], pdf["src_type"], strict=True)) | dict(zip(pdf["dst"], pdf["dst_type"], strict=True))
-        edges_ = [(a, None if pd.isna(x) else x, b) for a, x, b in zip(pdf["src"], pdf["label"], pdf["dst"], strict=True)]
+    def run(g: dict[str, list]) -> list[tuple]:
+        kinds = dict(zip(g["src"], g["src_type"], strict=True)) | dict(zip(g["dst"], g["dst_type"], strict=True))
+        edges_ = list(zip(g["src"], g["label"], g["dst"], strict=True))
         return graphs.contract({n: bool(plain.search(k or "")) for n, k in kinds.items()}, edges_)[1]
 
     return per_graph(edges, key, run, f"{key} string, src string, label string, dst string")
@@ -200,10 +241,10 @@ def contracted(edges: DataFrame, bookkeeping: str = "^(pass|import|block)$", key
 def lift_report(moves: DataFrame, key: str = "sys", initial: str = "initial") -> DataFrame:
     """States, silent and visible moves, dead ends, unreachable states, complexity."""
 
-    def run(pdf: pd.DataFrame) -> list[tuple]:
-        m = _moves(pdf)
-        states, tau = _states(pdf), sum(not x for _, x, _ in m)
-        live = graphs.reach([pdf[initial].iloc[0]], [(a, b) for a, _, b in m])
+    def run(g: dict[str, list]) -> list[tuple]:
+        m = _moves(g)
+        states, tau = _states(g), sum(not x for _, x, _ in m)
+        live = graphs.reach([g[initial][0]], [(a, b) for a, _, b in m])
         return [(len(states), tau, len(m) - tau, len(set(states) - {a for a, _, _ in m}), len(set(states) - live), len(m) - len(states) + 2)]
 
     return per_graph(moves, key, run, f"{key} string, states int, silent int, visible int, dead_ends int, unreachable int, complexity int")
