@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,25 +11,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_dir, table
+
+__all__ = ["BROADCAST_ROWS", "SPACE", "Workspace", "bucket", "join_sized", "partitions", "shared_dir", "slices", "splits", "table", "text_col"]
+
 #: A table may be broadcast when it has been counted and holds at most so many rows.
 BROADCAST_ROWS = 200_000
 #: Characters of white space in every word rule here (Java and Python regular expressions agree on it).
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 class Workspace:
     """A folder of written intermediate tables, so that lineage is cut and lost executors cost nothing.
 
@@ -94,10 +84,16 @@ def splits(ids: DataFrame, column: str, parts: int) -> list:
 
 
 def bucket(column: Column, points: list) -> Column:
-    """How many split points lie at or below the value; null goes to bucket 0."""
+    """How many split points lie at or below the value, by halving; null goes to bucket 0."""
     if not points:
         return F.lit(0)
-    kept = F.array(*[F.lit(int(p)) for p in points])
-    return F.coalesce(F.size(F.filter(kept, lambda p: p <= column)), F.lit(0))
+    kept, steps = F.array(*[F.lit(int(p)) for p in points]), len(points).bit_length()
 
+    def halve(at: Column, _: Column) -> Column:
+        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        right = (at["lo"] < at["hi"]) & (F.get(kept, mid) <= column)
+        return F.struct(F.when(right, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(right, at["hi"]).otherwise(F.greatest(mid, at["lo"])).alias("hi"))
 
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(points)).alias("hi"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)["lo"]
+    return F.when(column.isNull(), 0).otherwise(found)

@@ -34,19 +34,24 @@ def texts():
     return out
 
 
-def test_encoder_equals_library():
+@pytest.mark.parametrize("special", [True, False])
+def test_encoder_equals_library(special):
     plain = Tokenizer.from_file(PATH)
-    plain.encode_special_tokens = True
-    coder = packing.Encoder(PATH, 2, most=300)
+    plain.encode_special_tokens = not special
+    coder = packing.Encoder(PATH, 2, most=300, special=special)
     assert coder.apart
     for _ in range(2):
         for text, ids in zip(texts(), coder.encode([t or "" for t in texts()]), strict=True):
             assert ids.tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, 2], text
 
 
+def test_special_strings_as_the_library_loads_them():
+    (ids,) = packing.Encoder(PATH, 2).encode(["see <|endoftext|> here"])
+    assert ids.tolist() == [862, 49407, 763, 2]
+
+
 def test_round_trip(spark):
     plain = Tokenizer.from_file(PATH)
-    plain.encode_special_tokens = True
     rows = sorted((random.Random(i).randint(0, 10**9), t, "clash") for i, t in enumerate(texts()))
     df = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(5)
     got = {r.doc_id: r for r in packing.round_trip(df, PATH).collect()}
@@ -58,6 +63,25 @@ def test_round_trip(spark):
         at += len(ids)
 
 
+def test_files_of_bounded_size(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 400)))) for i in range(60)] + [(60, "x " * 30_000)]
+    folder = f"file://{tmp_path}/files"
+    made = packing.write(spark.createDataFrame(rows, "doc_id long, text string"), PATH, folder, end_id=2, file_ids=1000)
+    files = sorted(made.collect(), key=lambda r: (r.part, r.k))
+    assert len(files) > 8 and max(r.k for r in files) > 0 and sum(r.docs for r in files) == 61
+    assert all(r.ids < 1000 + 30_001 for r in files) and sum(r.ids for r in files) == sum(len(t.split()) + 1 for _, t in rows)
+    held = [packing.PackedFile(open(f"{tmp_path}/files/{r.file}", "rb")) for r in files]
+    assert [len(f.document(k)) for f in held for k in range(len(f.doc_ids))] == [len(t.split()) + 1 for _, t in rows]
+    at, given = 0, []
+    for r in files:
+        given.append((r.file, at))
+        at += r.ids
+    back = {r.doc_id: (r.start, r.n_tokens) for r in packing.read(spark, folder, given, read_ids=64).collect()}
+    sizes = [len(t.split()) + 1 for _, t in rows]
+    assert back == {i: (sum(sizes[:i]), n) for i, n in enumerate(sizes)}
+
+
 def test_nulls_repeats_and_empty(spark):
     rows = [(None, "no id"), (3, "b"), (3, "b"), (3, None)]
     got = packing.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
