@@ -17,6 +17,8 @@ __all__ = ["BROADCAST_ROWS", "SPACE", "Workspace", "bucket", "join_sized", "part
 
 #: A table may be broadcast when it has been counted and holds at most so many rows.
 BROADCAST_ROWS = 200_000
+#: Bytes of an Arrow batch while a table is written, and the setting for it.
+BATCH_BYTES, BATCH_CONF = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Characters of white space in every word rule here (Java and Python regular expressions agree on it).
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -37,9 +39,14 @@ class Workspace:
         return self._path(self.path).getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write and read again."""
+        """Write and read again. Batches that go to Python meanwhile hold at most BATCH_BYTES, so memory doesn't follow the longest rows."""
         out = f"{self.path}/{name}"
-        df.write.option("compression", "zstd").parquet(out)
+        before = self.spark.conf.get(BATCH_CONF, None)
+        self.spark.conf.set(BATCH_CONF, BATCH_BYTES)
+        try:
+            df.write.option("compression", "zstd").parquet(out)
+        finally:
+            self.spark.conf.unset(BATCH_CONF) if before is None else self.spark.conf.set(BATCH_CONF, before)
         return self.spark.read.schema(df.schema).parquet(out)
 
     def drop(self, *names: str) -> None:

@@ -1,60 +1,86 @@
 """N-gram Jaccard join in the metric space of shingle sets, exact.
 
-Distance is 1 - intersection / union, a metric; documents link at distance <= eps. Most documents
-are at distance 1 from any pivot, where the triangle inequality separates nothing, so first-level
-regions are made around shingles: by the prefix bound two linked sets share one of their first
-members in a common order of all shingles (rare ones first). A region is the sets that share such
-a member and whose sizes run without a gap that a link couldn't span; its pivot is its smallest set.
-Regions with the same pivot are one. Sets that can link with none of their region, as their
-histograms over hash classes (a map that brings no two sets further apart) show, leave it. Each region is joined by itself and exactly:
-
-- A large region is split around its pivot by a distributed pass, in chunks of bounded size: sets
-  within eps of the pivot are linked to it and leave; the rest stay, with the triangle window of sets
-  on the boundary (those whose distance is at least the least remaining one - eps), and get a new
-  pivot, until the region is small.
-- A small region is joined in one task: two pivots make Voronoi cells, sets with
-  |d1 - d2| <= 2 eps are replicated to both, and cells are joined recursively; where cells no longer
-  shrink, pairs that share a member rare in the cell (the prefix bound again, in the cell's own
-  order), pass the size bound and both triangle bounds and aren't yet connected are compared. A pair that is already connected needs no comparison, as only components are asked for.
-- So each set is first joined in one of its regions; after that only regions that hold sets of
-  different components are joined.
-
-Equal sets are joined by a 128-bit hash first, so a group of copies is one set. Components are found
-by distributed star steps. Shingles that are frequent in some task's rows, HEAVY of them at most, go
-last in the order; which ones they are changes the work, never the result.
+Distance is 1 - intersection / union, a metric; documents link at distance <= eps. Beside it stands
+the size of the symmetric difference, a metric too: a set has a link only where that is at most
+LIMIT(n) = n * (100 - percent) / percent. Folding members to hash classes and counting them (a
+histogram under L1) brings no two sets further apart, so triangle windows hold there as well, at a
+small part of the bytes.
+
+1. Equal sets are joined by a 128-bit hash first, so a group of copies is one set.
+2. Pivots are chosen among the data: of the sets of a size band that share a member of their prefixes
+   (rare members first), the smallest. Most sets are at distance 1 from any pivot, where the triangle
+   inequality separates nothing; two linked sets share a member of their prefixes, so the pivots of
+   these groups are those that a set and its links have in common. A set near the lower edge of its
+   band is replicated to the band below. No group is gathered: its pivot is an aggregate, and its sets
+   meet the pivot in a join that AQE splits where it is skewed.
+3. Each pivot's sets get their distance to it, folded to the pivot's classes. Those within 2 * LIMIT
+   stay in its region. Each of the others can link with sets of about its own distance only: shells
+   around the pivot of width LIMIT, where a set is replicated to the next shell if its window reaches
+   there, show whether there is any; if not, it leaves.
+4. Voronoi: each set goes to the nearest of its pivots, and is linked to it if their exact distance allows.
+5. Regions that still hold sets of different components are joined exactly and recursively. In one task
+   two pivots make Voronoi cells, sets with |d1 - d2| <= 2 eps are replicated to both, and cells are
+   joined recursively; where cells no longer shrink, pairs that share a member rare in the cell, pass
+   the size bound and both triangle bounds and aren't yet connected are compared. A region that one task can't
+   hold is split by distributed passes around PIVOTS pivots at a time: chunks of sets meet the pivots, sets
+   go to the cell of the nearest one and, within 2 eps, of others; sets linked to a cell's pivot leave it
+   unless another one's window reaches them. What passes don't make smaller is joined by pairs of chunks.
+   A pair that is already connected needs no comparison, as only components are asked for.
+
+Components are found by distributed star steps. Shingles that are frequent in some task's rows, HEAVY
+of them at most, go last in the prefix order; which ones they are changes the work, never the result.
+`counts` tells how much each step did.
 
 Defined cases: a text without words, null text included, has no shingles and links with nothing; a
 null id links with nothing and has a null component; repeated rows are in one component; rows of one
 id are joined each with its own text; an empty table gives an empty result; other columns are
-ignored by `join` and passed on by `one_of_each`.
+ignored by `join` and passed on by `one_of_each`, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, join_sized
+from .common import Workspace, join_sized, slices
 from .components import components
 from .shingles import prefix, set_hash, shingle_sets
 
 #: Frequent shingles kept for the order; seen in so many documents of one task at least.
 HEAVY, OFTEN = 200_000, 8
-#: Sets in a region that one task joins; sets in a chunk of a distributed pass.
-LOCAL, CHUNK = 4096, 256
-#: Members of all the sets of a region that one task joins.
-MEMBERS = 2_000_000
-#: Sets of a region whose histograms (about 200 bytes each) a task holds to thin it out.
-HELD = 200_000
-#: Hash classes of the histograms that bound distances from below.
-CLASSES = 64
+#: Sets in a region that one task joins; sets in a chunk of a distributed pass; members of all the sets that one task joins.
+LOCAL, CHUNK, MEMBERS = 4096, 256, 2_000_000
+#: Sets of a shell that a task holds (one byte for each two of their members); larger shells stay as they are.
+HELD = 50_000
+#: Pivots of a large region in one pass, and passes before its chunks are joined pair by pair.
+PIVOTS, PASSES = 8, 6
 
 
-def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+def sets_of(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n, s1, s2 (a hash of the set), members (sorted hashes, packed)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in slices(batch.column("text")):
+                made = list(shingle_sets(batch.column("text").slice(lo, hi - lo), size))
+                signs = [set_hash(s) for s in made]
+                columns = [pa.array([len(s) for s in made], pa.int32()), pa.array([a for a, _ in signs], pa.int64()), pa.array([b for _, b in signs], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *columns], ["doc_id", "n", "s1", "s2", "members"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, members binary")
+
+
+def unpacked(members: pa.Array) -> Iterator[np.ndarray]:
+    """The sets of a column of packed ones, without a copy."""
+    return (np.frombuffer(m.as_buffer(), dtype=np.uint64) for m in members)
+
+
+def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The shingles, sorted, and the weights by which they go last."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,22 +93,155 @@ def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often])], ["shingle", "n"])
 
         for batch in batches:
-            for s in shingle_sets(batch.column("text"), size):
+            for s in unpacked(batch.column("members")):
                 kept.append(s)
                 held += len(s)
-                if held > 4_000_000:
+                if held > 2_000_000:
                     yield flush()
                     kept, held = [], 0
         if kept:
             yield flush()
 
-    rows = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = sets.select("members").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = rows.orderBy(F.desc("n"), "shingle").limit(HEAVY).toArrow()
     found = top["shingle"].to_numpy().view(np.uint64) if len(top) else np.zeros(0, dtype=np.uint64)
     order = np.argsort(found)
     return found[order], (top["n"].to_numpy()[order] if len(top) else np.zeros(0, dtype=np.int64))
 
 
+def classes(n: int) -> int:
+    """Hash classes of a set of n members: about two members a class."""
+    return 1 << max(3, (n // 2).bit_length())
+
+
+def histogram(s: np.ndarray) -> bytes:
+    """Members by hash class, a byte each, or four where one class has more than a byte holds."""
+    k = classes(len(s))
+    h = np.bincount((s >> np.uint64(65 - k.bit_length())).astype(np.int64), minlength=k)
+    return h.astype(np.uint8 if h.max(initial=0) < 256 else "<u4").tobytes()
+
+
+def folded(raw, n: int, k: int) -> np.ndarray:
+    """The histogram of a set of n members over k classes, no more than its own."""
+    own = classes(n)
+    h = np.frombuffer(raw, dtype=np.uint8 if len(raw) == own else "<u4")
+    return h.reshape(k, own // k).sum(axis=1, dtype=np.int32) if own > k else h.astype(np.int32)
+
+
+def signatures(sets: DataFrame, percent: int) -> DataFrame:
+    """rep, n, s1, s2, c (rows), first (the prefix), hist: a row for each distinct set."""
+    heavy = sets.sparkSession.sparkContext.broadcast(frequent(sets))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, weights = heavy.value
+        for batch in batches:
+            firsts, hists = [], []
+            for s in unpacked(batch.column("members")):
+                firsts.append(prefix(s, percent, keys, weights).view(np.int64))
+                hists.append(histogram(s))
+            offsets = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts) if firsts else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n", "s1", "s2")), lists, pa.array(hists, pa.binary())], ["doc_id", "n", "s1", "s2", "first", "hist"])
+
+    rows = sets.filter("n > 0 AND doc_id IS NOT NULL").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, first array<long>, hist binary")
+    return rows.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"), F.first("first").alias("first"), F.first("hist").alias("hist"))
+
+
+def _band(n: Column, percent: int) -> Column:
+    """Size bands, four links wide; the base is a little above a link's ratio, so a link never skips a band."""
+    return F.floor(F.log(n.cast("double")) / (4 * math.log(100 / percent) * (1 + 1e-9))).cast("int")
+
+
+def _with_window(n: Column, percent: int) -> Column:
+    """A set's band, and the band of the smallest set it could link with where that is another one."""
+    return F.array_distinct(F.array(_band(n, percent), _band(F.ceil(n * percent / 100), percent)))
+
+
+def near_pivots(sets: DataFrame, percent: int) -> DataFrame:
+    """p, x: each set with the pivots of its groups, pivots with themselves too."""
+    rows = sets.select("rep", "n", F.explode("first").alias("shingle")).withColumn("band", F.explode(_with_window(F.col("n"), percent)))
+    lead = rows.groupBy("shingle", "band").agg(F.min(F.struct("n", "rep")).alias("m"), F.count("*").alias("c")).filter("c > 1")
+    return rows.join(lead.select("shingle", "band", F.col("m.rep").alias("p")), ["shingle", "band"]).select("p", F.col("rep").alias("x")).distinct()
+
+
+def contracted(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """p, x, n, h (distance to the pivot over the pivot's classes), hist (over these classes; null within 2 * LIMIT * percent of the pivot)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own: dict[int, np.ndarray] = {}
+            hs, kept = [], []
+            for p, n, pn, a, b in zip(*(batch.column(c).to_pylist() for c in ("p", "n", "pn")), batch.column("hist"), batch.column("ph"), strict=True):
+                k = classes(pn)
+                if p not in own:
+                    own = {p: folded(b.as_buffer(), pn, k)}
+                f = folded(a.as_buffer(), n, k)
+                hs.append(int(np.abs(f - own[p]).sum()))
+                kept.append(np.minimum(f, 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("x"), batch.column("n"), pa.array(hs, pa.int32()), pa.array(kept, pa.binary())], ["p", "x", "n", "h", "hist"])
+
+    rows = near.join(sets.select(F.col("rep").alias("x"), "n", "hist"), "x")
+    rows = rows.join(sets.select(F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("hist").alias("ph")), "p")
+    return rows.select("p", "x", "n", "pn", "hist", "ph").mapInArrow(run, "p long, x long, n int, h int, hist binary")
+
+
+def near_pairs(n: np.ndarray, hist: np.ndarray, percent: int, step: int = 512) -> np.ndarray:
+    """Whether each set could link with some other one, by size and by the distance of histograms (a lower bound).
+
+    Sets go by size, so partners are neighbours; a set's search ends with the first one found."""
+    order = np.argsort(n, kind="stable")
+    n, hist, out = n[order], hist[order].astype(np.int32), np.zeros(len(n), dtype=bool)
+    first = np.searchsorted(n, -(-n * percent // 100))
+    last = np.searchsorted(n, n * 100 // percent, side="right")
+    for k in range(len(n)):
+        a = b = k
+        while not out[k] and (a > first[k] or b + 1 < last[k]):
+            for lo, hi in ((max(first[k], a - step), a), (b + 1, min(last[k], b + 1 + step))):
+                if hi > lo and not out[k]:
+                    least = np.minimum(n[k], n[lo:hi])
+                    ok = np.abs(hist[lo:hi] - hist[k]).sum(axis=1) <= least * (100 - percent) // percent
+                    out[lo:hi] |= ok
+                    out[k] = ok.any()
+            a, b = max(first[k], a - step), min(last[k] - 1, b + step)
+    back = np.zeros(len(n), dtype=bool)
+    back[order] = out
+    return back
+
+
+def shells(rows: DataFrame, percent: int) -> DataFrame:
+    """p, x: sets that could link with another one of their shell or the next. rows: as `contracted`."""
+
+    def keep(rows: list[tuple]) -> list[tuple[int, int]]:
+        if len(rows) > HELD:
+            return [(r[0], r[3]) for r in rows]
+        kept = near_pairs(np.array([r[4] for r in rows], dtype=np.int64), np.frombuffer(b"".join(r[5] for r in rows), dtype=np.uint8).reshape(len(rows), -1), percent)
+        return [(r[0], r[3]) for r, k in zip(rows, kept.tolist(), strict=True) if k]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][:3] != row[:3]:
+                    out += keep(held)
+                    held = []
+                if len(held) > HELD:  # known to be large: passes on at once
+                    out.append((row[0], row[3]))
+                    continue
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["p", "x"])
+        out = keep(held) if held else []
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["p", "x"])
+
+    # the width of a band's shells is the limit of its largest set; links lie in one band or one below
+    rows = rows.withColumn("band", F.explode(_with_window(F.col("n"), percent)))
+    width = F.greatest(F.lit(1.0), F.exp((F.col("band") + 1) * (4 * math.log(100 / percent) * (1 + 1e-9))) * (100 - percent) / percent)
+    reach = F.col("h") + F.col("n") * (100 - percent) / percent
+    rows = rows.withColumn("shell", F.explode(F.array_distinct(F.array(F.floor(F.col("h") / width), F.floor(reach / width)))))
+    rows = rows.select("p", "band", "shell", "x", "n", "hist")
+    return rows.repartition("p", "band", "shell").sortWithinPartitions("p", "band", "shell", "x").mapInArrow(run, "p long, x long")
+
+
 def common(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     if len(a) > len(b):
@@ -168,163 +327,19 @@ def join_region(ids: list[int], sets: list[np.ndarray], percent: int, known: lis
     return links
 
 
-def sets_of(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, s1, s2, members (sorted hashes, packed)."""
+def to_pivot(homes: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """a, b: links of sets to their nearest pivots. homes: p, x. The two sets of a row meet in joins, which AQE splits where a pivot has many."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = list(shingle_sets(batch.column("text"), size))
-            signs = [set_hash(s) for s in made]
-            columns = [pa.array([len(s) for s in made], pa.int32()), pa.array([a for a, _ in signs], pa.int64()), pa.array([b for _, b in signs], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n", "s1", "s2", "members"])
+            linked = []
+            for a, b in zip(unpacked(batch.column("pm")), unpacked(batch.column("members")), strict=True):
+                n = common(a, b)
+                linked.append(100 * n >= percent * (len(a) + len(b) - n))
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, members binary")
-
-
-def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, s1, s2, first (the prefix), hist."""
-    heavy = docs.sparkSession.sparkContext.broadcast(frequent(docs, size))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, weights = heavy.value
-        for batch in batches:
-            n, signs, firsts, hists = [], [], [], []
-            for s in shingle_sets(batch.column("text"), size):
-                n.append(len(s))
-                signs.append(set_hash(s))
-                firsts.append(prefix(s, percent, keys, weights).view(np.int64))
-                hists.append(histogram(s).tobytes())
-            offsets = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts) if firsts else [], pa.int64()))
-            columns = [pa.array(n, pa.int32()), pa.array([a for a, _ in signs], pa.int64()), pa.array([b for _, b in signs], pa.int64()), lists, pa.array(hists, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n", "s1", "s2", "first", "hist"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, first array<long>, hist binary")
-
-
-def first_regions(sets: DataFrame) -> DataFrame:
-    """region, x: sets (by representative id) and the region's pivot, which is a member itself."""
-    rows = sets.select("rep", "n", F.explode("first").alias("shingle"), "percent")
-    by = Window.partitionBy("shingle").orderBy("n", "rep")
-    gap = F.lag("n").over(by)
-    rows = rows.withColumn("opens", gap.isNull() | (gap * 100 < F.col("percent") * F.col("n")))
-    rows = rows.withColumn("region", F.last(F.when(F.col("opens"), F.col("rep")), ignorenulls=True).over(by))
-    pairs = rows.filter("region <> rep").select("region", F.col("rep").alias("x")).distinct()
-    return pairs.unionByName(pairs.select("region", F.col("region").alias("x")).distinct())
-
-
-def histogram(s: np.ndarray) -> np.ndarray:
-    """Members by hash class, CLASSES of them. Sums of differences of two such are at most the sets' symmetric difference."""
-    at = np.searchsorted(s, np.arange(1, CLASSES, dtype=np.uint64) * np.uint64((1 << 64) // CLASSES))
-    return np.minimum(np.diff(np.r_[0, at, len(s)]), 65535).astype(np.uint16)
-
-
-def near_pairs(n: np.ndarray, hist: np.ndarray, percent: int, step: int = 512) -> np.ndarray:
-    """Whether each set could link with some other one, by size and by the distance of histograms (a lower bound).
-
-    Sets go by size, so partners are neighbours; a set's search ends with the first one found."""
-    order = np.argsort(n, kind="stable")
-    n, hist, out = n[order], hist[order].astype(np.int32), np.zeros(len(n), dtype=bool)
-    first = np.searchsorted(n, -(-n * percent // 100))
-    last = np.searchsorted(n, n * 100 // percent, side="right")
-    for k in range(len(n)):
-        a = b = k
-        while not out[k] and (a > first[k] or b + 1 < last[k]):
-            for lo, hi in ((max(first[k], a - step), a), (b + 1, min(last[k], b + 1 + step))):
-                if hi > lo and not out[k]:
-                    least = np.minimum(n[k], n[lo:hi])
-                    ok = np.abs(hist[lo:hi] - hist[k]).sum(axis=1) <= least * (100 - percent) // percent
-                    out[lo:hi] |= ok
-                    out[k] = ok.any()
-            a, b = max(first[k], a - step), min(last[k] - 1, b + step)
-    back = np.zeros(len(n), dtype=bool)
-    back[order] = out
-    return back
-
-
-def _by_region(keep, most: int):
-    """Runs `keep` on the rows of one region after the other, from batches sorted by region; a region is held up to `most` rows."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[tuple] = []  # of a region that may go on in the next batch
-
-        def made(out: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["region", "x"])
-
-        for batch in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if rest and rest[0][0] != row[0]:
-                    out += keep(rest)
-                    rest = []
-                if len(rest) > most:  # known to be large: passes on at once
-                    out.append((row[0], row[1]))
-                    continue
-                rest.append(row)
-            yield made(out)
-        if rest:
-            yield made(keep(rest))
-
-    return run
-
-
-def plausible(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """region, x: without sets that can link with none of their region. Regions of more than HELD sets pass as they are."""
-
-    def keep(rows: list[tuple]) -> list[tuple[int, int]]:
-        if len(rows) > HELD:
-            return [(r[0], r[1]) for r in rows]
-        kept = near_pairs(np.array([r[2] for r in rows], dtype=np.int64), np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint16).reshape(len(rows), -1), percent)
-        return [(r[0], r[1]) for r, k in zip(rows, kept.tolist(), strict=True) if k]
-
-    rows = regions.join(sets.select(F.col("rep").alias("x"), "n", "hist"), "x")
-    return rows.select("region", "x", "n", "hist").repartition("region").sortWithinPartitions("region", "x").mapInArrow(_by_region(keep, HELD), "region long, x long")
-
-
-def fine_histogram(s: np.ndarray) -> np.ndarray:
-    """As `histogram`, with about two members a class, capped at 255 (which brings no two sets further apart either)."""
-    bits = min(max(6, (len(s) // 2).bit_length()), 14)
-    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
-
-
-def apart(a: np.ndarray, b: np.ndarray) -> int:
-    """At most the symmetric difference of the sets; classes of the finer histogram are summed to those of the other one."""
-    a, b = a.astype(np.int32), b.astype(np.int32)
-    while len(a) > len(b):
-        a = a.reshape(-1, 2).sum(axis=1)
-    while len(b) > len(a):
-        b = b.reshape(-1, 2).sum(axis=1)
-    if a.max() >= 255 or b.max() >= 255:
-        a, b = np.minimum(a, 255), np.minimum(b, 255)
-    return int(np.abs(a - b).sum())
-
-
-def thinned(regions: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
-    """region, x: as `plausible`, by fine histograms; regions of more than LOCAL sets pass as they are."""
-
-    def fine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.frombuffer(m, dtype=np.uint64) for m in batch.column("members").to_pylist()]
-            columns = [pa.array([len(s) for s in sets], pa.int32()), pa.array([fine_histogram(s).tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("x"), *columns], ["x", "n", "fine"])
-
-    def keep(rows: list[tuple]) -> list[tuple[int, int]]:
-        if len(rows) > LOCAL:
-            return [(r[0], r[1]) for r in rows]
-        rows = sorted(rows, key=lambda r: (r[2], r[1]))
-        hist, ok = [np.frombuffer(r[3], dtype=np.uint8) for r in rows], [False] * len(rows)
-        for i, r in enumerate(rows):
-            for j in range(i + 1, len(rows)):
-                if ok[i] and ok[j]:
-                    continue
-                if r[2] * 100 < percent * rows[j][2]:
-                    break
-                if apart(hist[i], hist[j]) <= r[2] * (100 - percent) // percent:
-                    ok[i] = ok[j] = True
-        return [(r[0], r[1]) for r, k in zip(rows, ok, strict=True) if k]
-
-    rows = regions.join(vectors.mapInArrow(fine, "x long, n int, fine binary"), "x").select("region", "x", "n", "fine")
-    return rows.repartition("region").sortWithinPartitions("region", "x").mapInArrow(_by_region(keep, LOCAL), "region long, x long")
+    rows = homes.join(vectors, "x").join(vectors.select(F.col("x").alias("p"), F.col("members").alias("pm")), "p")
+    return rows.select(F.col("p").alias("a"), F.col("x").alias("b"), "pm", "members").mapInArrow(run, "a long, b long")
 
 
 def _local(regions: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
@@ -338,37 +353,56 @@ def _local(regions: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
     return regions.select("region", "x", "root").join(vectors, "x").groupBy("region").applyInArrow(run, "a long, b long")
 
 
-def _around_pivot(regions: DataFrame, vectors: DataFrame, percent: int, work: Workspace, name: str) -> tuple[DataFrame, DataFrame]:
-    """One distributed pass over large regions: links to pivots, and what remains of the regions."""
-    pivots = regions.groupBy("region").agg(F.min("x").alias("pivot"), F.count("*").alias("c"))
-    # a region's rows meet its pivot in chunks, so no task holds a whole region
-    rows = regions.join(pivots, "region").withColumn("chunk", F.pmod(F.xxhash64("x"), F.ceil(F.col("c") / CHUNK)).cast("int"))
-    chunks = rows.select("region", "pivot", "chunk").distinct()
-    lead = chunks.join(vectors.withColumnRenamed("x", "pivot"), "pivot").select("region", "chunk", F.lit(None).cast("long").alias("x"), "members")
-    rest = rows.filter("x <> pivot").join(vectors, "x").select("region", "chunk", "x", "members")
+def _split(regions: DataFrame, vectors: DataFrame, percent: int, work: Workspace, name: str, turn: int) -> tuple[DataFrame, DataFrame]:
+    """One distributed pass over large regions: links to their pivots, and the cells that remain. regions: region, x, root."""
+    picks = [F.min(F.struct(F.xxhash64(F.lit(100 * turn + j), "x").alias("_o"), F.col("x").alias("pivot")))["pivot"].alias(f"_{j}") for j in range(PIVOTS)]
+    pivots = regions.groupBy("region").agg(F.count("*").alias("c"), *picks)
+    # a region's rows meet its pivots in chunks, so no task holds a whole region
+    rows = regions.join(pivots.select("region", "c"), "region").withColumn("chunk", F.pmod(F.xxhash64("x"), F.ceil(F.col("c") / CHUNK)).cast("int"))
+    named = pivots.select("region", F.explode(F.array_distinct(F.array(*[f"_{j}" for j in range(PIVOTS)]))).alias("pivot"))
+    lead = rows.select("region", "chunk").distinct().join(named.join(vectors.withColumnRenamed("x", "pivot"), "pivot"), "region")
+    lead = lead.select("region", "chunk", F.lit(None).cast("long").alias("x"), "pivot", "members")
+    rest = rows.join(vectors, "x").select("region", "chunk", "x", F.lit(None).cast("long").alias("pivot"), "members")
+    eps = 1 - percent / 100 + 1e-9
 
     def run(table: pa.Table) -> pa.Table:
-        xs, members = table["x"].to_pylist(), [np.frombuffer(m, dtype=np.uint64) for m in table["members"].to_pylist()]
-        pivot = next((m for x, m in zip(xs, members, strict=True) if x is None), None)
+        xs, ps = table["x"].to_pylist(), table["pivot"].to_pylist()
+        members = [np.frombuffer(m, dtype=np.uint64) for m in table["members"].to_pylist()]
+        leads = sorted((p, k) for k, p in enumerate(ps) if p is not None)
         out = []
-        for x, m in zip(xs, members, strict=True):
-            if x is not None and pivot is not None:
-                n = common(pivot, m)
-                union = len(pivot) + len(m) - n
-                out.append((x, n * 100 >= percent * union, 1 - n / union))
+        for k, x in enumerate(xs):
+            if x is None:
+                continue
+            found = []
+            for p, j in leads:
+                n = common(members[j], members[k])
+                union = len(members[j]) + len(members[k]) - n
+                found.append((1 - n / union, p, n * 100 >= percent * union))
+            least = min(found)[0]
+            out += [(x, p, d, linked, d <= least + 2 * eps) for d, p, linked in found if linked or d <= least + 2 * eps]
         region = table["region"][0].as_py()
-        return pa.table({"region": pa.array([region] * len(out), pa.int64()), "x": pa.array([r[0] for r in out], pa.int64()), "linked": pa.array([r[1] for r in out], pa.bool_()), "d": pa.array([r[2] for r in out], pa.float64())})
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.bool_())
+        return pa.table([pa.array([region] * len(out), pa.int64()), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], ["region", "x", "pivot", "d", "linked", "inside"])
+
+    near = work.keep(lead.unionByName(rest).groupBy("region", "chunk").applyInArrow(run, "region long, x long, pivot long, d double, linked boolean, inside boolean"), f"{name}-d")
+    links = work.keep(near.filter("linked AND pivot <> x").select(F.col("pivot").alias("a"), F.col("x").alias("b")), f"{name}-links")
+    cells = near.filter("inside")
+    far = cells.filter("NOT linked").groupBy("region", "pivot").agg(F.min("d").alias("least"))
+    left = cells.join(far, ["region", "pivot"]).filter(~F.col("linked") | (F.col("d") >= F.col("least") - eps))
+    return links, work.keep(left.select(F.xxhash64("region", "pivot", F.lit(turn)).alias("region"), "x", F.col("x").alias("root")), f"{name}-left")
 
-    near = work.keep(lead.unionByName(rest).groupBy("region", "chunk").applyInArrow(run, "region long, x long, linked boolean, d double"), f"{name}-d")
-    links = work.keep(near.filter("linked").join(pivots, "region").select(F.col("pivot").alias("a"), F.col("x").alias("b")), f"{name}-links")
-    far = near.filter("not linked").groupBy("region").agg(F.min("d").alias("least"))
-    eps = 1 - percent / 100 + 1e-9
-    left = near.join(far, "region").filter(~F.col("linked") | (F.col("d") >= F.col("least") - eps)).select("region", "x")
-    return links, work.keep(left, f"{name}-left")
+
+def _by_chunks(regions: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """a, b: links of regions that pivots don't make smaller, by pairs of chunks."""
+    counts = regions.groupBy("region").agg(F.ceil(F.count("*") * 2 / LOCAL).cast("int").alias("m"))
+    rows = regions.join(counts, "region").withColumn("i", F.pmod(F.xxhash64(F.lit(3), "x"), F.col("m")).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    rows = rows.select(F.xxhash64("region", F.least("i", "j"), F.greatest("i", "j")).alias("region"), "x", "root")
+    return _local(rows.distinct(), vectors, percent)
 
 
 def _within(regions: DataFrame, vectors: DataFrame, sizes: DataFrame, percent: int, work: Workspace, name: str) -> DataFrame:
-    """a, b: links that connect what each region connects. sizes: x, n."""
+    """a, b: links that connect what each region connects. regions: region, x, root. sizes: x, n."""
     found, k = [], 0
     while True:
         counts = regions.join(sizes, "x").groupBy("region").agg(F.count("*").alias("c"), F.sum("n").alias("e")).filter("c > 1")
@@ -378,8 +412,10 @@ def _within(regions: DataFrame, vectors: DataFrame, sizes: DataFrame, percent: i
         if counts.filter("not small").isEmpty():
             break
         large = work.keep(regions.join(counts.filter("not small").select("region"), "region", "left_semi"), f"{name}-large-{k}")
-        links, regions = _around_pivot(large.drop("root"), vectors, percent, work, f"{name}-pass-{k}")
-        regions = regions.withColumn("root", F.col("x"))
+        if k == PASSES:
+            found.append(work.keep(_by_chunks(large, vectors, percent), f"{name}-chunks"))
+            break
+        links, regions = _split(large, vectors, percent, work, f"{name}-pass-{k}", k)
         found.append(links)
         k += 1
     out = found[0]
@@ -388,38 +424,56 @@ def _within(regions: DataFrame, vectors: DataFrame, sizes: DataFrame, percent: i
     return out
 
 
-def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id."""
+def join(docs: DataFrame, size: int = 3, percent: int = 90, counts: dict[str, int] | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id. `counts`, if given, is filled with what the steps did."""
     work = Workspace(docs.sparkSession, "jaccard")
-    docs = docs.select("doc_id", "text")
-    sign = work.keep(signatures(docs, size, percent), "signatures")
-    sets = sign.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"), F.first("first").alias("first"), F.first("hist").alias("hist"))
-    sets = work.keep(sets, "sets")
-    sign = work.keep(sign.drop("first", "hist"), "keys")
-    work.drop("signatures")
-    regions = work.keep(first_regions(sets.select("rep", "n", "first", F.lit(percent).alias("percent"))), "regions")
-    regions = work.keep(plausible(regions, sets, percent), "plausible")
-    sets = work.keep(sets.drop("first", "hist"), "sets-small")
+
+    def told(**tables: DataFrame) -> None:
+        if counts is not None:
+            counts.update({k: t.count() for k, t in tables.items()})
+
+    every = work.keep(sets_of(docs.select("doc_id", "text"), size), "every")
+    sets = work.keep(signatures(every, percent), "sets")
+    near = work.keep(contracted(near_pivots(sets, percent), sets), "near")
+    reps = work.keep(sets.select("rep", "n", "s1", "s2", "c"), "reps")
     work.drop("sets")
-    ids = regions.select(F.col("x").alias("rep")).distinct()
-    wanted = work.keep(sets.select("rep", "n", "s1", "s2").join(ids, "rep", "left_semi").withColumnRenamed("rep", "doc_id"), "wanted")
-    # of the rows of an id, those whose set it stands for
-    vectors = sets_of(join_sized(docs, wanted.select("doc_id").distinct(), "doc_id", "left_semi"), size)
-    vectors = join_sized(vectors, wanted, ["doc_id", "n", "s1", "s2"], "left_semi")
-    vectors = work.keep(vectors.select(F.col("doc_id").alias("x"), "members"), "vectors")
-    sizes = wanted.groupBy(F.col("doc_id").alias("x")).agg(F.max("n").alias("n"))
-    regions = work.keep(thinned(regions, vectors, percent), "thinned")
-    # first each set in one of its regions; then only regions whose sets aren't in one component yet
-    once = work.keep(regions.groupBy("x").agg(F.min("region").alias("region")).select("region", "x"), "once")
-    links = _within(work.keep(once.unionByName(once.select("region", F.col("region").alias("x"))).distinct().withColumn("root", F.col("x")), "once-all"), vectors, sizes, percent, work, "once")
+    limit = F.col("n") * (100 - percent) / percent
+    close = near.filter(F.col("h") <= 2 * limit).select("p", "x", "h")
+    # sets at less than LIMIT * percent from the pivot are no links of those beyond 2 * LIMIT
+    outside = near.filter(F.col("h") > 0.99 * percent / 100 * limit)
+    kept = work.keep(shells(outside, percent), "shells")
+    regions = close.unionByName(kept.distinct().join(near.select("p", "x", "h"), ["p", "x"])).distinct()
+    regions = work.keep(regions, "regions")
+    alone = regions.groupBy("p").agg(F.count("*").alias("c"))
+    regions = work.keep(regions.join(alone.filter("c > 1"), "p"), "regions-2")
+    told(near=near, shells=kept, regions=alone.filter("c > 1"), kept=regions)
+    work.drop("near", "shells", "regions")
+    ids = regions.select("x").distinct()
+    wanted = work.keep(reps.select(F.col("rep").alias("x"), "n", "s1", "s2").join(ids, "x", "left_semi"), "wanted")
+    # of the rows of an id, one of those whose set it stands for; an id with two texts may stand for two sets
+    vectors = join_sized(every.withColumnRenamed("doc_id", "x"), wanted, ["x", "n", "s1", "s2"], "left_semi")
+    if not reps.filter("c > 1").isEmpty():
+        vectors = vectors.groupBy("x", "n", "s1", "s2").agg(F.first("members").alias("members"))
+    vectors = work.keep(vectors.select("x", "members"), "vectors")
+    every = work.keep(every.drop("members"), "keys")
+    work.drop("every")
+    sizes = wanted.select("x", "n")
+    # Voronoi: first each set and the nearest of its pivots; then only regions whose sets aren't in one component yet
+    homes = work.keep(regions.filter("p <> x").groupBy("x").agg(F.min(F.struct("h", "p")).alias("m")).select("x", F.col("m.p").alias("p")), "homes")
+    links = work.keep(to_pivot(homes, vectors, percent), "home-links")
     roots = components(links, work, "first")
-    named = regions.join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
-    open_ = named.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("region")
+    named = regions.select(F.col("p").alias("region"), "x", "c").join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+    # a region of two whose other set has its pivot for home is settled
+    named = named.join(homes.select("x", F.col("p").alias("home")), "x", "left")
+    open_ = named.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("c").alias("c"), F.max((F.col("home") == F.col("region")).cast("int")).alias("met"))
+    open_ = open_.filter("lo <> hi AND NOT (c = 2 AND coalesce(met, 0) = 1)").select("region")
     rest = work.keep(named.join(open_, "region", "left_semi").select("region", "x", "root"), "rest")
-    links = work.keep(links.unionByName(_within(rest, vectors, sizes, percent, work, "rest")).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "links")
+    inner = _within(rest, vectors, sizes, percent, work, "rest")
+    told(homes=homes, home_links=links, rest=rest, rest_links=inner)
+    links = work.keep(inner.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "links")
     roots = components(links, work, "all")
-    copies = sets.filter("c > 1").select("n", "s1", "s2", "rep")
-    out = join_sized(sign, work.keep(copies, "copies"), ["n", "s1", "s2"], "left")
+    copies = reps.filter("c > 1").select("n", "s1", "s2", "rep")
+    out = join_sized(every, work.keep(copies, "copies"), ["n", "s1", "s2"], "left")
     out = out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("node"))
     out = join_sized(out, roots, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node")).alias("component_id"))
@@ -434,5 +488,7 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     kept = join_sized(docs, gone, "doc_id", "left_anti")
     if twice.isEmpty():
         return kept
-    again = join_sized(kept, twice, "doc_id", "left_semi")
-    return join_sized(kept, twice, "doc_id", "left_anti").unionByName(again.withColumn("_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_t"]).drop("_t"))
+    # the row travels whole in one column, so no name of its own can clash with ours
+    again = join_sized(kept, twice, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("_row"), "doc_id", F.xxhash64("text").alias("_t"))
+    again = again.dropDuplicates(["doc_id", "_t"]).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    return join_sized(kept, twice, "doc_id", "left_anti").unionByName(again)
