@@ -50,8 +50,10 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(out)
 
     def drop(self, *names: str) -> None:
+        """Deletes tables, and lets shuffle files go that nothing refers to any more: the driver's collector finds them."""
         for name in names:
             self._fs().delete(self._path(f"{self.path}/{name}"), True)
+        self.spark._jvm.System.gc()
 
 
 def join_sized(left: DataFrame, right: DataFrame, on: str | list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -29,10 +29,10 @@ def components(edges: DataFrame, work: Workspace, name: str = "cc", most: int =
     now, seen = work.keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{name}-0"), None
     for k in range(1, most):
         new = work.keep(_step(_step(now, True), False), f"{name}-{k}")
-        work.drop(f"{name}-{k - 1}")
         now = new
         sign = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if sign == seen or sign[0] == 0:
+            work.drop(*[f"{name}-{i}" for i in range(k)])
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = sign
     raise RuntimeError("components did not settle")

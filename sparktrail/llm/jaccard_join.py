@@ -13,7 +13,7 @@ small part of the bytes.
    these groups are those that a set and its links have in common. A set near the lower edge of its
    band is replicated to the band below. No group is gathered: its pivot is an aggregate, and its sets
    meet the pivot in a join that AQE splits where it is skewed.
-3. Each pivot's sets get their distance to it, folded to the pivot's classes. Those within 2 * LIMIT
+3. Each pivot's sets get their distance to it, folded to the pivot's classes. Those within CLOSE * LIMIT
    stay in its region. Each of the others can link with sets of about its own distance only: shells
    around the pivot of width LIMIT, where a set is replicated to the next shell if its window reaches
    there, show whether there is any; if not, it leaves.
@@ -57,6 +57,8 @@ HEAVY, OFTEN = 200_000, 8
 LOCAL, CHUNK, MEMBERS = 4096, 256, 2_000_000
 #: Sets of a shell that a task holds (one byte for each two of their members); larger shells stay as they are.
 HELD = 50_000
+#: Sets within so many limits of a pivot stay in its region at once.
+CLOSE = 1.25
 #: Pivots of a large region in one pass, and passes before its chunks are joined pair by pair.
 PIVOTS, PASSES = 8, 6
 
@@ -80,7 +82,7 @@ def unpacked(members: pa.Array) -> Iterator[np.ndarray]:
     return (np.frombuffer(m.as_buffer(), dtype=np.uint64) for m in members)
 
 
-def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles, sorted, and the weights by which they go last."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +95,7 @@ def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often])], ["shingle", "n"])
 
         for batch in batches:
-            for s in unpacked(batch.column("members")):
+            for s in shingle_sets(batch.column("text"), size):
                 kept.append(s)
                 held += len(s)
                 if held > 2_000_000:
@@ -102,7 +104,7 @@ def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if kept:
             yield flush()
 
-    rows = sets.select("members").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = rows.orderBy(F.desc("n"), "shingle").limit(HEAVY).toArrow()
     found = top["shingle"].to_numpy().view(np.uint64) if len(top) else np.zeros(0, dtype=np.uint64)
     order = np.argsort(found)
@@ -110,8 +112,8 @@ def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def classes(n: int) -> int:
-    """Hash classes of a set of n members: about two members a class."""
-    return 1 << max(3, (n // 2).bit_length())
+    """Hash classes of a set of n members: two to four members a class, and 2,048 classes at most."""
+    return 1 << min(11, max(3, (n // 4).bit_length()))
 
 
 def histogram(s: np.ndarray) -> bytes:
@@ -128,23 +130,27 @@ def folded(raw, n: int, k: int) -> np.ndarray:
     return h.reshape(k, own // k).sum(axis=1, dtype=np.int32) if own > k else h.astype(np.int32)
 
 
-def signatures(sets: DataFrame, percent: int) -> DataFrame:
-    """rep, n, s1, s2, c (rows), first (the prefix), hist: a row for each distinct set."""
-    heavy = sets.sparkSession.sparkContext.broadcast(frequent(sets))
+def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, n, s1, s2 (a hash of the set), first (the prefix), hist."""
+    heavy = docs.sparkSession.sparkContext.broadcast(frequent(docs, size))
+    names = ["doc_id", "n", "s1", "s2", "first", "hist"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, weights = heavy.value
         for batch in batches:
-            firsts, hists = [], []
-            for s in unpacked(batch.column("members")):
-                firsts.append(prefix(s, percent, keys, weights).view(np.int64))
-                hists.append(histogram(s))
-            offsets = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts) if firsts else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n", "s1", "s2")), lists, pa.array(hists, pa.binary())], ["doc_id", "n", "s1", "s2", "first", "hist"])
+            for lo, hi in slices(batch.column("text")):
+                n, signs, firsts, hists = [], [], [], []
+                for s in shingle_sets(batch.column("text").slice(lo, hi - lo), size):
+                    n.append(len(s))
+                    signs.append(set_hash(s))
+                    firsts.append(prefix(s, percent, keys, weights).view(np.int64))
+                    hists.append(histogram(s))
+                offsets = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts), pa.int64()))
+                columns = [pa.array(n, pa.int32()), pa.array([a for a, _ in signs], pa.int64()), pa.array([b for _, b in signs], pa.int64()), lists, pa.array(hists, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *columns], names)
 
-    rows = sets.filter("n > 0 AND doc_id IS NOT NULL").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, first array<long>, hist binary")
-    return rows.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"), F.first("first").alias("first"), F.first("hist").alias("hist"))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, first array<long>, hist binary")
 
 
 def _band(n: Column, percent: int) -> Column:
@@ -157,15 +163,17 @@ def _with_window(n: Column, percent: int) -> Column:
     return F.array_distinct(F.array(_band(n, percent), _band(F.ceil(n * percent / 100), percent)))
 
 
-def near_pivots(sets: DataFrame, percent: int) -> DataFrame:
+def near_pivots(sets: DataFrame, percent: int, work: Workspace) -> DataFrame:
     """p, x: each set with the pivots of its groups, pivots with themselves too."""
     rows = sets.select("rep", "n", F.explode("first").alias("shingle")).withColumn("band", F.explode(_with_window(F.col("n"), percent)))
-    lead = rows.groupBy("shingle", "band").agg(F.min(F.struct("n", "rep")).alias("m"), F.count("*").alias("c")).filter("c > 1")
-    return rows.join(lead.select("shingle", "band", F.col("m.rep").alias("p")), ["shingle", "band"]).select("p", F.col("rep").alias("x")).distinct()
+    rows = rows.select(F.xxhash64("shingle", "band").alias("k"), "n", "rep")  # groups whose keys collide are one: more work, no other result
+    lead = rows.groupBy("k").agg(F.min(F.struct("n", "rep")).alias("m"), F.count("*").alias("c")).filter("c > 1")
+    lead = work.keep(lead.select("k", F.col("m.rep").alias("p")), "lead")
+    return rows.select("k", F.col("rep").alias("x")).join(lead.hint("merge"), "k").select("p", "x").distinct()
 
 
 def contracted(near: DataFrame, sets: DataFrame) -> DataFrame:
-    """p, x, n, h (distance to the pivot over the pivot's classes), hist (over these classes; null within 2 * LIMIT * percent of the pivot)."""
+    """p, x, n, h (distance to the pivot over the pivot's classes), hist (over these classes)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -432,15 +440,20 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, counts: dict[str, in
         if counts is not None:
             counts.update({k: t.count() for k, t in tables.items()})
 
-    every = work.keep(sets_of(docs.select("doc_id", "text"), size), "every")
-    sets = work.keep(signatures(every, percent), "sets")
-    near = work.keep(contracted(near_pivots(sets, percent), sets), "near")
+    docs = docs.select("doc_id", "text")
+    sign = work.keep(signatures(docs, size, percent), "signatures")
+    sets = sign.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"), F.first("first").alias("first"), F.first("hist").alias("hist"))
+    sets = work.keep(sets, "sets")
+    every = work.keep(sign.drop("first", "hist"), "keys")
+    work.drop("signatures")
+    near = work.keep(near_pivots(sets, percent, work), "near-pivots")
+    near = work.keep(contracted(near, sets), "near")
     reps = work.keep(sets.select("rep", "n", "s1", "s2", "c"), "reps")
-    work.drop("sets")
+    work.drop("sets", "lead", "near-pivots")
     limit = F.col("n") * (100 - percent) / percent
-    close = near.filter(F.col("h") <= 2 * limit).select("p", "x", "h")
-    # sets at less than LIMIT * percent from the pivot are no links of those beyond 2 * LIMIT
-    outside = near.filter(F.col("h") > 0.99 * percent / 100 * limit)
+    close = near.filter(F.col("h") <= CLOSE * limit).select("p", "x", "h")
+    # a link of a set beyond CLOSE limits is itself beyond CLOSE - 1 of them, and sizes differ by percent at most
+    outside = near.filter(F.col("h") > 0.99 * (CLOSE - 1) * percent / 100 * limit)
     kept = work.keep(shells(outside, percent), "shells")
     regions = close.unionByName(kept.distinct().join(near.select("p", "x", "h"), ["p", "x"])).distinct()
     regions = work.keep(regions, "regions")
@@ -451,12 +464,11 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, counts: dict[str, in
     ids = regions.select("x").distinct()
     wanted = work.keep(reps.select(F.col("rep").alias("x"), "n", "s1", "s2").join(ids, "x", "left_semi"), "wanted")
     # of the rows of an id, one of those whose set it stands for; an id with two texts may stand for two sets
-    vectors = join_sized(every.withColumnRenamed("doc_id", "x"), wanted, ["x", "n", "s1", "s2"], "left_semi")
+    vectors = sets_of(join_sized(docs, work.keep(wanted.select(F.col("x").alias("doc_id")).distinct(), "wanted-ids"), "doc_id", "left_semi"), size)
+    vectors = join_sized(vectors.withColumnRenamed("doc_id", "x"), wanted, ["x", "n", "s1", "s2"], "left_semi")
     if not reps.filter("c > 1").isEmpty():
         vectors = vectors.groupBy("x", "n", "s1", "s2").agg(F.first("members").alias("members"))
     vectors = work.keep(vectors.select("x", "members"), "vectors")
-    every = work.keep(every.drop("members"), "keys")
-    work.drop("every")
     sizes = wanted.select("x", "n")
     # Voronoi: first each set and the nearest of its pivots; then only regions whose sets aren't in one component yet
     homes = work.keep(regions.filter("p <> x").groupBy("x").agg(F.min(F.struct("h", "p")).alias("m")).select("x", F.col("m.p").alias("p")), "homes")
