@@ -13,10 +13,12 @@ small part of the bytes.
    these groups are those that a set and its links have in common. A set near the lower edge of its
    band is replicated to the band below. No group is gathered: its pivot is an aggregate, and its sets
    meet the pivot in a join that AQE splits where it is skewed.
-3. Each pivot's sets get their distance to it, folded to the pivot's classes. Those within CLOSE * LIMIT
-   stay in its region. Each of the others can link with sets of about its own distance only: shells
-   around the pivot of width LIMIT, where a set is replicated to the next shell if its window reaches
-   there, show whether there is any; if not, it leaves.
+3. In the contracted metric the sets of a pivot fall apart into cells, sets that no chain of possible
+   links joins. The smallest set of a cell is its own pivot from there on, and cells of several pivots with
+   the same smallest set are one region. A pivot of more than CELL sets is treated by distance alone: sets
+   within CLOSE * LIMIT of it stay in its region; each of the others can link with sets of about its own
+   distance only: shells around the pivot of width LIMIT, where a set is replicated to the next shell if its
+   window reaches there, show whether there is any; if not, it leaves.
 4. Voronoi: each set goes to the nearest of its pivots, and is linked to it if their exact distance allows.
 5. Regions that still hold sets of different components are joined exactly and recursively. In one task
    two pivots make Voronoi cells, sets with |d1 - d2| <= 2 eps are replicated to both, and cells are
@@ -39,12 +41,13 @@ ignored by `join` and passed on by `one_of_each`, whatever their names.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, join_sized, slices
@@ -55,6 +58,8 @@ from .shingles import prefix, set_hash, shingle_sets
 HEAVY, OFTEN = 200_000, 8
 #: Sets in a region that one task joins; sets in a chunk of a distributed pass; members of all the sets that one task joins.
 LOCAL, CHUNK, MEMBERS = 4096, 256, 2_000_000
+#: Sets of a pivot that are told apart pair by pair, in the contracted metric.
+CELL = 1000
 #: Sets of a shell that a task holds (one byte for each two of their members); larger shells stay as they are.
 HELD = 50_000
 #: Sets within so many limits of a pivot stay in its region at once.
@@ -164,12 +169,63 @@ def _with_window(n: Column, percent: int) -> Column:
 
 
 def near_pivots(sets: DataFrame, percent: int, work: Workspace) -> DataFrame:
-    """p, x: each set with the pivots of its groups, pivots with themselves too."""
+    """p, x, n: each set with the pivots of its groups, pivots with themselves too."""
     rows = sets.select("rep", "n", F.explode("first").alias("shingle")).withColumn("band", F.explode(_with_window(F.col("n"), percent)))
     rows = rows.select(F.xxhash64("shingle", "band").alias("k"), "n", "rep")  # groups whose keys collide are one: more work, no other result
     lead = rows.groupBy("k").agg(F.min(F.struct("n", "rep")).alias("m"), F.count("*").alias("c")).filter("c > 1")
     lead = work.keep(lead.select("k", F.col("m.rep").alias("p")), "lead")
-    return rows.select("k", F.col("rep").alias("x")).join(lead.hint("merge"), "k").select("p", "x").distinct()
+    return rows.select("k", F.col("rep").alias("x"), "n").join(lead.hint("merge"), "k").select("p", "x", "n").distinct()
+
+
+def cells(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """p, x, h: the cells of pivots with few sets, by their own pivots. near: p, x, n."""
+    by = Window.partitionBy("p").orderBy("n", "x")
+    # first by size alone: sets without a neighbour that a link could span leave
+    below, above = F.lag("n").over(by), F.lead("n").over(by)
+    near = near.withColumn("_k", F.coalesce(below * 100 >= percent * F.col("n"), F.lit(False)) | F.coalesce(F.col("n") * 100 >= percent * above, F.lit(False))).filter("_k").select("p", "x", "n")
+
+    def part(xs: list[int], ns: list[int], hists: list) -> Iterator[tuple[int, int, int]]:
+        order = sorted(range(len(xs)), key=lambda i: (ns[i], xs[i]))
+        k = min(map(classes, ns))
+        n = [ns[i] for i in order]
+        h = np.stack([folded(hists[i].as_buffer(), ns[i], k) for i in order])
+        lead = list(range(len(n)))
+
+        def root(i: int) -> int:
+            while lead[i] != i:
+                lead[i] = lead[lead[i]]
+                i = lead[i]
+            return i
+
+        for i in range(len(n)):
+            last = bisect.bisect_right(n, n[i] * 100 // percent)
+            if last > i + 1:
+                for j in (i + 1 + np.flatnonzero(np.abs(h[i + 1 : last] - h[i]).sum(axis=1) <= n[i] * (100 - percent) // percent)).tolist():
+                    a, b = sorted((root(i), root(j)))
+                    lead[b] = a
+        members: dict[int, list[int]] = {}
+        for i in range(len(n)):
+            members.setdefault(root(i), []).append(i)
+        for a, cell in members.items():
+            if len(cell) > 1:
+                yield from ((xs[order[a]], xs[order[i]], int(np.abs(h[i] - h[a]).sum())) for i in cell)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [], [])
+        for batch in batches:
+            out: list[tuple] = []
+            for p, x, n, hist in zip(*(batch.column(c).to_pylist() for c in ("p", "x", "n")), batch.column("hist"), strict=True):
+                if p != now:
+                    out += part(*held) if len(held[0]) > 1 else ()
+                    now, held = p, ([], [], [])
+                for column, value in zip(held, (x, n, hist), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["p", "x", "h"])
+        out = list(part(*held)) if len(held[0]) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["p", "x", "h"])
+
+    rows = near.join(sets.select(F.col("rep").alias("x"), "n", "hist"), ["x", "n"]).select("p", "x", "n", "hist")
+    return rows.repartition("p").sortWithinPartitions("p").mapInArrow(run, "p long, x long, h int").groupBy("p", "x").agg(F.min("h").alias("h"))
 
 
 def contracted(near: DataFrame, sets: DataFrame) -> DataFrame:
@@ -446,21 +502,27 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, counts: dict[str, in
     sets = work.keep(sets, "sets")
     every = work.keep(sign.drop("first", "hist"), "keys")
     work.drop("signatures")
-    near = work.keep(near_pivots(sets, percent, work), "near-pivots")
-    near = work.keep(contracted(near, sets), "near")
+    near = work.keep(near_pivots(sets, percent, work), "near")
+    work.drop("lead")
+    large = work.keep(near.groupBy("p").agg(F.count("*").alias("c")).filter(F.col("c") > CELL).select("p"), "large")
+    regions = cells(join_sized(near, large, "p", "left_anti"), sets, percent)
+    told(near=near, large=large)
+    if not large.isEmpty():
+        around = work.keep(contracted(join_sized(near.select("p", "x"), large, "p", "left_semi"), sets), "around")
+        limit = F.col("n") * (100 - percent) / percent
+        close = around.filter(F.col("h") <= CLOSE * limit).select("p", "x", "h")
+        # a link of a set beyond CLOSE limits is itself beyond CLOSE - 1 of them, and sizes differ by percent at most
+        outside = around.filter(F.col("h") > 0.99 * (CLOSE - 1) * percent / 100 * limit)
+        kept = work.keep(shells(outside, percent).distinct(), "shells")
+        told(shells=kept)
+        kept = kept.join(around.select("p", "x", "h"), ["p", "x"])
+        regions = regions.unionByName(close.unionByName(kept).groupBy("p", "x").agg(F.min("h").alias("h")))
+    regions = work.keep(regions.groupBy("p", "x").agg(F.min("h").alias("h")), "regions")
     reps = work.keep(sets.select("rep", "n", "s1", "s2", "c"), "reps")
-    work.drop("sets", "lead", "near-pivots")
-    limit = F.col("n") * (100 - percent) / percent
-    close = near.filter(F.col("h") <= CLOSE * limit).select("p", "x", "h")
-    # a link of a set beyond CLOSE limits is itself beyond CLOSE - 1 of them, and sizes differ by percent at most
-    outside = near.filter(F.col("h") > 0.99 * (CLOSE - 1) * percent / 100 * limit)
-    kept = work.keep(shells(outside, percent), "shells")
-    regions = close.unionByName(kept.distinct().join(near.select("p", "x", "h"), ["p", "x"])).distinct()
-    regions = work.keep(regions, "regions")
+    work.drop("sets", "near", "around", "shells")
     alone = regions.groupBy("p").agg(F.count("*").alias("c"))
     regions = work.keep(regions.join(alone.filter("c > 1"), "p"), "regions-2")
-    told(near=near, shells=kept, regions=alone.filter("c > 1"), kept=regions)
-    work.drop("near", "shells", "regions")
+    told(regions=alone.filter("c > 1"), kept=regions)
     ids = regions.select("x").distinct()
     wanted = work.keep(reps.select(F.col("rep").alias("x"), "n", "s1", "s2").join(ids, "x", "left_semi"), "wanted")
     # of the rows of an id, one of those whose set it stands for; an id with two texts may stand for two sets

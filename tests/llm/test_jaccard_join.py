@@ -53,9 +53,10 @@ def data(seed, many=60):
     return [*out, out[4], (None, rows[7], None, None)]
 
 
-@pytest.mark.parametrize("size,percent,local", [(3, 90, 256), (5, 80, 256), (3, 90, 3)])
-def test_brute_force(spark, monkeypatch, size, percent, local):
+@pytest.mark.parametrize("size,percent,local,cell", [(3, 90, 256, 1000), (5, 80, 256, 1000), (3, 90, 3, 1000), (5, 80, 4, 3)])
+def test_brute_force(spark, monkeypatch, size, percent, local, cell):
     monkeypatch.setattr(jj, "LOCAL", local)
+    monkeypatch.setattr(jj, "CELL", cell)
     rows = data(size + percent)
     df = spark.createDataFrame(rows, SCHEMA)
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jj.join(df, size, percent).collect())
