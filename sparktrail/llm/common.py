@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import shared_dir, table
 
-__all__ = ["BROADCAST_ROWS", "SPACE", "Workspace", "bucket", "join_sized", "partitions", "shared_dir", "slices", "splits", "table", "text_col"]
+__all__ = ["BROADCAST_ROWS", "SPACE", "Workspace", "bucket", "join_sized", "partitions", "shared_dir", "sized", "slices", "stored", "splits", "table", "text_col"]
 
 #: A table may be broadcast when it has been counted and holds at most so many rows.
 BROADCAST_ROWS = 200_000
+#: A written table may be broadcast when its files and columns are estimated at so many bytes (files are compressed).
+BROADCAST_BYTES = 8 << 20
 #: Bytes of an Arrow batch while a table is written, and the setting for it.
 BATCH_BYTES, BATCH_CONF = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Characters of white space in every word rule here (Java and Python regular expressions agree on it).
@@ -56,6 +58,16 @@ class Workspace:
         self.spark._jvm.System.gc()
 
 
+def sized(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A materialised table with a hint how to join it: broadcast if its files are small, else a shuffle (AQE splits skew)."""
+    return F.broadcast(table) if stored(table) <= limit else table.hint("merge")
+
+
+def stored(table: DataFrame) -> int:
+    """Bytes of the files of a written table."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def join_sized(left: DataFrame, right: DataFrame, on: str | list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join a materialised `right`: broadcast if it was counted and is small, else a shuffle join (AQE splits skew)."""
     small = right.limit(limit + 1).count() <= limit

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Workspace, join_sized, text_col
+from .common import SPACE, Workspace, join_sized, sized, text_col
 
 
 @dataclass(frozen=True)
@@ -85,10 +85,17 @@ def base_signals(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return df.withColumn("base_failed", failed)
 
 
-def frequent_lines(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """host, h: the lines of each host that too many of its distinct documents hold."""
-    keyed = docs.select(F.col("source").alias("host"), F.xxhash64(text_col()).alias("t"), F.col("text"))
-    lines = keyed.select("host", "t", F.explode(F.array_distinct(F.filter(_lines(text_col()), lambda x: x["n"] > 0)["h"])).alias("h"))
+def read_once(docs: DataFrame, work: Workspace, limits: Limits = Limits()) -> DataFrame:
+    """doc_id, source, t (hash of the text), the base signals, line_chars and lines (hash and length of those that aren't empty), written: the only pass over the texts."""
+    docs = docs.select("doc_id", "source", "text").withColumns({"t": F.xxhash64(text_col()), "lines": F.filter(_lines(text_col()), lambda x: x["n"] > 0)})
+    base = base_signals(docs, limits).drop("text")
+    return work.keep(base.withColumn("line_chars", F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])), "base")
+
+
+def frequent_lines(base: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """host, h: the lines of each host that too many of its distinct documents hold. base: source, t, lines."""
+    keyed = base.select(F.col("source").alias("host"), "t", "lines")
+    lines = keyed.select("host", "t", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     held = lines.groupBy("host", "h", "t").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("docs"))
     size = keyed.groupBy("host", "t").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("all_docs"))
     over = held.filter(F.col("docs") > limits.min_docs)  # only these can pass
@@ -99,62 +106,49 @@ def frequent_lines(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     )
 
 
-def _removed(docs: DataFrame, frequent: DataFrame) -> DataFrame:
-    """doc, host, t, gone_n, gone: for documents that hold such lines, their characters and distinct hashes."""
-    lines = docs.select(
-        F.col("doc_id").alias("doc"),
-        F.col("source").alias("host"),
-        F.xxhash64(text_col()).alias("t"),
-        F.explode(F.filter(_lines(text_col()), lambda x: x["n"] > 0)).alias("l"),
-    ).select("doc", "host", "t", F.col("l.h").alias("h"), F.col("l.n").alias("n"))
+def _judged(base: DataFrame, work: Workspace, limits: Limits) -> DataFrame:
+    """base with gone (hashes of the lines that go, null if none), removed_chars and kept."""
+    frequent = work.keep(frequent_lines(base, limits), "frequent")
+    lines = base.select("doc_id", "source", "t", F.explode("lines.h").alias("h")).withColumns({"k": F.coalesce("source", F.lit("")), "kn": F.col("source").isNull()})
     other = frequent.select(F.coalesce("host", F.lit("")).alias("k"), F.col("host").isNull().alias("kn"), "h")
-    lines = lines.withColumns({"k": F.coalesce("host", F.lit("")), "kn": F.col("host").isNull()})
     # a hot line is one row on the small side; when it is too large to broadcast, AQE splits the hot partition
     hits = join_sized(lines, other, ["k", "kn", "h"], "inner")
-    # repeated rows of one document must not add up: count how often each line comes, then divide by the number of equal rows
-    return hits.groupBy("doc", "host", "t").agg(F.sum("n").alias("sum_n"), F.collect_set("h").alias("gone"))
+    # repeated rows of a document hold the same lines, so they are one here and judged alike
+    gone = work.keep(hits.groupBy("doc_id", "source", "t").agg(F.collect_set("h").alias("gone")), "gone")
+    gone = gone.select(F.col("doc_id").alias("d2"), F.col("source").alias("s2"), F.col("t").alias("t2"), "gone")
+    same = F.col("doc_id").eqNullSafe(F.col("d2")) & F.col("source").eqNullSafe(F.col("s2")) & (F.col("t") == F.col("t2"))
+    joined = base.join(sized(gone), same, "left").drop("d2", "s2", "t2")
+    zero = F.lit(0).cast("bigint")
+    lost = F.aggregate(F.filter("lines", lambda x: F.array_contains("gone", x["h"])), zero, lambda a, x: a + x["n"])
+    joined = joined.withColumn("removed_chars", F.when(F.col("gone").isNull(), zero).otherwise(lost))
+    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("removed_chars") <= limits.depleted * F.col("line_chars")))
 
 
 def signals(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row per document row: base signals, removed_chars, line_chars, kept."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "source", "text")
-    work = Workspace(spark, "quality")
-    frequent = work.keep(frequent_lines(docs, limits), "frequent")
-    base = base_signals(docs, limits).withColumns({"t": F.xxhash64(text_col()), "line_chars": F.aggregate(_lines(text_col()), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])})
-    base = work.keep(base.drop("text"), "base")
-    removed = _removed(docs, frequent).drop("gone")
-    copies = base.groupBy("doc_id", "source", "t").agg(F.count("*").alias("rows"))
-    copies = copies.filter("rows > 1")
-    removed = removed.join(
-        copies.select(F.col("doc_id").alias("d2"), F.col("source").alias("s2"), F.col("t").alias("t2"), "rows"),
-        F.col("doc").eqNullSafe(F.col("d2")) & F.col("host").eqNullSafe(F.col("s2")) & (F.col("t") == F.col("t2")),
-        "left",
-    ).select("doc", "host", F.col("t").alias("t1"), (F.col("sum_n") / F.coalesce("rows", F.lit(1))).cast("bigint").alias("removed_chars"))
-    joined = base.join(removed, F.col("doc_id").eqNullSafe(F.col("doc")) & F.col("source").eqNullSafe(F.col("host")) & (F.col("t") == F.col("t1")), "left").drop("doc", "host", "t1", "t")
-    joined = joined.withColumn("removed_chars", F.coalesce("removed_chars", F.lit(0)).cast("bigint"))
-    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("removed_chars") <= limits.depleted * F.col("line_chars")))
+    work = Workspace(docs.sparkSession, "quality")
+    return _judged(read_once(docs, work, limits), work, limits).drop("t", "lines", "gone")
 
 
 def clean(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The documents that are kept, without the lines above the limits; columns as given, n_chars brought up to date."""
+    """The documents that are kept, without the lines above the limits; columns as given, n_chars brought up to date.
+
+    Texts are read for the signals, and once more to be passed on; only what is rejected or changed is joined to them."""
     work = Workspace(docs.sparkSession, "quality-clean")
-    frequent = work.keep(frequent_lines(docs.select("doc_id", "source", "text"), limits), "frequent")
-    gone = _removed(docs, frequent).select(F.col("doc").alias("_doc"), F.col("host").alias("_host"), F.col("t").alias("_t1"), "gone")
-    gone = work.keep(gone, "gone")
+    judged = _judged(read_once(docs, work, limits), work, limits)
+    side = judged.filter("NOT kept OR gone IS NOT NULL").select(F.col("doc_id").alias("_doc"), F.col("source").alias("_host"), F.col("t").alias("_t1"), "gone", "kept").distinct()
+    side = work.keep(side, "side")
     # the row travels whole in one column, so no name of its own can clash with ours
-    key = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", "text", F.xxhash64(text_col()).alias("_k"), _lines(text_col()).alias("_hl"))
-    side = F.broadcast(gone) if gone.limit(50_001).count() <= 50_000 else gone
-    joined = key.join(side, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_host")) & (F.col("_k") == F.col("_t1")), "left")
-    zero, hit = F.lit(0).cast("bigint"), lambda x: F.array_contains("gone", x["h"]) & (x["n"] > 0)
-    lost = F.aggregate(F.filter("_hl", hit), zero, lambda a, x: a + x["n"])
-    left = F.array_join(F.filter(F.split(text_col(), "\n"), lambda x, i: ~hit(F.get("_hl", i))), "\n")
-    joined = joined.withColumns({"_lost": F.when(F.col("gone").isNull(), zero).otherwise(lost), "_all": F.aggregate("_hl", zero, lambda a, x: a + x["n"]), "_left": F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)})
-    kept = ~F.col("base_failed") & (F.col("_lost") <= limits.depleted * F.col("_all"))
-    # a filter would be pushed down, and so written out, through every step of base_signals; it stops at a generator
-    joined = base_signals(joined, limits).select("_row", "gone", "_left", F.explode(F.array(F.struct(kept.alias("kept")))).alias("_v")).filter("_v.kept")
-    changed = {"text": F.col("_left"), "n_chars": F.when(F.col("gone").isNull(), F.col("_row")["n_chars"]).otherwise(F.length("_left").cast("bigint")) if "n_chars" in docs.columns else None}
-    return joined.select(*[(changed.get(c) if changed.get(c) is not None else F.col("_row").getField(c)).alias(c) for c in docs.columns])
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", F.xxhash64(text_col()).alias("_k"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_host")) & (F.col("_k") == F.col("_t1"))
+    rows = rows.join(sized(side), same, "left").filter("coalesce(kept, true)")
+    text, hit = F.coalesce(F.col("_row")["text"], F.lit("")), lambda x: F.array_contains("gone", x["h"]) & (x["n"] > 0)
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~hit(F.get(_lines(text), i))), "\n")
+    changed = {"text": F.when(F.col("gone").isNull(), F.col("_row")["text"]).otherwise(F.col("_left"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("gone").isNull(), F.col("_row")["n_chars"]).otherwise(F.length("_left").cast(dict(docs.dtypes)["n_chars"]))
+    rows = rows.withColumn("_left", F.when(F.col("gone").isNotNull(), left))
+    return rows.select(*[changed.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x
 x AS (SELECT d.r, d.source, d.t, unnest(plain) AS line FROM l JOIN d USING (r)),
 held AS (SELECT source, line, count(DISTINCT t) AS docs FROM x WHERE line <> '' GROUP BY ALL),
 size AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY ALL),
-f AS (SELECT held.source, held.line FROM held JOIN size ON held.source IS NOT DISTINCT FROM size.source WHERE docs > 20 AND docs > 0.05 * n),
+f AS (SELECT held.source, held.line FROM held JOIN size ON held.source IS NOT DISTINCT FROM size.source WHERE docs > 2 AND docs > 0.05 * n),
 gone AS (SELECT r, sum(length(x.line)) AS n FROM x JOIN f ON x.source IS NOT DISTINCT FROM f.source AND x.line = f.line GROUP BY r),
 b AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,

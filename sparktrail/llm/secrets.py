@@ -3,14 +3,15 @@
 Base spans come from three patterns (`assign`, `access`, `hex`), leftmost and non-overlapping for
 each kind; matches that are too short are dropped after matching, as they use up their text.
 
-Every other maximal run of at least 20 characters of A-Z a-z 0-9 + / _ = - that overlaps no base
-span is a candidate. Its encoding is inferred as the narrowest alphabet that holds it (decimal,
+The rest of every maximal run of A-Z a-z 0-9 + / _ = - outside the base spans is a candidate where at
+least SHORT characters of it are left. Its encoding is inferred as the narrowest alphabet that holds it (decimal,
 hex, base32, lower case with digits, base62, base64). Three tests ask whether it looks drawn
 uniformly from that alphabet: chi-squared uniformity over classes of the alphabet, Wald-Wolfowitz
 runs about the median symbol, and lag-one serial correlation; the smallest of their p-values, times
 three, must stay above ALPHA. Against words and identifiers speaks the likelihood ratio of the
 uniform model to a letter-frequency model; by Markov's inequality exp(-ratio) is a valid p-value,
-and the ratio grows with length, so short tokens must be the clearer. Benjamini-Hochberg over all
+and the ratio grows with length, so short tokens must be the clearer; letters of one case (the first
+one may be a capital) are a word below WORD characters. Benjamini-Hochberg over all
 the candidates of a document at rate FDR then decides. What is found is reported as kind `random`.
 
 Defined cases: a null text is an empty one and has no spans; repeated rows get the same answer
@@ -32,7 +33,8 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so shorter ones can't hide a longer one
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+SHORT, WORD = 12, 20
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORT},}}")
 ALPHA, FDR = 1e-4, 0.01
 ALPHABETS = [
     ("decimal", "0123456789"),
@@ -103,7 +105,7 @@ def battery(token: str, alphabet: str) -> float:
 def randomness(token: str) -> float | None:
     """A p-value against `token` being prose or an identifier, or None if it doesn't look random at all."""
     core = token.rstrip("=")
-    if len(core) < 20:
+    if len(core) < SHORT or (len(core) < WORD and core.isalpha() and (core[1:].islower() or core.isupper())):
         return None
     alphabet = next(a for _, a in ALPHABETS if not set(core) - set(a))
     if battery(core, alphabet) < ALPHA:
@@ -120,13 +122,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def random_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    tried = []
+def outside(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Parts of runs outside the base spans (sorted by start), of SHORT characters or more; both lists are walked once."""
+    k, end = 0, 0  # spans before k are done; `end` is the furthest end among them
     for m in RUN.finditer(text):
-        a, b = m.span()
-        if not any(s < b and a < e for s, _, e in base) and (p := randomness(m[0])) is not None:
+        at, stop = m.span()
+        while k < len(base) and base[k][0] < stop:
+            if base[k][0] - max(at, end) >= SHORT:
+                yield max(at, end), base[k][0]
+            end = max(end, base[k][2])
+            k += 1
+        if stop - max(at, end) >= SHORT:
+            yield max(at, end), stop
+
+
+def random_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    tried, count = [], 0
+    for a, b in outside(text, base):
+        count += 1
+        if (p := randomness(text[a:b])) is not None:
             tried.append((p, a, b))
-    count = sum(1 for _ in RUN.finditer(text)) if tried else 0
     tried.sort()
     passed = max((k for k, (p, _, _) in enumerate(tried, 1) if p <= FDR * k / count), default=0)
     return [(a, 3, b) for _, a, b in tried[:passed]]
