@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK, UNKNOWN = "▁", 10.0
+#: Characters of all the words that the memo holds; where white space is rare a word is a line.
+LETTERS = 8_000_000
 
 
 @dataclass
@@ -124,6 +126,7 @@ class Unigram:
         self.low = float(v.scores.min()) - UNKNOWN
         self.ids = np.array(v.ids, dtype=np.uint32)
         self.memo: dict[str, bytes] = {}
+        self.held = 0
         self.most = most
         self.words = re.compile(f"{MARK}+[^{MARK}\n\r\t]*|[\n\r\t]|[^{MARK}\n\r\t]+" if not any(c in p for p in v.pieces for c in "\n\r\t") else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.table = [b""] * v.size
@@ -176,9 +179,12 @@ class Unigram:
 
     def learn(self, words: Iterable[str]) -> None:
         new = [w for w in words if w not in self.memo]
-        if len(self.memo) + len(new) > self.most:
+        size = sum(map(len, new))
+        if len(self.memo) + len(new) > self.most or self.held + size > LETTERS:
             self.memo.clear()
-            new = list(words)
+            self.held, new = 0, list(words)
+            size = sum(map(len, new))
+        self.held += size
         new.sort(key=len)  # words of about one length together, so little is padding
         lo = 0
         while lo < len(new):
