@@ -143,7 +143,7 @@ def clean(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_host")) & (F.col("_k") == F.col("_t1"))
     rows = rows.join(sized(side), same, "left").filter("coalesce(kept, true)")
     text, hit = F.coalesce(F.col("_row")["text"], F.lit("")), lambda x: F.array_contains("gone", x["h"]) & (x["n"] > 0)
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~hit(F.get(_lines(text), i))), "\n")
+    left = F.array_join(F.zip_with(F.split(text, "\n"), _lines(text), lambda x, y: F.when(~hit(y), x)), "\n")  # nulls are left out
     changed = {"text": F.when(F.col("gone").isNull(), F.col("_row")["text"]).otherwise(F.col("_left"))}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("gone").isNull(), F.col("_row")["n_chars"]).otherwise(F.length("_left").cast(dict(docs.dtypes)["n_chars"]))

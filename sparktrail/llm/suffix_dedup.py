@@ -6,10 +6,12 @@ id, or earlier in the same one. Only strings that can have a partner are sorted:
 1. Equal texts are found by hash; copies behind the first one are repeats from end to end.
 2. In every other text each window of LENGTH bytes chooses its anchor, the GRAM bytes of least hash
    in it (leftmost on ties). Equal windows choose alike, so only anchors whose hash comes twice
-   matter. About one byte in forty is an anchor.
+   matter. About one byte in forty is an anchor. Long texts are taken in slices of windows, so what a
+   task holds doesn't grow with them, and places count from the slice.
 3. Every such anchor sends its context, the bytes of the windows that chose it, to the task of its
-   hash. Equal contexts are one: all but the first are repeats. The suffixes (windows) of the
-   others are sorted: multikey quicksort by 8-byte words to SHALLOW bytes, then blind tries: each
+   hash. The contexts of an anchor that comes more than HOT times go by the HALF bytes left or right of it too,
+   of which each window holds one side whole. Sorted, equal contexts come together and are one:
+   all but the first are repeats, and none of them is kept. The suffixes (windows) of the others are sorted: multikey quicksort by 8-byte words to SHALLOW bytes, then blind tries: each
    remaining group is split at the byte where a member leaves the group's first one, looking at no
    other byte; members that never leave it within LENGTH bytes equal it. Order of position is kept
    inside groups, so a group's first member is its earliest.
@@ -36,38 +38,54 @@ from .common import Workspace, join_sized, slices
 from .fingerprints import BACK, mixed, powers
 
 LENGTH, GRAM, SHALLOW = 100, 20, 24
-WINDOWS = 400_000
+HALF = (LENGTH - GRAM) // 2
+#: Windows of a text that are looked at together; anchors that come more often go by their surroundings too.
+SLICE, HOT = 1 << 20, 10_000
 
 
 def anchors(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """text, place, hash, first window, last window of each anchor, in order; places count from each text's start."""
-    kept = [(k, r) for k, r in enumerate(raws) if len(r) >= LENGTH]
+    parts, held, out = [], 0, []
+    for k, r in enumerate(raws):
+        for lo in range(0, len(r) - LENGTH + 1, SLICE):
+            parts.append((k, lo, r[lo : lo + SLICE + LENGTH - 1]))
+            held += len(parts[-1][2])
+            if held >= 2 * SLICE:
+                out.append(_anchors(parts))
+                parts, held = [], 0
+    if parts or not out:
+        out.append(_anchors(parts))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _anchors(parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As `anchors`, of (text, start, bytes) with LENGTH bytes each at least and fewer than 2**24 bytes together. A run of windows of one anchor ends with its part."""
     none = np.zeros(0, dtype=np.int64)
-    if not kept:
+    if not parts:
         return none, none, none.view(np.uint64), none, none
-    data = np.frombuffer(b"".join(r for _, r in kept), dtype=np.uint8)
-    sizes = np.array([len(r) for _, r in kept])
+    data = np.frombuffer(b"".join(r for _, _, r in parts), dtype=np.uint8)
+    sizes = np.array([len(r) for _, _, r in parts])
     begins = np.cumsum(sizes) - sizes
     prefix = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=prefix[1:])
     grams = mixed((prefix[GRAM:] - prefix[:-GRAM]) * powers(len(data), BACK)[: len(data) - GRAM + 1])
     # 40 bits of hash above 24 bits of place: the least value is the least hash, leftmost
-    value = grams & ~np.uint64((1 << 24) - 1) | np.arange(len(grams), dtype=np.uint64) & np.uint64((1 << 24) - 1)
+    low = np.uint64((1 << 24) - 1)
+    value = grams & ~low | np.arange(len(grams), dtype=np.uint64)
     span, step = LENGTH - GRAM + 1, 1
     while 2 * step <= span:
         value = np.minimum(value[:-step], value[step:])
         step *= 2
     value = np.minimum(value[: len(value) - (span - step)], value[span - step :])
     place = np.arange(len(value))
-    text = np.repeat(np.arange(len(kept)), sizes)[: len(value)]
+    text = np.repeat(np.arange(len(parts)), sizes)[: len(value)]
     inside = place + LENGTH <= (begins + sizes)[text]
-    chosen = (place & ~((1 << 24) - 1)) | (value & np.uint64((1 << 24) - 1)).astype(np.int64)
-    chosen[chosen < place] += 1 << 24
-    place, text, chosen = place[inside], text[inside], chosen[inside]
+    place, text, chosen = place[inside], text[inside], (value[inside] & low).astype(np.int64)
     opens = np.flatnonzero(np.r_[True, (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])])
     closes = np.r_[opens[1:], len(place)] - 1
     t = text[opens]
-    return np.array([k for k, _ in kept])[t], chosen[opens] - begins[t], grams[chosen[opens]], place[opens] - begins[t], place[closes] - begins[t]
+    shift = np.array([lo for _, lo, _ in parts])[t] - begins[t]
+    return np.array([k for k, _, _ in parts])[t], chosen[opens] + shift, grams[chosen[opens]], place[opens] + shift, place[closes] + shift
 
 
 def sort_equal(data: np.ndarray, starts: np.ndarray, groups: np.ndarray) -> np.ndarray:
@@ -121,21 +139,12 @@ class Batch:
         self.rows, self.count, self.out = [], 0, []
 
     def add(self, group: list[tuple[int, int, int, int, bytes]]) -> None:
-        """group: (doc, tie, first window, anchor's offset in the context, context) of one hash, in order of position."""
+        """group: (doc, tie, first window, anchor's offset in the context, context) of one key, all contexts unlike."""
         if len(group) < 2:
             return
-        seen: dict[tuple[int, bytes], int] = {}
-        fresh = []
-        for r in group:
-            if (r[3], r[4]) in seen:
-                self.out.append((r[0], r[1], r[2], r[2] + len(r[4])))
-            else:
-                seen[r[3], r[4]] = 1
-                fresh.append(r)
-        if len(fresh) < 2:
-            return
+        fresh = sorted(group, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
         # a window reaches HALF bytes left of the anchor, or HALF right of it: contexts alone with both are done
-        half = (LENGTH - GRAM) // 2
+        half = HALF
         left: dict[bytes, int] = {}
         right: dict[bytes, int] = {}
         keys = []
@@ -192,21 +201,18 @@ class Batch:
 
 
 def _filter(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of 2**bits bits of the hashes, built in pieces; only it comes to the driver."""
-    piece = 15
+    """A bitmap of 2**bits bits of the hashes, as 64-bit words made by an aggregate; only it comes to the driver."""
+    at = hashes.select(F.shiftrightunsigned("g", 64 - bits).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at & 63 AS INT)))").alias("flags")).toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    out[words["word"].to_numpy()] = words["flags"].to_numpy().view(np.uint64)
+    return out
 
-    def run(table: pa.Table) -> pa.Table:
-        at = table["at"].to_numpy()
-        flags = np.zeros(1 << piece, dtype=np.uint8)
-        flags[at & ((1 << piece) - 1)] = 1
-        return pa.table({"piece": pa.array([int(at[0]) >> piece], pa.int64()), "flags": pa.array([np.packbits(flags).tobytes()], pa.binary())})
 
-    at = F.shiftrightunsigned("g", 64 - bits)
-    rows = hashes.select(at.alias("at"), F.shiftright(at, piece).alias("piece")).groupBy("piece").applyInArrow(run, "piece long, flags binary").toArrow()
-    out = np.zeros((1 << max(bits - piece, 0), (1 << piece) // 8), dtype=np.uint8)
-    for p, f in zip(rows["piece"].to_pylist(), rows["flags"].to_pylist(), strict=True):
-        out[p] = np.frombuffer(f, dtype=np.uint8)
-    return out.reshape(-1)
+def _has(flags: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Whether the bitmap may hold each hash."""
+    at = (g >> np.uint64(64 - (len(flags) * 64).bit_length() + 1)).astype(np.int64)
+    return (flags[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
 #: The bitmap of repeated hashes has 32 bits a hash, and at most 2**28 (32 MB). Beyond, it lets more contexts through, never fewer.
@@ -216,10 +222,22 @@ FILTER_BITS = (20, 28)
 def _each(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], tuple]]:
     texts = batch.column("text")
     for lo, hi in slices(texts):
-        yield lo, [(t or "").encode() for t in texts[lo:hi].to_pylist()], anchors([(t or "").encode() for t in texts[lo:hi].to_pylist()])
+        raws = [(t or "").encode() for t in texts[lo:hi].to_pylist()]
+        yield lo, raws, anchors(raws)
+
+
+def _sides(g: int, at: int, context: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    """key, first window, anchor's offset, context: the windows that hold the HALF bytes left of the anchor, and the others, which hold those right of it."""
+    import xxhash
 
+    border = min(len(context) - LENGTH + 1, max(0, at - HALF + 1))
+    for side, lo, hi, near in ((b"l", 0, border, context[max(0, at - HALF) : at]), (b"r", border, len(context) - LENGTH + 1, context[at + GRAM : at + GRAM + HALF])):
+        if hi > lo:
+            key = xxhash.xxh64_intdigest(side + near, seed=g & 0xFFFFFFFFFFFFFFFF)
+            yield key - (1 << 64 if key >> 63 else 0), lo, at - lo, context[lo : hi + LENGTH - 1]
 
-def repeats(docs: DataFrame, work: Workspace) -> DataFrame:
+
+def repeats(docs: DataFrame, work: Workspace, hot: int = HOT) -> DataFrame:
     """doc, tie, start, end: repeated bytes of texts, which must be distinct. docs: doc_id, tie, text."""
     spark = docs.sparkSession
 
@@ -228,37 +246,38 @@ def repeats(docs: DataFrame, work: Workspace) -> DataFrame:
             for _, _, (_, _, g, _, _) in _each(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64))], ["g"])
 
-    twice = work.keep(docs.select("text").mapInArrow(hashes, "g long").groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g"), "twice")
-    bits = min(max(FILTER_BITS[0], int(32 * twice.count()).bit_length()), FILTER_BITS[1])
-    bitmap = spark.sparkContext.broadcast(_filter(twice, bits))
+    twice = work.keep(docs.select("text").mapInArrow(hashes, "g long").groupBy("g").agg(F.count("*").alias("c")).filter("c > 1"), "twice")
+    size = twice.agg(F.count("*").alias("n"), F.count_if(F.col("c") > hot).alias("hot")).first()
+    bits = [min(max(FILTER_BITS[0], int(32 * n).bit_length()), FILTER_BITS[1]) for n in size]
+    bitmap = spark.sparkContext.broadcast((_filter(twice, bits[0]), _filter(twice.filter(F.col("c") > hot), bits[1])))
 
     def contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = bitmap.value
+        flags, often = bitmap.value
         for batch in batches:
             ids, ties = batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist()
             # of a batch's equal contexts only the earliest travels; the others are repeats for certain (no context, `at` is their end)
             first: dict[tuple[int, int, bytes], tuple] = {}
             out: list[tuple] = []
             for lo, raws, (k, place, g, a, z) in _each(batch):
-                at = (g >> np.uint64(64 - bits)).astype(np.int64)
-                hit = np.flatnonzero(flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
-                for i, p, h, x, y in zip(k[hit].tolist(), place[hit].tolist(), g.view(np.int64)[hit].tolist(), a[hit].tolist(), z[hit].tolist(), strict=True):
-                    d, key = ids[lo + i], (h, p - x, raws[i][x : y + LENGTH])
-                    row = (d is not None, d or 0, ties[lo + i], x)
-                    other = first.setdefault(key, row)
-                    if other is not row:
-                        later = max(row, other)
-                        first[key] = min(row, other)
-                        out.append((h ^ (later[1] * 0x5851F42D4C957F2D + later[3]) & 0x7FFFFFFF, later[1] if later[0] else None, later[2], later[3], later[3] + len(key[2]), None))
+                hit = np.flatnonzero(_has(flags, g))
+                for i, p, h, x, y, split in zip(k[hit].tolist(), place[hit].tolist(), g.view(np.int64)[hit].tolist(), a[hit].tolist(), z[hit].tolist(), _has(often, g[hit]).tolist(), strict=True):
+                    d, whole = ids[lo + i], raws[i][x : y + LENGTH]
+                    for key_, from_, at, context in _sides(h, p - x, whole) if split else ((h, 0, p - x, whole),):
+                        key = (key_, at, context)
+                        row = (d is not None, d or 0, ties[lo + i], x + from_)
+                        other = first.setdefault(key, row)
+                        if other is not row:
+                            later = max(row, other)
+                            first[key] = min(row, other)
+                            out.append((h ^ (later[1] * 0x5851F42D4C957F2D + later[3]) & 0x7FFFFFFF, later[1] if later[0] else None, later[2], later[3], later[3] + len(context), None))
             out += [(h, r[1] if r[0] else None, r[2], r[3], at_, c) for (h, at_, c), r in first.items()]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], t) for n, t in enumerate(kinds)], ["g", "doc", "tie", "a", "at", "context"])
 
     def resolve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, group, now = Batch(), [], None
+        waiting, group, now, same = Batch(), [], None, None
 
-        def result() -> pa.RecordBatch:
-            rows = waiting.flush()
+        def result(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc", "tie", "start", "end"])
 
         held = 0
@@ -268,23 +287,31 @@ def repeats(docs: DataFrame, work: Workspace) -> DataFrame:
                     waiting.out.append((doc, tie, a, at))
                     held += 100
                     continue
+                if g == now and (at, context) == same:  # of equal contexts the first one stands for all
+                    waiting.out.append((doc, tie, a, a + len(context)))
+                    held += 100
+                    continue
+                same = (at, context)
                 if g != now:
                     waiting.add(group)
                     held += sum(len(r[4]) for r in group)
                     group, now = [], g
                     if held > 8_000_000:
-                        yield result()
+                        yield result(waiting.flush())
                         held = 0
                 group.append((doc, tie, a, at, context))
+            if len(waiting.out) > 100_000:  # these are repeats for certain
+                rows_, waiting.out = waiting.out, []
+                yield result(rows_)
         waiting.add(group)
-        yield result()
+        yield result(waiting.flush())
 
     rows = docs.select("doc_id", "tie", "text").mapInArrow(contexts, "g long, doc long, tie int, a int, at int, context binary")
-    rows = rows.repartition("g").sortWithinPartitions("g", F.col("doc").asc_nulls_first(), "tie", "a")
+    rows = rows.repartition("g").sortWithinPartitions("g", "at", "context", F.col("doc").asc_nulls_first(), "tie", "a")
     return rows.mapInArrow(resolve, "doc long, tie int, start int, end int")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     spark = docs.sparkSession
     work = Workspace(spark, "suffixes")
@@ -303,7 +330,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("z"), F.xxhash64("text").alias("t1"), "doc_id", "text")
     rows = rows.withColumn("tie", F.lit(0)) if again.isEmpty() else join_sized(rows, again, ["d", "z", "t1"], "left").withColumn("tie", F.coalesce("tie", F.lit(0)))
     fresh = join_sized(rows.filter(F.octet_length("text") >= LENGTH), copies, ["d", "z", "t1"], "left_anti")
-    found = work.keep(repeats(fresh.select("doc_id", "tie", "text"), work), "found")
+    found = work.keep(repeats(fresh.select("doc_id", "tie", "text"), work, hot), "found")
     spans = found.groupBy(F.coalesce("doc", F.lit(0)).alias("d"), F.col("doc").isNull().alias("z"), "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     whole = rows.select("d", "z", "t1", "doc_id", "tie", "text")
     whole = join_sized(whole, copies.withColumn("copy", F.lit(True)), ["d", "z", "t1"], "left")

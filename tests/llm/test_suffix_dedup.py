@@ -53,6 +53,49 @@ def test_brute_force(spark, monkeypatch):
         assert got == want
 
 
+def test_frequent_anchors_by_their_surroundings(spark):
+    rng = random.Random(8)
+    line = "-" * 70 + "=" * 30 + "+" * 90
+    rows = data(3) + [(20_000 + i, "".join(rng.choice("abc ") for _ in range(rng.randint(0, 130))) + line + "".join(rng.choice("abc ") for _ in range(130))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (0, 3, 40):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.dedup(df, hot=hot).collect()}
+        assert got == brute(rows), hot
+
+
+def windows(raws):
+    """The offset of the anchor in each window, by text and window."""
+    return {(k, w): (p - w, h) for k, p, h, a, z in zip(*(x.tolist() for x in sd.anchors(raws)), strict=True) for w in range(a, z + 1)}
+
+
+def test_equal_windows_choose_alike_wherever_they_stand(monkeypatch):
+    rng = random.Random(4)
+    passage = b"ab" * 150
+    text = bytearray(rng.choice(b"abcdefgh") for _ in range(9000))
+    for at in (100, 2048 - 150, 4096 - 299, 8000):
+        text[at : at + 300] = passage
+    raws = [b"", bytes(text), b"x" * 99, b"y" * 100, bytes(text[50:600])]
+    whole = windows(raws)
+    monkeypatch.setattr(sd, "SLICE", 256)
+    assert windows(raws) == whole and len(whole) == sum(max(0, len(r) - 99) for r in raws)
+    chosen = {}
+    for (k, w), found in whole.items():
+        assert chosen.setdefault(raws[k][w : w + 100], found) == found
+
+
+def test_places_beyond_24_bits():
+    """A passage far into a long text chooses the same anchors as near its start."""
+    rng = np.random.default_rng(5)
+    long = rng.integers(97, 123, (1 << 24) + 5000).astype(np.uint8)
+    passage = np.frombuffer(b"ab" * 300, dtype=np.uint8)
+    for at in (100_000, (1 << 24) - 300):
+        long[at : at + 600] = passage
+    _, place, g, first, last = sd.anchors([long.tobytes()])
+    near, far = ({(int(p - a), int(h)) for p, h, a, z in zip(place, g, first, last) if at <= a and z + 100 <= at + 600} for at in (100_000, (1 << 24) - 300))
+    offsets = [{int(p - w) for p, a, z in zip(place, first, last) if z >= at and a <= at + 500 for w in range(max(a, at), min(z, at + 500) + 1)} for at in (100_000, (1 << 24) - 300)]
+    assert offsets[0] == offsets[1] and near and far
+
+
 def test_sort_equal():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
