@@ -1,14 +1,18 @@
 """Main text of web pages by line-block distribution.
 
-A page is cut into lines, one a block element. Lines lose their markup; what stands in menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, told by
-element, role, class or id, counts as empty, and so does everything outside article or main
-elements where a page has them with text. Text of links counts for nothing in a line's length
-outside an article. Lengths are summed over windows of WINDOW lines. A surge is a line whose window
-sum reaches the threshold after windows that did not; the dive is the line where the sum falls to
-nothing. Lines from surge to dive are kept. In an article the threshold is one character, as a short
-paragraph belongs to it too; elsewhere it is LOOSE characters, and of several stretches those with
-at least SHARE of the longest one's text are kept.
+A page is cut into lines, one a block with text; a block without any is an empty line. Markup goes. A
+line weighs its text outside links, or all its text in an article or main element; elsewhere, on pages
+that have such an element with text, it weighs a quarter. Lines in menus, headers, footers, sidebars,
+notices, adverts, forms and reader comments, told by element, role, class or id, weigh nothing; inside
+an article they aren't lines at all. Such a mark never holds for html, body, an article, a main element, or what
+wraps one; a class or a form doesn't mark what holds nearly all the prose of a page without them; and a
+header inside an article is its title. Scripts, styles and hidden elements are no lines anywhere.
+
+Weights are summed over windows of WINDOW lines. A stretch of lines surges where the sum rises from
+nothing and dives where it falls to nothing again; it counts if the sum reaches the threshold between. The threshold is LOOSE characters, or a quarter of the page's
+densest window where that is less. The text between is kept: of several stretches those with at
+least SHARE of the heaviest one's weight, and those of the same article as that one. Articles begin
+and end with WINDOW empty lines.
 
 Defined cases: null, empty or text-free html gives an empty text; unclosed elements, comments and
 tags end with the page; unknown character references stay as they are; white space of any kind
@@ -21,11 +25,14 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-WINDOW, LOOSE, SHARE = 3, 80, 0.2
+WINDOW, LOOSE, SHARE, OUTSIDE = 3, 80, 0.2, 0.25
+#: A class or form that holds so many characters, and this share of a page's prose, is its body.
+WRAPS, MOST = 200, 2 / 3
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""",
     re.DOTALL,
@@ -36,44 +43,94 @@ RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "xmp", "nof
 OUT = {"nav", "header", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "head", "svg", "canvas", "object", "audio", "video", "label", "fieldset", "datalist"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "img", "label", "acronym", "nobr", "ruby", "rt", "rp"}
-#: Words of class, id and role that mark what is not the article.
+#: Words of class, id and role that mark what is not the article: a whole name, its last part, or its first part before a word of place.
 OUT_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|sidebar|aside|footer|header|masthead|banner|cookies?|consent|gdpr|notice|notification|alert|ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo|promotion|comments?|replies|reply|respond|disqus|share|sharing|social|related|recommended|breadcrumbs?|popup|modal|overlay|newsletter|subscribe|signup|login|widget|pagination|pager|toolbar|search|skip|contentinfo|complementary|toc|copyright)(?=$|[\s_-])",
+    r"(?!(?:has|no|with|without|is|show|hide|js)[_-])(?:[a-z0-9]+[_-])*(?:nav|navbar|navigation|menu|sidebar|aside|footer|header|masthead|banner|cookies?|consent|gdpr|notice|notification|alert|ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo|promotion|comments?|replies|reply|respond|disqus|share|sharing|social|related|recommended|breadcrumbs?|popup|modal|overlay|newsletter|subscribe|signup|login|widget|pagination|pager|toolbar|search|skip|contentinfo|complementary|toc|copyright)"
+    r"(?:[_-](?:list|box|wrap|wrapper|container|area|block|section|bar|left|right|top|bottom|inner|outer|links?|form|widget|text|body|content|thread|item|buttons?|icons?|[0-9]+))*",
     re.IGNORECASE,
 )
 
 
-def marked(name: str, attributes: str) -> bool:
-    if not attributes.strip(" /"):
-        return False
-    if HIDDEN.search(attributes):
-        return True
-    return any(OUT_WORDS.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[2] or m[3] or m[4] or "")) for m in NAMES.finditer(attributes))
+def named_out(attributes: str) -> bool:
+    """Whether a class, id or role says that this is not the article."""
+    for m in NAMES.finditer(attributes):
+        names = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[2] or m[3] or m[4] or "")
+        if any(OUT_WORDS.fullmatch(name) for name in names.split()):
+            return True
+    return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, its length outside links, whether it stands in an article) of each block; boilerplate as empty lines."""
-    out: list[tuple[str, int, bool]] = []
+class Line(NamedTuple):
+    text: str
+    loose: int  # characters of the text outside links
+    article: int  # number of the outermost article or main element, 0 for none
+    marks: frozenset[int]
+
+
+class Mark:
+    """An element that its name or its class tells is not the article, unless it proves to be a wrapper."""
+
+    def __init__(self, by_class: bool):
+        self.by_class, self.wraps, self.prose = by_class, False, 0
+
+
+class Element(NamedTuple):
+    name: str
+    hidden: bool
+    article: int
+    marks: frozenset[int]
+    lines: int  # number of lines when it opened
+
+
+def lines(page: str) -> tuple[list[Line], list[Mark]]:
+    """The lines of a page, and its marks."""
+    out: list[Line] = []
+    marks: list[Mark] = []
     held: list[str] = []
-    loose = 0
-    stack: list[tuple[str, bool, bool]] = []  # name, out of bounds, in an article
+    loose = articles = 0
+    none = Element("", False, 0, frozenset(), 0)
+    stack: list[Element] = []
     link, at, n = 0, 0, len(page)
 
+    def now() -> Element:
+        return stack[-1] if stack else none
+
+    def line(text: str, loose: int = 0) -> None:
+        e = now()
+        out.append(Line(text, min(loose, len(text)), e.article, e.marks))
+        for k in e.marks:
+            marks[k].prose += out[-1].loose
+            marks[k].wraps |= bool(e.article and text and k in outer.get(e.article, ()))
+
     def flush() -> None:
         nonlocal loose
         text = " ".join("".join(held).split())
-        out.append((text, min(loose, len(text)), bool(stack) and stack[-1][2]))
+        if text:
+            line(text, loose)
         held.clear()
         loose = 0
 
     def put(raw: str) -> None:
         nonlocal loose
-        if raw and not (stack and stack[-1][1]):
+        if raw and not now().hidden:
             text = entities.unescape(raw)
             held.append(text)
             if not link:
                 loose += len("".join(text.split()))
 
+    def close(k: int) -> None:
+        """Ends the open elements from the k-th on."""
+        flush()
+        first = stack[k]
+        if len(out) == first.lines and not first.hidden and first.name not in ("article", "main"):
+            line("")
+        inside = first.article and not (stack[k - 1].article if k else 0)
+        del stack[k:]
+        if inside:
+            for _ in range(WINDOW):
+                line("")
+
+    outer: dict[int, frozenset[int]] = {}  # the marks around each article
     while at < n:
         m = TOKEN.search(page, at)
         if not m:
@@ -85,69 +142,102 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if not name:
             continue
         if m[1] or m[4]:
-            if name not in INLINE:
-                flush()
             if name == "a":
                 link = max(0, link - 1)
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name == name), None)
+            if name not in INLINE and k is None:
+                flush()
             if k is not None:
-                del stack[k:]
+                if name in INLINE:
+                    del stack[k:]
+                else:
+                    close(k)
             continue
         if name in RAW:
-            close = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-            at = close.end() if close else n
+            end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
+            at = end.end() if end else n
             continue
         if name == "br":
             put(" ")
             continue
         if name not in INLINE:
             flush()
-        if name in VOID or (m[3] or m[6] or "").endswith("/"):
-            continue
-        up_out, up_in = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         attributes = m[3] or m[6] or ""
-        if name in ("article", "main"):
-            bad = marked(name, attributes) or (up_out and up_in)
-            stack.append((name, bad, not bad))
+        if name in VOID or attributes.endswith("/"):
             continue
         if name == "a":
             link += 1
-        if name in INLINE and not attributes:
+        plain = not attributes.strip(" /")
+        hidden = not plain and bool(HIDDEN.search(attributes))
+        if name in INLINE:
+            if hidden:
+                stack.append(now()._replace(name=name, hidden=True))
             continue
-        if name in ("p", "li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == name:
-            stack.pop()
-            up_out, up_in = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        if name in ("html", "body"):
-            stack.append((name, False, False))
-            continue
-        own = name in OUT
-        stack.append((name, up_out or own or marked(name, attributes), up_in))
+        if name in ("p", "li", "dt", "dd", "td", "th", "tr", "option") and now().name == name:
+            close(len(stack) - 1)
+        up, article = now(), now().article
+        if name in ("article", "main") and not article:
+            for _ in range(WINDOW):
+                line("")
+            articles += 1
+            article = articles
+            outer[article] = up.marks
+        own = up.marks
+        by_name = name in OUT and not (name == "header" and up.article)
+        by_class = not plain and name not in ("html", "body") and not (name in ("article", "main") and not up.article) and named_out(attributes)
+        if by_name or by_class:
+            own |= {len(marks)}
+            marks.append(Mark(not by_name or name == "form"))
+        stack.append(Element(name, up.hidden or hidden, article, own, len(out)))
     flush()
-    return out
+    return out, marks
 
 
-def stretches(lengths: list[int], threshold: int) -> list[tuple[int, int]]:
-    """(surge, dive) pairs: from where a window sum reaches the threshold to where it falls to 0."""
-    found, start, run = [], None, sum(lengths[:WINDOW])
-    for i in range(len(lengths)):
-        if start is None and run >= threshold and lengths[i]:
+def stretches(lengths: list[float], threshold: float) -> list[tuple[int, int]]:
+    """(surge, dive) pairs: lines between windows of nothing, where some window's sum reaches the threshold; from the first line with text."""
+    found, start, dense = [], None, False
+    for i, n in enumerate(lengths):
+        run = sum(lengths[i : i + WINDOW])
+        if start is None and n:
             start = i
-        elif start is not None and not run:
-            found.append((start, i))
-            start = None
-        run += (lengths[i + WINDOW] if i + WINDOW < len(lengths) else 0) - lengths[i]
-    return [*found, (start, len(lengths))] if start is not None else found
+        dense |= start is not None and run >= threshold
+        if not run:
+            if dense:
+                found.append((start, i))
+            start, dense = None, False
+    return [*found, (start, len(lengths))] if dense else found
+
+
+def weighed(page: str) -> list[tuple[Line, float]]:
+    """Lines and their weights."""
+    every, marks = lines(page)
+    article = any(x.article and x.text for x in every)
+    prose = sum(x.loose for x in every)
+    stand = {k for k, m in enumerate(marks) if not m.wraps and not (m.by_class and not article and m.prose >= WRAPS and m.prose > MOST * prose)}
+    out = []
+    for x in every:
+        if x.marks & stand:
+            if not x.article:
+                out.append((x, 0.0))
+        elif x.article:
+            out.append((x, float(len(x.text))))
+        else:
+            out.append((x, x.loose * (OUTSIDE if article else 1.0)))
+    return out
 
 
 def main_text(page: str) -> str:
-    every = lines(page)
-    article = any(t and inside for t, _, inside in every)
-    lengths = [len(t) if inside and article else 0 if article else n for t, n, inside in every]
-    found = stretches(lengths, 1 if article else LOOSE)
-    if not article and found:
-        sums = [sum(lengths[a:b]) for a, b in found]
-        found = [x for x, n in zip(found, sums, strict=True) if n >= SHARE * max(sums)]
-    return "\n".join(every[i][0] for a, b in found for i in range(a, b) if lengths[i] and every[i][0])
+    every = weighed(page)
+    weights = [w for _, w in every]
+    densest = max((sum(weights[i : i + WINDOW]) for i in range(len(weights))), default=0)
+    if not densest:
+        return ""
+    found = stretches(weights, min(LOOSE, densest / 4))
+    sums = [sum(weights[a:b]) for a, b in found]
+    a, _ = found[sums.index(max(sums))]
+    best = every[a][0].article
+    kept = [f for f, n in zip(found, sums, strict=True) if n >= SHARE * max(sums) or (best and every[f[0]][0].article == best)]
+    return "\n".join(every[i][0].text for a, b in kept for i in range(a, b) if weights[i])
 
 
 def extract(pages: DataFrame) -> DataFrame:
