@@ -296,7 +296,7 @@ def repeats(docs: DataFrame, work: Workspace, hot: int = HOT) -> DataFrame:
                     waiting.add(group)
                     held += sum(len(r[4]) for r in group)
                     group, now = [], g
-                    if held > 8_000_000:
+                    if held > 3_000_000:
                         yield result(waiting.flush())
                         held = 0
                 group.append((doc, tie, a, at, context))
