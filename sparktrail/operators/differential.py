@@ -1,0 +1,94 @@
+"""Differential tests of programs: two versions of a function on the same inputs, as event rows for `compare`."""
+
+from __future__ import annotations
+
+import ast
+import json
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import interpret
+from ..sources import programs as text
+from . import compare
+
+EVENTS = "run_id string, side string, pos int, event string, task string, taken boolean, value string, exception string"
+
+
+def entry(source: str) -> str:
+    """The function to test: the driver if one calls its siblings, else the last one."""
+    tree = ast.parse(source)
+    name, _ = text.driver(tree)
+    own = text.siblings(tree)
+    return name if name in own else next(reversed(own), "")
+
+
+def parameters(source: str, function: str) -> dict[str, str]:
+    f = text.siblings(ast.parse(source)).get(function)
+    return {a.arg: ast.unparse(a.annotation) if a.annotation else "int" for a in (*f.args.posonlyargs, *f.args.args, *f.args.kwonlyargs)} if f else {}
+
+
+def literals(source: str) -> list[str]:
+    sides = [x for n in ast.walk(ast.parse(source)) if isinstance(n, ast.Compare) for x in (n.left, *n.comparators)]
+    return sorted({x.value for x in sides if isinstance(x, ast.Constant) and isinstance(x.value, str)})
+
+
+def inputs(programs: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """program, ord, input: n inputs as JSON for the function to test of each readable program(program, code)."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for program, code in zip(pdf["program"], pdf["code"], strict=True):
+                try:
+                    f = entry(code or "")
+                    made = interpret.random_inputs(parameters(code, f), literals(code), n, seed)
+                except (SyntaxError, ValueError):
+                    continue
+                out += [(program, k, json.dumps(x, sort_keys=True)) for k, x in enumerate(made)]
+            yield pd.DataFrame(out, columns=["program", "ord", "input"])
+
+    return programs.select("program", "code").mapInPandas(run, "program string, ord int, input string")
+
+
+def events(pairs: DataFrame) -> DataFrame:
+    """Events of both sides of each run. pairs: run_id, actual, expected (sources), input (JSON). A source that can't be read raises SyntaxError in its run."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                for side in ("actual", "expected"):
+                    source = getattr(r, side)
+                    try:
+                        found = interpret.observed(source, entry(source), json.loads(r.input))
+                    except (SyntaxError, ValueError):
+                        found = [("exception", None, None, None, "SyntaxError")]
+                    out += [(r.run_id, side, k, *e) for k, e in enumerate(found)]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")])
+
+    return pairs.select("run_id", "actual", "expected", "input").mapInPandas(run, EVENTS)
+
+
+def tested(variants: DataFrame, bases: DataFrame, n: int, mode: str = "strict", seed: int = 42) -> DataFrame:
+    """variant, base_uid, ord, input and what `compare.compared` tells of each run: variants against their base on inputs made from the base.
+
+    variants: variant, base_uid, code. bases: base_uid, code."""
+    made = inputs(bases.select(F.col("base_uid").cast("string").alias("program"), "code"), n, seed)
+    runs = variants.withColumnRenamed("code", "actual").join(bases.withColumnRenamed("code", "expected"), "base_uid")
+    runs = runs.join(made, F.col("base_uid").cast("string") == F.col("program")).withColumn("run_id", F.concat_ws("|", "variant", "ord"))
+    return runs.select("variant", "base_uid", "ord", "input", "run_id").join(compare.compared(events(runs), mode), "run_id")
+
+
+def outcomes(variants: DataFrame, bases: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """variant, ord, input, calls and returned of both sides, for `compare.admission`."""
+    made = inputs(bases.select(F.col("base_uid").cast("string").alias("program"), "code"), n, seed)
+    runs = variants.withColumnRenamed("code", "actual").join(bases.withColumnRenamed("code", "expected"), "base_uid")
+    runs = runs.join(made, F.col("base_uid").cast("string") == F.col("program")).withColumn("run_id", F.concat_ws("|", "variant", "ord"))
+    found = events(runs)
+    calls = lambda side: F.transform(F.array_sort(F.collect_list(F.when((F.col("side") == side) & (F.col("event") == "task_entry"), F.struct("pos", "task")))), lambda x: x["task"])
+    last = F.coalesce("value", F.concat(F.lit("__exception__:"), "exception"))
+    back = lambda side: F.max(F.when((F.col("side") == side) & F.col("event").isin("return_value", "exception"), last))
+    sides = found.groupBy("run_id").agg(calls("expected").alias("base_calls"), calls("actual").alias("variant_calls"), back("expected").alias("base_return"), back("actual").alias("variant_return"))
+    return runs.select("variant", "ord", "input", "run_id").join(sides, "run_id").drop("run_id")

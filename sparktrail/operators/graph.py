@@ -248,3 +248,102 @@ def lift_report(moves: DataFrame, key: str = "sys", initial: str = "initial") ->
         return [(len(states), tau, len(m) - tau, len(set(states) - {a for a, _, _ in m}), len(set(states) - live), len(m) - len(states) + 2)]
 
     return per_graph(moves, key, run, f"{key} string, states int, silent int, visible int, dead_ends int, unreachable int, complexity int")
+
+
+def ordering(dominated: DataFrame, pairs: DataFrame, key: str = "graph") -> DataFrame:
+    """graph, a, b, ordered, path: whether every way to b passes a, and the dominators from a on. dominated: as `dominators`; pairs: graph, a, b."""
+    d = dominated.select(key, F.col("node").alias("b"), "dominators")
+    out = pairs.join(d, [key, "b"], "left")
+    inside = F.coalesce(F.array_contains("dominators", F.col("a")), F.lit(False))
+    return out.select(key, "a", "b", inside.alias("ordered"), "dominators")
+
+
+def bisimilar(moves: DataFrame, pairs: DataFrame, key: str = "sys", initial: str = "initial") -> DataFrame:
+    """a, b, bisimilar, from the disjoint union of both systems of a pair: whether their first states share a block. moves: as `stuttering`; pairs: a, b."""
+    number = F.concat_ws("|", "a", "b")
+    sides = []
+    for side in ("a", "b"):
+        rows = pairs.join(moves, pairs[side] == moves[key])
+        own = lambda c, side=side: F.concat(F.lit(f"{side}."), F.col(c))
+        sides.append(rows.select("a", "b", number.alias("pair"), own("src").alias("src"), "label", own("dst").alias("dst"), own(initial).alias("first")))
+
+    def run(g: dict[str, list]) -> list[tuple]:
+        m, states = _moves(g), sorted({*_states(g), *g["first"]})
+        block = graphs.refine(states, m)
+        firsts = set(g["first"])
+        return [(g["a"][0], g["b"][0], len(firsts) == 2 and len({block[s] for s in firsts}) == 1)]
+
+    return per_graph(sides[0].unionByName(sides[1]), "pair", run, "pair string, a string, b string, bisimilar boolean").drop("pair")
+
+
+def collapsed(moves: DataFrame, key: str = "sys") -> DataFrame:
+    """sys, src, label, dst with each silent component as one state, named by its least."""
+
+    def run(g: dict[str, list]) -> list[tuple]:
+        return [(a, list(x), b) for a, x, b in graphs.collapse(_states(g), _moves(g))[1]]
+
+    return per_graph(moves, key, run, f"{key} string, src string, label array<string>, dst string")
+
+
+def unrolled(edges: DataFrame, copies: int = 3, key: str = "graph") -> DataFrame:
+    """graph, src, label, dst, trap: loop nodes as `copies` iterations, and a trap state behind the last one.
+
+    edges: graph, src, src_loop (whether src is a loop node), label, dst, dst_loop. A loop's body is what its ways out reach; ways in from there are
+    ways back. Entries go to the first copy; a way back goes to every later copy and to the trap. Loops are taken in order of their names."""
+
+    def run(g: dict[str, list]) -> list[tuple]:
+        now = [(a, x, b) for a, x, b in zip(g["src"], g["label"], g["dst"], strict=True) if b is not None]
+        loops = {a for a, ok in zip(g["src"], g["src_loop"], strict=True) if ok} | {b for b, ok in zip(g["dst"], g["dst_loop"], strict=True) if ok}
+        for loop in sorted(loops):
+            plain = [(a, b) for a, _, b in now if a != loop]
+            body = graphs.reach([b for a, _, b in now if a == loop and b != loop], [(a, b) for a, b in plain if b != loop])
+            back, entry = [e for e in now if e[2] == loop and e[0] in body], [e for e in now if e[2] == loop and e[0] not in body and e[0] != loop]
+            ahead, rest = [e for e in now if e[0] == loop and e[2] != loop], [e for e in now if loop not in (e[0], e[2])]
+            if not back and not ahead:
+                continue
+            names = [f"{loop}_iter_{k}" for k in range(copies)]
+            trap = f"{loop}_loop_exceeds_bound_error"
+            now = rest + [(a, x, names[0]) for a, x, _ in entry] + [(n, x, b) for n in names for _, x, b in ahead]
+            now += [(a, x, n) for n in names[1:] for a, x, _ in back] + [(a, x, trap) for a, x, _ in back]
+        return sorted({(a, x, b, b.endswith("_loop_exceeds_bound_error")) for a, x, b in now}, key=repr)
+
+    return per_graph(edges, key, run, f"{key} string, src string, label string, dst string, trap boolean")
+
+
+def reachability_monitor(label: str) -> list[tuple[str, str, str]]:
+    """Moves (src, label, dst) of a monitor that is violated once it sees the label; it stays where it is on any other."""
+    return [("ok", label, "violated")]
+
+
+def loop_bound_monitor() -> list[tuple[str, str, str]]:
+    """A monitor without moves of its own: the system's trap states violate it."""
+    return []
+
+
+def monitored(moves: DataFrame, monitors: dict[str, list[tuple[str, str, str]]], key: str = "sys", initial: str = "initial", trap: str = "_loop_exceeds_bound_error") -> DataFrame:
+    """sys, monitor, violated, run: whether the product of a system and a monitor reaches a violation, and the labels of the shortest way there (the least of equal ones)."""
+
+    def run(g: dict[str, list]) -> list[tuple]:
+        out, ways = [], {}
+        for a, label, b in _moves(g):
+            ways.setdefault(a, []).append((label, b))
+        for name, steps in monitors.items():
+            delta = {(s, x): t for s, x, t in steps}
+            seen, level, found = set(), [((), g[initial][0], "ok")], None
+            while level and found is None:
+                ahead = []
+                for line, s, m in sorted(level):
+                    if m == "violated" or s.endswith(trap):
+                        found = line
+                        break
+                    if (s, m) in seen:
+                        continue
+                    seen.add((s, m))
+                    for label, t in ways.get(s, ()):
+                        to = next((delta[m, x] for x in label if (m, x) in delta), m)
+                        ahead.append(((*line, " & ".join(label)) if label else line, t, to))
+                level = ahead
+            out.append((name, found is not None, list(found or ())))
+        return out
+
+    return per_graph(moves, key, run, f"{key} string, monitor string, violated boolean, run array<string>")

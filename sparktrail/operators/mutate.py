@@ -48,6 +48,10 @@ registry: dict[str, Callable[[DataFrame], DataFrame]] = {f.__name__: f for f in
 
 def behaviour_changes(original: DataFrame, mutant: DataFrame) -> DataFrame:
     """mutant: those whose set of traces differs from the original's. original: trace; mutant: mutant, trace."""
-    base = original.agg(F.sort_array(F.collect_set("trace")).alias("_o"))
-    own = mutant.groupBy("mutant").agg(F.sort_array(F.collect_set("trace")).alias("_m"))
-    return own.crossJoin(F.broadcast(base)).filter("_m <> _o").select("mutant")
+    base = original.select("trace").distinct()
+    own = mutant.select("mutant", "trace").distinct()
+    known = own.join(base.withColumn("_k", F.lit(1)), "trace", "left")
+    counts = known.groupBy("mutant").agg(F.count("*").alias("_n"), F.count("_k").alias("_both"))
+    # sets are equal if all of the mutant's traces are known and as many as there are; the total is one number
+    total = base.count()
+    return counts.filter((F.col("_both") < F.col("_n")) | (F.col("_both") < total)).select("mutant")

@@ -69,8 +69,9 @@ def properties(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                         rows += [("P1", f"G({f}({name[x]}) <-> {f}({name[y]}))") for f in ("start", "done")]
         if any(x == y for x, y in pairs) or len(set(graphs.components(kind, pairs).values())) < len(kind):
             rows.append(("P2", "G(start -> F(done))"))
-        every = graphs.paths(starts, ends, pairs, True, len(kind) + 1, 10_000)
-        needed = set.intersection(*map(set, every)) if every else set()
+        # a task is on every way if no end can be reached without it; paths aren't listed
+        around = lambda t: graphs.reach([s for s in starts if s != t], [(x, y) for x, y in pairs if t not in (x, y)]) & ends
+        needed = {t for t in tasks if not around(t) - {t}} if graphs.reach(starts, pairs) & ends else set()
         rows += [("P4", f"F(done({name[t]}))" if t in needed else f"G(start({name[t]}) -> F(done({name[t]})))") for t in tasks if kind[t] in TASKS]
         return pd.DataFrame([(key[0], tier, i, f) for i, (tier, f) in enumerate(rows)], columns=["graph", "tier", "ord", "formula"])
 

@@ -40,8 +40,14 @@ def variants(df: DataFrame, case: str, order: list[str], atom: str) -> DataFrame
 
 def stratified_split(df: DataFrame, key: str, stratum: str, seed: str) -> DataFrame:
     """Adds `calibration`: the first half (rounded down) of each stratum by a seeded hash."""
-    by = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key)
-    return df.withColumn("calibration", F.row_number().over(by) <= F.floor(F.count("*").over(Window.partitionBy(stratum)) / 2))
+    # hashes fall in 256 buckets by their first byte; bucket counts are added up, so no task has to sort a whole stratum
+    rows = df.withColumn("_h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))).withColumn("_k", F.substring("_h", 1, 2))
+    rows = rows.withColumn("_in", F.row_number().over(Window.partitionBy(stratum, "_k").orderBy("_h", key)))
+    sizes = rows.groupBy(F.col(stratum).alias("_s"), F.col("_k").alias("_b")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_s", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy("_s")).alias("_all"))
+    rows = rows.join(sizes, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_k") == F.col("_b")))
+    return rows.withColumn("calibration", F.col("_before") + F.col("_in") <= F.floor(F.col("_all") / 2)).select(*df.columns, "calibration")
 
 
 def drop_step(steps: DataFrame, case: str, atom: str) -> DataFrame:

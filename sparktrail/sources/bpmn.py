@@ -16,9 +16,52 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def checked(diagrams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Diagrams that parse, and those that don't with a reason."""
-    ok = F.col("xml").rlike(r"(?s)<(?:\w+:)?definitions\b.*</(?:\w+:)?definitions>\s*\z")
-    return diagrams.filter(ok), diagrams.filter(~ok).withColumn("reason", F.lit("not a complete definitions document"))
+    """Diagrams that the parser takes and whose root is a definitions element, and the others with a reason."""
+
+    def run(batches):
+        import xml.etree.ElementTree as ET
+
+        def why(text):
+            try:
+                root = ET.fromstring(text or "")
+            except ET.ParseError as e:
+                return f"not well-formed: {e}"
+            return None if root.tag.rsplit("}", 1)[-1] == "definitions" else "no definitions element"
+
+        for pdf in batches:
+            yield pdf.assign(reason=[why(x) for x in pdf["xml"]])
+
+    told = diagrams.select("graph", "xml").mapInPandas(run, "graph string, xml string, reason string")
+    return told.filter("reason IS NULL").drop("reason"), told.filter("reason IS NOT NULL")
+
+
+def elements(diagrams: DataFrame) -> DataFrame:
+    """graph, type, node, shown: every element of readable diagrams, with its id; `shown` ones belong to the drawing. For recovery and for kinds that aren't known."""
+
+    def run(batches):
+        import xml.etree.ElementTree as ET
+
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for graph, text in zip(pdf["graph"], pdf["xml"], strict=True):
+                todo = [(ET.fromstring(text), False)]
+                for e, shown in todo:
+                    kind = e.tag.rsplit("}", 1)[-1]
+                    shown = shown or kind == "BPMNDiagram"
+                    out.append((graph, kind, e.get("id"), shown))
+                    todo += [(c, shown) for c in e]
+            yield pd.DataFrame(out, columns=["graph", "type", "node", "shown"])
+
+    return checked(diagrams)[0].mapInPandas(run, "graph string, type string, node string, shown boolean")
+
+
+def recovery(diagrams: DataFrame) -> DataFrame:
+    """graph, type, node: flow nodes anywhere in a diagram that `parsed` hasn't mapped, in diagrams where it has left some out."""
+    mapped = parsed(checked(diagrams)[0])[0]
+    found = elements(diagrams).filter(~F.col("shown") & F.col("type").isin(NODE_TYPES) & F.col("node").isNotNull())
+    return found.select("graph", "type", "node").join(mapped.select("graph", "node"), ["graph", "node"], "left_anti")
 
 
 def _all(kind: str, attribute: str):

@@ -44,6 +44,42 @@ def manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return df.filter("base_uid IS NULL").select("uid", "tags", "params", "source_file"), df.filter("base_uid IS NOT NULL").drop("uid", "tags", "params")
 
 
+def yaml_cases(spark: SparkSession, path: str) -> DataFrame:
+    """uid, tags, sequence of the test cases in YAML files (`tests`, each with `_metadata` and `expected_output.sequence`); a file is read by one task."""
+
+    def run(batches):
+        import pandas as pd
+        import yaml
+
+        for pdf in batches:
+            out = []
+            for text in pdf["value"]:
+                for t in (yaml.safe_load(text) or {}).get("tests", []):
+                    meta = t["_metadata"]
+                    out.append((meta["uid"], [str(x) for x in meta.get("tags", [])], t["expected_output"]["sequence"][0]))
+            yield pd.DataFrame(out, columns=["uid", "tags", "sequence"])
+
+    return spark.read.text(path, wholetext=True).mapInPandas(run, "uid long, tags array<string>, sequence string")
+
+
+def pairs(spark: SparkSession, path: str, most: int = 150) -> DataFrame:
+    """name, path: the first diagrams of a directory tree in order of their paths, named by them. The cap is the feature: a bounded set of pairs."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bpmn").option("recursiveFileLookup", True).load(path).select("path")
+    root = path.rstrip("/").split("://")[-1].rstrip("/") + "/"
+    inner = F.regexp_replace(F.element_at(F.split("path", rf"\Q{root}\E"), -1), r"\.bpmn$", "")
+    return files.select(F.concat(F.lit("model_"), F.lower(F.regexp_replace(inner, "[^A-Za-z0-9_]", "_"))).alias("name"), "path").orderBy("path").limit(most)
+
+
+def typed_variables(df: DataFrame, column: str) -> DataFrame:
+    """program, variable, known: the variables that a control-flow JSON declares; of a type that isn't resolved as name_ANY."""
+    text = lambda p, t: F.from_json(F.get_json_object(column, p), t)
+    plain = df.select("program", F.explode(F.concat(F.coalesce(text("$.control_variables", "array<string>"), F.array().cast("array<string>")), F.coalesce(text("$.data_variables", "array<string>"), F.array().cast("array<string>")))).alias("variable"), F.lit(True).alias("known"))
+    typed = df.select("program", F.explode(text("$.types", "map<string,string>")).alias("v", "t"))
+    loose = F.col("t").isin("Any", "Union", "Unresolved")
+    typed = typed.select("program", F.when(loose, F.concat("v", F.lit("_ANY"))).otherwise(F.col("v")).alias("variable"), (~loose).alias("known"))
+    return plain.unionByName(typed).distinct()
+
+
 def last_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key, as a CSV of results that was appended to."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("_r = 1").drop("_r")
