@@ -487,3 +487,6 @@ def representative_topk(spark, d):
 @query("WITH s AS (SELECT conv_id, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nx, turn FROM conversations), v AS (SELECT conv_id, max(turn) FILTER (role = 'user') AS lu, max(turn) FILTER (role = 'assistant') AS la FROM s GROUP BY conv_id) SELECT conv_id, lu IS NULL OR coalesce(la >= lu, false) AS answered FROM v")
 def conversation_answered(spark, d):
     return temporal.verdicts(table(spark, d, "conversations"), {"answered": "G(user -> F(assistant))"}, "conv_id", ["turn"], "role")
+
+
+from . import queries_more  # noqa: E402, F401  (registers further queries in the same dictionaries)
