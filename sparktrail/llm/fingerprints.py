@@ -38,15 +38,18 @@ PRIME = np.uint64(0x100000001B3)
 
 
 BACK = pow(int(PRIME), -1, 1 << 64)
+#: Bytes of a text that are hashed at a time; tables of powers of more than KEPT entries aren't kept.
+BLOCK, KEPT = 1 << 20, 1 << 22
 _TABLES: dict[int, np.ndarray] = {}
 
 
 def powers(n: int, base: int = int(PRIME)) -> np.ndarray:
-    """base ** i modulo 2**64 for i < n; kept, and doubled as needed."""
+    """base ** i modulo 2**64 for i < n; doubled as needed, and kept up to KEPT entries."""
     table = _TABLES.get(base, np.ones(1, dtype=np.uint64))
     while len(table) < n:
         table = np.concatenate([table, table * np.array([pow(base, len(table), 1 << 64)], dtype=np.uint64)])
-    _TABLES[base] = table
+        if len(table) <= KEPT:
+            _TABLES[base] = table
     return table[:n]
 
 
@@ -60,25 +63,45 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
-    """A 32-bit hash of the WINDOW bytes up to each byte (fewer at the start)."""
-    total = np.zeros(len(data), dtype=np.uint32)
-    for k in range(min(WINDOW, len(data))):
-        total[k:] += (data[: len(data) - k].astype(np.uint32) + np.uint32(1)) * np.uint32(pow(0x01000193, k + 1, 1 << 32))
-    total ^= total >> np.uint32(15)
-    total *= np.uint32(0x2C1B3C6D)
-    return total ^ (total >> np.uint32(12))
+    """A 32-bit hash of the WINDOW bytes up to each byte (fewer at the start), block by block."""
+    out = np.empty(len(data), dtype=np.uint32)
+    for lo in range(0, len(data), BLOCK):
+        first = max(0, lo - WINDOW + 1)
+        part = data[first : lo + BLOCK]
+        total = np.zeros(len(part), dtype=np.uint32)
+        for k in range(min(WINDOW, len(part))):
+            total[k:] += (part[: len(part) - k].astype(np.uint32) + np.uint32(1)) * np.uint32(pow(0x01000193, k + 1, 1 << 32))
+        total ^= total >> np.uint32(15)
+        total *= np.uint32(0x2C1B3C6D)
+        out[lo : lo + BLOCK] = (total ^ (total >> np.uint32(12)))[lo - first :]
+    return out
+
+
+def sums_at(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Sums of (byte + 1) * PRIME ** place of all bytes before each of the rising places, block by block."""
+    out, total = np.zeros(len(places), dtype=np.uint64), 0
+    for lo in range(0, len(data), BLOCK):
+        part = data[lo : lo + BLOCK]
+        run = np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers(len(part)))
+        a, b = np.searchsorted(places, [lo + 1, lo + len(part) + 1])
+        shift = pow(int(PRIME), lo, 1 << 64)
+        out[a:b] = run[places[a:b] - lo - 1] * np.uint64(shift) + np.uint64(total)
+        total = (total + int(run[-1]) * shift) % (1 << 64)
+    return out
+
+
+def chunk_ends(ends: np.ndarray, n: int) -> np.ndarray:
+    """Where the chunks of a text of n bytes end, LENGTH of them at most."""
+    cuts = ends[: LENGTH - 1] + 1
+    return cuts if len(cuts) and cuts[-1] == n else np.append(cuts, n)
 
 
-def signature(prefix: np.ndarray, ends: np.ndarray, n: int) -> str:
-    """prefix: running sums of byte * PRIME ** place. A chunk's difference of sums, moved to place 0 by the inverse power, is its hash."""
-    if n == 0:
-        return ""
-    cuts = ends[: LENGTH - 1] + 1
-    if len(cuts) == 0 or cuts[-1] != n:
-        cuts = np.append(cuts, n)
-    starts = np.concatenate([[0], cuts[:-1]])
-    sums = (prefix[cuts] - prefix[starts]) * powers(n, BACK)[starts]
-    return "".join(CODE[i] for i in (mixed(sums + (cuts - starts).astype(np.uint64)) & np.uint64(63)).tolist())
+def signature(marks: np.ndarray, sums: np.ndarray, cuts: np.ndarray) -> str:
+    """sums: those of `sums_at` at the marks, 0 and all cuts among them. A chunk's difference of sums, moved to place 0 by the inverse power, is its hash."""
+    starts, n = np.concatenate([[0], cuts[:-1]]), int(cuts[-1])
+    back = powers(n, BACK)[starts] if n <= BLOCK else np.array([pow(BACK, s, 1 << 64) for s in starts.tolist()], dtype=np.uint64)
+    hashes = (sums[np.searchsorted(marks, cuts)] - sums[np.searchsorted(marks, starts)]) * back
+    return "".join(CODE[i] for i in (mixed(hashes + (cuts - starts).astype(np.uint64)) & np.uint64(63)).tolist())
 
 
 def fingerprint(raw: bytes) -> str:
@@ -87,8 +110,6 @@ def fingerprint(raw: bytes) -> str:
         return f"{SMALLEST}::"
     data = np.frombuffer(raw, dtype=np.uint8)
     roll = rolling(data)
-    prefix = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(n), out=prefix[1:])
     size = SMALLEST
     while size * LENGTH < n:
         size *= 2
@@ -98,12 +119,18 @@ def fingerprint(raw: bytes) -> str:
         """Places where the hash is -1 modulo s; those of 2s are among those of s."""
         if s not in ends:
             of = ends.get(s // 2)
-            ends[s] = np.flatnonzero(roll % np.uint32(s) == s - 1) if of is None else of[roll[of] % np.uint32(s) == s - 1]
+            if of is None:
+                ends[s] = np.concatenate([lo + np.flatnonzero(roll[lo : lo + BLOCK] % np.uint32(s) == s - 1) for lo in range(0, n, BLOCK)])
+            else:
+                ends[s] = of[roll[of] % np.uint32(s) == s - 1]
         return ends[s]
 
     while size > SMALLEST and len(at(size)) + 1 < LENGTH // 2:
         size //= 2
-    return f"{size}:{signature(prefix, at(size), n)}:{signature(prefix, at(2 * size), n)}"
+    one, two = chunk_ends(at(size), n), chunk_ends(at(2 * size), n)
+    marks = np.unique(np.concatenate([[0], one, two]))
+    sums = sums_at(data, marks)
+    return f"{size}:{signature(marks, sums, one)}:{signature(marks, sums, two)}"
 
 
 def distance(a: str, b: str) -> int:

@@ -37,6 +37,65 @@ def test_fingerprint_is_local_and_stable():
     assert fp.fingerprint(b"") == "3::" and fp.likeness("3::", "3::") == 1.0 and fp.likeness("3::", whole) == 0.0
 
 
+def mixed64(x):
+    x ^= x >> 33
+    x = x * 0xFF51AFD7ED558CCD % 2**64
+    x ^= x >> 33
+    x = x * 0xC4CEB9FE1A85EC53 % 2**64
+    return x ^ x >> 33
+
+
+def brute(raw):
+    """The fingerprint from its definition, byte by byte."""
+    if not raw:
+        return "3::"
+
+    def roll(i):
+        t = sum((raw[i - k] + 1) * pow(0x01000193, k + 1, 2**32) for k in range(min(7, i + 1))) % 2**32
+        t ^= t >> 15
+        t = t * 0x2C1B3C6D % 2**32
+        return t ^ t >> 12
+
+    rolls = [roll(i) for i in range(len(raw))]
+
+    def chunks(size):
+        out, now = [], b""
+        for i, r in enumerate(rolls):
+            now += raw[i : i + 1]
+            if r % size == size - 1 and len(out) < 63:
+                out.append(now)
+                now = b""
+        return out + [now] * bool(now)
+
+    def sign(size):
+        return "".join(fp.CODE[mixed64((sum((b + 1) * pow(0x100000001B3, j, 2**64) for j, b in enumerate(c)) + len(c)) % 2**64) % 64] for c in chunks(size))
+
+    size = 3
+    while size * 64 < len(raw):
+        size *= 2
+    while size > 3 and sum(r % size == size - 1 for r in rolls) + 1 < 32:
+        size //= 2
+    return f"{size}:{sign(size)}:{sign(2 * size)}"
+
+
+def test_fingerprint_by_its_definition_in_blocks_of_any_size(monkeypatch):
+    rng = random.Random(12)
+    raws = [b"", b"a", b"abcdefg", b"x" * 3000, b"ab" * 700]
+    raws += [bytes(rng.choice(b"abcdefgh \n\xc3\xa9") for _ in range(rng.randint(1, 4000))) for _ in range(25)]
+    want = [brute(r) for r in raws]
+    assert [fp.fingerprint(r) for r in raws] == want
+    for block in (7, 64, 1000):
+        monkeypatch.setattr(fp, "BLOCK", block)
+        assert [fp.fingerprint(r) for r in raws] == want
+
+
+def test_a_very_long_text_takes_bounded_tables():
+    raw = random.Random(4).randbytes(9 << 20)
+    tail = fp.fingerprint(raw[: 7 << 20])
+    assert fp.likeness(fp.fingerprint(raw), fp.fingerprint(raw[:5000] + b"changed" + raw[5000:])) > 0.9 and tail
+    assert all(len(t) <= fp.KEPT for t in fp._TABLES.values())
+
+
 def test_neighbours(spark):
     rng = random.Random(5)
     rows = [(rng.randint(0, 10**9), " ".join(rng.choice(["été", "word", "more", f"w{i}"]) for _ in range(rng.randint(0, 90))), "x") for i in range(400)]

@@ -5,8 +5,19 @@ from collections import defaultdict
 from sparktrail.llm import sharding
 
 
+def starts(sizes, capacity):
+    """Where shards 1, 2, ... start if each takes as much as it holds."""
+    out, held = [], 0
+    for i, n in enumerate(sizes):
+        if held + n > capacity:
+            out.append(i)
+            held = 0
+        held += n
+    return out
+
+
 def exact(sizes, shards):
-    return next(c for c in range(max([*sizes, -(-sum(sizes) // shards)]), sum(sizes) + 1) if sharding.greedy(sizes, c, shards) is not None)
+    return next(c for c in range(max([*sizes, -(-sum(sizes) // shards)]), sum(sizes) + 1) if len(starts(sizes, c)) < shards)
 
 
 def test_capacity_is_the_smallest(spark):
@@ -19,7 +30,7 @@ def test_capacity_is_the_smallest(spark):
         groups = spark.createDataFrame(list(zip(keys, sizes)), "key long, n long")
         points, capacity = sharding.cut_points(groups, 24)
         assert capacity == exact(sizes, 24)
-        assert [keys[i] for i in sharding.greedy(sizes, capacity, 24)] == points
+        assert [keys[i] for i in starts(sizes, capacity)] == points
 
 
 def test_rows(spark):
@@ -38,5 +49,15 @@ def test_rows(spark):
     assert len(sizes) == 24
 
 
+def test_a_very_long_text_sets_the_capacity(spark):
+    rows = [(i, f"text {i} " * 9) for i in range(300)] + [(9000, "é long " * 300_000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    long = next(r for r in got if r.doc_id == 9000)
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r.shard] += r.size
+    assert len(got) == 301 and long.size == 8 * 300_000 + 8 == max(sizes.values()) and long.text_crc32 == zlib.crc32(rows[-1][1].encode())
+
+
 def test_empty(spark):
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
