@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import fingerprints, html, jaccard_join, mixing, packing, quality, secrets, sharding, suffix_dedup, unigram
+from . import centroids, collocations, fingerprints, html, jaccard_join, mixing, packing, quality, secrets, sharding, suffix_dedup, unigram
 from .common import table
 
 
@@ -48,8 +48,18 @@ def op6_minimax_shards(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_blocks, op2_jaccard_join, op3_piecewise_hashes, op4_packed_ids, op5_curriculum_mix, op6_minimax_shards, op7_unigram_pieces, op8_deep_shallow_dedup, op9_random_secrets, op10_quality_rules)}
+def op11_phrase_tries(spark, sf_dir):
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_weighted_lloyd(spark, sf_dir):
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_blocks, op2_jaccard_join, op3_piecewise_hashes, op4_packed_ids, op5_curriculum_mix, op6_minimax_shards, op7_unigram_pieces, op8_deep_shallow_dedup, op9_random_secrets, op10_quality_rules, op11_phrase_tries, op13_weighted_lloyd)}
 ORACLES: dict[str, str] = {
+    "op11_phrase_tries": collocations.SQL,
+    "op13_weighted_lloyd": centroids.sql(),
     "op10_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
