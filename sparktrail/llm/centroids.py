@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
@@ -152,11 +152,16 @@ def lloyd(distinct: DataFrame, centroids: list[list[int]], rounds: int) -> list[
     return centroids
 
 
+def key_of() -> Column:
+    """The SHA-256 of a vector, which stands for it in the join back."""
+    return F.unhex(F.sha2("q", 256))
+
+
 def cluster(vectors: DataFrame, k: int = 8, rounds: int = 10, size: int = 64, scale: int = 1024, salt: str = "3", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256: one row a row that is kept."""
     spark = vectors.sparkSession
     work = Workspace(spark, "centroids")
-    rows = work.keep(packed(vectors, size, scale, key, vector).withColumn("key", F.unhex(F.sha2("q", 256))), "rows")
+    rows = work.keep(packed(vectors, size, scale, key, vector).withColumn("key", key_of()), "rows")
     rank = F.sha2(F.concat(F.lit(f"{salt}:"), F.col("vec_id").cast("string")).cast("binary"), 256)
     first = rows.filter(F.col("vec_id").isNotNull()).select(rank.alias("rank"), "q").orderBy("rank", "q").limit(k).collect()
     schema = f"vec_id {rows.schema['vec_id'].dataType.simpleString()}, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string"
@@ -166,7 +171,7 @@ def cluster(vectors: DataFrame, k: int = 8, rounds: int = 10, size: int = 64, sc
     for r in first:
         _, x, _, y = unpacked(pa.array([bytes(r.q)], pa.binary()), size)
         starts.append([int(v) for v in (*x, *y)[0]])
-    distinct = work.keep(rows.groupBy("q").agg(F.count("*").alias("n"), F.first("key").alias("key")), "distinct")
+    distinct = work.keep(rows.groupBy("q").agg(F.count("*").alias("n")).withColumn("key", key_of()), "distinct")
     centroids = lloyd(distinct, starts, rounds)
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

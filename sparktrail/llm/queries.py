@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import centroids, collocations, fingerprints, html, jaccard_join, mixing, packing, quality, secrets, sharding, suffix_dedup, unigram
+from . import byte_pairs, centroids, collocations, fingerprints, html, jaccard_join, mixing, packing, quality, secrets, sharding, suffix_dedup, unigram
 from .common import table
 
 
@@ -52,11 +52,15 @@ def op11_phrase_tries(spark, sf_dir):
     return collocations.phrases(table(spark, sf_dir, "documents"))
 
 
+def op12_recursive_bpe(spark, sf_dir):
+    return byte_pairs.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op13_weighted_lloyd(spark, sf_dir):
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_blocks, op2_jaccard_join, op3_piecewise_hashes, op4_packed_ids, op5_curriculum_mix, op6_minimax_shards, op7_unigram_pieces, op8_deep_shallow_dedup, op9_random_secrets, op10_quality_rules, op11_phrase_tries, op13_weighted_lloyd)}
+QUERIES = {f.__name__: f for f in (op1_line_blocks, op2_jaccard_join, op3_piecewise_hashes, op4_packed_ids, op5_curriculum_mix, op6_minimax_shards, op7_unigram_pieces, op8_deep_shallow_dedup, op9_random_secrets, op10_quality_rules, op11_phrase_tries, op12_recursive_bpe, op13_weighted_lloyd)}
 ORACLES: dict[str, str] = {
     "op11_phrase_tries": collocations.SQL,
     "op13_weighted_lloyd": centroids.sql(),
