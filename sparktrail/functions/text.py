@@ -90,24 +90,6 @@ def lcs_length(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.coalesce(F.array_max(F.aggregate(a, row, step)), F.lit(0)))
 
 
-def _lcs_bits(a: list, b: list) -> int:
-    at: dict = {}
-    for i, x in enumerate(b):
-        if x is not None:
-            at[x] = at.get(x, 0) | 1 << i
-    full = (1 << len(b)) - 1
-    row = full
-    for x in a:
-        both = row & at.get(x, 0)
-        row = (row + both | row - both) & full
-    return len(b) - row.bit_count()
-
-
-def lcs_bits(a: Column, b: Column) -> Column:
-    """As lcs_length, for long arrays: a row of the table is the bits of one integer (Hyyro)."""
-    return F.udf(_lcs_bits, "bigint", useArrow=False)(a, b)
-
-
 def lcs_similarity(a: Column, b: Column) -> Column:
     longest = F.greatest(F.size(a), F.size(b))
     return F.when(longest == 0, 1.0).otherwise(lcs_length(a, b) / longest)

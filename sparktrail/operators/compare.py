@@ -7,8 +7,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import lcs_bits
+from ..functions import sequences
 
+EVENTS = "run_id string, side string, pos int, event string, task string, taken boolean, value string, exception string"
 TASKS = ["task_entry", "task_exit"]
 #: Least similarity that passes, and how many divergences are told.
 PASS, TOLD = 0.95, 5
@@ -22,8 +23,8 @@ def without_helpers(events: DataFrame) -> DataFrame:
     return events.filter(~silent).unionByName(named)
 
 
-def items(events: DataFrame, mode: str = "strict") -> DataFrame:
-    """run_id, side, pos, item: what is compared. In task_only mode branch points go.
+def items(events: DataFrame) -> DataFrame:
+    """run_id, side, pos, item, branch: what is compared. In task_only mode branch points go.
 
     A branch's direction counts only if all branch points of both sides have one, a return value only if both sides returned."""
     events = without_helpers(events)
@@ -31,63 +32,41 @@ def items(events: DataFrame, mode: str = "strict") -> DataFrame:
     has = lambda side: F.coalesce(F.bool_or(back & (F.col("side") == side)), F.lit(False))
     whole = events.groupBy("run_id").agg(F.coalesce(F.bool_and(F.when(branch, F.col("taken").isNotNull())), F.lit(True)).alias("_t"), (has("actual") & has("expected")).alias("_b"))
     df = events.join(whole, "run_id").filter(~back | F.col("_b"))
-    if mode == "task_only":
-        df = df.filter(~branch)
     item = (
         F.when(F.col("event").isin(TASKS), F.concat_ws(":", "event", F.coalesce("task", F.lit(""))))
-        .when(branch, F.when(F.col("_t") & F.lit(mode == "strict"), F.concat_ws(":", "event", F.col("taken").cast("string"))).otherwise(F.col("event")))
+        .when(branch, F.when(F.col("_t"), F.concat_ws(":", "event", F.col("taken").cast("string"))).otherwise(F.col("event")))
         .when(F.col("event") == "exception", F.concat_ws(":", "event", F.coalesce("exception", F.lit(""))))
         .when(back, F.concat_ws(":", "event", F.coalesce("value", F.lit("None"))))
     )
-    return df.select("run_id", "side", "pos", item.alias("item")).filter("item IS NOT NULL")
-
-
-def _divergences(a: list[str], b: list[str]) -> list[tuple[str, int, str]]:
-    """The last TOLD places where two sequences part along one longest common subsequence, in order."""
-    rows = [[0] * (len(b) + 1)]
-    for x in a:
-        row = [0]
-        for j, y in enumerate(b):
-            row.append(rows[-1][j] + 1 if x == y else max(rows[-1][j + 1], row[j]))
-        rows.append(row)
-    i, j, out = len(a), len(b), []
-    while (i or j) and len(out) < TOLD:
-        if i and j and a[i - 1] == b[j - 1]:
-            i, j = i - 1, j - 1
-        elif i and (not j or rows[i - 1][j] >= rows[i][j - 1]):
-            i -= 1
-            out.append(("extra_in_actual", i, a[i]))
-        else:
-            j -= 1
-            out.append(("missing_in_actual", j, b[j]))
-    return out[::-1]
-
-
-def divergences(actual: Column, expected: Column) -> Column:
-    """array of (kind, at, item). The table of both sequences must fit in memory."""
-    return F.udf(_divergences, "array<struct<kind: string, at: int, item: string>>", useArrow=False)(actual, expected)
+    return df.select("run_id", "side", "pos", item.alias("item"), branch.alias("branch")).filter("item IS NOT NULL")
 
 
 def _sequences(parts: DataFrame) -> DataFrame:
-    rows = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("pos", "item")))), lambda x: x["item"])
-    return parts.groupBy("run_id").agg(rows("actual").alias("actual"), rows("expected").alias("expected"))
+    """run_id, mode, actual, expected: both sides' items in order, in both modes, from one pass."""
+    side = lambda s, keep: F.transform(F.array_sort(F.collect_list(F.when((F.col("side") == s) & keep, F.struct("pos", "item")))), lambda x: x["item"])
+    both = [(mode, F.struct(F.lit(mode).alias("mode"), side("actual", keep).alias("actual"), side("expected", keep).alias("expected"))) for mode, keep in (("strict", F.lit(True)), ("task_only", ~F.col("branch")))]
+    return parts.groupBy("run_id").agg(F.array(*[s for _, s in both]).alias("_m")).select("run_id", F.inline("_m"))
 
 
-def compared(events: DataFrame, mode: str = "strict") -> DataFrame:
-    """run_id, actual, expected, lcs_length, similarity, passed, divergences. A run with nothing to compare passes."""
-    every = events.select("run_id").distinct()
-    seq = every.join(_sequences(items(events, mode)), "run_id", "left")
+def both_modes(events: DataFrame, told: int | None = TOLD) -> DataFrame:
+    """run_id, mode, actual, expected, lcs_length, similarity, passed, parted, divergences: every run in strict and in task_only mode.
+
+    A run with nothing to compare passes. `parted` counts all divergences; the last `told` are listed (all for None)."""
+    modes = F.explode(F.array(F.lit("strict"), F.lit("task_only"))).alias("mode")
+    every = events.select("run_id").distinct().select("run_id", modes)
+    seq = every.join(_sequences(items(events)), ["run_id", "mode"], "left")
     empty = F.array().cast("array<string>")
-    seq = seq.select("run_id", *[F.coalesce(c, empty).alias(c) for c in ("actual", "expected")])
+    seq = seq.select("run_id", "mode", *[F.coalesce(c, empty).alias(c) for c in ("actual", "expected")])
     longest = F.greatest(F.size("actual"), F.size("expected"))
-    out = seq.withColumn("lcs_length", lcs_bits(F.col("actual"), F.col("expected")))
+    out = seq.withColumn("lcs_length", sequences.common_length(F.col("actual"), F.col("expected")))
     out = out.withColumn("similarity", F.when(longest == 0, 1.0).otherwise(F.col("lcs_length") / longest))
-    return out.withColumn("passed", F.col("similarity") >= PASS).withColumn("divergences", divergences(F.col("actual"), F.col("expected")))
+    out = out.withColumn("passed", F.col("similarity") >= PASS).withColumn("parted", F.size("actual") + F.size("expected") - 2 * F.col("lcs_length"))
+    return out.withColumn("divergences", sequences.parting_places(F.col("actual"), F.col("expected"), told))
 
 
-def both_modes(events: DataFrame) -> DataFrame:
-    """The comparison in strict and in task_only mode, with `mode`."""
-    return compared(events, "strict").withColumn("mode", F.lit("strict")).unionByName(compared(events, "task_only").withColumn("mode", F.lit("task_only")))
+def compared(events: DataFrame, mode: str = "strict", told: int | None = TOLD) -> DataFrame:
+    """`both_modes` in one of them."""
+    return both_modes(events, told).filter(F.col("mode") == mode).drop("mode")
 
 
 def divergence_sources(runs: DataFrame, by: list[str]) -> DataFrame:

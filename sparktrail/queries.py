@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.text import lcs_bits, plain
+from .functions.sequences import common_length
+from .functions.text import plain
 from .operators import gates, graph, match, metrics, synth, traces
 from .plans import temporal
 from .sources.tables import events, table
@@ -172,7 +173,7 @@ def lcs_neighbour_similarity(spark, d):
     """Similarity of each case to the case of the next id, over all their steps."""
     seq = traces.sequences(_cases(spark, d), CASE, ORDER, ATOM)
     other = seq.select((F.col(CASE) - 1).alias(CASE), F.col("steps").alias("other"))
-    both = seq.join(other, CASE).select(CASE, F.greatest(F.size("steps"), F.size("other")).alias("longest"), lcs_bits(F.col("steps"), F.col("other")).alias("lcs"))
+    both = seq.join(other, CASE).select(CASE, F.greatest(F.size("steps"), F.size("other")).alias("longest"), common_length(F.col("steps"), F.col("other")).alias("lcs"))
     return both.select(CASE, "lcs", F.round(F.col("lcs") / F.col("longest"), 6).alias("similarity"))
 
 

@@ -35,6 +35,43 @@ def trace_comparison(spark, d):
     return compare.both_modes(_sides(spark, d)).select("run_id", "mode", "lcs_length", F.round("similarity", 6).alias("similarity"), "passed")
 
 
+def _recorded(spark, d):
+    """Runs of all fields: views are branch points (without a direction in every third case), errors exceptions, purchases returned values (tasks in every fifth case)."""
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = events(spark, d).filter("user_id IS NOT NULL").withColumn("pos", F.row_number().over(by).cast("int"))
+    kind = F.expr("CASE WHEN event_type = 'view' THEN 'branch_point' WHEN event_type = 'error' THEN 'exception' WHEN event_type = 'purchase' AND user_id % 5 <> 0 THEN 'return_value' ELSE 'task_entry' END")
+    e = e.select("user_id", "pos", kind.alias("event"), F.when(kind == "task_entry", F.col("event_type")).alias("task"), F.expr("CASE WHEN user_id % 3 <> 0 THEN event_id % 2 = 0 END").alias("taken"),
+                 (F.col("event_id") % 4).cast("string").alias("value"), F.concat(F.lit("E"), F.col("event_id") % 3).alias("exception"))
+    cases = e.select("user_id").distinct()
+    pairs = cases.join(cases.select((F.col("user_id") - 1).alias("user_id")), "user_id")
+    sides = [e.withColumn("user_id", F.col("user_id") - k).join(pairs, "user_id").withColumnRenamed("user_id", "run_id").withColumn("side", F.lit(s)) for k, s in ((0, "actual"), (1, "expected"))]
+    return sides[0].unionByName(sides[1])
+
+
+@query("""WITH RECURSIVE z AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, event_id, event_type AS e FROM events WHERE user_id IS NOT NULL),
+k AS (SELECT *, CASE WHEN e = 'view' THEN 'branch_point' WHEN e = 'error' THEN 'exception' WHEN e = 'purchase' AND user_id % 5 <> 0 THEN 'return_value' ELSE 'task_entry' END AS kind, CASE WHEN user_id % 3 <> 0 THEN event_id % 2 = 0 END AS taken FROM z),
+u AS (SELECT DISTINCT user_id FROM k), pr AS (SELECT a.user_id AS run FROM u a JOIN u b ON b.user_id = a.user_id + 1),
+sides AS (SELECT run, 'a' AS side, k.* FROM pr JOIN k ON k.user_id = run UNION ALL SELECT run, 'b', k.* FROM pr JOIN k ON k.user_id = run + 1),
+known AS (SELECT DISTINCT run, e FROM sides WHERE side = 'b' AND kind = 'task_entry'),
+kept AS (SELECT s.* FROM sides s LEFT JOIN known n ON n.run = s.run AND n.e = s.e WHERE NOT (side = 'a' AND kind = 'task_entry' AND n.e IS NULL)),
+w AS (SELECT run, coalesce(bool_and(taken IS NOT NULL) FILTER (kind = 'branch_point'), true) AS t, bool_or(kind = 'return_value' AND side = 'a') AND bool_or(kind = 'return_value' AND side = 'b') AS r FROM kept GROUP BY run),
+i AS (SELECT run, side, pos, kind, CASE kind WHEN 'task_entry' THEN 'task_entry:' || e WHEN 'branch_point' THEN CASE WHEN t THEN 'branch_point:' || taken ELSE 'branch_point' END WHEN 'exception' THEN 'exception:E' || (event_id % 3) ELSE 'return_value:' || (event_id % 4) END AS item FROM kept JOIN w USING (run) WHERE kind <> 'return_value' OR r),
+g AS (SELECT run, mode, list(item ORDER BY pos) FILTER (side = 'a') AS a, list(item ORDER BY pos) FILTER (side = 'b') AS b FROM i, (VALUES ('strict'), ('task_only')) v(mode) WHERE mode = 'strict' OR kind <> 'branch_point' GROUP BY run, mode),
+m AS (SELECT run, mode, coalesce(a, []) AS a, coalesce(b, []) AS b FROM (SELECT run, mode FROM pr, (VALUES ('strict'), ('task_only')) v(mode)) LEFT JOIN g USING (run, mode)),
+d AS (SELECT run, mode, 0 AS i, list_transform(range(0, len(b) + 1), lambda j: 0::BIGINT) AS r FROM m
+ UNION ALL SELECT run, mode, i, list_reduce(list_transform(range(1, len(b) + 1), lambda j: [CASE WHEN a[i] = b[j] THEN r[j] + 1 ELSE r[j + 1] END]), lambda x, y: x || [greatest(x[len(x)], y[1])], [0::BIGINT]) FROM (SELECT m.run, m.mode, m.a, m.b, d.i + 1 AS i, d.r FROM d JOIN m USING (run, mode) WHERE d.i < len(m.a))),
+t AS (SELECT run, mode, len(a) AS i, len(b) AS j, CAST([] AS VARCHAR[]) AS told FROM m
+ UNION ALL SELECT t.run, t.mode, CASE WHEN same OR extra THEN t.i - 1 ELSE t.i END, CASE WHEN same OR NOT extra THEN t.j - 1 ELSE t.j END, CASE WHEN same THEN told WHEN extra THEN ['extra_in_actual:' || (t.i - 1) || ':' || x] || told ELSE ['missing_in_actual:' || (t.j - 1) || ':' || y] || told END
+ FROM (SELECT t.*, m.a[t.i] AS x, m.b[t.j] AS y, t.i > 0 AND t.j > 0 AND m.a[t.i] = m.b[t.j] AS same, t.i > 0 AND (t.j = 0 OR up.r[t.j + 1] >= here.r[t.j]) AS extra
+  FROM t JOIN m USING (run, mode) JOIN d here ON here.run = t.run AND here.mode = t.mode AND here.i = t.i LEFT JOIN d up ON up.run = t.run AND up.mode = t.mode AND up.i = t.i - 1 WHERE t.i > 0 OR t.j > 0) t)
+SELECT t.run AS run_id, t.mode, CAST(len(told) AS BIGINT) AS parted, (len(a) + len(b) - len(told)) / 2 >= 0.95 * greatest(len(a), len(b)) AS passed, array_to_string(told, '|') AS divergences FROM t JOIN m USING (run, mode) WHERE t.i = 0 AND t.j = 0""")
+def trace_divergences(spark, d):
+    """Where every case and the next one part, with directions, returned values and exceptions, in both modes; all places are told."""
+    out = compare.both_modes(_recorded(spark, d), told=None)
+    line = F.transform("divergences", lambda x: F.concat_ws(":", x["kind"], x["at"].cast("string"), x["item"]))
+    return out.select("run_id", "mode", F.col("parted").cast("bigint").alias("parted"), "passed", F.array_join(line, "|").alias("divergences"))
+
+
 @query(CLASSES + ", f AS (SELECT graph, class FROM n WHERE r = 1) SELECT CAST(x.graph AS VARCHAR) AS a, CAST(y.graph AS VARCHAR) AS b, x.class = y.class AS bisimilar FROM f x JOIN f y ON y.graph = x.graph + 1")
 def bisimilar_neighbours(spark, d):
     s = _systems(spark, d)

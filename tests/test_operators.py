@@ -178,9 +178,6 @@ def test_programs(spark):
     kinds = {r.type: r["count"] for r in nodes.filter("fn = 'run'").groupBy("type").count().collect()}
     assert kinds == {"entry": 1, "task": 4, "loop": 1, "gateway": 1, "break": 1, "return": 1, "exit": 1}
     assert edges.filter("fn = 'run'").count() == 11
-    found = {r.operator: r.mutated for r in programs.mutants(df).collect()}
-    assert set(found) == {"negate-guard", "boundary-shift", "swap-branches", "off-by-one-loop", "drop-step", "reorder-steps", "wrong-variable", "early-return", "constant-perturb"}
-    assert "check(x)" not in found["drop-step"] and found["reorder-steps"].index("other") < found["reorder-steps"].index("check")
     g = spark.createDataFrame([("g", "not (a > 1 or (b and not c))")], "program string, code string")
     r = programs.guard_forms(g).first()
     assert r.cnf == [["a <= 1"], ["not b", "c"]] and r.vars == ["a", "b", "c"]

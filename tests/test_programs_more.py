@@ -1,9 +1,12 @@
-"""Programs: call order, mutants as defined, arms, literals, interpretation, differential tests."""
+"""Programs: call order, arms, literals; comparison of recorded runs."""
 
 import ast
+import random
+import tracemalloc
 
-from sparktrail.functions import interpret
-from sparktrail.operators import compare, differential, graph, lineage
+from pyspark.sql import functions as F
+from sparktrail.functions import sequences
+from sparktrail.operators import compare, graph, lineage
 from sparktrail.sources import bpmn, programs, tables
 
 FLOW = '''
@@ -69,19 +72,6 @@ def test_arms(spark):
     assert {r.node: r.kind for r in nodes.collect()}["L4"] == "break"
 
 
-def test_mutants_as_defined(spark):
-    code = "def f(d, n):\n    a = g(d['key'])\n    b = h(n)\n    for i in range(3):\n        a = a + b\n    if n < 5:\n        b = 1\n    elif n == 7:\n        b = 2\n    c = a[0:2]\n    return a\n"
-    got = {r.operator: r.mutated for r in programs.mutants(spark.createDataFrame([("p", code)], "program string, code string")).collect()}
-    assert "if not n < 5" in got["negate-guard"] and "n >= 5" in got["boundary-shift"] and "range(4)" in got["off-by-one-loop"]
-    assert "d['key_corrupted']" in got["corrupt-container-op"] and "n < 1005" in got["constant-perturb"] and "g(d" not in got["drop-step"]
-    assert got["reorder-steps"].index("h(n)") < got["reorder-steps"].index("g(d") and "swap-branches" not in got
-    assert got["wrong-variable"].endswith("return b")
-    lines = got["early-return"].split("\n")
-    assert lines.count("    return None") == 1 and lines.index("    return None") not in (1, len(lines) - 1)
-    kept = programs.perturbed(spark.createDataFrame([("p", FLOW)], "program string, code string")).first()
-    assert kept.mutated != ast.unparse(ast.parse(FLOW)) and programs.called(ast.parse(kept.mutated)) == programs.called(ast.parse(FLOW))
-
-
 def test_guards_beyond_the_old_limit(spark):
     wide = " or ".join(f"(a{i} and b{i})" for i in range(9))
     rows = [("wide", wide), ("bad", "a >"), ("ok", "a and b")]
@@ -89,48 +79,16 @@ def test_guards_beyond_the_old_limit(spark):
     assert got["wide"] == (None, "too many clauses") and got["bad"][0] is None and "SyntaxError" in got["bad"][1] and got["ok"] == ([["a"], ["b"]], None)
 
 
-def test_interpreter():
-    run = lambda code, **x: interpret.observed(code, "f", x)
-    assert run("def f(n):\n    s = 0\n    for i in range(n):\n        if i == 3:\n            break\n        s += i\n    return s\n", n=9)[-1] == ("return_value", None, None, "3", None)
-    assert run("def f(n):\n    while True:\n        n += 1\n", n=0)[-1][4] == "StepLimit"
-    assert run("def f(n):\n    return [1, 2][n]\n", n=5)[-1][4] == "IndexError"
-    assert run("def f(n):\n    return open('x')\n", n=5)[-1][4] == "NotInterpreted" and run("def f(n):\n    return 'a' * n\n", n=10**9)[-1][4] == "MemoryError"
-    assert run("def f(n):\n    d = {'a': n}\n    d['b'] = d.get('a', 0) + 1\n    return sorted(d.values())[-1] if n else None\n", n=4)[-1][3] == "5"
-    events = interpret.observed(FLOW, "run", {"n": 7, "level": "low"})
-    assert [e[1] for e in events if e[0] == "task_entry"] == ["load", "check", "send"] and events[-1][3] == "'high'"
-    made = interpret.random_inputs({"a": "str", "b": "int"}, ["x", "y"], 30, 1)
-    assert [m["a"] for m in made[:2]] == ["x", "y"] and made == interpret.random_inputs({"a": "str", "b": "int"}, ["x", "y"], 30, 1)
-
-
-def test_differential(spark):
-    bug = FLOW.replace("n > 10", "n > 50").replace('"again"', '"twice"')
-    same = FLOW.replace("    return n * 2", "    return n + n")
-    late = FLOW.replace("return kind", "return kind + '!'")
-    bases = spark.createDataFrame([(1, FLOW)], "base_uid long, code string")
-    variants = spark.createDataFrame([("bug", 1, bug), ("same", 1, same), ("late", 1, late)], "variant string, base_uid long, code string")
-    runs = differential.tested(variants, bases, 40)
-    scores = compare.verification(runs, ["variant"], "input")
-    c = {r.variant: (r.runs, r.matching, r.confidence) for r in scores.collect()}
-    assert c["same"][:2] == (40, 40) and 0 < c["bug"][1] < 40 and c["late"][1] == 0
-    adm = compare.admission(differential.outcomes(variants, bases, 40), ["variant"])
-    a = {r.variant: r for r in adm.collect()}
-    assert a["same"].admitted and not a["bug"].admitted and a["late"].difference_rate == 1.0 and a["bug"].first_divergent.base_calls != a["bug"].first_divergent.variant_calls
-    missed = compare.logic_misses(adm, scores, 0.01).collect()
-    assert {r.variant: r.same_calls for r in missed} == {"bug": False}
-    sources = {(r.variant, r.source) for r in compare.divergence_sources(runs, ["variant"]).collect()}
-    assert ("late", "return_value") in sources
-
-
 def test_comparison_by_mode(spark):
     e = lambda side, pos, event, task=None, taken=None, value=None: ("r", side, pos, event, task, taken, value, None)
     rows = [e("expected", 0, "task_entry", "a"), e("expected", 1, "branch_point", taken=True), e("expected", 2, "task_exit", "a"), e("expected", 3, "return_value", value="1"),
             e("actual", 0, "task_entry", "helper"), e("actual", 1, "task_entry", "a"), e("actual", 2, "branch_point", taken=False), e("actual", 3, "branch_point"), e("actual", 4, "task_exit", "a")]
-    df = spark.createDataFrame(rows, differential.EVENTS)
+    df = spark.createDataFrame(rows, compare.EVENTS)
     got = {r.mode: r for r in compare.both_modes(df).collect()}
     assert got["strict"].actual == ["task_entry:a", "branch_point", "branch_point", "task_exit:a"] and got["strict"].expected == ["task_entry:a", "branch_point", "task_exit:a"]
     assert got["strict"].lcs_length == 3 and not got["strict"].passed and [d.kind for d in got["strict"].divergences] == ["extra_in_actual"]
     assert got["task_only"].passed and got["task_only"].similarity == 1.0
-    assert compare._divergences(list("abcd"), list("axcy")) == [("missing_in_actual", 1, "x"), ("extra_in_actual", 1, "b"), ("missing_in_actual", 3, "y"), ("extra_in_actual", 3, "d")]
+    assert sequences.partings(list("abcd"), list("axcy"), 5) == [("missing_in_actual", 1, "x"), ("extra_in_actual", 1, "b"), ("missing_in_actual", 3, "y"), ("extra_in_actual", 3, "d")]
 
 
 def test_broken_diagrams_and_recovery(spark, tmp_path):
@@ -154,3 +112,60 @@ def test_more_sources(spark, tmp_path):
     wir = '{"control_variables": ["a"], "types": {"b": "int", "c": "Any"}}'
     got = {(r.variable, r.known) for r in tables.typed_variables(spark.createDataFrame([("p", wir)], "program string, wir string"), "wir").collect()}
     assert got == {("a", True), ("b", True), ("c_ANY", False)}
+
+
+def by_table(a, b, most=None):
+    """The same places from the whole table of lengths."""
+    n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            n[i][j] = n[i - 1][j - 1] + 1 if a[i - 1] == b[j - 1] else max(n[i - 1][j], n[i][j - 1])
+    places, i, j = [], len(a), len(b)
+    while i > 0 or j > 0:
+        if i > 0 and j > 0 and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+        elif j == 0 or (i > 0 and n[i - 1][j] >= n[i][j - 1]):
+            i -= 1
+            places.insert(0, ("extra_in_actual", i, a[i]))
+        else:
+            j -= 1
+            places.insert(0, ("missing_in_actual", j, b[j]))
+    return (places if most is None else places[len(places) - min(most, len(places)) :]), n[-1][-1]
+
+
+def test_partings_equal_the_whole_table():
+    rng = random.Random(6)
+    for _ in range(400):
+        a, b = ([rng.choice("abcd"[: rng.randint(1, 4)]) for _ in range(rng.randint(0, 40))] for _ in range(2))
+        assert (sequences.partings(a, b), sequences.common(a, b)) == by_table(a, b)
+        assert sequences.partings(a, b, 3) == by_table(a, b, 3)[0]
+
+
+def test_long_sequences_take_little_memory():
+    rng = random.Random(7)
+    a = [f"t{rng.randint(0, 300)}" for _ in range(50_000)]
+    b = [x for x in a if rng.random() > 0.01]
+    tracemalloc.start()
+    found = sequences.partings(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == len(a) + len(b) - 2 * sequences.common(a, b) == len(a) - len(b) and peak < 60 << 20
+
+
+def test_runs_by_recorded_events(spark):
+    """Admission, control and classes from events of runs, as rows."""
+    pairs = [("same", k, str(k), ["a"], "1", ["a"], "1") for k in range(4)] + [("late", k, str(k), ["a"], "1", ["a"], "2") for k in range(4)] + [("bug", 0, "0", ["a"], "1", ["b"], "1"), ("bug", 1, "1", ["a"], "1", ["a"], "1"), ("raise", 0, "0", ["a"], "1", ["a"], "__exception__:KeyError")]
+    df = spark.createDataFrame(pairs, "variant string, ord int, input string, base_calls array<string>, base_return string, variant_calls array<string>, variant_return string")
+    adm = compare.admission(df, ["variant"])
+    got = {r.variant: (r.runs, r.difference_rate, r.admitted) for r in adm.collect()}
+    assert got == {"same": (4, 0.0, True), "late": (4, 1.0, False), "bug": (2, 0.5, False), "raise": (1, 1.0, False)}
+    scores = spark.createDataFrame([("late", 0.9), ("bug", 0.95), ("raise", 1.0), ("same", 1.0)], "variant string, confidence double")
+    assert {r.variant: r.same_calls for r in compare.logic_misses(adm, scores, 0.9).collect()} == {"late": True, "bug": False}
+    e = lambda run, side, pos, event, **x: (run, side, pos, event, x.get("task"), x.get("taken"), x.get("value"), None)
+    rows = [e(run, side, k, "task_entry", task=t) for run in "xy" for side in ("actual", "expected") for k, t in enumerate("abc")]
+    rows += [e("y", "actual", 9, "return_value", value="1"), e("y", "expected", 9, "return_value", value="2"), e("z", "actual", 0, "branch_point"), e("z", "expected", 0, "task_entry", task="a")]
+    runs = compare.compared(spark.createDataFrame(rows, compare.EVENTS))
+    assert {r.run_id: (r.passed, r.parted) for r in runs.collect()} == {"x": (True, 0), "y": (False, 2), "z": (False, 2)}
+    assert {(r.run_id, r.source) for r in compare.divergence_sources(runs, ["run_id"]).collect()} == {("y", "return_value"), ("z", "branch_point"), ("z", "task_entry")}
+    scored = compare.verification(runs.withColumn("input", F.col("run_id")).withColumn("v", F.lit("v")), ["v"], "input").first()
+    assert (scored.runs, scored.matching) == (3, 1)
