@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions.sequences import common_length
 from .functions.text import plain
 from .operators import gates, graph, match, metrics, synth, traces
-from .plans import temporal
+from .plans import scan, temporal
 from .sources.tables import events, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,17 @@ def ltl_until_window(spark, d):
     return temporal.at_each_step(df, "(view | click | signup) U purchase", CASE, ORDER, ATOM).select("event_id", "holds")
 
 
+@query("""WITH s AS (SELECT event_id, event_type AS e, row_number() OVER (ORDER BY ts, event_id) AS pos FROM events),
+k AS (SELECT event_id, pos, min(CASE WHEN e = 'purchase' THEN pos END) OVER w AS q, min(CASE WHEN e NOT IN ('view', 'click', 'signup') THEN pos END) OVER w AS np, max(CASE WHEN e = 'error' THEN pos END) OVER w AS le, max(CASE WHEN e = 'signup' THEN pos END) OVER w AS ls, lead(e) OVER (ORDER BY pos) AS nx
+ FROM s WINDOW w AS (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT event_id, q IS NOT NULL AND (np IS NULL OR np >= q) AS until_holds, le IS NULL OR coalesce(ls >= le, false) OR coalesce(nx = 'view', false) AS response_or_next FROM k""")
+def ltl_until_scan(spark, d):
+    """Two rules at each step of all events as one case."""
+    df = events(spark, d).select("event_id", "ts", "event_type", F.lit(0).alias("log"))
+    out = scan.at_each_step(df, "(view | click | signup) U purchase", "log", ORDER, ATOM, "until_holds")
+    return scan.at_each_step(out, "G(error -> F signup) | X view", "log", ORDER, ATOM, "response_or_next").select("event_id", "until_holds", "response_or_next")
+
+
 @query(FOLLOW + ", k AS (SELECT user_id, min(CASE WHEN e = 'purchase' THEN pos END) AS q, min(CASE WHEN e NOT IN ('view', 'click') THEN pos END) AS np FROM s GROUP BY user_id) SELECT user_id, q IS NOT NULL AND (np IS NULL OR np >= q) AS holds FROM k")
 def ltl_until_fold(spark, d):
     seq = traces.sequences(events(spark, d).filter("user_id IS NOT NULL"), CASE, ORDER, ATOM)
