@@ -33,18 +33,19 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Bytes of a word up to which one pair a step is contracted; words and bytes that a task keeps; words put together at once.
-SHORT, KEPT, KEPT_BYTES, GATHERED = 64, 400_000, 16 << 20, 1 << 18
+SHORT, KEPT, KEPT_BYTES, GATHERED = 64, 1_000_000, 32 << 20, 1 << 19
 #: Characters of a text whose words are found at once.
 PART = 1 << 20
 
+#: One pair a word and step. The best one is packed: its rank, its place and the next token's place (below 2^16).
 STEPS = """
 CREATE TEMP TABLE ended AS
 WITH RECURSIVE t(w, pos, tok, step) AS (
  SELECT w, pos, tok, 0 FROM begun
  UNION ALL
- (WITH pairs AS (SELECT w, pos, tok, lead(tok) OVER x AS then_tok, lead(pos) OVER x AS then_pos FROM t WINDOW x AS (PARTITION BY w ORDER BY pos)),
-  best AS (SELECT w, min(struct_pack(id := m.id, pos := p.pos, then_pos := p.then_pos)) AS b FROM pairs p JOIN merges m ON p.tok = m.l AND p.then_tok = m.r GROUP BY w)
-  SELECT t.w, t.pos, CASE WHEN t.pos = b.pos THEN b.id ELSE t.tok END, t.step + 1 FROM t JOIN best USING (w) WHERE t.pos <> b.then_pos)
+ (WITH pairs AS (SELECT w, pos, tok, lead(tok) OVER x AS then_tok, lead(pos) OVER x AS then_pos FROM t WINDOW x AS (ORDER BY w, pos)),
+  best AS (SELECT w, min((CAST(m.id AS BIGINT) << 32) | (p.pos << 16) | p.then_pos) AS b FROM pairs p JOIN merges m ON p.tok = m.l AND p.then_tok = m.r WHERE p.then_pos > p.pos GROUP BY w)
+  SELECT t.w, t.pos, CASE WHEN t.pos = (b >> 16) & 65535 THEN CAST(b >> 32 AS INT) ELSE t.tok END, t.step + 1 FROM t JOIN best USING (w) WHERE t.pos <> b & 65535)
 )
 SELECT w, pos, tok FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step)"""
 
@@ -66,7 +67,8 @@ KEEP = """
 INSERT INTO words
 SELECT w, count(*), string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY pos), string_agg(v.hex, '' ORDER BY pos) FROM ended JOIN vocabulary v ON v.id = tok GROUP BY w"""
 
-GATHER = "SELECT doc, CAST(sum(n) AS BIGINT), string_agg(ids, ' ' ORDER BY i), unhex(string_agg(hex, '' ORDER BY i)) FROM met JOIN words USING (w) GROUP BY doc"
+#: The connection has one thread, so aggregates take their input in its order; one sort serves both.
+GATHER = "SELECT doc, CAST(sum(n) AS BIGINT), string_agg(ids, ' '), unhex(string_agg(hex, '')) FROM (SELECT doc, n, ids, hex FROM met JOIN words USING (w) ORDER BY i) GROUP BY doc"
 
 
 def load(path: str) -> dict[bytes, int]:
@@ -82,7 +84,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, short: int = SHORT):
         self.ranks, self.words, self.short = ranks, regex.compile(pattern), short
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB"})
         parts = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, id_ = (pa.array(c, pa.int32()) for c in zip(*parts, strict=True)) if parts else (pa.array([], pa.int32()),) * 3
         self.create("merges", pa.table({"l": left, "r": right, "id": id_}))

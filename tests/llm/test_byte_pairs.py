@@ -45,7 +45,7 @@ def test_long_words_step_by_step_and_at_once(library):
     rows = [t for t in texts() if len(t) > 20]
     slow, fast = byte_pairs.Encoder(RANKS, public_tokenizers.PATTERN, short=4000), byte_pairs.Encoder(RANKS, public_tokenizers.PATTERN, short=3)
     want = [wanted(library, t) for t in rows]
-    assert list(fast.digests(rows)) == want and list(slow.digests(rows[:40])) == want[:40]
+    assert list(fast.digests(rows)) == want and [w for t, w in zip(rows, want) if len(t) < 400] == list(slow.digests([t for t in rows if len(t) < 400]))
 
 
 def test_every_code_point(coder, library):
