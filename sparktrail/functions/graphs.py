@@ -1,11 +1,9 @@
-"""Algorithms on one small graph, for use a graph at a time; edges are (src, dst) or (src, label, dst).
-
-A label is a sorted tuple of atoms; the empty one is silent."""
+"""Algorithms on one small graph, for use a graph at a time; edges are (src, dst) or (src, label, dst)."""
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
-from collections.abc import Callable, Hashable, Iterable
+from collections import defaultdict
+from collections.abc import Hashable, Iterable
 
 Node = Hashable
 
@@ -28,33 +26,6 @@ def reach(roots: Iterable[Node], edges: Iterable[tuple[Node, Node]], back: bool
     return seen
 
 
-def components(nodes: Iterable[Node], edges: list[tuple[Node, Node]]) -> dict[Node, Node]:
-    """Strongly connected components, named by their least node: two passes of depth-first search."""
-    to, frm, order, seen = follow(edges), follow(edges, True), [], set()
-    for start in sorted(nodes):
-        stack = [(start, False)]
-        while stack:
-            n, done = stack.pop()
-            if done:
-                order.append(n)
-            elif n not in seen:
-                seen.add(n)
-                stack.append((n, True))
-                stack += [(m, False) for m in to.get(n, ()) if m not in seen]
-    out: dict[Node, Node] = {}
-    for start in reversed(order):
-        if start not in out:
-            group, todo = {start}, [start]
-            while todo:
-                for m in frm.get(todo.pop(), ()):
-                    if m not in out and m not in group:
-                        group.add(m)
-                        todo.append(m)
-            least = min(group)
-            out |= dict.fromkeys(group, least)
-    return out
-
-
 def dominators(root: Node, edges: list[tuple[Node, Node]]) -> dict[Node, set[Node]]:
     """The dominators of each node that the root reaches, itself included."""
     inside = reach([root], edges)
@@ -87,132 +58,6 @@ def frontier(root: Node, edges: list[tuple[Node, Node]], dom: dict[Node, set[Nod
     return out
 
 
-def paths(starts: Iterable[Node], ends: set[Node], edges: list[tuple[Node, Node]], simple: bool, longest: int, most: int) -> list[list[Node]]:
-    """Paths from a start to an end, shorter ones first, then in order of nodes; at most `most`, each of at most `longest` nodes."""
-    to, found, todo = follow(edges), [], deque([s] for s in sorted(starts))
-    while todo and len(found) < most:
-        path = todo.popleft()
-        if path[-1] in ends:
-            found.append(path)
-        if len(path) < longest:
-            todo.extend([*path, n] for n in to.get(path[-1], ()) if not (simple and n in path))
-    return found
-
-
-def silent(transitions) -> list[tuple[Node, Node]]:
-    return [(a, b) for a, label, b in transitions if not label]
-
-
-def divergent(states: Iterable[Node], transitions) -> set[Node]:
-    """States from which silent steps alone can go on for ever."""
-    tau = silent(transitions)
-    group = components(states, tau)
-    size: dict[Node, int] = defaultdict(int)
-    for n in group.values():
-        size[n] += 1
-    loops = {a for a, b in tau if a == b}
-    return reach({n for n, g in group.items() if size[g] > 1 or n in loops}, tau, back=True)
-
-
-def refine(states: list[Node], transitions, colour: Callable[[Node], Hashable] = lambda _: 0) -> dict[Node, int]:
-    """Divergence-blind and divergence-keeping stuttering blocks: states split by what they can do after inert silent steps."""
-    bad = divergent(states, transitions)
-
-    def numbered(keys: dict[Node, Hashable]) -> dict[Node, int]:
-        order = {k: i for i, k in enumerate(sorted(set(keys.values()), key=repr))}
-        return {n: order[k] for n, k in keys.items()}
-
-    block = numbered({n: (colour(n), n in bad) for n in states})
-    out: dict[Node, list] = defaultdict(list)
-    for a, label, b in transitions:
-        out[a].append((label, b))
-    while True:
-        inert = [(a, b) for a, b in silent(transitions) if block[a] == block[b]]
-        to = follow(inert)
-        sign: dict[Node, Hashable] = {}
-        for n in states:
-            seen, todo = {n}, [n]
-            while todo:
-                for m in to.get(todo.pop(), ()):
-                    if m not in seen:
-                        seen.add(m)
-                        todo.append(m)
-            sign[n] = (block[n], tuple(sorted({(label, block[b]) for s in seen for label, b in out[s] if label or block[b] != block[n]})))
-        new = numbered(sign)
-        if len(set(new.values())) == len(set(block.values())):
-            return new
-        block = new
-
-
-def quotient(block: dict[Node, int], transitions) -> list[tuple[int, tuple, int]]:
-    return sorted({(block[a], label, block[b]) for a, label, b in transitions if label or block[a] != block[b]})
-
-
-def signature(initial: Node, states: list[Node], transitions) -> str:
-    """Equal for two systems whose quotients are equal up to the names of states: blocks numbered by breadth from the first one.
-
-    Quotients are not always deterministic; where labels tie, blocks are told apart by their refined unfolding."""
-    seen = reach([initial], [(a, b) for a, _, b in transitions])
-    states, transitions = [s for s in states if s in seen], [t for t in transitions if t[0] in seen]
-    block, bad = refine(states, transitions), divergent(states, transitions)
-    moves: dict[int, set] = defaultdict(set)
-    for a, label, b in quotient(block, transitions):
-        moves[a].add((label, b))
-    loops = {block[s] for s in bad}
-    unfold = {b: str(b in loops) for b in set(block.values())}
-    for _ in unfold:
-        unfold = {b: repr((unfold[b], sorted((label, unfold[c]) for label, c in moves[b]))) for b in unfold}
-        order = {u: i for i, u in enumerate(sorted(set(unfold.values())))}
-        unfold = {b: f"{order[u]}:{b in loops}" for b, u in unfold.items()}
-    number, todo, lines = {block[initial]: 0}, deque([block[initial]]), []
-    while todo:
-        b = todo.popleft()
-        for label, c in sorted(moves[b], key=lambda m: (m[0], unfold[m[1]], number.get(m[1], len(number)))):
-            if c not in number:
-                number[c] = len(number)
-                todo.append(c)
-            lines.append((number[b], label, number[c]))
-    return repr((sorted(lines), sorted(number[b] for b in loops if b in number)))
-
-
-def collapse(states: list[Node], transitions) -> tuple[dict[Node, Node], list]:
-    """Silent components as one state each."""
-    group = components(states, silent(transitions))
-    return group, sorted({(group[a], label, group[b]) for a, label, b in transitions if label or group[a] != group[b]})
-
-
-def check(initial: Node, transitions, delta: dict[tuple[int, str | None], int], accepting: list[bool], known: set[str], bound: int = 50) -> tuple[str, list[str], bool]:
-    """Verdict, counterexample and whether the system is cyclic. Runs end in states without a way on.
-
-    A step's atoms are the label's only; silent steps don't count. VIOLATION if a run ends where the automaton doesn't
-    accept; the shortest such run, then the least one, is given. In a cyclic system runs of more than `bound` steps aren't
-    followed, and COMPLIANT becomes INCONCLUSIVE if any was cut."""
-    out: dict[Node, list] = defaultdict(list)
-    for a, label, b in transitions:
-        out[a].append((tuple(label), b))
-    plain = [(a, b) for a, _, b in transitions]
-    live = reach([initial], plain)
-    group = components(live, [e for e in plain if e[0] in live])
-    cyclic = any(group[a] == group[b] for a, b in plain if a in live)
-    seen, todo, cut = {(initial, 0)}, deque([(initial, 0, ())]), False
-    while todo:
-        s, q, run = todo.popleft()
-        if not out[s] and not (accepting[q] and run):
-            return "VIOLATION", list(run), cyclic
-        for label, t in sorted(out[s]):
-            atom = next((a for a in label if a in known), None)
-            r = delta[q, atom] if label else q
-            step = (*run, " & ".join(label)) if label else run
-            if (t, r) not in seen or (t, r) == (initial, 0):
-                if cyclic and len(step) > bound:
-                    cut = True
-                    continue
-                if (t, r) not in seen:
-                    seen.add((t, r))
-                    todo.append((t, r, step))
-    return ("INCONCLUSIVE" if cut else "COMPLIANT"), [], cyclic
-
-
 def contract(nodes: dict[Node, bool], edges: list[tuple[Node, str | None, Node]]) -> tuple[set[Node], list]:
     """Takes out bookkeeping nodes (True) and joins their ways; a node whose two sides both carry different labels stays."""
     kept, now = set(nodes), set(edges)

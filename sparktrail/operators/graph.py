@@ -1,12 +1,14 @@
 """Graphs as edge rows: distributed loops for one large graph, and a task a graph for many small ones.
 
-The loops cut lineage with checkpoint() in the folder that spark.checkpoint.dir names."""
+The loops cut lineage with tables in the folder that spark.checkpoint.dir names."""
 
 from __future__ import annotations
 
 import bisect
 import itertools
+import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,25 +21,27 @@ from ..sources.tables import shared_dir
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """The same rows, written once to the shared folder and read again; the table goes at the end of the session."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def reachable(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
     """root, node, depth: nodes by least number of steps, of at most `most` if given. edges: src, dst. roots: node. One join a level, on new pairs only, until there are none."""
     edges = settled(edges.select("src", "dst").distinct())
     new = settled(roots.select(F.col("node").alias("root"), "node", F.lit(0).cast("bigint").alias("depth")).distinct())
-    seen = new
+    seen = [new]
     for k in itertools.count(1) if most is None else range(1, most + 1):
         step = new.join(edges, new.node == edges.src).select("root", F.col("dst").alias("node"), F.lit(k).cast("bigint").alias("depth")).distinct()
-        new = settled(step.join(seen, ["root", "node"], "left_anti"))
+        new = settled(step.join(_union(seen), ["root", "node"], "left_anti"))
         if new.isEmpty():
             break
-        seen = settled(seen.unionByName(new))
-    return seen
+        seen = [settled(_union([*seen, new]))] if len(seen) == 15 else [*seen, new]
+    return _union(seen)
 
 
 def closure(edges: DataFrame, most: int | None = None) -> DataFrame:
@@ -47,23 +51,108 @@ def closure(edges: DataFrame, most: int | None = None) -> DataFrame:
     return edges.select("src", F.col("dst").alias("via")).join(out, "via").select("src", F.col("node").alias("dst")).distinct()
 
 
-def strong_components(edges: DataFrame, most: int | None = None) -> DataFrame:
-    """node, component (least member), size, cyclic. From the closure: for graphs whose closure is of tractable size."""
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    pairs = settled(closure(edges, most))
-    back = pairs.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
-    both = pairs.join(back, ["src", "dst"]).select(F.col("src").alias("node"), F.col("dst").alias("mate"))
-    both = both.unionByName(nodes.select("node", F.col("node").alias("mate"))).distinct()
-    out = both.groupBy("node").agg(F.min("mate").alias("component"), F.count("*").cast("bigint").alias("size"))
-    loops = pairs.filter("src = dst").select(F.col("src").alias("node"), F.lit(True).alias("_l"))
-    return out.join(loops, "node", "left").select("node", "component", "size", F.coalesce("_l", F.lit(False)).alias("cyclic"))
+#: Steps of a loop between two written tables: one at first, twice as many each time, up to the last.
+HOPS = [1, 2, 4, 8]
 
 
-def divergence(edges: DataFrame, most: int | None = None) -> DataFrame:
+def _hops() -> Iterator[int]:
+    return itertools.chain(HOPS, itertools.repeat(HOPS[-1]))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def spread(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """node: what the starts (node) reach, themselves included. Each node is met once, whatever the number of starts."""
+    new = settled(starts.select("node").distinct())
+    if new.isEmpty():
+        return new
+    edges = settled(edges.select("src", "dst").distinct())
+    seen = [new]
+    for hops in _hops():
+        layers = [new]
+        for _ in range(hops):
+            layers.append(layers[-1].join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct())
+        new = settled(_union(layers[1:]).distinct().join(_union(seen), "node", "left_anti"))
+        if new.isEmpty():
+            return _union(seen)
+        seen.append(new)
+
+
+def _on_long_walks(edges: DataFrame) -> DataFrame:
+    """Edges from nodes where walks of any length end: a walk one step longer ends in some of the same nodes, so this is done when none goes."""
+    now, size = edges.select(F.col("src").alias("node")).distinct(), None
+    for hops in _hops():
+        for _ in range(hops):
+            now = now.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        now = settled(now)
+        left = now.count()
+        if left in (0, size):
+            return edges.join(now.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst")
+        size = left
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges that can lie on a cycle or between cycles: nodes without a way in or without a way out go, again and again."""
+    flip = lambda e: e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    ahead = settled(_on_long_walks(edges))
+    return ahead if ahead.isEmpty() else settled(flip(_on_long_walks(flip(ahead))))
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """node, colour: the least node that reaches each."""
+    stay = edges.select(F.explode(F.array("src", "dst")).alias("src")).distinct()
+    both = settled(edges.select("src", "dst").unionByName(stay.select("src", F.col("src").alias("dst"))))
+    now = stay.select(F.col("src").alias("node"), F.col("src").alias("colour"))
+    for hops in _hops():
+        new = now.withColumnRenamed("colour", "was")
+        for k in range(hops):
+            told = new.join(both, F.col("node") == F.col("src"))
+            colour = F.col("was") if k == 0 else F.col("colour")
+            own = F.max(F.when(F.col("src") == F.col("dst"), F.col("was"))).alias("was")
+            new = told.groupBy(F.col("dst").alias("node")).agg(F.min(colour).alias("colour"), own)
+        new = settled(new)
+        now = new.select("node", "colour")
+        if new.filter("colour < was").isEmpty():
+            return now
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node, component (least member), size, cyclic. All tables are linear in the edges.
+
+    Nodes that no cycle can pass are trimmed. Each node takes the colour of the least node that reaches it; that node's
+    component is what reaches it back inside its colour. Edges between colours and of finished components go, and the rest
+    is done again. Nodes may be of any type with an order; a null end is no node."""
+    edges = settled(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    done: list[DataFrame] = []
+    left = edges.filter("src <> dst")
+    while not left.isEmpty() and not (left := _trimmed(left)).isEmpty():
+        colours = _coloured(left)
+        ends = [colours.select(F.col("node").alias(end), F.col("colour").alias(f"_{end}")) for end in ("src", "dst")]
+        inside = settled(left.join(ends[0], "src").join(ends[1], "dst").filter("_src = _dst").select("src", "dst", F.col("_src").alias("colour")))
+        back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        found = spread(back, colours.filter("node = colour").select("node")).join(colours, "node").select("node", F.col("colour").alias("component"))
+        done.append(settled(found))
+        gone = done[-1].select("node")
+        left = settled(inside.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    if done:
+        nodes = nodes.join(_union(done), "node", "left")
+    else:
+        nodes = nodes.withColumn("component", F.col("node"))
+    nodes = settled(nodes.select("node", F.coalesce("component", "node").alias("component")))
+    sizes = nodes.groupBy("component").agg(F.count("*").cast("bigint").alias("size"))
+    loops = edges.filter("src = dst").select(F.col("src").alias("node"), F.lit(True).alias("_l"))
+    out = nodes.join(sizes, "component").join(loops, "node", "left")
+    return out.select("node", "component", "size", ((F.col("size") > 1) | F.coalesce("_l", F.lit(False))).alias("cyclic"))
+
+
+def divergence(edges: DataFrame) -> DataFrame:
     """node: those that can go on along silent edges for ever. edges: src, dst (silent ones)."""
-    loops = strong_components(edges, most).filter("cyclic").select("node")
+    edges = settled(edges.select("src", "dst").distinct())
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return reachable(back, loops, most).select("node").distinct()
+    return spread(back, strong_components(edges).filter("cyclic").select("node"))
 
 
 def branch_points(edges: DataFrame) -> DataFrame:
@@ -136,15 +225,6 @@ def _pairs(g: dict[str, list]) -> list[tuple]:
     return [(a, b) for a, b in zip(g["src"], g["dst"], strict=True) if b is not None]
 
 
-def _moves(g: dict[str, list]) -> list[tuple]:
-    return [(a, tuple(sorted(x)) if x is not None else (), b) for a, x, b in zip(g["src"], g["label"], g["dst"], strict=True) if b is not None]
-
-
-def _states(g: dict[str, list]) -> list:
-    """All states; a row without dst is a state that needs no move."""
-    return sorted({s for c in ("src", "dst") for s in g[c] if s is not None})
-
-
 def dominators(edges: DataFrame, key: str = "graph", root: str = "root") -> DataFrame:
     """graph, node, dominators, immediate, frontier. edges: graph, src, dst (null for a node without edges), root."""
 
@@ -157,73 +237,6 @@ def dominators(edges: DataFrame, key: str = "graph", root: str = "root") -> Data
     return per_graph(edges, key, run, f"{key} string, node string, dominators array<string>, immediate string, frontier array<string>")
 
 
-def stuttering(moves: DataFrame, key: str = "sys") -> DataFrame:
-    """sys, state, block, divergent. moves: sys, src, label (array, empty for silent), dst (null for a state without moves)."""
-
-    def run(g: dict[str, list]) -> list[tuple]:
-        m = _moves(g)
-        block, bad = graphs.refine(_states(g), m), graphs.divergent(_states(g), m)
-        return [(s, b, s in bad) for s, b in sorted(block.items())]
-
-    return per_graph(moves, key, run, f"{key} string, state string, block int, divergent boolean")
-
-
-def named_blocks(blocks: DataFrame, key: str = "sys") -> DataFrame:
-    """The same blocks, named by their least state: names that don't depend on how they were found."""
-    least = blocks.groupBy(key, "block").agg(F.min("state").alias("_least"))
-    return blocks.join(least, [key, "block"]).select(key, "state", F.col("_least").alias("block"), "divergent")
-
-
-def quotients(moves: DataFrame, key: str = "sys", named: bool = False) -> DataFrame:
-    """sys, src, label, dst of the blocks, numbered, or named by their least state."""
-
-    def run(g: dict[str, list]) -> list[tuple]:
-        m = _moves(g)
-        block = graphs.refine(_states(g), m)
-        names = {b: s if named else str(b) for s, b in sorted(block.items(), reverse=True)}
-        return [(names[a], list(x), names[b]) for a, x, b in graphs.quotient(block, m)]
-
-    out = per_graph(moves, key, run, f"{key} string, src string, label array<string>, dst string")
-    return out if named else out.withColumns({c: F.col(c).cast("int") for c in ("src", "dst")})
-
-
-def clusters(moves: DataFrame, key: str = "sys", initial: str = "initial") -> DataFrame:
-    """sys, signature, representative, singleton: systems by the signature of their quotient; fewest states, then moves, then name stand for them."""
-
-    def run(g: dict[str, list]) -> list[tuple]:
-        m = _moves(g)
-        return [(graphs.signature(g[initial][0], _states(g), m), len(_states(g)), len(set(m)))]
-
-    signed = per_graph(moves, key, run, f"{key} string, signature string, states int, moves int")
-    lead = signed.groupBy("signature").agg(F.min_by(key, F.struct("states", "moves", key)).alias("representative"), (F.count("*") == 1).alias("singleton"))
-    return signed.join(lead, "signature").select(key, F.md5("signature").alias("signature"), "representative", "singleton")
-
-
-def conformance(moves: DataFrame, rules: dict[str, str], key: str = "sys", initial: str = "initial", bound: int = 50) -> DataFrame:
-    """sys, rule, verdict, counterexample, unmatched, cyclic: each rule's automaton against each system."""
-    from ..plans import formula as fm
-
-    parsed = {n: fm.parse(t) for n, t in rules.items()}
-    tables = {}
-    for n, f in parsed.items():
-        delta, accepting = fm.automaton(f, [*fm.atoms(f), None])
-        tables[n] = ({(s, x): t for s, x, t in delta}, accepting, set(fm.atoms(f)))
-
-    def run(g: dict[str, list]) -> list[tuple]:
-        m = _moves(g)
-        own = {a for _, label, _ in m for a in label}
-        out = []
-        for n, (delta, accepting, names) in tables.items():
-            if names - own:
-                out.append((n, "INCONCLUSIVE", [], sorted(names - own), False))
-            else:
-                verdict, line, cyclic = graphs.check(g[initial][0], m, delta, accepting, names, bound)
-                out.append((n, verdict, line, [], cyclic))
-        return out
-
-    return per_graph(moves, key, run, f"{key} string, rule string, verdict string, counterexample array<string>, unmatched array<string>, cyclic boolean")
-
-
 def contracted(edges: DataFrame, bookkeeping: str = "^(pass|import|block)$", key: str = "graph") -> DataFrame:
     """graph, src, label, dst without bookkeeping nodes. edges: graph, src, src_type, label, dst, dst_type."""
     import re
@@ -238,18 +251,6 @@ def contracted(edges: DataFrame, bookkeeping: str = "^(pass|import|block)$", key
     return per_graph(edges, key, run, f"{key} string, src string, label string, dst string")
 
 
-def lift_report(moves: DataFrame, key: str = "sys", initial: str = "initial") -> DataFrame:
-    """States, silent and visible moves, dead ends, unreachable states, complexity."""
-
-    def run(g: dict[str, list]) -> list[tuple]:
-        m = _moves(g)
-        states, tau = _states(g), sum(not x for _, x, _ in m)
-        live = graphs.reach([g[initial][0]], [(a, b) for a, _, b in m])
-        return [(len(states), tau, len(m) - tau, len(set(states) - {a for a, _, _ in m}), len(set(states) - live), len(m) - len(states) + 2)]
-
-    return per_graph(moves, key, run, f"{key} string, states int, silent int, visible int, dead_ends int, unreachable int, complexity int")
-
-
 def ordering(dominated: DataFrame, pairs: DataFrame, key: str = "graph") -> DataFrame:
     """graph, a, b, ordered, path: whether every way to b passes a, and the dominators from a on. dominated: as `dominators`; pairs: graph, a, b."""
     d = dominated.select(key, F.col("node").alias("b"), "dominators")
@@ -258,33 +259,6 @@ def ordering(dominated: DataFrame, pairs: DataFrame, key: str = "graph") -> Data
     return out.select(key, "a", "b", inside.alias("ordered"), "dominators")
 
 
-def bisimilar(moves: DataFrame, pairs: DataFrame, key: str = "sys", initial: str = "initial") -> DataFrame:
-    """a, b, bisimilar, from the disjoint union of both systems of a pair: whether their first states share a block. moves: as `stuttering`; pairs: a, b."""
-    number = F.concat_ws("|", "a", "b")
-    sides = []
-    for side in ("a", "b"):
-        rows = pairs.join(moves, pairs[side] == moves[key])
-        own = lambda c, side=side: F.concat(F.lit(f"{side}."), F.col(c))
-        sides.append(rows.select("a", "b", number.alias("pair"), own("src").alias("src"), "label", own("dst").alias("dst"), own(initial).alias("first")))
-
-    def run(g: dict[str, list]) -> list[tuple]:
-        m, states = _moves(g), sorted({*_states(g), *g["first"]})
-        block = graphs.refine(states, m)
-        firsts = set(g["first"])
-        return [(g["a"][0], g["b"][0], len(firsts) == 2 and len({block[s] for s in firsts}) == 1)]
-
-    return per_graph(sides[0].unionByName(sides[1]), "pair", run, "pair string, a string, b string, bisimilar boolean").drop("pair")
-
-
-def collapsed(moves: DataFrame, key: str = "sys") -> DataFrame:
-    """sys, src, label, dst with each silent component as one state, named by its least."""
-
-    def run(g: dict[str, list]) -> list[tuple]:
-        return [(a, list(x), b) for a, x, b in graphs.collapse(_states(g), _moves(g))[1]]
-
-    return per_graph(moves, key, run, f"{key} string, src string, label array<string>, dst string")
-
-
 def unrolled(edges: DataFrame, copies: int = 3, key: str = "graph") -> DataFrame:
     """graph, src, label, dst, trap: loop nodes as `copies` iterations, and a trap state behind the last one.
 
@@ -308,42 +282,3 @@ def unrolled(edges: DataFrame, copies: int = 3, key: str = "graph") -> DataFrame
         return sorted({(a, x, b, b.endswith("_loop_exceeds_bound_error")) for a, x, b in now}, key=repr)
 
     return per_graph(edges, key, run, f"{key} string, src string, label string, dst string, trap boolean")
-
-
-def reachability_monitor(label: str) -> list[tuple[str, str, str]]:
-    """Moves (src, label, dst) of a monitor that is violated once it sees the label; it stays where it is on any other."""
-    return [("ok", label, "violated")]
-
-
-def loop_bound_monitor() -> list[tuple[str, str, str]]:
-    """A monitor without moves of its own: the system's trap states violate it."""
-    return []
-
-
-def monitored(moves: DataFrame, monitors: dict[str, list[tuple[str, str, str]]], key: str = "sys", initial: str = "initial", trap: str = "_loop_exceeds_bound_error") -> DataFrame:
-    """sys, monitor, violated, run: whether the product of a system and a monitor reaches a violation, and the labels of the shortest way there (the least of equal ones)."""
-
-    def run(g: dict[str, list]) -> list[tuple]:
-        out, ways = [], {}
-        for a, label, b in _moves(g):
-            ways.setdefault(a, []).append((label, b))
-        for name, steps in monitors.items():
-            delta = {(s, x): t for s, x, t in steps}
-            seen, level, found = set(), [((), g[initial][0], "ok")], None
-            while level and found is None:
-                ahead = []
-                for line, s, m in sorted(level):
-                    if m == "violated" or s.endswith(trap):
-                        found = line
-                        break
-                    if (s, m) in seen:
-                        continue
-                    seen.add((s, m))
-                    for label, t in ways.get(s, ()):
-                        to = next((delta[m, x] for x in label if (m, x) in delta), m)
-                        ahead.append(((*line, " & ".join(label)) if label else line, t, to))
-                level = ahead
-            out.append((name, found is not None, list(found or ())))
-        return out
-
-    return per_graph(moves, key, run, f"{key} string, monitor string, violated boolean, run array<string>")

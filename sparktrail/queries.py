@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.sequences import common_length
 from .functions.text import plain
-from .operators import gates, graph, match, metrics, synth, traces
+from .operators import gates, graph, match, metrics, synth, systems, traces
 from .plans import scan, temporal
 from .sources.tables import events, table
 
@@ -388,18 +388,18 @@ n AS (SELECT *, min(state) OVER (PARTITION BY graph, class) AS block FROM k)"""
 @query(CLASSES + " SELECT CAST(graph AS VARCHAR) AS sys, state, block, false AS divergent FROM n")
 def partition_refinement(spark, d):
     """Blocks are named by their least state."""
-    return graph.named_blocks(graph.stuttering(_systems(spark, d)))
+    return systems.stuttering(_systems(spark, d))
 
 
 @query(CLASSES + " SELECT DISTINCT CAST(e.graph AS VARCHAR) AS sys, a.block AS src, coalesce(e.label, '') AS label, z.block AS dst FROM e JOIN n a ON a.graph = e.graph AND a.r = e.src JOIN n z ON z.graph = e.graph AND z.r = e.dst WHERE e.label IS NOT NULL OR a.block <> z.block")
 def quotient(spark, d):
-    q = graph.quotients(_systems(spark, d), named=True)
+    q = systems.quotients(_systems(spark, d))
     return q.select("sys", "src", F.array_join("label", "&").alias("label"), "dst")
 
 
 @query(CLASSES + ", s AS (SELECT n.graph, CAST(n.graph AS VARCHAR) AS sys, n.class, n.last, (SELECT count(*) FROM e WHERE e.graph = n.graph) AS moves FROM n WHERE r = 1) SELECT sys, first(sys) OVER (PARTITION BY class ORDER BY last, moves, sys) AS representative, count(*) OVER (PARTITION BY class) = 1 AS singleton FROM s")
 def quotient_clusters(spark, d):
-    return graph.clusters(_systems(spark, d)).drop("signature")
+    return systems.clusters(_systems(spark, d)).drop("signature")
 
 
 @query(ORDERS + """, own AS (SELECT x.graph, list(DISTINCT label) FILTER (label IS NOT NULL) AS atoms FROM x LEFT JOIN e ON e.graph = x.graph AND e.src = x.r GROUP BY x.graph),
@@ -411,7 +411,7 @@ w AS (SELECT graph, rule, min({'n': len(run), 'r': run}) FILTER (NOT ok) AS bad
 m AS (SELECT w.*, list_sort(list_filter(['F', 'O'], lambda a: NOT coalesce(list_contains(atoms, a), false))) AS missing FROM w JOIN own USING (graph))
 SELECT CAST(graph AS VARCHAR) AS sys, rule, CASE WHEN len(missing) > 0 THEN 'INCONCLUSIVE' WHEN bad IS NULL THEN 'COMPLIANT' ELSE 'VIOLATION' END AS verdict, CASE WHEN len(missing) > 0 OR bad IS NULL THEN '' ELSE array_to_string(bad.r, ' > ') END AS counterexample, array_to_string(missing, ',') AS unmatched, false AS cyclic FROM m""")
 def monitor_product(spark, d):
-    c = graph.conformance(_systems(spark, d), {"open_then_filled": 'G("O" -> F("F"))', "no_open_first": '!"O" W "F"'})
+    c = systems.conformance(_systems(spark, d), {"open_then_filled": 'G("O" -> F("F"))', "no_open_first": '!"O" W "F"'})
     return c.select("sys", "rule", "verdict", F.array_join("counterexample", " > ").alias("counterexample"), F.array_join("unmatched", ",").alias("unmatched"), "cyclic")
 
 

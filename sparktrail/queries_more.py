@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .operators import alignment, compare, graph, lineage, metrics
+from .operators import alignment, compare, graph, lineage, metrics, systems
 from .queries import CLASSES, FOLLOW, ORDERS, _order_graphs, _systems, query
 from .sources import programs
 from .sources.tables import events, table
@@ -76,7 +76,7 @@ def trace_divergences(spark, d):
 def bisimilar_neighbours(spark, d):
     s = _systems(spark, d)
     a = s.select(F.col("sys").alias("a")).distinct().withColumn("b", (F.col("a").cast("bigint") + 1).cast("string"))
-    return graph.bisimilar(s, a.join(a.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b"))
+    return systems.bisimilar(s, a.join(a.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b"))
 
 
 @query(ORDERS + ", z AS (SELECT graph, max(r) AS stop FROM x GROUP BY graph HAVING max(r) > 1), q AS (SELECT graph, 1::BIGINT AS n FROM z UNION SELECT q.graph, e.dst FROM q JOIN e ON e.graph = q.graph AND e.src = q.n AND e.dst <> 4) SELECT CAST(z.graph AS VARCHAR) AS graph, stop = 4 OR (stop > 4 AND NOT EXISTS (SELECT 1 FROM q WHERE q.graph = z.graph AND q.n = stop)) AS ordered FROM z")
@@ -106,7 +106,7 @@ w AS (SELECT graph, min({'s': steps, 'r': run}) FILTER (hit) AS bad FROM t GROUP
 SELECT CAST(graph AS VARCHAR) AS sys, 'filled' AS monitor, bad IS NOT NULL AS violated, coalesce(array_to_string(bad.r, ' > '), '') AS run FROM w UNION ALL SELECT CAST(graph AS VARCHAR), 'bound', false, '' FROM w""")
 def monitors(spark, d):
     """Whether an order system can reach F, and how; whether it leaves a loop's bound."""
-    m = graph.monitored(_systems(spark, d), {"filled": graph.reachability_monitor("F"), "bound": graph.loop_bound_monitor()})
+    m = systems.monitored(_systems(spark, d), {"filled": systems.reachability_monitor("F"), "bound": systems.loop_bound_monitor()})
     return m.select("sys", "monitor", "violated", F.array_join("run", " > ").alias("run"))
 
 
@@ -120,8 +120,54 @@ def program_conformance(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("program"), F.row_number().over(by).alias("pos"), F.concat(F.lit("step_"), F.lower("o_orderstatus")).alias("f"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "f"))), lambda x: F.concat(F.lit("    "), x["f"], F.lit("()\n"))), "")
     head = F.lit("def step_o():\n    pass\ndef step_f():\n    pass\ndef step_p():\n    pass\ndef run():\n")
-    systems = programs.call_systems(o.groupBy("program").agg(F.concat(head, body).alias("code")))
-    return graph.conformance(systems, {"response": "G(step_o -> F(step_f))", "precedence": "!step_f W step_o"}).select("sys", "rule", "verdict")
+    lifted = programs.call_systems(o.groupBy("program").agg(F.concat(head, body).alias("code")))
+    return systems.conformance(lifted, {"response": "G(step_o -> F(step_f))", "precedence": "!step_f W step_o"}).select("sys", "rule", "verdict")
+
+
+#: Systems with cycles: a case's events as moves between event types, from `start`; cases of every id but each fourth end silently.
+LOOPS = """WITH RECURSIVE z AS (SELECT user_id AS u, event_type AS e, lag(event_type) OVER w AS before, lead(event_id) OVER w IS NULL AS last FROM events WHERE user_id IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+m AS (SELECT DISTINCT u, coalesce(before, 'start') AS src, e AS label, e AS dst FROM z UNION ALL SELECT u, e, NULL, 'end' FROM z WHERE last AND u % 4 <> 0)"""
+
+
+def _loops(spark, d):
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = events(spark, d).filter("user_id IS NOT NULL").select("user_id", F.col("event_type").alias("e"), F.lag("event_type").over(by).alias("before"), F.lead("event_id").over(by).isNull().alias("last"))
+    own = e.select("user_id", F.coalesce("before", F.lit("start")).alias("src"), F.array("e").alias("label"), F.col("e").alias("dst")).distinct()
+    end = e.filter("last AND user_id % 4 <> 0").select("user_id", F.col("e").alias("src"), F.array().cast("array<string>").alias("label"), F.lit("end").alias("dst"))
+    return own.unionByName(end).select(F.col("user_id").cast("string").alias("sys"), "src", "label", "dst", F.lit("start").alias("initial"))
+
+
+@query(LOOPS + """, d AS (SELECT * FROM (VALUES ('answered', 0, 'error', 1), ('answered', 1, 'purchase', 0), ('first', 0, 'signup', 1), ('first', 0, 'purchase', 2), ('some', 0, 'purchase', 1)) t(rule, q, label, then_q)),
+k AS (SELECT * FROM (VALUES ('answered', 'error'), ('answered', 'purchase'), ('first', 'purchase'), ('first', 'signup'), ('some', 'purchase'), ('lost', 'refund')) t(rule, atom)),
+g AS (SELECT * FROM (VALUES ('answered', 0), ('first', 0), ('first', 1), ('some', 1)) t(rule, q)),
+s AS (SELECT u, rule, list_sort(list(atom) FILTER (NOT EXISTS (SELECT 1 FROM m WHERE m.u = c.u AND m.label = atom))) AS missing FROM (SELECT DISTINCT u FROM m) c, k GROUP BY u, rule),
+p AS (SELECT u, rule, 'start' AS n, 0 AS q, 0 AS steps FROM s WHERE missing IS NULL
+ UNION SELECT p.u, p.rule, m.dst, CASE WHEN m.label IS NULL THEN p.q ELSE coalesce((SELECT then_q FROM d WHERE d.rule = p.rule AND d.q = p.q AND d.label = m.label), p.q) END, p.steps + CAST(m.label IS NOT NULL AS INT) FROM p JOIN m ON m.u = p.u AND m.src = p.n WHERE p.steps < 24),
+f AS (SELECT u, rule, min(steps) FILTER (NOT EXISTS (SELECT 1 FROM g WHERE g.rule = p.rule AND g.q = p.q) OR steps = 0) AS bad FROM p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.u = p.u AND m.src = p.n) GROUP BY u, rule),
+c AS (SELECT DISTINCT u, 'start' AS a, dst AS b FROM m WHERE src = 'start' UNION SELECT c.u, c.b, m.dst FROM c JOIN m ON m.u = c.u AND m.src = c.b),
+t AS (SELECT u, a, b FROM c UNION SELECT t.u, t.a, c.b FROM t JOIN c ON c.u = t.u AND c.a = t.b),
+y AS (SELECT DISTINCT u FROM t WHERE a = b)
+SELECT CAST(s.u AS VARCHAR) AS sys, s.rule, CASE WHEN missing IS NOT NULL OR f.u IS NULL THEN 'INCONCLUSIVE' WHEN bad IS NOT NULL THEN 'VIOLATION' ELSE 'COMPLIANT' END AS verdict,
+ CAST(CASE WHEN missing IS NULL THEN coalesce(bad, 0) ELSE 0 END AS BIGINT) AS steps, coalesce(array_to_string(missing, ','), '') AS unmatched, missing IS NULL AND y.u IS NOT NULL AS cyclic
+FROM s LEFT JOIN f USING (u, rule) LEFT JOIN y ON y.u = s.u""")
+def conformance_cycles(spark, d):
+    """Four rules against systems with cycles, some without a finite run: every verdict, and how long the shortest bad run is."""
+    rules = {"answered": "G(error -> F(purchase))", "first": "!purchase W signup", "some": "F(purchase)", "lost": "F(refund)"}
+    c = systems.conformance(_loops(spark, d), rules)
+    return c.select("sys", "rule", "verdict", F.size("counterexample").cast("bigint").alias("steps"), F.array_join("unmatched", ",").alias("unmatched"), "cyclic")
+
+
+@query("""WITH RECURSIVE x AS (SELECT l_orderkey AS g, l_returnflag || CAST(l_quantity AS INT) % 3 AS src, lead(l_returnflag || CAST(l_quantity AS INT) % 3) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dst, l_linestatus = 'O' AS silent FROM lineitem),
+e AS (SELECT DISTINCT g, src, dst FROM x WHERE silent AND dst IS NOT NULL), c AS (SELECT g, src, dst FROM e UNION SELECT c.g, c.src, e.dst FROM c JOIN e ON e.g = c.g AND e.src = c.dst),
+bad AS (SELECT DISTINCT c.g, c.src FROM c JOIN c l ON l.g = c.g AND l.src = c.dst AND l.dst = c.dst)
+SELECT DISTINCT CAST(x.g AS VARCHAR) AS sys, x.src AS state, bad.src IS NOT NULL AS divergent FROM x LEFT JOIN bad ON bad.g = x.g AND bad.src = x.src""")
+def divergent_states(spark, d):
+    """Lines of an order as moves between kinds of lines, open ones silent: which states can go on silently for ever, from the refinement of all systems."""
+    by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    state = F.concat("l_returnflag", (F.col("l_quantity").cast("int") % 3).cast("string"))
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag", state.alias("src"), F.lead(state).over(by).alias("dst"))
+    label = F.when(F.col("l_linestatus") == "O", F.array().cast("array<string>")).otherwise(F.array("l_returnflag"))
+    return systems.stuttering(line.select(F.col("l_orderkey").cast("string").alias("sys"), "src", label.alias("label"), "dst")).select("sys", "state", "divergent")
 
 
 TALKS = "WITH l AS (SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS t FROM conversations GROUP BY conv_id), a AS (SELECT DISTINCT t FROM l WHERE conv_id % 2 = 0), b AS (SELECT DISTINCT t FROM l WHERE conv_id % 2 = 1), c AS (SELECT CAST(count(*) FILTER (a.t IS NOT NULL AND b.t IS NOT NULL) AS BIGINT) AS agreed, CAST(count(*) FILTER (b.t IS NULL) AS BIGINT) AS spec_only, CAST(count(*) FILTER (a.t IS NULL) AS BIGINT) AS model_only FROM a FULL JOIN b ON a.t = b.t)"

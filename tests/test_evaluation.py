@@ -4,10 +4,10 @@ import itertools
 import math
 import random
 
+import plain_graphs
 import pytest
 from pyspark.sql import functions as F
-from sparktrail.functions import graphs
-from sparktrail.operators import alignment, graph, lineage, metrics, mutate, synth, traces
+from sparktrail.operators import alignment, graph, lineage, metrics, mutate, synth, systems, traces
 from sparktrail.plans import formula as fm
 
 MOVES = "sys string, src string, label array<string>, dst string, initial string"
@@ -27,12 +27,12 @@ def test_bisimilar(spark):
     df = spark.createDataFrame(rows, MOVES)
     names = sorted({r[0] for r in rows})
     pairs = [(a, b) for a, b in itertools.combinations(names, 2)] + [(n, n) for n in names]
-    got = {(r.a, r.b): r.bisimilar for r in graph.bisimilar(df, spark.createDataFrame(pairs, "a string, b string")).collect()}
+    got = {(r.a, r.b): r.bisimilar for r in systems.bisimilar(df, spark.createDataFrame(pairs, "a string, b string")).collect()}
 
     def same(a, b):
         m = [(f"{t}{x[0]}{x[1]}", tuple(x[2]), f"{t}{x[0]}{x[3]}") for t, s in ((0, a), (1, b)) for x in rows if x[0] == s and x[3]]
         states = sorted({s for x in m for s in (x[0], x[2])} | {f"0{a}q0", f"1{b}q0"})
-        block = graphs.refine(states, m)
+        block = plain_graphs.refine(states, m)
         return block[f"0{a}q0"] == block[f"1{b}q0"]
 
     assert got == {p: same(*p) for p in pairs} and all(got[n, n] for n in names) and len(set(got.values())) == 2
@@ -44,10 +44,10 @@ def test_unrolling_and_monitors(spark):
     got = {(r.src, r.label, r.dst) for r in graph.unrolled(df).collect()}
     assert got == {("s", "in", "L_iter_0"), *((f"L_iter_{k}", x, y) for k in range(3) for x, y in (("body", "b"), ("out", "e"))), ("b", "again", "L_iter_1"), ("b", "again", "L_iter_2"), ("b", "again", "L_loop_exceeds_bound_error")}
     moves = graph.unrolled(df).select(F.col("graph").alias("sys"), "src", F.array("label").alias("label"), "dst", F.lit("s").alias("initial"))
-    out = {r.monitor: (r.violated, r.run) for r in graph.monitored(moves, {"sees_out": graph.reachability_monitor("out"), "sees_none": graph.reachability_monitor("none"), "bound": graph.loop_bound_monitor()}).collect()}
+    out = {r.monitor: (r.violated, r.run) for r in systems.monitored(moves, {"sees_out": systems.reachability_monitor("out"), "sees_none": systems.reachability_monitor("none"), "bound": systems.loop_bound_monitor()}).collect()}
     assert out["sees_out"] == (True, ["in", "out"]) and out["bound"] == (True, ["in", "body", "again"])
     plain = spark.createDataFrame([("s", "p", ["a"], "q", "p")], MOVES)
-    assert not any(r.violated for r in graph.monitored(plain, {"none": graph.reachability_monitor("b"), "bound": graph.loop_bound_monitor()}).collect())
+    assert not any(r.violated for r in systems.monitored(plain, {"none": systems.reachability_monitor("b"), "bound": systems.loop_bound_monitor()}).collect())
 
 
 def test_ordering_and_collapse(spark):
@@ -56,7 +56,7 @@ def test_ordering_and_collapse(spark):
     got = {(r.a, r.b): r.ordered for r in graph.ordering(dom, spark.createDataFrame([("g", "b", "c"), ("g", "a", "c"), ("g", "a", "zz")], "graph string, a string, b string")).collect()}
     assert got == {("b", "c"): True, ("a", "c"): False, ("a", "zz"): False}
     df = spark.createDataFrame([("s", "a", [], "b", "a"), ("s", "b", [], "a", "a"), ("s", "b", ["x"], "c", "a")], MOVES)
-    assert [(r.src, r.label, r.dst) for r in graph.collapsed(df).collect()] == [("a", ["x"], "c")]
+    assert [(r.src, r.label, r.dst) for r in systems.collapsed(df).collect()] == [("a", ["x"], "c")]
     both = lineage.disjoint_union(df.select("src", "label", "dst"), df.select("src", "label", "dst"))
     assert both.count() == 6 and {r.src for r in both.collect()} == {"a.a", "a.b", "b.a", "b.b"}
 

@@ -1,10 +1,11 @@
 import itertools
 import random
 
+import plain_graphs
 import pytest
 from pyspark.sql import functions as F
 from sparktrail.functions import graphs, text
-from sparktrail.operators import gates, graph, match, metrics, mutate, synth, traces
+from sparktrail.operators import gates, graph, match, metrics, mutate, synth, systems, traces
 from sparktrail.sources import bpmn, programs, tables
 
 LETTERS = "abcd"
@@ -29,17 +30,17 @@ def test_stuttering_and_clusters(spark):
         moves("p --> q, q -a-> r", "tau_a"), moves("p -a-> r", "a"), moves("p --> p, p -a-> r", "diverges"), moves("x -a-> y", "renamed", "x"), moves("p -b-> r", "b"),
         moves("p -a-> q, q -b-> r, p -a-> s, s -b-> r", "twice"), moves("p -a-> q, q -b-> r", "once"),
     )
-    got = {r.sys: r.representative for r in graph.clusters(df).collect()}
+    got = {r.sys: r.representative for r in systems.clusters(df).collect()}
     assert got["tau_a"] == got["a"] == got["renamed"] and got["twice"] == got["once"] == "once"
     assert len({got["a"], got["diverges"], got["b"], got["once"]}) == 4
-    block = {(r.sys, r.state): (r.block, r.divergent) for r in graph.stuttering(df).collect()}
+    block = {(r.sys, r.state): (r.block, r.divergent) for r in systems.stuttering(df).collect()}
     assert block["tau_a", "p"] == block["tau_a", "q"] and block["diverges", "p"][1] and not block["diverges", "r"][1]
-    assert graph.quotients(df.filter("sys = 'tau_a'")).count() == 1
+    assert systems.quotients(df.filter("sys = 'tau_a'")).count() == 1
 
 
 def test_divergence_two_cycle_and_propagation():
     m = [("a", (), "b"), ("b", (), "c"), ("c", (), "b"), ("d", ("x",), "a"), ("e", (), "e")]
-    assert graphs.divergent("abcde", m) == {"a", "b", "c", "e"}
+    assert plain_graphs.divergent("abcde", m) == {"a", "b", "c", "e"}
 
 
 def test_dominators(spark):
@@ -53,19 +54,19 @@ def test_reach_components_paths(spark):
     pairs = sorted({(rng.randint(0, 11), rng.randint(0, 11)) for _ in range(16)})
     edges = spark.createDataFrame(pairs, "src long, dst long")
     roots = spark.createDataFrame([(pairs[0][0],)], "node long")
-    assert {r.node for r in graph.reachable(edges, roots).collect()} == graphs.reach([pairs[0][0]], pairs)
+    assert {r.node for r in graph.reachable(edges, roots).collect()} == plain_graphs.reach([pairs[0][0]], pairs)
     nodes = {n for p in pairs for n in p}
-    assert {r.node: r.component for r in graph.strong_components(edges).collect()} == graphs.components(nodes, pairs)
+    assert {r.node: r.component for r in graph.strong_components(edges).collect()} == plain_graphs.components(nodes, pairs)
     ends = {max(nodes)}
     found = graph.simple_paths(edges, roots, spark.createDataFrame([(max(nodes),)], "node long"), longest=6)
-    want = graphs.paths([pairs[0][0]], ends, pairs, True, 6, 10**6)
+    want = plain_graphs.paths([pairs[0][0]], ends, pairs, True, 6, 10**6)
     assert sorted(map(tuple, (r.path for r in found.collect()))) == sorted(map(tuple, want))
 
 
 def test_conformance(spark):
     df = frame(spark, moves("p -a-> q, q -b-> r", "ok"), moves("p -a-> q, p -a-> s, s -b-> t", "bad"), moves("p -a-> p, p -b-> q", "loop"), moves("p -c-> q", "other"))
     rules = {"r": "G(a -> F b)"}
-    got = {x.sys: (x.verdict, x.counterexample, x.unmatched, x.cyclic) for x in graph.conformance(df, rules).collect()}
+    got = {x.sys: (x.verdict, x.counterexample, x.unmatched, x.cyclic) for x in systems.conformance(df, rules).collect()}
     assert got["ok"] == ("COMPLIANT", [], [], False) and got["bad"] == ("VIOLATION", ["a"], [], False)
     assert got["loop"][0] == "COMPLIANT" and got["loop"][3] and got["other"] == ("INCONCLUSIVE", [], ["a", "b"], False)
     v = spark.createDataFrame([("x", "COMPLIANT"), ("x", "VIOLATION"), ("y", "INCONCLUSIVE"), ("y", "COMPLIANT"), ("z", "ERROR")], "sys string, verdict string")

@@ -6,7 +6,7 @@ import tracemalloc
 
 from pyspark.sql import functions as F
 from sparktrail.functions import sequences
-from sparktrail.operators import compare, graph, lineage
+from sparktrail.operators import compare, graph, lineage, systems
 from sparktrail.sources import bpmn, programs, tables
 
 FLOW = '''
@@ -46,8 +46,8 @@ def test_call_order_and_conformance(spark):
     tasks = {r.code for r in nodes.collect() if r.program == "p" and r.type == "task"}
     assert tasks == {"load", "check", "send"} and {r.fn for r in nodes.collect()} == {"run", "<module>"}
     assert edges.filter("program = 'p'").count() == 9
-    systems = programs.call_systems(df.filter("program = 'p'"))
-    found = {r.rule: (r.verdict, r.counterexample) for r in graph.conformance(systems, {"ok": "!send W check", "no": "G(check -> !F(send))", "far": "F(other)"}).collect()}
+    lifted = programs.call_systems(df.filter("program = 'p'"))
+    found = {r.rule: (r.verdict, r.counterexample) for r in systems.conformance(lifted, {"ok": "!send W check", "no": "G(check -> !F(send))", "far": "F(other)"}).collect()}
     assert found["ok"][0] == "COMPLIANT" and found["no"] == ("VIOLATION", ["load", "check", "send"]) and found["far"][0] == "INCONCLUSIVE"
     assert [r.program for r in programs.rejected(df).collect()] == ["bad"]
 
