@@ -26,6 +26,33 @@ def reach(roots: Iterable[Node], edges: Iterable[tuple[Node, Node]], back: bool
     return seen
 
 
+def components(nodes: Iterable[Node], edges: list[tuple[Node, Node]]) -> dict[Node, Node]:
+    """Strongly connected components, named by their least node: two passes of depth-first search."""
+    to, frm, order, seen = follow(edges), follow(edges, True), [], set()
+    for start in sorted(nodes):
+        stack = [(start, False)]
+        while stack:
+            n, done = stack.pop()
+            if done:
+                order.append(n)
+            elif n not in seen:
+                seen.add(n)
+                stack.append((n, True))
+                stack += [(m, False) for m in to.get(n, ()) if m not in seen]
+    out: dict[Node, Node] = {}
+    for start in reversed(order):
+        if start not in out:
+            group, todo = {start}, [start]
+            while todo:
+                for m in frm.get(todo.pop(), ()):
+                    if m not in out and m not in group:
+                        group.add(m)
+                        todo.append(m)
+            least = min(group)
+            out |= dict.fromkeys(group, least)
+    return out
+
+
 def dominators(root: Node, edges: list[tuple[Node, Node]]) -> dict[Node, set[Node]]:
     """The dominators of each node that the root reaches, itself included."""
     inside = reach([root], edges)

@@ -5,38 +5,11 @@ from __future__ import annotations
 from collections import defaultdict, deque
 from collections.abc import Callable, Hashable, Iterable
 
-from sparktrail.functions.graphs import Node, follow, reach
+from sparktrail.functions.graphs import Node, components, follow, reach
 
 __all__ = ["Node", "components", "divergent", "follow", "paths", "reach", "refine", "silent"]
 
 
-def components(nodes: Iterable[Node], edges: list[tuple[Node, Node]]) -> dict[Node, Node]:
-    """Strongly connected components, named by their least node: two passes of depth-first search."""
-    to, frm, order, seen = follow(edges), follow(edges, True), [], set()
-    for start in sorted(nodes):
-        stack = [(start, False)]
-        while stack:
-            n, done = stack.pop()
-            if done:
-                order.append(n)
-            elif n not in seen:
-                seen.add(n)
-                stack.append((n, True))
-                stack += [(m, False) for m in to.get(n, ()) if m not in seen]
-    out: dict[Node, Node] = {}
-    for start in reversed(order):
-        if start not in out:
-            group, todo = {start}, [start]
-            while todo:
-                for m in frm.get(todo.pop(), ()):
-                    if m not in out and m not in group:
-                        group.add(m)
-                        todo.append(m)
-            least = min(group)
-            out |= dict.fromkeys(group, least)
-    return out
-
-
 def paths(starts: Iterable[Node], ends: set[Node], edges: list[tuple[Node, Node]], simple: bool, longest: int, most: int) -> list[list[Node]]:
     """Paths from a start to an end, shorter ones first, then in order of nodes; at most `most`, each of at most `longest` nodes."""
     to, found, todo = follow(edges), [], deque([s] for s in sorted(starts))
