@@ -330,8 +330,9 @@ g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i:
 f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
 t AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
 c AS MATERIALIZED (SELECT lang, phrase, k, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 10),
-cuts AS (SELECT c.lang, c.phrase, c.a, j, l.a AS l, r.a AS r, CAST((CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score FROM c, (VALUES (1), (2)) x(j), f l, f r
- WHERE j < c.k AND l.lang = c.lang AND l.phrase = array_to_string(c.ws[1 : j], ' ') AND r.lang = c.lang AND r.phrase = array_to_string(c.ws[j + 1 : ], ' ')),
+x AS MATERIALIZED (SELECT lang, phrase, a, j, array_to_string(ws[1 : j], ' ') AS left_part, array_to_string(ws[j + 1 : ], ' ') AS right_part FROM c, (VALUES (1), (2)) v(j) WHERE j < k),
+y AS MATERIALIZED (SELECT x.*, f.a AS l FROM x JOIN f ON f.lang = x.lang AND f.phrase = x.left_part),
+cuts AS (SELECT y.lang, y.phrase, y.a, j, l, f.a AS r, CAST((CAST(1000000 AS HUGEINT) * y.a * y.a) // (CAST(l AS HUGEINT) * f.a) AS BIGINT) AS score FROM y JOIN f ON f.lang = y.lang AND f.phrase = y.right_part),
 s AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
 o AS (SELECT lang, inner_phrase, max(a) AS a FROM (SELECT lang, a, unnest([array_to_string(ws[1 : 2], ' '), array_to_string(ws[2 : 3], ' ')]) AS inner_phrase FROM c WHERE k = 3) GROUP BY ALL)
 SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, s.a DESC, s.phrase) AS rank, s.phrase, s.a, s.l, s.r, t.n, score
