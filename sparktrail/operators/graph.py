@@ -40,7 +40,7 @@ def reachable(edges: DataFrame, roots: DataFrame, most: int | None = None) -> Da
         new = settled(step.join(_union(seen), ["root", "node"], "left_anti"))
         if new.isEmpty():
             break
-        seen = [settled(_union([*seen, new]))] if len(seen) == 15 else [*seen, new]
+        seen = [settled(_union([*seen, new]))] if len(seen) == 6 else [*seen, new]
     return _union(seen)
 
 
