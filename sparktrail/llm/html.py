@@ -1,18 +1,19 @@
 """Main text of web pages by line-block distribution.
 
-A page is cut into lines, one a block with text; a block without any is an empty line. Markup goes. A
+A page is cut into lines, one a block with text; blocks without any are no lines. Markup goes. A
 line weighs its text outside links, or all its text in an article or main element; elsewhere, on pages
 that have such an element with text, it weighs a quarter. Lines in menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments, told by element, role, class or id, weigh nothing; inside
-an article they aren't lines at all. Such a mark never holds for html, body, an article, a main element, or what
-wraps one; a class or a form doesn't mark what holds nearly all the prose of a page without them; and a
+notices, adverts, forms and reader comments, told by element, role, class or id, weigh nothing.
+Such a mark never holds for html, body, an article, a main element, or what
+wraps one; a class or a form doesn't mark what holds nearly all the prose of a page without them; a class
+that names a tool (search, sharing, lists of links) or a promotion marks only what holds a link or a control; and a
 header inside an article is its title. Scripts, styles and hidden elements are no lines anywhere.
 
 Weights are summed over windows of WINDOW lines. A stretch of lines surges where the sum rises from
 nothing and dives where it falls to nothing again; it counts if the sum reaches the threshold between. The threshold is LOOSE characters, or a quarter of the page's
-densest window where that is less. The text between is kept: of several stretches those with at
-least SHARE of the heaviest one's weight, and those of the same article as that one. Articles begin
-and end with WINDOW empty lines.
+densest window where that is less. The text between is kept, lines that are one link included, but no
+marked lines: of several stretches those with at least SHARE of the heaviest one's weight, and all
+those of the same article as that one, however light. Articles begin and end with WINDOW empty lines.
 
 Defined cases: null, empty or text-free html gives an empty text; unclosed elements, comments and
 tags end with the page; unknown character references stay as they are; white space of any kind
@@ -44,20 +45,18 @@ OUT = {"nav", "header", "footer", "aside", "form", "button", "select", "option",
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "img", "label", "acronym", "nobr", "ruby", "rt", "rp"}
 #: Words of class, id and role that mark what is not the article: a whole name, its last part, or its first part before a word of place.
-OUT_WORDS = re.compile(
-    r"(?!(?:has|no|with|without|is|show|hide|js)[_-])(?:[a-z0-9]+[_-])*(?:nav|navbar|navigation|menu|sidebar|aside|footer|header|masthead|banner|cookies?|consent|gdpr|notice|notification|alert|ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo|promotion|comments?|replies|reply|respond|disqus|share|sharing|social|related|recommended|breadcrumbs?|popup|modal|overlay|newsletter|subscribe|signup|login|widget|pagination|pager|toolbar|search|skip|contentinfo|complementary|toc|copyright)"
-    r"(?:[_-](?:list|box|wrap|wrapper|container|area|block|section|bar|left|right|top|bottom|inner|outer|links?|form|widget|text|body|content|thread|item|buttons?|icons?|[0-9]+))*",
-    re.IGNORECASE,
-)
+_BEFORE = r"(?!(?:has|no|with|without|is|show|hide|js)[_-])(?:[a-z0-9]+[_-])*"
+_BEHIND = r"(?:[_-](?:list|box|wrap|wrapper|container|area|block|section|bar|left|right|top|bottom|inner|outer|links?|form|widget|text|body|content|thread|item|buttons?|icons?|[0-9]+))*"
+OUT_WORDS = re.compile(_BEFORE + r"(?:nav|navbar|navigation|menu|sidebar|aside|footer|header|masthead|banner|cookies?|consent|gdpr|notice|notification|alert|ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo|comments?|replies|reply|respond|disqus|popup|modal|overlay|newsletter|subscribe|signup|widget|contentinfo|complementary|copyright)" + _BEHIND, re.IGNORECASE)
+#: The same for what consists of links or controls; prose of such a name isn't marked.
+TOOL_WORDS = re.compile(_BEFORE + r"(?:share|sharing|social|related|recommended|breadcrumbs?|login|pagination|pager|toolbar|search|skip|toc|promotion)" + _BEHIND, re.IGNORECASE)
+CONTROLS = {"a", "form", "input", "button", "select", "textarea", "iframe"}
 
 
-def named_out(attributes: str) -> bool:
-    """Whether a class, id or role says that this is not the article."""
-    for m in NAMES.finditer(attributes):
-        names = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[2] or m[3] or m[4] or "")
-        if any(OUT_WORDS.fullmatch(name) for name in names.split()):
-            return True
-    return False
+def named_out(attributes: str) -> tuple[bool, bool]:
+    """Whether a class, id or role says that this is not the article, and whether one says that it is a tool."""
+    names = [x for m in NAMES.finditer(attributes) for x in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[2] or m[3] or m[4] or "").split()]
+    return any(map(OUT_WORDS.fullmatch, names)), any(map(TOOL_WORDS.fullmatch, names))
 
 
 class Line(NamedTuple):
@@ -68,10 +67,10 @@ class Line(NamedTuple):
 
 
 class Mark:
-    """An element that its name or its class tells is not the article, unless it proves to be a wrapper."""
+    """An element that its name or its class tells is not the article, unless it proves to be a wrapper, or a tool without a control."""
 
-    def __init__(self, by_class: bool):
-        self.by_class, self.wraps, self.prose = by_class, False, 0
+    def __init__(self, by_class: bool, tool: bool):
+        self.by_class, self.tool, self.wraps, self.prose = by_class, tool, False, 0
 
 
 class Element(NamedTuple):
@@ -79,7 +78,6 @@ class Element(NamedTuple):
     hidden: bool
     article: int
     marks: frozenset[int]
-    lines: int  # number of lines when it opened
 
 
 def lines(page: str) -> tuple[list[Line], list[Mark]]:
@@ -88,7 +86,7 @@ def lines(page: str) -> tuple[list[Line], list[Mark]]:
     marks: list[Mark] = []
     held: list[str] = []
     loose = articles = 0
-    none = Element("", False, 0, frozenset(), 0)
+    none = Element("", False, 0, frozenset())
     stack: list[Element] = []
     link, at, n = 0, 0, len(page)
 
@@ -121,10 +119,7 @@ def lines(page: str) -> tuple[list[Line], list[Mark]]:
     def close(k: int) -> None:
         """Ends the open elements from the k-th on."""
         flush()
-        first = stack[k]
-        if len(out) == first.lines and not first.hidden and first.name not in ("article", "main"):
-            line("")
-        inside = first.article and not (stack[k - 1].article if k else 0)
+        inside = stack[k].article and not (stack[k - 1].article if k else 0)
         del stack[k:]
         if inside:
             for _ in range(WINDOW):
@@ -154,6 +149,9 @@ def lines(page: str) -> tuple[list[Line], list[Mark]]:
                     close(k)
             continue
         if name in RAW:
+            if name in CONTROLS:
+                for k in now().marks:
+                    marks[k].tool = False
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
             at = end.end() if end else n
             continue
@@ -163,6 +161,9 @@ def lines(page: str) -> tuple[list[Line], list[Mark]]:
         if name not in INLINE:
             flush()
         attributes = m[3] or m[6] or ""
+        if name in CONTROLS:
+            for k in now().marks:
+                marks[k].tool = False
         if name in VOID or attributes.endswith("/"):
             continue
         if name == "a":
@@ -184,11 +185,13 @@ def lines(page: str) -> tuple[list[Line], list[Mark]]:
             outer[article] = up.marks
         own = up.marks
         by_name = name in OUT and not (name == "header" and up.article)
-        by_class = not plain and name not in ("html", "body") and not (name in ("article", "main") and not up.article) and named_out(attributes)
-        if by_name or by_class:
+        by_class = tool = False
+        if not plain and name not in ("html", "body") and not (name in ("article", "main") and not up.article):
+            by_class, tool = named_out(attributes)
+        if by_name or by_class or tool:
             own |= {len(marks)}
-            marks.append(Mark(not by_name or name == "form"))
-        stack.append(Element(name, up.hidden or hidden, article, own, len(out)))
+            marks.append(Mark(not by_name or name == "form", not by_name and not by_class))
+        stack.append(Element(name, up.hidden or hidden, article, own))
     flush()
     return out, marks
 
@@ -208,17 +211,16 @@ def stretches(lengths: list[float], threshold: float) -> list[tuple[int, int]]:
     return [*found, (start, len(lengths))] if dense else found
 
 
-def weighed(page: str) -> list[tuple[Line, float]]:
-    """Lines and their weights."""
+def weighed(page: str) -> list[tuple[Line, float | None]]:
+    """Lines and their weights, none for marked lines."""
     every, marks = lines(page)
     article = any(x.article and x.text for x in every)
     prose = sum(x.loose for x in every)
-    stand = {k for k, m in enumerate(marks) if not m.wraps and not (m.by_class and not article and m.prose >= WRAPS and m.prose > MOST * prose)}
+    stand = {k for k, m in enumerate(marks) if not m.wraps and not m.tool and not (m.by_class and not article and m.prose >= WRAPS and m.prose > MOST * prose)}
     out = []
     for x in every:
         if x.marks & stand:
-            if not x.article:
-                out.append((x, 0.0))
+            out.append((x, None))
         elif x.article:
             out.append((x, float(len(x.text))))
         else:
@@ -228,16 +230,15 @@ def weighed(page: str) -> list[tuple[Line, float]]:
 
 def main_text(page: str) -> str:
     every = weighed(page)
-    weights = [w for _, w in every]
+    weights = [w or 0.0 for _, w in every]
     densest = max((sum(weights[i : i + WINDOW]) for i in range(len(weights))), default=0)
     if not densest:
         return ""
-    found = stretches(weights, min(LOOSE, densest / 4))
-    sums = [sum(weights[a:b]) for a, b in found]
-    a, _ = found[sums.index(max(sums))]
-    best = every[a][0].article
-    kept = [f for f, n in zip(found, sums, strict=True) if n >= SHARE * max(sums) or (best and every[f[0]][0].article == best)]
-    return "\n".join(every[i][0].text for a, b in kept for i in range(a, b) if weights[i])
+    found = {f: sum(weights[slice(*f)]) for f in stretches(weights, min(LOOSE, densest / 4))}
+    heaviest = max(found, key=found.get)
+    best = every[heaviest[0]][0].article
+    kept = [f for f in stretches(weights, 0) if found.get(f, 0) >= SHARE * found[heaviest] or (best and every[f[0]][0].article == best)]
+    return "\n".join(every[i][0].text for a, b in kept for i in range(a, b) if every[i][0].text and every[i][1] is not None)
 
 
 def extract(pages: DataFrame) -> DataFrame:

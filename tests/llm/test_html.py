@@ -16,7 +16,7 @@ def test_article():
 
 def test_surge_and_dive_without_article():
     long = "A sentence that is long enough to belong to the running text of the page, surely. "
-    page = "<body><div id=menu><a>One</a></div><ul>" + "<li><a href=x>menu entry</a></li>" * 9 + "</ul>" + f"<div><p>{long}</p><p>{long * 2}</p><p>short</p><p>{long}</p></div>" + "<div></div>" * 5 + "<p>tiny note</p></body>"
+    page = "<body><div id=menu><a>One</a></div><ul>" + "<li><a href=x>menu entry</a></li>" * 9 + "</ul>" + f"<div><p>{long}</p><p>{long * 2}</p><p>short</p><p>{long}</p></div>" + "<p><a href=y>another page</a></p>" * 5 + "<p>tiny note</p></body>"
     assert html.main_text(page).split("\n") == [" ".join(x.split()) for x in (long, long * 2, "short", long)]
     assert html.stretches([0, 0, 50, 60, 0, 70, 0, 0, 0, 5], 80) == [(2, 6)]
 
@@ -44,6 +44,22 @@ def test_classes_never_erase_an_article_or_a_wrapper():
     assert html.main_text("<article><p>Be.</p></article>") == "Be."
 
 
+def test_no_text_of_the_article_is_lost():
+    inside = f'<article><p>{PROSE}</p><section class="search"><p>{PROSE}</p></section><div class="promotion"><p>He got a promotion in May.</p></div></article>'
+    assert html.main_text(inside) == f"{PROSE}\n{PROSE}\nHe got a promotion in May."
+    assert html.main_text(f'<article><p>{PROSE}</p><div class="search"><p>Find it</p><input></div><div class="related"><a href=x>More</a></div><p>End.</p></article>') == f"{PROSE}\nEnd."
+    figures = "<figure><img src=x></figure>" * 3
+    for end in ("The end is a short conclusion of it all.", PROSE[:160].strip()):
+        for wrapper in ("article", "div"):
+            page = f"<{wrapper}><h1>Head</h1>{'<div></div>' * 3}" + f"<p>{PROSE}</p>" * 3 + f"{figures}<p>{end}</p></{wrapper}>"
+            assert html.main_text(page) == "\n".join(["Head", *[PROSE] * 3, end]), (wrapper, end)
+    for wrapper in ("article", "div"):
+        page = f"<{wrapper}><p>{PROSE}</p><p><a href=x>One long link as a paragraph</a></p><p>{PROSE}</p></{wrapper}>"
+        assert html.main_text(page) == f"{PROSE}\nOne long link as a paragraph\n{PROSE}"
+    adverts = '<div class="ad"><p>Buy this now</p></div>' * 4
+    assert html.main_text(f"<article><p>{PROSE}</p>{adverts}<p>Short end.</p></article>") == f"{PROSE}\nShort end."
+
+
 class Plain(HTMLParser):
     """Text of the blocks that the generator marked as its own, by a parser that knows nothing of weights."""
 
@@ -92,7 +108,7 @@ def test_against_a_plain_parser():
     """Generated pages whose own blocks are known; with and without an article element."""
     for wrapper in ("article", "main", "div", 'div class="content"'):
         same = [html.main_text(p).split("\n") == Plain(p).out for p in pages(len(wrapper), wrapper)]
-        assert sum(same) >= (150 if wrapper in ("article", "main") else 147), (wrapper, sum(same))
+        assert sum(same) == 150, (wrapper, sum(same))
 
 
 def test_the_distribution_decides():
@@ -100,7 +116,7 @@ def test_the_distribution_decides():
     import pyarrow.parquet as pq
 
     for page in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist():
-        weights = [w for _, w in html.weighed(page)]
+        weights = [w or 0.0 for _, w in html.weighed(page)]
         top = max(sum(weights[i : i + html.WINDOW]) for i in range(len(weights)))
         found = html.stretches(weights, min(html.LOOSE, top / 4))
         assert top >= html.LOOSE and found and weights[found[0][0]] > 0 and sum(weights[found[-1][1] :]) < html.LOOSE
