@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .operators import alignment, compare, graph, lineage, metrics, systems
+from .operators import alignment, compare, dominance, graph, lineage, metrics, systems
 from .queries import CLASSES, FOLLOW, ORDERS, _order_graphs, _systems, query
+from .plans import guards
 from .sources import programs
 from .sources.tables import events, table
 
@@ -88,6 +89,31 @@ def ordering_check(spark, d):
     return graph.ordering(graph.dominators(g), pairs.select("graph", "a", "b")).select("graph", "ordered")
 
 
+#: One graph of all parts: a part leads to those of twice its key, every fifth one is also led to from a third of its key.
+PARTS = """WITH RECURSIVE e AS (SELECT p_partkey AS dst, p_partkey // 2 AS src FROM part WHERE p_partkey > 1 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey > 2 AND p_partkey % 5 = 0),
+a AS (SELECT dst AS n, dst AS at FROM e UNION SELECT a.n, e.src FROM a JOIN e ON e.dst = a.at),
+q AS (SELECT a.n, a.at AS gone, a.n AS at FROM a WHERE a.at <> a.n AND a.at <> 1 UNION SELECT q.n, q.gone, e.src FROM q JOIN e ON e.dst = q.at WHERE e.src <> q.gone),
+dom AS (SELECT a.n, a.at AS d FROM a WHERE a.at = 1 OR a.at = a.n OR NOT EXISTS (SELECT 1 FROM q WHERE q.n = a.n AND q.gone = a.at AND q.at = 1) UNION SELECT 1, 1)"""
+
+
+def _part_graph(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("k")).filter("k IS NOT NULL")
+    half = p.filter("k > 1").select(F.floor(F.col("k") / 2).alias("src"), F.col("k").alias("dst"))
+    e = half.unionByName(p.filter("k > 2 AND k % 5 = 0").select(F.floor(F.col("k") / 3).alias("src"), F.col("k").alias("dst"))).distinct()
+    return e, spark.range(1, 2).select(F.col("id").alias("node"))
+
+
+@query(PARTS + """, size AS (SELECT n, count(*) AS c FROM dom GROUP BY n), up AS (SELECT dom.n, arg_max(dom.d, size.c) AS up FROM dom JOIN size ON size.n = dom.d WHERE dom.d <> dom.n GROUP BY dom.n),
+f AS (SELECT DISTINCT dom.d AS n, e.dst AS front FROM e JOIN dom ON dom.n = e.src WHERE dom.d = e.dst OR NOT EXISTS (SELECT 1 FROM dom z WHERE z.n = e.dst AND z.d = dom.d)), fs AS (SELECT n, count(*) AS fronts, min(front) AS first_front FROM f GROUP BY n)
+SELECT size.n AS node, up.up AS immediate, CAST(size.c - 1 AS BIGINT) AS depth, CAST(coalesce(fronts, 0) AS BIGINT) AS fronts, first_front FROM size LEFT JOIN up ON up.n = size.n LEFT JOIN fs ON fs.n = size.n""")
+def dominator_tree(spark, d):
+    """Immediate dominators and frontiers in one graph of all parts."""
+    e, roots = _part_graph(spark, d)
+    t = graph.settled(dominance.tree(e, roots))
+    fronts = dominance.frontier(e, t).groupBy("node").agg(F.count("*").cast("bigint").alias("fronts"), F.min("front").alias("first_front"))
+    return t.join(fronts, "node", "left").select("node", F.col("up").alias("immediate"), F.col("depth").cast("bigint").alias("depth"), F.coalesce("fronts", F.lit(0).cast("bigint")).alias("fronts"), "first_front")
+
+
 @query("""WITH g AS (SELECT CAST(n_regionkey AS VARCHAR) AS graph, n_name AS b FROM nation), k AS (SELECT unnest(range(0, 3)) AS k), r AS (SELECT DISTINCT graph FROM g)
 SELECT graph, 's' AS src, 'in' AS label, 'L_iter_0' AS dst, false AS trap FROM r UNION ALL SELECT graph, 'L_iter_' || k, 'body', b, false FROM g, k UNION ALL SELECT graph, 'L_iter_' || k, 'out', 'e', false FROM r, k
 UNION ALL SELECT graph, b, 'again', 'L_iter_' || k, false FROM g, k WHERE k > 0 UNION ALL SELECT graph, b, 'again', 'L_loop_exceeds_bound_error', true FROM g""")
@@ -170,6 +196,33 @@ def divergent_states(spark, d):
     return systems.stuttering(line.select(F.col("l_orderkey").cast("string").alias("sys"), "src", label.alias("label"), "dst")).select("sys", "state", "divergent")
 
 
+#: Guards of a price rule, and the same conditions in SQL: null where a value is missing that Python would need.
+PRICE_GUARDS = {
+    "bulk": ("l_quantity > 30 and l_discount >= 0.05", "l_quantity > 30 AND l_discount >= 0.05"),
+    "returned": ("l_returnflag in ('R', 'A') or l_linestatus == 'O'", "coalesce(l_returnflag IN ('R', 'A'), false) OR l_linestatus IS NOT DISTINCT FROM 'O'"),
+    "middle": ("not (l_linenumber <= 2) and 10 <= l_quantity < 20", "NOT (l_linenumber <= 2) AND 10 <= l_quantity AND l_quantity < 20"),
+    "even": ("l_orderkey % 2 == 0", "l_orderkey % 2 = 0"),
+    "unseen": ("l_linenumber > 40 or len(l_returnflag) > 1", "l_linenumber > 40 OR len(l_returnflag) > 1"),
+}
+
+
+@query("WITH g AS (" + " UNION ALL ".join(f"SELECT '{name}' AS guard, ({sql}) AS holds FROM lineitem" for name, (_, sql) in PRICE_GUARDS.items()) + """)
+SELECT guard, CAST(count(*) FILTER (holds) AS BIGINT) AS taken, CAST(count(*) FILTER (NOT holds) AS BIGINT) AS refused, CAST(count(*) FILTER (holds IS NULL) AS BIGINT) AS undecided, bool_or(holds) AND bool_or(NOT holds) AS covered FROM g GROUP BY guard""")
+def guard_arms(spark, d):
+    """How many lines take each arm of five guards, all in one pass."""
+    return guards.arms(table(spark, d, "lineitem"), {name: text for name, (text, _) in PRICE_GUARDS.items()})
+
+
+@query("""WITH v AS (SELECT unnest([NULL, 9, 10, 11, 39, 40, 41]) AS v), x AS (SELECT v, CASE WHEN v IN (9, 10, 11) THEN v ELSE p_size END AS size, CASE WHEN v > 11 THEN v ELSE p_partkey END AS key FROM part, v)
+SELECT CASE WHEN v IS NULL THEN NULL WHEN v < 12 THEN 'p_size=' || v ELSE 'p_partkey=' || v END AS origin, CAST(count(*) FILTER (size >= 10 AND key != 40) AS BIGINT) AS taken, CAST(count(*) FILTER (NOT (size >= 10 AND key != 40)) AS BIGINT) AS refused FROM x GROUP BY v""")
+def guard_boundaries(spark, d):
+    """Parts with the literals of a guard and their neighbours in place of the columns that it compares: which arm each takes."""
+    text = "p_size >= 10 and p_partkey != 40"
+    near = guards.boundary(table(spark, d, "part"), [text], "origin")
+    holds = guards.Guard(text, dict(near.dtypes)).column
+    return near.groupBy("origin").agg(F.count_if(holds).cast("bigint").alias("taken"), F.count_if(~holds).cast("bigint").alias("refused"))
+
+
 TALKS = "WITH l AS (SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS t FROM conversations GROUP BY conv_id), a AS (SELECT DISTINCT t FROM l WHERE conv_id % 2 = 0), b AS (SELECT DISTINCT t FROM l WHERE conv_id % 2 = 1), c AS (SELECT CAST(count(*) FILTER (a.t IS NOT NULL AND b.t IS NOT NULL) AS BIGINT) AS agreed, CAST(count(*) FILTER (b.t IS NULL) AS BIGINT) AS spec_only, CAST(count(*) FILTER (a.t IS NULL) AS BIGINT) AS model_only FROM a FULL JOIN b ON a.t = b.t)"
 
 
