@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .operators import alignment, compare, dominance, graph, lineage, metrics, systems
+from .operators import agreement, alignment, compare, dominance, graph, lineage, metrics, systems
 from .queries import CLASSES, FOLLOW, ORDERS, _order_graphs, _systems, query
 from .plans import guards
 from .sources import programs
@@ -196,6 +196,25 @@ def divergent_states(spark, d):
     return systems.stuttering(line.select(F.col("l_orderkey").cast("string").alias("sys"), "src", label.alias("label"), "dst")).select("sys", "state", "divergent")
 
 
+@query("""WITH RECURSIVE m AS (SELECT DISTINCT l_orderkey AS g, l_linenumber AS src, l_returnflag AS label, l_linenumber + h AS dst FROM lineitem, (VALUES (1), (2)) v(h) WHERE h = 1 OR l_linestatus = 'F'),
+r AS (SELECT g, min(src) AS s, '' AS t FROM m GROUP BY g UNION SELECT r.g, m.dst, r.t || m.label FROM r JOIN m ON m.g = r.g AND m.src = r.s WHERE len(r.t) < 6),
+mt AS (SELECT DISTINCT g, t FROM r WHERE t <> '' AND NOT EXISTS (SELECT 1 FROM m WHERE m.g = r.g AND m.src = r.s)),
+w AS (SELECT '' AS t UNION ALL SELECT t || x FROM w, (VALUES ('A'), ('N'), ('R')) v(x) WHERE len(t) < 6), sp AS (SELECT t FROM w WHERE t <> '' AND NOT regexp_matches(t, 'A[^N]*$') AND NOT regexp_matches(t, '^[^A]*R')),
+g AS (SELECT g, k FROM (SELECT DISTINCT g FROM m), (SELECT unnest(range(1, 7)) AS k)),
+c AS (SELECT g.g, g.k, count(mt.t) AS model, count(sp.t) AS agreed FROM g LEFT JOIN mt ON mt.g = g.g AND len(mt.t) <= g.k LEFT JOIN sp ON sp.t = mt.t GROUP BY ALL), n AS (SELECT k, count(sp.t) AS spec FROM (SELECT unnest(range(1, 7)) AS k) LEFT JOIN sp ON len(sp.t) <= k GROUP BY k)
+SELECT CAST(g AS VARCHAR) AS graph, CAST(k AS BIGINT) AS k, CAST(agreed AS BIGINT) AS agreed, CAST(spec - agreed AS BIGINT) AS spec_only, CAST(model - agreed AS BIGINT) AS model_only, round(CASE WHEN spec = 0 THEN 1.0 ELSE agreed / spec END, 6) AS precision, round(CASE WHEN model = 0 THEN 1.0 ELSE agreed / model END, 6) AS recall
+FROM c JOIN n USING (k)""")
+def trace_counts(spark, d):
+    """Lines of an order as moves over return flags, some with a short cut: how far two rules agree with each order's model, by depth."""
+    hop = F.when(F.col("l_linestatus") == "F", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    line = table(spark, d, "lineitem").withColumn("hop", F.explode(hop))
+    name = lambda c: F.lpad(c.cast("string"), 10, "0")
+    moves = line.select(F.col("l_orderkey").cast("string").alias("graph"), name(F.col("l_linenumber")).alias("src"), F.col("l_returnflag").alias("label"), name(F.col("l_linenumber") + F.col("hop")).alias("dst")).distinct()
+    first = moves.groupBy("graph").agg(F.min("src").alias("initial"))
+    told = agreement.by_depth(moves.join(first, "graph"), ["G(A -> F(N))", "!R W A"], ["A", "N", "R"], 6)
+    return told.select("graph", F.col("k").cast("bigint").alias("k"), *[F.col(c).cast("bigint").alias(c) for c in ("agreed", "spec_only", "model_only")], *[F.round(c, 6).alias(c) for c in ("precision", "recall")])
+
+
 #: Guards of a price rule, and the same conditions in SQL: null where a value is missing that Python would need.
 PRICE_GUARDS = {
     "bulk": ("l_quantity > 30 and l_discount >= 0.05", "l_quantity > 30 AND l_discount >= 0.05"),
