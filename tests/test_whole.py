@@ -1,7 +1,9 @@
 """The registered queries take whole tables and whole cases."""
 
+import math
 import random
 
+import numpy as np
 import plain_graphs
 from sparktrail import queries
 from sparktrail.operators import graph, match
@@ -100,6 +102,34 @@ def test_best_match_is_over_all_vectors(spark, tmp_path):
     assert found == {i: -m for i, (_, m) in want.items()} and found[50] == 900 and found[900] == found[901] == 50
 
 
+def test_nearest_vector_prunes_blocks(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, (centres[i % 12] + rng.normal(scale=0.05, size=16)).tolist()) for i in range(1200)]
+    rows += [(2000 + i, rows[7][1]) for i in range(600)]  # a third are copies
+    rows += [(5000, [1.0, 0.0]), (5001, [0.0, 1.0]), (5002, [0.0, 0.0]), (5003, [math.nan] * 16), (5004, []), (5005, None), (5006, [1e300] * 16), (5007, [-1.0, 0.0]), (5007, [-2.0, 0.1]), (None, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    found, told = match.search(df, df, 32)
+    assert 0 < told["second"] + told["first"] < told["pairs"] / 3
+    best = {}
+    known = [(i, v) for i, v in rows if i is not None]
+    flat = [v is None or any(map(math.isnan, v)) for _, v in known]
+    scaled = [np.array(v) / (max(map(abs, v), default=0) or 1) if not f else None for (_, v), f in zip(known, flat, strict=True)]
+    units = [x if x is None else x / (np.sqrt((x * x).sum()) or 1) for x in scaled]
+    for (i, _), x in zip(known, units, strict=True):
+        for (j, _), y in zip(known, units, strict=True):
+            if i != j and (x is None or y is None or len(x) == len(y)):
+                s = 0.0 if x is None or y is None else round(float(x @ y), 11) + 0.0
+                if (s, -j) > best.get(i, (-2, 0)):
+                    best[i] = (s, -j)
+    got = {r.id: r for r in found.collect()}
+    assert got.keys() == best.keys() and all(abs(got[i].similarity - s) < 1e-9 for i, (s, _) in best.items())
+    assert got[7].match == 2000 and got[2000].match == 7 and got[2001].match == 7 and got[5003].match == 0
+    assert all(got[i].match == -m for i, (_, m) in best.items())
+    none = df.filter("false")
+    assert match.by_vector(none, df).count() == match.by_vector(df, none).count() == 0
+
+
 def test_long_paths(spark, tmp_path):
     steps = [2**k for k in range(21)]
     spark.createDataFrame([(n,) for n in steps], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
