@@ -101,6 +101,21 @@ def test_broken_diagrams_and_recovery(spark, tmp_path):
     assert {(r.type, r.n) for r in lineage.unsupported(bpmn.elements(ok).filter("NOT shown"), [*bpmn.NODE_TYPES, "definitions", "process"]).collect()} == {("custom", 1)}
 
 
+def test_diagrams_keep_their_texts(spark):
+    odd = """<?xml version="1.0"?><!-- </b:definitions> --><b:definitions xmlns:b="u" xmlns:i="v"><b:process id="P"><b:task id="007" name="1.50" i:id="zz"/><b:transaction id="T"><b:task id='true'/>
+<b:subProcess id="o"><b:subProcess id="u"><b:multiInstanceLoopCharacteristics/><b:userTask id="é" name=""/></b:subProcess></b:subProcess></b:transaction><b:task/>
+<b:sequenceFlow id="f" sourceRef="007" targetRef="true"><b:conditionExpression type="x"> a &lt; 1 and b:c="2" </b:conditionExpression></b:sequenceFlow><b:sequenceFlow sourceRef="007" targetRef="é" name="yes"/>
+<b:sequenceFlow id="g" sourceRef="true" targetRef="é"><b:conditionExpression><![CDATA[10]]></b:conditionExpression></b:sequenceFlow></b:process></b:definitions>"""
+    df = spark.createDataFrame([("odd", odd), ("empty", "<definitions/>"), ("none", None), ("blank", ""), ("text", "007")], "graph string, xml string")
+    ok, bad = bpmn.checked(df)
+    assert {r.graph for r in ok.collect()} == {"odd", "empty"} and {r.graph for r in bad.collect()} == {"none", "blank", "text"}
+    nodes, edges = bpmn.parsed(df)
+    got = {(r.node, r.type, r.name, r.parent, r.loop) for r in nodes.collect()}
+    assert got == {("007", "task", "1.50", None, False), ("true", "task", "true", None, False), ("o", "subProcess", "o", None, False), ("u", "subProcess", "u", "o", True), ("é", "userTask", "é", "u", False)}
+    assert {(r.flow, r.src, r.dst, r.condition) for r in edges.collect()} == {("f", "007", "true", 'a < 1 and b:c="2"'), (None, "007", "é", "yes"), ("g", "true", "é", "10")}
+    assert "Python" not in nodes._jdf.queryExecution().toString() and bpmn.parsed(df.filter("false"))[0].count() == 0
+
+
 def test_more_sources(spark, tmp_path):
     (tmp_path / "c.yaml").write_text("tests:\n- _metadata: {uid: 3, tags: ['7', loops]}\n  expected_output: {sequence: ['a then b']}\n")
     r = tables.yaml_cases(spark, str(tmp_path / "c.yaml")).select("uid", "sequence", lineage.first_tag(__import__("pyspark.sql.functions", fromlist=["col"]).col("tags")).alias("tag")).first()
