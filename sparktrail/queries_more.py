@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .operators import agreement, alignment, compare, dominance, graph, lineage, metrics, systems
 from .queries import CLASSES, FOLLOW, ORDERS, _order_graphs, _systems, query
 from .plans import guards
-from .sources import programs
+from .sources import bpmn, programs
 from .sources.tables import events, table
 
 
@@ -378,3 +378,33 @@ def false_alarms(spark, d):
     bases = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("base_uid")).agg((F.avg(F.col("s_suppkey") % 100) / 100.0 - 0.2).alias("confidence"))
     variants = table(spark, d, "customer").select(F.col("c_nationkey").alias("base_uid"), (F.col("c_custkey") % 100 / 100.0).alias("confidence"))
     return compare.false_alarms(variants, bases, 0.3)
+
+
+def _diagrams(spark, d):
+    """A diagram a document: a gateway named by its language, a task named by its source within a (sometimes looped) subprocess; every seventh isn't closed."""
+    doc = table(spark, d, "documents").filter("doc_id IS NOT NULL")
+    escaped = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    n, k = F.coalesce("n_chars", F.lit(0)).cast("string"), F.col("doc_id").cast("string")
+    parts = [
+        F.lit('<?xml version="1.0"?><b:definitions xmlns:b="http://www.omg.org/spec/BPMN/20100524/MODEL"><b:process id="P"><b:startEvent id="s"/><b:exclusiveGateway id="'), n, F.lit('" name="'), escaped(F.col("lang")),
+        F.lit('"/><b:subProcess id="u'), k, F.lit('">'), F.when(F.col("doc_id") % 3 == 0, "<b:standardLoopCharacteristics/>").otherwise(""), F.lit('<b:userTask id="0'), k, F.lit('" name="'), escaped(F.col("source")),
+        F.lit('"/></b:subProcess><b:sequenceFlow id="f" sourceRef="s" targetRef="'), n, F.lit('"/><b:sequenceFlow id="g" sourceRef="'), n, F.lit('" targetRef="u'), k, F.lit('"><b:conditionExpression> n &lt; '), n,
+        F.lit("</b:conditionExpression></b:sequenceFlow></b:process>"), F.when(F.col("doc_id") % 7 == 0, "").otherwise("</b:definitions>"),
+    ]
+    return doc.select(F.col("doc_id").alias("graph"), F.concat(*parts).alias("xml"))
+
+
+@query("""WITH d AS (SELECT doc_id AS graph, CAST(coalesce(n_chars, 0) AS VARCHAR) AS n, CAST(doc_id AS VARCHAR) AS k, coalesce(nullif(lang, ''), CAST(coalesce(n_chars, 0) AS VARCHAR)) AS gate, coalesce(nullif(source, ''), '0' || CAST(doc_id AS VARCHAR)) AS task, doc_id % 3 = 0 AS looped FROM documents WHERE doc_id IS NOT NULL AND doc_id % 7 <> 0)
+SELECT graph, 'node' AS what, 's' AS id, 'startEvent' AS type, 's' AS name, CAST(NULL AS VARCHAR) AS src, CAST(NULL AS VARCHAR) AS dst, false AS loop FROM d
+UNION ALL SELECT graph, 'node', n, 'exclusiveGateway', gate, NULL, NULL, false FROM d UNION ALL SELECT graph, 'node', 'u' || k, 'subProcess', 'u' || k, NULL, NULL, looped FROM d
+UNION ALL SELECT graph, 'node', '0' || k, 'userTask', task, 'u' || k, NULL, false FROM d UNION ALL SELECT graph, 'flow', 'f', NULL, NULL, 's', n, NULL FROM d
+UNION ALL SELECT graph, 'flow', 'g', NULL, 'n < ' || n, n, 'u' || k, NULL FROM d UNION ALL SELECT doc_id, 'broken', NULL, NULL, 'not well-formed', NULL, NULL, NULL FROM documents WHERE doc_id % 7 = 0""")
+def diagrams(spark, d):
+    """Nodes (src is the subprocess around them), flows (named by their condition) and broken diagrams of all documents' diagrams."""
+    xml = _diagrams(spark, d)
+    nodes, flows = bpmn.parsed(xml)
+    none = lambda t, name: F.lit(None).cast(t).alias(name)
+    n = nodes.select("graph", F.lit("node").alias("what"), F.col("node").alias("id"), "type", "name", F.col("parent").alias("src"), none("string", "dst"), "loop")
+    e = flows.select("graph", F.lit("flow").alias("what"), F.col("flow").alias("id"), none("string", "type"), F.col("condition").alias("name"), "src", "dst", none("boolean", "loop"))
+    b = bpmn.checked(xml)[1].select("graph", F.lit("broken").alias("what"), none("string", "id"), none("string", "type"), F.col("reason").alias("name"), none("string", "src"), none("string", "dst"), none("boolean", "loop"))
+    return n.unionByName(e).unionByName(b)
