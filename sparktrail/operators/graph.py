@@ -80,19 +80,24 @@ def spread(edges: DataFrame, starts: DataFrame) -> DataFrame:
         seen.append(new)
 
 
-def _on_long_walks(edges: DataFrame) -> DataFrame:
-    """Edges from nodes where walks of any length end: a walk one step longer ends in some of the same nodes, so this is done when none goes."""
+def long_walk_ends(edges: DataFrame) -> DataFrame:
+    """node: where walks of any length end: a walk one step longer ends in some of the same nodes, so this is done when none goes."""
     now, size = edges.select(F.col("src").alias("node")).distinct(), None
     for hops in _hops():
         for _ in range(hops):
-            now = now.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+            now = now.join(edges.hint("merge"), F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         now = settled(now)
         left = now.count()
         if left in (0, size):
-            return edges.join(now.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst")
+            return now
         size = left
 
 
+def _on_long_walks(edges: DataFrame) -> DataFrame:
+    """Edges from nodes where walks of any length end."""
+    return edges.join(long_walk_ends(edges).withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst")
+
+
 def _trimmed(edges: DataFrame) -> DataFrame:
     """Edges that can lie on a cycle or between cycles: nodes without a way in or without a way out go, again and again."""
     flip = lambda e: e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -149,10 +154,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 
 def divergence(edges: DataFrame) -> DataFrame:
-    """node: those that can go on along silent edges for ever. edges: src, dst (silent ones)."""
-    edges = settled(edges.select("src", "dst").distinct())
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return spread(back, strong_components(edges).filter("cyclic").select("node"))
+    """node: those that can go on along silent edges for ever, as walks of any length start there. edges: src, dst (silent ones)."""
+    return long_walk_ends(settled(edges.filter("src IS NOT NULL AND dst IS NOT NULL").select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()))
 
 
 def branch_points(edges: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import formula as fm
+from . import graph
 from .graph import reachable, settled, spread, strong_components
 
 
@@ -42,6 +43,27 @@ def _silent() -> Column:
     return F.size("label") == 0
 
 
+def _alike(moves: DataFrame, key: str, initial: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """names (sys, like) and the distinct rows (sys, src, label, dst, initial) of the systems that stand for all with the same rows, the
+    least ones. Rows are compared by 128 bits of their set and their number; rows without a system go."""
+    label = F.array_sort(F.coalesce("label", F.array().cast("array<string>")))
+    rows = settled(moves.filter(F.col(key).isNotNull()).select(F.col(key).alias("sys"), "src", label.alias("label"), "dst", *([F.col(initial).alias("initial")] if initial else [])).distinct())
+    ends = [c for c in rows.columns if c not in ("sys", "label")]
+    seen = [F.size("label"), "label", *[x for c in ends for x in (F.col(c).isNull(), c)]]  # hashes skip nulls and brackets
+    marks = settled(rows.groupBy("sys").agg(*[F.bit_xor(F.xxhash64(F.lit(k), *seen)).alias(f"h{k}") for k in (0, 1)], F.count("*").alias("n")))
+    least = marks.groupBy("h0", "h1", "n").agg(F.min("sys").alias("like"))
+    names = settled(marks.join(least, ["h0", "h1", "n"]).select("sys", "like"))
+    if names.filter("sys <> like").isEmpty():
+        return names, rows
+    return names, settled(rows.join(names.filter("sys = like").select("sys"), "sys", "left_semi"))
+
+
+def _told(names: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """What was found for the systems that stand for others, for all that they stand for."""
+    rest = [c for c in found.columns if c != "sys"]
+    return names.join(found.withColumnRenamed("sys", "like"), "like").select(F.col("sys").alias(key), *rest)
+
+
 def _silent_loops(moves: DataFrame) -> DataFrame | None:
     """sys, state, leader (least state): the states on silent cycles with their components; None if there are none."""
     silent = moves.filter(_silent())
@@ -88,6 +110,17 @@ def _named(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("-")) for p in parts]))
 
 
+def divergent(moves: DataFrame, key: str = "sys") -> DataFrame:
+    """sys, state, divergent: the states that can go on silently for ever, without their blocks."""
+    names, rows = _alike(moves, key)
+    return _told(names, _divergent(_moves(rows, "sys"), _states(rows, "sys")), key)
+
+
+def _divergent(m: DataFrame, states: DataFrame) -> DataFrame:
+    bad = graph.divergence(_edges(m.filter(_silent()))).select("node.sys", "node.state", F.lit(True).alias("bad"))
+    return states.join(bad, ["sys", "state"], "left").select("sys", "state", F.coalesce("bad", F.lit(False)).alias("divergent"))
+
+
 def stuttering(moves: DataFrame, key: str = "sys") -> DataFrame:
     """sys, state, block (its least state), divergent: divergence-keeping stuttering equivalence within each system.
 

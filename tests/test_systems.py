@@ -156,3 +156,20 @@ def test_report(spark):
     rows = [("s", "a", ["x"], "b", "a"), ("s", "a", [], "c", "a"), ("s", "d", [], "a", "a"), ("t", "a", [], None, "a")]
     got = {r.sys: tuple(r)[1:] for r in systems.lift_report(spark.createDataFrame(rows, MOVES)).collect()}
     assert got == {"s": (4, 2, 1, 2, 1, 1), "t": (1, 0, 0, 1, 0, 1)}
+
+
+def test_equal_systems_are_worked_on_once(spark):
+    """Copies under other names stand for one another, with null ends, empty labels and other first states told apart."""
+    rows = random_systems(40, 6)
+    rows += [("b0", "x", [], None, "x"), ("b1", None, [], "x", "x"), ("b2", "x", [], "y", "x"), ("b3", "x", ["y"], None, "x"), ("b4", "x", [], "y", "y")]
+    df = spark.createDataFrame(rows + [(f"z{s}", *r) for s, *r in rows for _ in range(2)], MOVES)
+    names, kept = systems._alike(df, "sys", "initial")
+    like = {r.sys: r.like for r in names.collect()}
+    sets = defaultdict(set)
+    for s, src, label, dst, first in rows:
+        sets[s].add((src, tuple(sorted(label)), dst, first))
+    assert all(like["z" + s] == like[s] == min(t for t in sets if sets[t] == sets[s]) for s in sets)
+    assert {r.sys for r in kept.select("sys").distinct().collect()} == set(like.values()) and len({like[f"b{k}"] for k in range(5)}) == 5
+    want = {(s, state): bad for s, moves in by_system(rows).items() if s[0] == "s" for state, (_, bad) in plain_blocks(moves)[0].items()}
+    got = {(r.sys, r.state): r.divergent for r in systems.divergent(df).collect()}
+    assert {k: v for k, v in got.items() if k[0][0] == "s"} == want == {(k[0][1:], k[1]): v for k, v in got.items() if k[0][:2] == "zs"} and any(want.values())
