@@ -43,7 +43,7 @@ def _silent() -> Column:
     return F.size("label") == 0
 
 
-def _alike(moves: DataFrame, key: str, initial: str | None = None) -> tuple[DataFrame, DataFrame]:
+def alike(moves: DataFrame, key: str, initial: str | None = None) -> tuple[DataFrame, DataFrame]:
     """names (sys, like) and the distinct rows (sys, src, label, dst, initial) of the systems that stand for all with the same rows, the
     least ones. Rows are compared by 128 bits of their set and their number; rows without a system go."""
     label = F.array_sort(F.coalesce("label", F.array().cast("array<string>")))
@@ -58,7 +58,7 @@ def _alike(moves: DataFrame, key: str, initial: str | None = None) -> tuple[Data
     return names, settled(rows.join(names.filter("sys = like").select("sys"), "sys", "left_semi"))
 
 
-def _told(names: DataFrame, found: DataFrame, key: str) -> DataFrame:
+def told(names: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """What was found for the systems that stand for others, for all that they stand for."""
     rest = [c for c in found.columns if c != "sys"]
     return names.join(found.withColumnRenamed("sys", "like"), "like").select(F.col("sys").alias(key), *rest)
@@ -112,8 +112,8 @@ def _named(*parts: Column) -> Column:
 
 def divergent(moves: DataFrame, key: str = "sys") -> DataFrame:
     """sys, state, divergent: the states that can go on silently for ever, without their blocks."""
-    names, rows = _alike(moves, key)
-    return _told(names, _divergent(_moves(rows, "sys"), _states(rows, "sys")), key)
+    names, rows = alike(moves, key)
+    return told(names, _divergent(_moves(rows, "sys"), _states(rows, "sys")), key)
 
 
 def _divergent(m: DataFrame, states: DataFrame) -> DataFrame:

@@ -55,3 +55,13 @@ def test_nothing(spark):
     assert agreement.by_depth(none, ["F(a)"], ["a"], 2).count() == 0
     stuck = spark.createDataFrame([("s", "1", "a", "2", "0")], MOVES)
     assert [(int(r.agreed), int(r.spec_only), int(r.model_only), r.precision, r.recall) for r in agreement.by_depth(stuck, ["a & !a"], ["a"], 1).collect()] == [(0, 0, 0, 1.0, 1.0)]
+
+
+def test_suite_counted_once_and_equal_models_alike(spark):
+    rules, atoms = ["G(a -> F(b))", "!c W a"], ["a", "b", "c"]
+    spec = [sum(1 for t in itertools.product(atoms, repeat=n) if all(fm.holds(fm.parse(r), [{a} for a in t]) for r in rules)) for n in range(1, 5)]
+    assert agreement.Suite(rules, atoms).counts(4) == spec
+    own = [("0", "a", "1", "0"), ("1", "b", "2", "0"), ("0", "d", "2", "0")]
+    df = spark.createDataFrame([(f"m{g}", *r) for g in range(5) for r in own] + [("other", "1", "b", "2", "1")], MOVES)
+    got = {(r.graph, r.k): (int(r.agreed), int(r.spec_only), int(r.model_only)) for r in agreement.by_depth(df, rules, atoms, 2).collect()}
+    assert got == {(f"m{g}", k): (k - 1, sum(spec[:k]) - k + 1, 1) for g in range(5) for k in (1, 2)} | {("other", k): (1, sum(spec[:k]) - 1, 0) for k in (1, 2)}

@@ -163,7 +163,7 @@ def test_equal_systems_are_worked_on_once(spark):
     rows = random_systems(40, 6)
     rows += [("b0", "x", [], None, "x"), ("b1", None, [], "x", "x"), ("b2", "x", [], "y", "x"), ("b3", "x", ["y"], None, "x"), ("b4", "x", [], "y", "y")]
     df = spark.createDataFrame(rows + [(f"z{s}", *r) for s, *r in rows for _ in range(2)], MOVES)
-    names, kept = systems._alike(df, "sys", "initial")
+    names, kept = systems.alike(df, "sys", "initial")
     like = {r.sys: r.like for r in names.collect()}
     sets = defaultdict(set)
     for s, src, label, dst, first in rows:
