@@ -100,16 +100,6 @@ def _weak(moves: DataFrame, ahead: DataFrame | None) -> DataFrame:
     return own.unionByName(ahead.join(moves.withColumnRenamed("src", "mid"), ["sys", "mid"]).select(own.columns))
 
 
-def _hash(rows: DataFrame, by: list[str], seen: list[str]) -> DataFrame:
-    """128 bits of the set of the other columns of each group: an exclusive or over distinct rows."""
-    bits = [F.bit_xor(F.xxhash64(F.lit(k), *seen)).alias(f"h{k}") for k in (0, 1)]
-    return rows.select(*by, *seen).distinct().groupBy(*by).agg(*bits)
-
-
-def _named(*parts: Column) -> Column:
-    return F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("-")) for p in parts]))
-
-
 def divergent(moves: DataFrame, key: str = "sys") -> DataFrame:
     """sys, state, divergent: the states that can go on silently for ever, without their blocks."""
     names, rows = alike(moves, key)
@@ -121,44 +111,82 @@ def _divergent(m: DataFrame, states: DataFrame) -> DataFrame:
     return states.join(bad, ["sys", "state"], "left").select("sys", "state", F.coalesce("bad", F.lit(False)).alias("divergent"))
 
 
+def _bits(*parts: str) -> list[Column]:
+    return [F.xxhash64(F.lit(k), *parts) for k in (0, 1)]
+
+
+def _split(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The distinct `by` of rows (by, a0, a1, b0, b1) in which some a has several b."""
+    b = F.struct("b0", "b1")
+    return rows.groupBy(*by, "a0", "a1").agg(F.min(b).alias("x"), F.max(b).alias("y")).filter("x <> y").select(*by).distinct()
+
+
+def _rounds(now: DataFrame, weak: DataFrame, silent: bool) -> DataFrame:
+    """g, id, b0, b1: the blocks of numbered states. now: g, id, b0, b1. weak: g, src, mid, dst, l0, l1 (null for silent moves).
+
+    A row has numbers and 128 bits of a block or label only. Systems without a block that a round has split are done, and once half
+    of them are, the moves of the rest are written anew."""
+    done: list[DataFrame] = []
+    held = left = None
+    while True:
+        block = lambda c, n, now=now: now.select(F.col("id").alias(c), F.col("b0").alias(f"{n}0"), F.col("b1").alias(f"{n}1"))
+        rows = weak.join(block("dst", "d"), "dst")
+        if silent:
+            rows = rows.join(block("mid", "m"), "mid")
+        rows = rows.join(block("src", "s"), "src")
+        if silent:
+            rows = rows.filter("m0 = s0 AND m1 = s1 AND (l0 IS NOT NULL OR d0 <> s0 OR d1 <> s1)")
+        # silent moves have no label, and hashes skip nulls
+        seen = rows.select("src", *[x.alias(f"e{k}") for k, x in enumerate(_bits(F.col("l0").isNull(), "l0", "l1", "d0", "d1"))]).distinct()
+        signed = seen.groupBy(F.col("src").alias("id")).agg(F.bit_xor("e0").alias("h0"), F.bit_xor("e1").alias("h1"))
+        named = _bits(F.col("h0").isNull(), "b0", "b1", "h0", "h1")
+        new = settled(now.join(signed, "id", "left").select("g", "id", F.col("b0").alias("a0"), F.col("b1").alias("a1"), named[0].alias("b0"), named[1].alias("b1")))
+        grown = settled(_split(new, ["g"]))
+        left = grown.count()
+        if not left:
+            done.append(new.select("g", "id", "b0", "b1"))
+            return reduce(DataFrame.unionByName, done)
+        told_ = settled(new.join(grown.withColumn("on", F.lit(True)), "g", "left").select("g", "id", "b0", "b1", F.col("on").isNotNull().alias("on")))
+        done.append(told_.filter("NOT on").drop("on"))
+        now = told_.filter("on").drop("on")
+        if held is None or 2 * left < held:
+            weak, held = settled(weak.join(grown, "g", "left_semi")), left
+
+
 def stuttering(moves: DataFrame, key: str = "sys") -> DataFrame:
     """sys, state, block (its least state), divergent: divergence-keeping stuttering equivalence within each system.
 
     States start in two blocks, divergent and not. A round's signature of a state is the set of (label, block) of the moves that
     it can make after silent moves to states of its own block, without silent moves inside the block; rounds go on for the systems
-    whose number of blocks has grown."""
-    m, states = settled(_moves(moves, key)), settled(_states(moves, key))
+    whose number of blocks has grown. Equal systems are refined once."""
+    names, rows = alike(moves, key)
+    return told(names, _blocks(_moves(rows, "sys"), _states(rows, "sys")).select("sys", "state", "block", "divergent"), key)
+
+
+def _blocks(m: DataFrame, states: DataFrame) -> DataFrame:
+    """sys, g, state, block, id, divergent: as `stuttering`, with a number of the system and one of the block."""
+    m, states = settled(m), settled(states)
     lead = _silent_loops(m)
     if lead is None:
         states = states.select("sys", "state", F.col("state").alias("leader"), F.lit(False).alias("divergent"))
     else:
-        back = m.filter(_silent()).select(_node("dst").alias("src"), _node("src").alias("dst"))
-        bad = spread(back, lead.select(_node("state").alias("node"))).select("node.sys", "node.state", F.lit(True).alias("bad"))
-        states = states.join(lead, ["sys", "state"], "left").join(bad, ["sys", "state"], "left")
-        states = settled(states.select("sys", "state", F.coalesce("leader", "state").alias("leader"), F.coalesce("bad", F.lit(False)).alias("divergent")))
+        bad = _divergent(m, states)
+        states = settled(bad.join(lead, ["sys", "state"], "left").select("sys", "state", F.coalesce("leader", "state").alias("leader"), "divergent"))
     led = m if lead is None else settled(_led(m, lead))
     ahead = _ahead(led)
-    weak = led.select("sys", "src", "label", "dst") if ahead is None else settled(_weak(led, ahead))
-    now = states.select("sys", F.col("leader").alias("state"), _named(F.col("divergent")).alias("block")).distinct()
-    done: list[DataFrame] = []
-    while True:
-        block = lambda c, n, now=now: now.select("sys", F.col("state").alias(c), F.col("block").alias(n))
-        rows = weak.join(block("src", "_s"), ["sys", "src"]).join(block("dst", "_d"), ["sys", "dst"]).filter(~_silent() | (F.col("_s") != F.col("_d")))
-        if ahead is not None:
-            rows = rows.join(block("mid", "_m"), ["sys", "mid"]).filter("_m = _s")
-        signed = _hash(rows.withColumnRenamed("src", "state"), ["sys", "state"], ["label", "_d"])
-        new = settled(now.join(signed, ["sys", "state"], "left").select("sys", "state", F.col("block").alias("was"), _named(F.col("block"), F.col("h0"), F.col("h1")).alias("block")))
-        grown = settled(new.groupBy("sys").agg(F.countDistinct("was").alias("n"), F.countDistinct("block").alias("m")).filter("m > n").select("sys"))
-        new = new.select("sys", "state", "block")
-        if grown.isEmpty():
-            done.append(new)
-            break
-        done.append(new.join(grown, "sys", "left_anti"))
-        now = new.join(grown, "sys", "left_semi")
-    found = reduce(DataFrame.unionByName, done).withColumnRenamed("state", "leader")
-    out = states.join(found, ["sys", "leader"])
-    least = out.groupBy("sys", "block").agg(F.min("state").alias("least"))
-    return out.join(least, ["sys", "block"]).select(F.col("sys").alias(key), "state", F.col("least").alias("block"), "divergent")
+    number = lambda rows, n: settled(rows.withColumn(n, F.monotonically_increasing_id()))
+    systems = number(states.select("sys").distinct(), "g")
+    ids = number(states.select("sys", F.col("leader").alias("state"), "divergent").distinct().join(systems, "sys"), "id")
+    weak = _weak(led, ahead).withColumns({f"l{k}": F.when(~_silent(), F.xxhash64(F.lit(k), "label")) for k in (0, 1)})
+    for end in ("src", "mid", "dst"):
+        weak = weak.join(ids.select("sys", F.col("state").alias(end), "g", F.col("id").alias(f"_{end}")).drop(*(["g"] if end != "src" else [])), ["sys", end])
+    weak = settled(weak.select("g", F.col("_src").alias("src"), F.col("_mid").alias("mid"), F.col("_dst").alias("dst"), "l0", "l1"))
+    first = _bits("divergent")
+    found = settled(_rounds(ids.select("g", "id", first[0].alias("b0"), first[1].alias("b1")), weak, ahead is not None))
+    named = found.join(ids.select("id", "sys", "state"), "id").groupBy("g", "b0", "b1").agg(F.min(F.struct("state", "id")).alias("least"))
+    of = found.join(named, ["g", "b0", "b1"]).select("id", F.col("least.id").alias("block_id"), F.col("least.state").alias("block"))
+    out = states.join(ids.select("sys", "g", F.col("state").alias("leader"), "id"), ["sys", "leader"]).join(of, "id")
+    return settled(out.select("sys", "g", "state", "block", F.col("block_id").alias("id"), "divergent"))
 
 
 def _quotient(m: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -170,42 +198,62 @@ def _quotient(m: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def quotients(moves: DataFrame, key: str = "sys") -> DataFrame:
     """sys, src, label, dst between blocks, which their least state names."""
-    blocks = settled(stuttering(moves, key).withColumnRenamed(key, "sys"))
-    return _quotient(_moves(moves, key), blocks).withColumnRenamed("sys", key)
+    names, rows = alike(moves, key)
+    return told(names, _quotient(_moves(rows, "sys"), _blocks(_moves(rows, "sys"), _states(rows, "sys"))), key)
 
 
 def signatures(moves: DataFrame, key: str = "sys", initial: str = "initial") -> DataFrame:
     """sys, signature: equal for two systems if and only if their first states are equivalent in the union of both.
 
     Blocks of the quotients are hashed with what they lead to, round by round: systems whose hashes stand still are done; the
-    others (cyclic ones) go on until a round tells no more blocks apart, over all of them together."""
-    blocks = settled(stuttering(moves, key).withColumnRenamed(key, "sys"))
-    q = settled(_quotient(_moves(moves, key), blocks))
-    now = settled(blocks.select("sys", "block", "divergent").distinct().withColumn("h", _named(F.col("divergent"))))
+    others (cyclic ones) go on until a round tells no more blocks apart, over all of them together. Equal systems are hashed once."""
+    names, rows = alike(moves, key, initial)
+    return told(names, _signatures(rows), key)
+
+
+def _signatures(rows: DataFrame) -> DataFrame:
+    m = _moves(rows, "sys")
+    blocks = _blocks(m, _states(rows, "sys"))
+    ids = blocks.select("sys", "g", "block", "id", "divergent").distinct()
+    q = _quotient(m, blocks).withColumns({f"l{k}": F.when(~_silent(), F.xxhash64(F.lit(k), "label")) for k in (0, 1)})
+    for end in ("src", "dst"):
+        q = q.join(ids.select("sys", F.col("block").alias(end), F.col("id").alias(f"_{end}")), ["sys", end])
+    q = settled(q.select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), "l0", "l1"))
+    first = _bits("divergent")
+    now = settled(ids.select("g", "id", "divergent", first[0].alias("b0"), first[1].alias("b1")))
     done: list[DataFrame] = []
+    held = None
     while True:
-        signed = _hash(q.join(now.select("sys", F.col("block").alias("dst"), "h"), ["sys", "dst"]).withColumnRenamed("src", "block"), ["sys", "block"], ["label", "h"])
-        new = settled(now.join(signed, ["sys", "block"], "left").select("sys", "block", "divergent", F.col("h").alias("old"), _named(F.col("divergent"), F.col("h0"), F.col("h1")).alias("h")))
-        moved = settled(new.filter("old <> h").select("sys").distinct())
-        on = new.join(moved, "sys", "left_semi")
-        told = on.agg(F.countDistinct("old").alias("old"), F.countDistinct("h").alias("h")).first()
-        if told.old == told.h:
-            done.append(new.select("sys", "block", "h"))
+        seen = q.join(now.select(F.col("id").alias("dst"), F.col("b0").alias("d0"), F.col("b1").alias("d1")), "dst").select("src", *[x.alias(f"e{k}") for k, x in enumerate(_bits(F.col("l0").isNull(), "l0", "l1", "d0", "d1"))])
+        signed = seen.distinct().groupBy(F.col("src").alias("id")).agg(F.bit_xor("e0").alias("h0"), F.bit_xor("e1").alias("h1"))
+        named = _bits("divergent", F.col("h0").isNull(), "h0", "h1")
+        new = settled(now.join(signed, "id", "left").select("g", "id", "divergent", F.col("b0").alias("a0"), F.col("b1").alias("a1"), named[0].alias("b0"), named[1].alias("b1")))
+        moved = settled(new.filter("a0 <> b0 OR a1 <> b1").select("g").distinct())
+        new = settled(new.join(moved.withColumn("on", F.lit(True)), "g", "left").withColumn("on", F.col("on").isNotNull()))
+        on = new.filter("on")
+        if moved.isEmpty() or _split(on, []).isEmpty():
+            done.append(new.select("id", "b0", "b1"))
             break
-        done.append(new.join(moved, "sys", "left_anti").select("sys", "block", "h"))
-        now = on.select("sys", "block", "divergent", "h")
+        done.append(new.filter("NOT on").select("id", "b0", "b1"))
+        now = on.select("g", "id", "divergent", "b0", "b1")
+        left = moved.count()
+        if held is None or 2 * left < held:
+            q, held = settled(q.join(now.select(F.col("id").alias("src")), "src", "left_semi")), left
     hashes = reduce(DataFrame.unionByName, done)
-    first = moves.select(F.col(key).alias("sys"), F.col(initial).alias("state")).distinct().join(blocks, ["sys", "state"])
-    return first.join(hashes, ["sys", "block"]).select(F.col("sys").alias(key), F.col("h").alias("signature"))
+    first = rows.select("sys", F.col("initial").alias("state")).distinct().join(blocks.select("sys", "state", "id"), ["sys", "state"])
+    return settled(first.join(hashes, "id").select("sys", F.format_string("%016x%016x", "b0", "b1").alias("signature")))
 
 
 def clusters(moves: DataFrame, key: str = "sys", initial: str = "initial") -> DataFrame:
     """sys, signature, representative, singleton: systems by `signatures`; fewest states, then moves, then name stand for them."""
-    states = _states(moves, key).groupBy("sys").agg(F.count("*").alias("states"))
-    steps = _moves(moves, key).groupBy("sys").agg(F.count("*").alias("moves"))
-    signed = settled(signatures(moves, key, initial).withColumnRenamed(key, "sys").join(states, "sys").join(steps, "sys", "left").fillna(0, ["moves"]))
-    lead = signed.groupBy("signature").agg(F.min_by("sys", F.struct("states", "moves", "sys")).alias("representative"), (F.count("*") == 1).alias("singleton"))
-    return signed.join(lead, "signature").select(F.col("sys").alias(key), "signature", "representative", "singleton")
+    names, rows = alike(moves, key, initial)
+    states = _states(rows, "sys").groupBy("sys").agg(F.count("*").alias("states"))
+    steps = _moves(rows, "sys").groupBy("sys").agg(F.count("*").alias("moves"))
+    many = names.groupBy(F.col("like").alias("sys")).agg(F.count("*").alias("many"))
+    signed = settled(_signatures(rows).join(states, "sys").join(steps, "sys", "left").fillna(0, ["moves"]).join(many, "sys"))
+    # the least name of equal systems stands for them, so the representative of all is one of these
+    lead = signed.groupBy("signature").agg(F.min_by("sys", F.struct("states", "moves", "sys")).alias("representative"), (F.sum("many") == 1).alias("singleton"))
+    return told(names, signed.join(lead, "signature").select("sys", "signature", "representative", "singleton"), key)
 
 
 def bisimilar(moves: DataFrame, pairs: DataFrame, key: str = "sys", initial: str = "initial") -> DataFrame:
