@@ -79,3 +79,37 @@ def test_a_ladder_of_many_rungs(spark):
     e = spark.createDataFrame(side("l") + side("r") + [("l010", "r020"), ("end", "l005"), ("end", "tail")], "src string, dst string")
     up = {r.node: r.up for r in dominance.tree(e, spark.createDataFrame([("root",)], "node string")).collect()}
     assert up["end"] == "root" and up["tail"] == "end" and up["l005"] == "root" and up["r020"] == "root" and up["r024"] == "r023" and up["l004"] == "l003"
+
+
+def test_peeled_and_deep(spark, monkeypatch):
+    """The definition again, where nodes are peeled off and nearest ancestors don't reach the root."""
+    monkeypatch.setattr(dominance, "FEW", 0)
+    monkeypatch.setattr(dominance, "LEVELS", 1)
+    test_against_the_definition(spark)
+
+
+def test_a_deep_tree(spark):
+    """A chain longer than the nearest ancestors told, a second way around most of it, and an edge back."""
+    edges = [(i, i + 1) for i in range(70)] + [(5, 100), (100, 60), (69, 40)]
+    e = spark.createDataFrame(edges, "src int, dst int")
+    t = dominance.tree(e, spark.createDataFrame([(0,)], "node int")).collect()
+    want = {i: i - 1 for i in range(1, 71)} | {0: None, 100: 5, 60: 5, 40: 5}
+    assert {r.node: r.up for r in t} == want
+    depth = lambda i: 0 if want[i] is None else 1 + depth(want[i])
+    assert {r.node: r.depth for r in t} == {i: depth(i) for i in want}
+    fronts = dominance.frontier(e, spark.createDataFrame(t, "node int, up int, depth int")).collect()
+    assert sorted((r.node, r.front) for r in fronts) == sorted([(i, 40) for i in [*range(6, 40), *range(60, 70)]] + [(i, 60) for i in [*range(40, 60), 100]])
+
+
+def test_no_table_of_nodes_is_sent_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(dominance, "FEW", 0, raising=False)
+    ran = spark._jsparkSession.sharedState().statusStore()
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before = {ran.executionsList().apply(i).executionId() for i in range(ran.executionsList().size())}
+    e = spark.createDataFrame([(i // 2, i) for i in range(2, 40)] + [(i // 3, i) for i in range(5, 40, 5)], "src long, dst long")
+    t = dominance.tree(e, spark.range(1, 2).withColumnRenamed("id", "node"))
+    assert dominance.frontier(e, t).count() > 0
+    bus.waitUntilEmpty()
+    new = [x for i in range(ran.executionsList().size()) if (x := ran.executionsList().apply(i)).executionId() not in before]
+    assert new and not [x.physicalPlanDescription() for x in new if "Broadcast" in x.physicalPlanDescription()]
