@@ -7,10 +7,12 @@ histogram under L1) brings no two sets further apart, so triangle windows hold t
 small part of the bytes.
 
 1. Equal sets are joined by a 128-bit hash first, so a group of copies is one set.
-2. Pivots are chosen among the data: of the sets of a size band that share a member of their prefixes
-   (rare members first), the smallest. Most sets are at distance 1 from any pivot, where the triangle
-   inequality separates nothing; two linked sets share a member of their prefixes, so the pivots of
-   these groups are those that a set and its links have in common. A set near the lower edge of its
+2. Pivots are chosen among the data: of the sets of a size band that share a pair of neighbours among their
+   first members (rare members first), the smallest. Most sets are at distance 1 from any pivot, where the
+   triangle inequality separates nothing; two linked sets share such a pair (`shingles.neighbours`), so the
+   pivots of these groups are those that a set and its links have in common. Single members would be shared by
+   chance, the more the more texts there are. Pairs that one set alone has are found by packed keys first, and
+   stay where they are. A set near the lower edge of its
    band is replicated to the band below. No group is gathered: its pivot is an aggregate, and its sets
    meet the pivot in a join that AQE splits where it is skewed.
 3. In the contracted metric the sets of a pivot fall apart into cells, sets that no chain of possible
@@ -50,12 +52,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, join_sized, slices
+from .common import BROADCAST_ROWS, Workspace, join_sized, slices
 from .components import components
-from .shingles import prefix, set_hash, shingle_sets
+from .fingerprints import mixed
+from .shingles import neighbours, set_hash, shingle_sets
 
 #: Frequent shingles kept for the order; seen in so many documents of one task at least.
 HEAVY, OFTEN = 200_000, 8
+#: Bits of the bitmap of shared keys, at least and at most.
+FLAGS = (20, 28)
 #: Sets in a region that one task joins; sets in a chunk of a distributed pass; members of all the sets that one task joins.
 LOCAL, CHUNK, MEMBERS = 4096, 256, 2_000_000
 #: Sets of a pivot that are told apart pair by pair, in the contracted metric.
@@ -136,7 +141,7 @@ def folded(raw, n: int, k: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, s1, s2 (a hash of the set), first (the prefix), hist."""
+    """doc_id, n, s1, s2 (a hash of the set), first (the keys of its first neighbours, packed), hist."""
     heavy = docs.sparkSession.sparkContext.broadcast(frequent(docs, size))
     names = ["doc_id", "n", "s1", "s2", "first", "hist"]
 
@@ -148,14 +153,12 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 for s in shingle_sets(batch.column("text").slice(lo, hi - lo), size):
                     n.append(len(s))
                     signs.append(set_hash(s))
-                    firsts.append(prefix(s, percent, keys, weights).view(np.int64))
+                    firsts.append(packed(neighbours(s, percent, keys, weights)))
                     hists.append(histogram(s))
-                offsets = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts), pa.int64()))
-                columns = [pa.array(n, pa.int32()), pa.array([a for a, _ in signs], pa.int64()), pa.array([b for _, b in signs], pa.int64()), lists, pa.array(hists, pa.binary())]
+                columns = [pa.array(n, pa.int32()), pa.array([a for a, _ in signs], pa.int64()), pa.array([b for _, b in signs], pa.int64()), pa.array(firsts, pa.binary()), pa.array(hists, pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *columns], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, first array<long>, hist binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, first binary, hist binary")
 
 
 def _band(n: Column, percent: int) -> Column:
@@ -168,13 +171,75 @@ def _with_window(n: Column, percent: int) -> Column:
     return F.array_distinct(F.array(_band(n, percent), _band(F.ceil(n * percent / 100), percent)))
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """48-bit keys, six bytes each."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def keys_of(raws: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(raws), dtype=np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), dtype=np.uint8)
+    out[:, :6] = raw
+    return out.view("<u8").ravel()
+
+
+def _banded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all rows (first, band), told apart by band, and how many each row has."""
+    raws = batch.column("first").to_pylist()
+    many = np.array([len(r) // 6 for r in raws], dtype=np.int64)
+    bands = np.repeat(batch.column("band").to_numpy().astype(np.uint64), many)
+    return mixed(keys_of(raws) ^ (bands << np.uint64(48))) >> np.uint64(16), many
+
+
+def shared_keys(rows: DataFrame, total: int, work: Workspace) -> np.ndarray:
+    """A bitmap of the keys that rows (first, band) have twice or more, of 2**28 bits (32 MB) at most: where it is crowded it lets more keys through.
+
+    A batch's keys are dealt out packed, by ranges of about a quarter of a million keys, so each key travels at six bytes; total: members of all sets."""
+    parts = min((total // 500_000).bit_length(), FLAGS[0] - 6)
+    bits = min(max(FLAGS[0], (8 * total).bit_length()), FLAGS[1])
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.sort(_banded(batch)[0])
+            keys = keys[np.append(True, keys[1:] != keys[:-1]) | np.append(True, np.append(True, keys[2:] != keys[:-2])[: len(keys) - 1])] if len(keys) else keys  # twice are enough
+            cuts = np.searchsorted(keys, np.arange(1 << parts, dtype=np.uint64) << np.uint64(48 - parts)).tolist() + [len(keys)]
+            full = [(k, packed(keys[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in full], pa.int32()), pa.array([x for _, x in full], pa.binary())], ["part", "keys"])
+
+    def find(table: pa.Table) -> pa.Table:
+        keys = np.sort(keys_of(table["keys"].to_pylist()))
+        at = np.unique(keys[1:][keys[1:] == keys[:-1]] >> np.uint64(48 - bits)).astype(np.int64)
+        word, first = np.unique(at >> 6, return_index=True)
+        flags = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, dtype=np.uint64)
+        return pa.table({"word": pa.array(word, pa.int64()), "flags": pa.array(flags.view(np.int64), pa.int64())})
+
+    dealt = rows.select("first", "band").mapInArrow(deal, "part int, keys binary")
+    found = work.keep(dealt.groupBy("part").applyInArrow(find, "word long, flags long"), "flags").toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    out[found["word"].to_numpy()] = found["flags"].to_numpy().view(np.uint64)
+    return out
+
+
 def near_pivots(sets: DataFrame, percent: int, work: Workspace) -> DataFrame:
-    """p, x, n: each set with the pivots of its groups, pivots with themselves too."""
-    rows = sets.select("rep", "n", F.explode("first").alias("shingle")).withColumn("band", F.explode(_with_window(F.col("n"), percent)))
-    rows = rows.select(F.xxhash64("shingle", "band").alias("k"), "n", "rep")  # groups whose keys collide are one: more work, no other result
-    lead = rows.groupBy("k").agg(F.min(F.struct("n", "rep")).alias("m"), F.count("*").alias("c")).filter("c > 1")
-    lead = work.keep(lead.select("k", F.col("m.rep").alias("p")), "lead")
-    return rows.select("k", F.col("rep").alias("x"), "n").join(lead.hint("merge"), "k").select("p", "x", "n").distinct()
+    """p, x, n: each set with the pivots of its groups, pivots with themselves too. Keys that one set alone has don't travel."""
+    rows = sets.withColumn("band", F.explode(_with_window(F.col("n"), percent)))
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bitmap = sets.sparkSession.sparkContext.broadcast(shared_keys(rows, total, work))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = bitmap.value
+        for batch in batches:
+            keys, many = _banded(batch)
+            at = (keys >> np.uint64(48 - (len(flags) * 64).bit_length() + 1)).astype(np.int64)
+            hit = np.flatnonzero(flags[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
+            row = np.repeat(np.arange(len(many)), many)[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[hit].view(np.int64)), batch.column("n").take(pa.array(row)), batch.column("rep").take(pa.array(row))], ["k", "n", "x"])
+
+    # groups whose keys collide are one: more work, no other result
+    rows = work.keep(rows.select("first", "band", "n", "rep").mapInArrow(run, "k long, n int, x long"), "shared")
+    lead = rows.groupBy("k").agg(F.min(F.struct("n", "x")).alias("m"), F.count("*").alias("c")).filter("c > 1")
+    lead = work.keep(lead.select("k", F.col("m.x").alias("p")), "lead")
+    return rows.join(lead.hint("merge"), "k").select("p", "x", "n").distinct()
 
 
 def cells(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -488,6 +553,16 @@ def _within(regions: DataFrame, vectors: DataFrame, sizes: DataFrame, percent: i
     return out
 
 
+def _distinct(sign: DataFrame, copies: DataFrame) -> DataFrame:
+    """rep, n, first, hist: each set once. Where few sets have copies only these are gathered, else all are."""
+    same, one = ["n", "s1", "s2"], [F.min("doc_id").alias("rep"), F.first("first").alias("first"), F.first("hist").alias("hist")]
+    if copies.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return sign.groupBy(*same).agg(*one).select("rep", "n", "first", "hist")
+    copies = F.broadcast(copies.select(*same))
+    again = sign.join(copies, same, "left_semi").groupBy(*same).agg(*one)
+    return sign.join(copies, same, "left_anti").withColumnRenamed("doc_id", "rep").select("rep", "n", "first", "hist").unionByName(again.select("rep", "n", "first", "hist"))
+
+
 def join(docs: DataFrame, size: int = 3, percent: int = 90, counts: dict[str, int] | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id. `counts`, if given, is filled with what the steps did."""
     work = Workspace(docs.sparkSession, "jaccard")
@@ -498,12 +573,12 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, counts: dict[str, in
 
     docs = docs.select("doc_id", "text")
     sign = work.keep(signatures(docs, size, percent), "signatures")
-    sets = sign.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"), F.first("first").alias("first"), F.first("hist").alias("hist"))
-    sets = work.keep(sets, "sets")
     every = work.keep(sign.drop("first", "hist"), "keys")
+    reps = work.keep(every.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), "reps")
+    sets = work.keep(_distinct(sign.filter("n > 0 AND doc_id IS NOT NULL"), reps.filter("c > 1")), "sets")
     work.drop("signatures")
     near = work.keep(near_pivots(sets, percent, work), "near")
-    work.drop("lead")
+    work.drop("lead", "shared", "flags")
     large = work.keep(near.groupBy("p").agg(F.count("*").alias("c")).filter(F.col("c") > CELL).select("p"), "large")
     regions = cells(join_sized(near, large, "p", "left_anti"), sets, percent)
     told(near=near, large=large)
@@ -518,7 +593,6 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, counts: dict[str, in
         kept = kept.join(around.select("p", "x", "h"), ["p", "x"])
         regions = regions.unionByName(close.unionByName(kept).groupBy("p", "x").agg(F.min("h").alias("h")))
     regions = work.keep(regions.groupBy("p", "x").agg(F.min("h").alias("h")), "regions")
-    reps = work.keep(sets.select("rep", "n", "s1", "s2", "c"), "reps")
     work.drop("sets", "near", "around", "shells")
     alone = regions.groupBy("p").agg(F.count("*").alias("c"))
     regions = work.keep(regions.join(alone.filter("c > 1"), "p"), "regions-2")

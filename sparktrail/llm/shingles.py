@@ -56,23 +56,43 @@ def set_hash(s: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def prefix(s: np.ndarray, percent: int, heavy: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The first members of the set in a fixed order of all shingles: light ones by hash, then heavy ones by weight.
-
-    Two sets of similarity >= percent share at least ceil(percent * n / 100) members of each, so their
-    prefixes, which leave out one fewer than that, have a member in common. This holds for any order; one
-    that puts frequent shingles last keeps the shared members rare. `heavy` is sorted."""
-    n = len(s)
-    size = n - -(-n * percent // 100) + 1 if n else 0
+def leading(s: np.ndarray, most: int, heavy: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The first `most` members of the set in a fixed order of all shingles: light ones by hash, then heavy ones by weight. `heavy` is sorted."""
     if len(heavy) == 0:
-        return s[:size]
+        return s[:most]
     at = np.searchsorted(heavy, s)
     at[at == len(heavy)] = 0
     common = heavy[at] == s
     if not common.any():
-        return s[:size]
+        return s[:most]
     light = s[~common]
-    if len(light) >= size:
-        return light[:size]
+    if len(light) >= most:
+        return light[:most]
     often = s[common]
-    return np.concatenate([light, often[np.lexsort((often, weight[at[common]]))]])[:size]
+    return np.concatenate([light, often[np.lexsort((often, weight[at[common]]))]])[:most]
+
+
+def prefix(s: np.ndarray, percent: int, heavy: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The first members of the set in the order of `leading`.
+
+    Two sets of similarity >= percent share at least ceil(percent * n / 100) members of each, so their
+    prefixes, which leave out one fewer than that, have a member in common. This holds for any order; one
+    that puts frequent shingles last keeps the shared members rare."""
+    n = len(s)
+    return leading(s, n - -(-n * percent // 100) + 1 if n else 0, heavy, weight)
+
+
+def neighbours(s: np.ndarray, percent: int, heavy: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """48-bit hashes of the first pairs of neighbours in the order of `leading`; of single members up to a similarity of 75 percent.
+
+    Texts that have nothing to do with each other share a shingle here and there, the more of them the more texts there are, but
+    hardly two that are neighbours in both sets. Of two linked sets, each member that one lacks parts two pairs of neighbours of the
+    other and each one it has in addition parts one. With sizes n and x and an overlap of percent * (n + x) / (100 + percent) or more
+    these are at most 2 * n * (100 - percent) / 100 pairs, the most where the other set is the smallest one and lies inside. So
+    one pair more than that holds the first pair that both sets have, in either of them. Above 75 percent every set of two members
+    has as many pairs; a set of one links with equal ones only."""
+    n = len(s)
+    if percent <= 75:
+        return mixed(prefix(s, percent, heavy, weight)) >> np.uint64(16)
+    first = leading(s, 2 * n * (100 - percent) // 100 + 2, heavy, weight)
+    return mixed(first[:-1] * _FACTORS[41] + first[1:] * _FACTORS[42]) >> np.uint64(16)

@@ -1,8 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from sparktrail.llm import jaccard_join as jj
+from sparktrail.llm import shingles as sh
 
 SCHEMA = "doc_id long, text string, component_id string, n_chars long"
 
@@ -75,3 +77,29 @@ def test_one_of_each(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert jj.join(df).count() == 0 and jj.one_of_each(df).count() == 0
+
+
+@pytest.mark.parametrize("percent", [50, 76, 80, 90])
+def test_linked_sets_share_neighbours(percent):
+    rng = np.random.default_rng(percent)
+    word = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    for k in range(4000):
+        a = np.unique(word(int(rng.integers(1, 60))))
+        cut, new = rng.integers(0, len(a) // 2 + 1, 2)
+        b = np.unique(np.concatenate([rng.permutation(a)[cut:], word(int(new) if k % 3 else 0)]))
+        heavy = np.sort(rng.permutation(np.union1d(a, b))[: k % 5])
+        n = len(np.intersect1d(a, b))
+        if len(a) != len(b) and 100 * n >= percent * (len(a) + len(b) - n):
+            one, two = (sh.neighbours(x, percent, heavy, np.arange(len(heavy))) for x in (a, b))
+            assert np.intersect1d(one, two).size
+    assert jj.keys_of([jj.packed(one)]).tolist() == one.tolist()
+
+
+def test_texts_that_share_single_shingles_stay_apart(spark):
+    rng = random.Random(5)
+    phrases = [" ".join(f"p{k}w{i}" for i in range(5)) for k in range(60)]
+    rows = [(d, " ".join(w for k in rng.sample(range(60), 6) for w in (phrases[k], *(f"d{d}x{k}y{i}" for i in range(60)))), "", 0) for d in range(80)]
+    counts = {}
+    found = jj.join(spark.createDataFrame(rows, SCHEMA), 5, 80, counts).collect()
+    assert all(r.component_id == r.doc_id and r.n_shingles == 386 for r in found) and len(found) == 80
+    assert counts["near"] < 8  # 92 by single members of their prefixes
