@@ -36,8 +36,8 @@ def reachable(edges: DataFrame, roots: DataFrame, most: int | None = None) -> Da
     new = settled(roots.select(F.col("node").alias("root"), "node", F.lit(0).cast("bigint").alias("depth")).distinct())
     seen = [new]
     for k in itertools.count(1) if most is None else range(1, most + 1):
-        step = new.join(edges, new.node == edges.src).select("root", F.col("dst").alias("node"), F.lit(k).cast("bigint").alias("depth")).distinct()
-        new = settled(step.join(_union(seen), ["root", "node"], "left_anti"))
+        step = new.join(edges.hint("merge"), F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), F.lit(k).cast("bigint").alias("depth")).distinct()
+        new = settled(step.join(_union(seen).hint("merge"), ["root", "node"], "left_anti"))
         if new.isEmpty():
             break
         seen = [settled(_union([*seen, new]))] if len(seen) == 6 else [*seen, new]
@@ -73,8 +73,8 @@ def spread(edges: DataFrame, starts: DataFrame) -> DataFrame:
     for hops in _hops():
         layers = [new]
         for _ in range(hops):
-            layers.append(layers[-1].join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct())
-        new = settled(_union(layers[1:]).distinct().join(_union(seen), "node", "left_anti"))
+            layers.append(layers[-1].join(edges.hint("merge"), F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct())
+        new = settled(_union(layers[1:]).distinct().join(_union(seen).hint("merge"), "node", "left_anti"))
         if new.isEmpty():
             return _union(seen)
         seen.append(new)
@@ -95,7 +95,7 @@ def long_walk_ends(edges: DataFrame) -> DataFrame:
 
 def _on_long_walks(edges: DataFrame) -> DataFrame:
     """Edges from nodes where walks of any length end."""
-    return edges.join(long_walk_ends(edges).withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst")
+    return edges.join(long_walk_ends(edges).withColumnRenamed("node", "src").hint("merge"), "src", "left_semi").select("src", "dst")
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def _coloured(edges: DataFrame) -> DataFrame:
     for hops in _hops():
         new = now.withColumnRenamed("colour", "was")
         for k in range(hops):
-            told = new.join(both, F.col("node") == F.col("src"))
+            told = new.join(both.hint("merge"), F.col("node") == F.col("src"))
             colour = F.col("was") if k == 0 else F.col("colour")
             own = F.max(F.when(F.col("src") == F.col("dst"), F.col("was"))).alias("was")
             new = told.groupBy(F.col("dst").alias("node")).agg(F.min(colour).alias("colour"), own)
@@ -135,21 +135,21 @@ def strong_components(edges: DataFrame) -> DataFrame:
     while not left.isEmpty() and not (left := _trimmed(left)).isEmpty():
         colours = _coloured(left)
         ends = [colours.select(F.col("node").alias(end), F.col("colour").alias(f"_{end}")) for end in ("src", "dst")]
-        inside = settled(left.join(ends[0], "src").join(ends[1], "dst").filter("_src = _dst").select("src", "dst", F.col("_src").alias("colour")))
+        inside = settled(left.join(ends[0].hint("merge"), "src").join(ends[1].hint("merge"), "dst").filter("_src = _dst").select("src", "dst", F.col("_src").alias("colour")))
         back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        found = spread(back, colours.filter("node = colour").select("node")).join(colours, "node").select("node", F.col("colour").alias("component"))
+        found = spread(back, colours.filter("node = colour").select("node")).join(colours.hint("merge"), "node").select("node", F.col("colour").alias("component"))
         done.append(settled(found))
         gone = done[-1].select("node")
-        left = settled(inside.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+        left = settled(inside.join(gone.withColumnRenamed("node", "src").hint("merge"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst").hint("merge"), "dst", "left_anti").select("src", "dst"))
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     if done:
-        nodes = nodes.join(_union(done), "node", "left")
+        nodes = nodes.join(_union(done).hint("merge"), "node", "left")
     else:
         nodes = nodes.withColumn("component", F.col("node"))
     nodes = settled(nodes.select("node", F.coalesce("component", "node").alias("component")))
     sizes = nodes.groupBy("component").agg(F.count("*").cast("bigint").alias("size"))
     loops = edges.filter("src = dst").select(F.col("src").alias("node"), F.lit(True).alias("_l"))
-    out = nodes.join(sizes, "component").join(loops, "node", "left")
+    out = nodes.join(sizes.hint("merge"), "component").join(loops.hint("merge"), "node", "left")
     return out.select("node", "component", "size", ((F.col("size") > 1) | F.coalesce("_l", F.lit(False))).alias("cyclic"))
 
 

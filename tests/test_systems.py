@@ -181,3 +181,20 @@ def test_programs_with_one_text_are_parsed_once(spark):
     names, texts = programs.alike(df)
     assert {tuple(r) for r in names.collect()} == {("p2", "p1"), ("p1", "p1"), ("q", "q"), ("n1", "n0"), ("n0", "n0")}
     assert {tuple(r) for r in texts.collect()} == {("p1", "a()"), ("q", "b()"), ("n0", None)}
+
+
+def test_conformance_broadcasts_no_table(spark, monkeypatch):
+    plans = []
+
+    def settled(df, keep=graph.settled):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    for module in (graph, systems, programs):
+        monkeypatch.setattr(module, "settled", settled)
+    texts = spark.createDataFrame([(f"p{k}", "def a():\n    pass\ndef b():\n    pass\ndef run():\n" + "".join(f"    {f}()\n" for f in calls)) for k, calls in enumerate(("ab", "ba", "ab", "b"))], "program string, code string")
+    names, one = programs.alike(texts)
+    told = systems.conformance(programs.call_systems(one), {"then": "G(a -> F(b))", "not": "!b W a"}).withColumnRenamed("sys", "like")
+    found = {(r.program, r.rule): r.verdict for r in names.join(told.hint("merge"), "like").collect()}
+    assert found == {(p, r): v for p, vs in (("p0", "CC"), ("p1", "VV"), ("p2", "CC"), ("p3", "II")) for r, v in zip(("then", "not"), ({"C": "COMPLIANT", "V": "VIOLATION", "I": "INCONCLUSIVE"}[x] for x in vs), strict=True)}
+    assert not [p for p in plans if "BroadcastHashJoin" in p]
